@@ -1,8 +1,12 @@
 """The registered queries of this package and their SQL."""
 
+from quillrun.llm.decontaminate import OP7_SQL, op7_benchmark_decontamination
 from quillrun.llm.simhash import op2_simhash_near_dedup
 
 QUERIES = {
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
+    "op7_benchmark_decontamination": op7_benchmark_decontamination,
+}
+ORACLE_SQL = {
+    "op7_benchmark_decontamination": OP7_SQL,
 }
-ORACLE_SQL: dict[str, str] = {}
