@@ -1,17 +1,20 @@
 """The registered queries of this package and their SQL."""
 
 from quillrun.llm.decontaminate import OP7_SQL, op7_benchmark_decontamination
+from quillrun.llm.mixing import OP3_SQL, op3_mixing
 from quillrun.llm.pii import op10_personal_data
 from quillrun.llm.secrets import OP5_SQL, op5_secret_scan
 from quillrun.llm.simhash import op2_simhash_near_dedup
 
 QUERIES = {
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
+    "op3_mixing": op3_mixing,
     "op5_secret_scan": op5_secret_scan,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op10_personal_data": op10_personal_data,
 }
 ORACLE_SQL = {
+    "op3_mixing": OP3_SQL,
     "op5_secret_scan": OP5_SQL,
     "op7_benchmark_decontamination": OP7_SQL,
 }
