@@ -5,8 +5,10 @@ from quillrun.llm.mixing import OP3_SQL, op3_mixing
 from quillrun.llm.pii import op10_personal_data
 from quillrun.llm.secrets import OP5_SQL, op5_secret_scan
 from quillrun.llm.simhash import op2_simhash_near_dedup
+from quillrun.llm.toxicity import op1_toxicity
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op3_mixing": op3_mixing,
     "op5_secret_scan": op5_secret_scan,
