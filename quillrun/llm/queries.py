@@ -3,6 +3,7 @@
 from quillrun.llm.decontaminate import OP7_SQL, op7_benchmark_decontamination
 from quillrun.llm.mixing import OP3_SQL, op3_mixing
 from quillrun.llm.pii import op10_personal_data
+from quillrun.llm.quality import op9_quality
 from quillrun.llm.secrets import OP5_SQL, op5_secret_scan
 from quillrun.llm.simhash import op2_simhash_near_dedup
 from quillrun.llm.toxicity import op1_toxicity
@@ -13,6 +14,7 @@ QUERIES = {
     "op3_mixing": op3_mixing,
     "op5_secret_scan": op5_secret_scan,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
+    "op9_quality": op9_quality,
     "op10_personal_data": op10_personal_data,
 }
 ORACLE_SQL = {
