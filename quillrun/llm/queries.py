@@ -1,6 +1,7 @@
 """The registered queries of this package and their SQL."""
 
 from quillrun.llm.decontaminate import OP7_SQL, op7_benchmark_decontamination
+from quillrun.llm.editsketch import op8_edit_fingerprints
 from quillrun.llm.mixing import OP3_SQL, op3_mixing
 from quillrun.llm.pii import op10_personal_data
 from quillrun.llm.quality import op9_quality
@@ -14,6 +15,7 @@ QUERIES = {
     "op3_mixing": op3_mixing,
     "op5_secret_scan": op5_secret_scan,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
+    "op8_edit_fingerprints": op8_edit_fingerprints,
     "op9_quality": op9_quality,
     "op10_personal_data": op10_personal_data,
 }
