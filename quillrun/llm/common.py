@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,18 +15,36 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder, its lineage cut.
-
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset
-    (tests on one machine) a temporary one is made.
-    """
-    sc = df.sparkSession.sparkContext
+def _shared_folder(spark: SparkSession) -> str:
+    """The session's ``spark.checkpoint.dir``; only where that is unset (tests on one machine) a temporary one."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="quillrun-checkpoints-"))
+    return sc.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared checkpoint folder, its lineage cut."""
+    _shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` as a Parquet table in the shared checkpoint folder: smaller than a checkpoint, and read
+    by columns. drop_stored() deletes it."""
+    path = f"{_shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def drop_stored(df: DataFrame) -> None:
+    """Deletes a table that stored() wrote; nothing may read it any more."""
+    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._stored_at)
+    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z in lower case, every other character as it is."""
     return F.translate(text, UPPER, LOWER)
@@ -38,24 +57,3 @@ def held_out(doc_id: Column) -> Column:
 
 def sha256_hex(text: Column) -> Column:
     return F.sha2(text.cast("binary"), 256)
-
-
-def matches_of(text: Column, pattern: str) -> Column:
-    """Every leftmost, non-overlapping match of a pattern that can't match the empty string, as
-    array<struct<start:int, end:int, value:string>> in code points, end exclusive.
-
-    The pieces between the matches and the matches themselves alternate, so running sums of their
-    lengths give the offsets. Texts without a match yield an empty array.
-    """
-    pieces, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    return F.aggregate(
-        F.zip_with(pieces, found, lambda p, m: F.struct(F.length(p).alias("gap"), m.alias("value"))),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,value:string>>").alias("out")),
-        lambda acc, x: F.when(x["value"].isNull(), acc).otherwise(
-            F.struct(
-                (acc["at"] + x["gap"] + F.length(x["value"])).alias("at"),
-                F.concat(acc["out"], F.array(F.struct((acc["at"] + x["gap"]).alias("start"), (acc["at"] + x["gap"] + F.length(x["value"])).alias("end"), x["value"].alias("value")))).alias("out"),
-            )
-        ),
-        lambda acc: acc["out"],
-    )

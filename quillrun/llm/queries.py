@@ -7,12 +7,14 @@ from quillrun.llm.pii import op10_personal_data
 from quillrun.llm.quality import op9_quality
 from quillrun.llm.secrets import OP5_SQL, op5_secret_scan
 from quillrun.llm.simhash import op2_simhash_near_dedup
+from quillrun.llm.suffixes import op4_suffix_dedup
 from quillrun.llm.toxicity import op1_toxicity
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op3_mixing": op3_mixing,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op5_secret_scan": op5_secret_scan,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op8_edit_fingerprints": op8_edit_fingerprints,
