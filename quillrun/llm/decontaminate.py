@@ -100,13 +100,14 @@ def remove_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW
 def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """docs with every hit word cut out of text; what stands between words stays."""
     found, on = _touched(docs, contamination(docs, benchmark, window).where("n_hit > 0"))
-    gaps, words = F.split("text", WORD, -1), F.array_remove(F.split("text", SEPARATORS, -1), "")
+    text = docs["text"]
+    gaps, words = F.split(text, WORD, -1), F.array_remove(F.split(text, SEPARATORS, -1), "")
     left = F.zip_with(
-        gaps, F.transform(words, lambda w, i: F.when(F.exists("runs", lambda r: (r["start"] <= i) & (i < r["end"])), F.lit("")).otherwise(w)),
+        gaps, F.transform(words, lambda w, i: F.when(F.exists(found["runs"], lambda r: (r["start"] <= i) & (i < r["end"])), F.lit("")).otherwise(w)),
         lambda g, w: F.concat(g, F.coalesce(w, F.lit(""))),
     )
     joined = docs.join(found, on, "left")
-    return joined.select(*(F.when(F.col("runs").isNull(), docs["text"]).otherwise(F.array_join(left, "")).alias(c) if c == "text" else docs[c] for c in docs.columns))
+    return joined.select(*(F.when(found["runs"].isNull(), docs["text"]).otherwise(F.array_join(left, "")).alias(c) if c == "text" else docs[c] for c in docs.columns))
 
 
 def op7_benchmark_decontamination(spark, sf_dir: str) -> DataFrame:

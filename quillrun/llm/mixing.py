@@ -2,15 +2,16 @@
 
 Token counts are summed by cell (source, language, topic). Raking scales the cells in turn so that
 their sums meet the target share of each source, then language, then topic, and repeats. A document
-carries its cell's factor; it is sampled with a probability in proportion to that factor, the
-largest probability being one, so that the expected token shares of the sample are the targets.
-Draws are hashes of seed and id, alike on every run and every partitioning. Only built-in functions
+carries its cell's weight, 1 on average over the tokens, and is sampled with the probability rate x
+weight, 1 at most. Its residual, weight / probability, makes up for what that cap takes: the tokens
+of the sample, times their residuals, are expected to meet the targets. Without a rate the largest
+weight gets probability one, no cap holds and all residuals are equal. Draws are hashes of seed and id, alike on every run and every partitioning. Only built-in functions
 run; the cells stay a table, and what reaches the driver is one factor for each value of a marginal.
 
 Defined results: null sources, languages and texts form categories of their own ('' for the name);
 documents without tokens count as none but are sampled like their cell; repeated rows and ties are
 drawn together, as the draw depends on the id alone; an empty table gives an empty result; other
-columns are carried along. A target is a share for each value, or an exponent: then shares follow
+columns are carried along, but for those named like added ones. A target is a share for each value, or an exponent: then shares follow
 the token counts to that power (0: even, 1: as they are, also without a target). Targets for values
 that are absent are let fall, and shares are rescaled to sum to one.
 """
@@ -23,6 +24,8 @@ from pyspark.sql import functions as F
 from quillrun.llm.common import ascii_lower, checkpointed, table
 
 ROUNDS = 12
+#: The part of all tokens that a sample keeps where no cap holds.
+RATE = 0.5
 MARGINALS = ("source", "lang", "topic")
 TOPICS = 6
 #: Length from which a word tells of a topic, in code points.
@@ -48,6 +51,7 @@ def topic_of(words: Column, topics: int = TOPICS) -> Column:
 
 def described(docs: DataFrame) -> DataFrame:
     """docs with their categories and token counts: _source, _lang, _topic, _tokens."""
+    docs = docs.drop("_source", "_lang", "_topic", "_tokens", "_w")
     rows = docs.withColumn("_w", _words(F.col("text")))
     name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) if c in docs.columns else F.lit("")
     return rows.select(*docs.columns, name("source").alias("_source"), name("lang").alias("_lang"), topic_of(F.col("_w")).alias("_topic"), F.size("_w").cast("long").alias("_tokens"))
@@ -85,19 +89,15 @@ def rake(cells: DataFrame, targets: dict[str, Target], rounds: int = ROUNDS) ->
     return cells.withColumn("factor", F.coalesce(factor, F.lit(0.0)))
 
 
-def mixed(docs: DataFrame, targets: dict[str, Target], rate: float | None = None, rounds: int = ROUNDS, seed: str = SEED) -> DataFrame:
-    """docs with _source, _lang, _topic, _tokens, weight (the factor times all tokens, 1 on average),
-    probability and sampled.
-
-    ``rate``: the expected part of all tokens to keep; None keeps as many as leave the shares exact,
-    which gives the cell of the largest weight probability one. A higher rate caps at one.
-    """
-    rows = described(docs)
+def mixed(docs: DataFrame, targets: dict[str, Target], rate: float | None = RATE, rounds: int = ROUNDS, seed: str = SEED) -> DataFrame:
+    """docs with _source, _lang, _topic, _tokens, weight, probability, residual and sampled."""
+    rows = described(docs.drop("weight", "probability", "residual", "sampled"))
     cells = checkpointed(rows.groupBy(F.col("_source").alias("source"), F.col("_lang").alias("lang"), F.col("_topic").alias("topic")).agg(F.sum("_tokens").alias("tokens")))
     total, cells = cells.agg(F.sum("tokens")).first()[0] or 0, checkpointed(rake(cells, targets, rounds))
     top = cells.agg(F.max("factor")).first()[0] or 0.0
     scale = (1.0 / top if rate is None else rate * total) if top > 0 else 0.0
     known = cells.select(F.col("source").alias("_source"), F.col("lang").alias("_lang"), F.col("topic").alias("_topic"), F.round(F.col("factor") * F.lit(float(total)), 6).alias("weight"), F.round(F.least(F.lit(1.0), F.col("factor") * F.lit(scale)), 6).alias("probability"))
+    known = known.withColumn("residual", F.when(F.col("probability") > 0, F.round(F.col("weight") / F.col("probability"), 6)).otherwise(0.0))
     known = F.broadcast(known) if known.count() <= 100_000 else known
     draw = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary")), 1, 8), 16, 10).cast("double") / float(1 << 32)
     return rows.join(known, ["_source", "_lang", "_topic"]).withColumn("sampled", draw < F.col("probability"))
@@ -109,7 +109,7 @@ TARGETS: dict[str, Target] = {"source": 0.5, "lang": {"en": 0.55, "de": 0.15, "f
 
 def op3_mixing(spark, sf_dir: str) -> DataFrame:
     rows = mixed(table(spark, sf_dir, "documents"), TARGETS)
-    return rows.select("doc_id", F.col("_topic").alias("topic"), F.col("_tokens").alias("n_tokens"), "weight", "probability", "sampled")
+    return rows.select("doc_id", F.col("_topic").alias("topic"), F.col("_tokens").alias("n_tokens"), "weight", "probability", "residual", "sampled")
 
 
 def _sql(rounds: int = ROUNDS) -> str:
@@ -131,8 +131,8 @@ d AS (SELECT doc_id, source, lang, tokens, CASE WHEN len(g) = 0 THEN '-1' ELSE (
 f0 AS MATERIALIZED (SELECT source, lang, topic, sum(tokens)::DOUBLE tokens, 1.0::DOUBLE factor FROM d GROUP BY ALL HAVING sum(tokens) > 0),
 {marginals},
 {", ".join(steps)},
-known AS (SELECT source, lang, topic, round(factor * (SELECT sum(tokens) FROM f0), 6) weight, round(least(1.0, factor / (SELECT max(factor) FROM {name})), 6) probability FROM {name})
-SELECT doc_id, topic, tokens n_tokens, coalesce(weight, 0) weight, coalesce(probability, 0) probability,
+known AS (SELECT source, lang, topic, round(factor * (SELECT sum(tokens) FROM f0), 6) weight, round(least(1.0, factor * (SELECT {RATE} * sum(tokens) FROM f0)), 6) probability FROM {name})
+SELECT doc_id, topic, tokens n_tokens, coalesce(weight, 0) weight, coalesce(probability, 0) probability, CASE WHEN probability > 0 THEN round(weight / probability, 6) ELSE 0 END residual,
   ('0x' || substr(md5('{SEED}:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT / 4294967296.0 < coalesce(probability, 0) sampled
 FROM d LEFT JOIN known USING (source, lang, topic)
 """

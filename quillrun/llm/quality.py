@@ -119,8 +119,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model
     return Model([(r["label"], Counter(dict(zip(r["t"], r["v"])))) for r in rows])
 
 
-def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with a column score, 0 to 1."""
+def scored(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
+    """docs with a column of that name, 0 to 1; one that is there already is replaced."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
@@ -128,7 +128,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
         model, blocks = sent.value, (texts.iloc[at : at + BLOCK] for at in range(0, len(texts), BLOCK))
         return pd.Series(np.concatenate([np.zeros(0), *(np.round(model.score([terms_of(t or "") for t in b]), 9) for b in blocks)]), dtype="float64")
 
-    return docs.withColumn("score", score("text"))
+    return docs.withColumn(name, score("text"))
 
 
 def op9_quality(spark, sf_dir: str) -> DataFrame:

@@ -9,6 +9,7 @@ from quillrun.llm.secrets import OP5_SQL, op5_secret_scan
 from quillrun.llm.simhash import op2_simhash_near_dedup
 from quillrun.llm.suffixes import op4_suffix_dedup
 from quillrun.llm.toxicity import op1_toxicity
+from quillrun.llm.urlfilter import op6_url_filter
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
@@ -16,6 +17,7 @@ QUERIES = {
     "op3_mixing": op3_mixing,
     "op4_suffix_dedup": op4_suffix_dedup,
     "op5_secret_scan": op5_secret_scan,
+    "op6_url_filter": op6_url_filter,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op8_edit_fingerprints": op8_edit_fingerprints,
     "op9_quality": op9_quality,

@@ -86,7 +86,7 @@ def masked(docs: DataFrame, scope: int = SCOPE, mask: str = "[SECRET]") -> DataF
     rows = docs.join(found, [docs["doc_id"].eqNullSafe(found["_id"]), F.xxhash64(docs["text"]).eqNullSafe(found["_key"])], "left")
     text = docs["text"]
     pieces = F.aggregate(
-        "spans",
+        found["spans"],
         F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")),
         lambda acc, s: F.struct(
             F.greatest(acc["at"], s["end"].cast("int")).alias("at"),
@@ -95,7 +95,7 @@ def masked(docs: DataFrame, scope: int = SCOPE, mask: str = "[SECRET]") -> DataF
         ),
         lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text))),
     )
-    return rows.select(*(F.when(F.col("spans").isNull(), text).otherwise(pieces).alias(c) if c == "text" else docs[c] for c in docs.columns))
+    return rows.select(*(F.when(found["spans"].isNull(), text).otherwise(pieces).alias(c) if c == "text" else docs[c] for c in docs.columns))
 
 
 def op5_secret_scan(spark, sf_dir: str) -> DataFrame:

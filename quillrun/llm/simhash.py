@@ -262,14 +262,31 @@ def near_links(fps: DataFrame, radius: int = 3, block: int = BLOCK) -> DataFrame
     return rows.repartition("part", "val", "bi", "bp").sortWithinPartitions("part", "val", "bi", "bp").mapInPandas(_verifier(radius), "u long, v long")
 
 
+def row_keys() -> list:
+    """Two hashes of a row's id and text, which together tell rows apart."""
+    return [F.xxhash64("doc_id", "text").alias("k1"), F.xxhash64("text", F.lit("row"), "doc_id").alias("k2")]
+
+
 def simhash_groups(docs: DataFrame, radius: int = 3, block: int = BLOCK) -> DataFrame:
-    """(doc_id, fp, component_id) for each row of docs; component_id is the smallest doc_id reachable."""
-    rows = checkpointed(docs.select("doc_id", _fingerprint("text").alias("fp")))
+    """(doc_id, k1, k2, fp, root, component_id) for each row of docs: the fingerprint, the smallest
+    fingerprint of its group and the smallest doc_id reachable."""
+    rows = checkpointed(docs.select("doc_id", *row_keys(), _fingerprint("text").alias("fp")))
     fps = checkpointed(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = connected_components(near_links(fps.select("fp"), radius, block))
     of = fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = of.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rows.join(of.join(least, "root").select("fp", "component_id"), "fp")
+    return rows.join(of.join(least, "root").select("fp", "root", "component_id"), "fp")
+
+
+def one_of_each(docs: DataFrame, radius: int = 3, block: int = BLOCK) -> DataFrame:
+    """docs with one row of each group: that of the smallest id, of equal ids that of the smallest
+    text hash."""
+    groups = simhash_groups(docs, radius, block)
+    first = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "k1", "k2")).alias("s"))
+    kept = first.select(F.col("s.k1").alias("__k1"), F.col("s.k2").alias("__k2"))
+    k1, k2 = row_keys()
+    rows = docs.withColumns({"__k1": k1, "__k2": k2}).join(kept, ["__k1", "__k2"], "left_semi")
+    return rows.dropDuplicates(["__k1", "__k2"]).select(docs.columns)
 
 
 def op2_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:

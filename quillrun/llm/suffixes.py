@@ -28,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillrun.llm.common import checkpointed, drop_stored, stored, table
@@ -319,14 +319,15 @@ def _reported(length: int):
     return run
 
 
-def _with_spans(docs: DataFrame, length: int, gram: int) -> DataFrame:
+def _with_spans(docs: DataFrame, length: int, gram: int) -> tuple[DataFrame, Column]:
     found = repeated_spans(docs, length, gram).withColumnsRenamed({"doc_id": "_id", "key": "_key"})
-    return docs.join(found, docs["doc_id"].eqNullSafe(found["_id"]) & (F.xxhash64(docs["text"]) == found["_key"]), "left")
+    return docs.join(found, docs["doc_id"].eqNullSafe(found["_id"]) & (F.xxhash64(docs["text"]) == found["_key"]), "left"), found["spans"]
 
 
 def dedup_report(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """One row per row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
-    rows = _with_spans(docs.select("doc_id", "text"), length, gram).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "spans")
+    rows, spans = _with_spans(docs.select("doc_id", "text"), length, gram)
+    rows = rows.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), spans.alias("spans"))
     return rows.mapInPandas(_reported(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
@@ -337,8 +338,8 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
     def kept(texts: pd.Series, spans: pd.Series) -> pd.Series:
         return pd.Series([t if s is None or t is None else _kept(t.encode("utf-8", "surrogatepass"), _removed(s, length)).decode("utf-8", "ignore") for t, s in zip(texts, spans)], dtype="object")
 
-    rows = _with_spans(docs, length, gram)
-    return rows.select(*(kept(docs["text"], F.col("spans")).alias(c) if c == "text" else docs[c] for c in docs.columns))
+    rows, spans = _with_spans(docs, length, gram)
+    return rows.select(*(kept(docs["text"], spans).alias(c) if c == "text" else docs[c] for c in docs.columns))
 
 
 def op4_suffix_dedup(spark, sf_dir: str) -> DataFrame:

@@ -180,8 +180,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model
     return model
 
 
-def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with a column score, 0 to 1."""
+def scored(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
+    """docs with a column of that name, 0 to 1; one that is there already is replaced."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
@@ -189,7 +189,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
         own = sent.value
         return pd.Series([round(own.score(t), 9) for t in texts], dtype="float64")
 
-    return docs.withColumn("score", score("text"))
+    return docs.withColumn(name, score("text"))
 
 
 def op1_toxicity(spark, sf_dir: str) -> DataFrame:
