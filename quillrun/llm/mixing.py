@@ -37,24 +37,27 @@ def _words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", -1), "")
 
 
-def topic_of(words: Column, topics: int = TOPICS) -> Column:
-    """The commonest group of first letters among long words, of equals the first; -1 without any."""
-    first = F.transform(F.filter(words, lambda w: F.length(w) >= LONG_WORD), lambda w: F.pmod(F.ascii(ascii_lower(F.substring(w, 1, 1))), F.lit(topics)))
+def _letters(words: Column, topics: int) -> Column:
+    """The groups of first letters of long words."""
+    return F.transform(F.filter(words, lambda w: F.length(w) >= LONG_WORD), lambda w: F.pmod(F.ascii(ascii_lower(F.substring(w, 1, 1))), F.lit(topics)))
 
-    def count(k: int) -> Column:
-        return F.size(F.filter(first, lambda g: g == k))
 
-    counts = F.array(*(F.struct(count(k).alias("n"), F.lit(-k).alias("k")) for k in range(topics)))
-    top = F.array_max(counts)
-    return F.when(top["n"] > 0, (-top["k"]).cast("string")).otherwise("-1")
+def topic_of(letters: Column, topics: int = TOPICS) -> Column:
+    """The commonest group, of equals the first; -1 without any."""
+
+    def counted(k: int) -> Column:
+        return F.struct(F.size(F.filter(letters, lambda g: g == k)).alias("n"), F.lit(-k).alias("k"))
+
+    none = F.struct(F.lit(0).alias("n"), F.lit(1).alias("k"))
+    return (-F.array_max(F.array(none, *map(counted, range(topics))))["k"]).cast("string")
 
 
 def described(docs: DataFrame) -> DataFrame:
     """docs with their categories and token counts: _source, _lang, _topic, _tokens."""
-    docs = docs.drop("_source", "_lang", "_topic", "_tokens", "_w")
-    rows = docs.withColumn("_w", _words(F.col("text")))
+    docs = docs.drop("_source", "_lang", "_topic", "_tokens", "_w", "_g")
+    rows = docs.withColumn("_w", _words(F.col("text"))).withColumn("_g", _letters(F.col("_w"), TOPICS))
     name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) if c in docs.columns else F.lit("")
-    return rows.select(*docs.columns, name("source").alias("_source"), name("lang").alias("_lang"), topic_of(F.col("_w")).alias("_topic"), F.size("_w").cast("long").alias("_tokens"))
+    return rows.select(*docs.columns, name("source").alias("_source"), name("lang").alias("_lang"), topic_of(F.col("_g")).alias("_topic"), F.size("_w").cast("long").alias("_tokens"))
 
 
 Target = dict[str, float] | float
@@ -91,7 +94,11 @@ def rake(cells: DataFrame, targets: dict[str, Target], rounds: int = ROUNDS) ->
 
 def mixed(docs: DataFrame, targets: dict[str, Target], rate: float | None = RATE, rounds: int = ROUNDS, seed: str = SEED) -> DataFrame:
     """docs with _source, _lang, _topic, _tokens, weight, probability, residual and sampled."""
-    rows = described(docs.drop("weight", "probability", "residual", "sampled"))
+    return weighed(described(docs.drop("weight", "probability", "residual", "sampled")), targets, rate, rounds, seed)
+
+
+def weighed(rows: DataFrame, targets: dict[str, Target], rate: float | None = RATE, rounds: int = ROUNDS, seed: str = SEED) -> DataFrame:
+    """As mixed(), of rows that are described; they are read twice."""
     cells = checkpointed(rows.groupBy(F.col("_source").alias("source"), F.col("_lang").alias("lang"), F.col("_topic").alias("topic")).agg(F.sum("_tokens").alias("tokens")))
     total, cells = cells.agg(F.sum("tokens")).first()[0] or 0, checkpointed(rake(cells, targets, rounds))
     top = cells.agg(F.max("factor")).first()[0] or 0.0
@@ -108,7 +115,8 @@ TARGETS: dict[str, Target] = {"source": 0.5, "lang": {"en": 0.55, "de": 0.15, "f
 
 
 def op3_mixing(spark, sf_dir: str) -> DataFrame:
-    rows = mixed(table(spark, sf_dir, "documents"), TARGETS)
+    rows = checkpointed(described(table(spark, sf_dir, "documents")).select("doc_id", "_source", "_lang", "_topic", "_tokens"))
+    rows = weighed(rows, TARGETS)
     return rows.select("doc_id", F.col("_topic").alias("topic"), F.col("_tokens").alias("n_tokens"), "weight", "probability", "residual", "sampled")
 
 
