@@ -1,4 +1,374 @@
-"""Registered queries and the SQL that gives the same rows."""
+"""Registered queries and the SQL that gives the same rows.
 
-QUERIES = {}
-ORACLE_SQL = {}
+Names begin with the id of the operator. Entities are stand-ins on the test tables (sources.derived).
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from quillrun.functions import scalars
+from quillrun.operators import extract, history, pages
+from quillrun.schemas import ADMINS, EDITORS, NEXT, STATUSES, ExtractionModel, Field, status_dim
+from quillrun.sources import derived
+from quillrun.sources.derived import LOG_SQL, extraction_log, table
+from quillrun.sources.shared import folder, written
+from quillrun.streaming import lifecycle
+
+QUERIES: dict = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def registered(sql: str | None):
+    def add(fn):
+        QUERIES[fn.__name__] = fn
+        if sql:
+            ORACLE_SQL[fn.__name__] = sql
+        return fn
+
+    return add
+
+
+MODEL = ExtractionModel("contacts", (Field("email", "E-mail"), Field("ipv4", "Address"), Field("long_word", "Term")))
+PAGES_SQL = """lines AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) l FROM documents),
+numbered AS (SELECT doc_id, l, unnest(range(0, (len(l) - 1) // 5 + 1)) p FROM lines),
+pages AS (SELECT doc_id, p::INT page, array_to_string(l[p * 5 + 1:p * 5 + 5], chr(10)) text FROM numbered)"""
+SIZED_SQL = PAGES_SQL + ", sized AS (SELECT doc_id, page, text, ceil(length(text) / 4.0)::BIGINT t FROM pages)"
+VALUES_SQL = PAGES_SQL + ", found AS (" + " UNION ALL ".join(f"SELECT doc_id, page, '{k}' key, nullif(regexp_extract(text, '{p}', 0), '') value FROM pages" for k, p in extract.RULES.items()) + "), vals AS (SELECT * FROM found WHERE value IS NOT NULL)"
+MERGED_SQL = VALUES_SQL + ", merged AS (SELECT doc_id, key, arg_min(value, page) value, (min(page) + 1)::INT page FROM vals GROUP BY doc_id, key)"
+POLLS_SQL = """polls AS (SELECT user_id job, ts, event_id seq, CASE event_type WHEN 'error' THEN 'error' WHEN 'signup' THEN 'upload' ELSE 'poll' END kind FROM events),
+numbered AS (SELECT *, row_number() OVER w attempt, coalesce(sum((kind = 'error')::INT) OVER (PARTITION BY job ORDER BY ts, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT prior_errors FROM polls WINDOW w AS (PARTITION BY job ORDER BY ts, seq)),
+made AS (SELECT job, seq, attempt, prior_errors, attempt <= 60 AND prior_errors < 3 made FROM numbered)"""
+OUTCOME_SQL = f"""WITH {POLLS_SQL}, sums AS (SELECT job, count(*) attempts, sum((kind = 'error')::INT)::BIGINT errors FROM made JOIN numbered USING (job, seq) WHERE made GROUP BY job)
+SELECT *, CASE WHEN errors >= 3 THEN 'stopped' WHEN attempts >= 60 THEN 'timeout' ELSE 'open' END outcome FROM sums"""
+CHANGES_SQL = """changes AS (SELECT user_id job, ts, event_id seq, CASE event_type WHEN 'signup' THEN 'P100' WHEN 'view' THEN 'P200' WHEN 'click' THEN 'P300' WHEN 'purchase' THEN 'S100' WHEN 'error' THEN 'E100' END status FROM events)"""
+DIM_SQL = "dim AS (SELECT * FROM (VALUES " + ", ".join(map(repr, STATUSES)) + ") t(code, label, terminal))"
+
+
+def _pages(spark, sf_dir):
+    return pages.paginate(table(spark, sf_dir, "documents"))
+
+
+def _merged(spark, sf_dir, rules=extract.RULES):
+    return extract.merge(extract.extract_by_rules(_pages(spark, sf_dir), rules))
+
+
+@registered(f"WITH {PAGES_SQL} SELECT * FROM pages")
+def x01_paginate(spark, sf_dir):
+    return _pages(spark, sf_dir)
+
+
+@registered(f"WITH {SIZED_SQL} SELECT doc_id, count(*) n_pages, sum(t)::BIGINT est_tokens FROM sized GROUP BY doc_id")
+def a05_token_counts(spark, sf_dir):
+    sized = _pages(spark, sf_dir).withColumn("t", scalars.est_tokens(F.col("text")))
+    return sized.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_pages"), F.sum("t").alias("est_tokens"))
+
+
+@registered("SELECT doc_id, ceil(length(coalesce(text, '')) / 4.0)::BIGINT est_tokens, CASE WHEN ceil(length(coalesce(text, '')) / 4.0) > 500 THEN 'chunked' ELSE 'single' END AS mode FROM documents")
+def x02_chunk_mode(spark, sf_dir):
+    return pages.plan(table(spark, sf_dir, "documents"))
+
+
+@registered("SELECT doc_id FROM documents WHERE ceil(length(text) / 4.0) > 500")
+def p10_over_limit(spark, sf_dir):
+    return pages.plan(table(spark, sf_dir, "documents")).where("mode = 'chunked'").select("doc_id")
+
+
+GREEDY_SQL = f"""WITH RECURSIVE {SIZED_SQL},
+packed AS (SELECT doc_id, page, t, 0 chunk, t total FROM sized WHERE page = 0 UNION ALL
+  SELECT s.doc_id, s.page, s.t, CASE WHEN p.total + s.t > 500 THEN p.chunk + 1 ELSE p.chunk END, CASE WHEN p.total + s.t > 500 THEN s.t ELSE p.total + s.t END
+  FROM packed p JOIN sized s ON s.doc_id = p.doc_id AND s.page = p.page + 1)"""
+
+
+@registered(GREEDY_SQL + " SELECT doc_id, page, t est_tokens, chunk::INT chunk_id, t > 500 oversized FROM packed")
+def x03_pack(spark, sf_dir):
+    return pages.pack(_pages(spark, sf_dir))
+
+
+@registered(GREEDY_SQL + " SELECT p.doc_id, chunk::INT chunk_id, min(p.page) page_from, max(p.page) page_to, string_agg(text, chr(10) ORDER BY p.page) text, sum(p.t)::BIGINT est_tokens FROM packed p JOIN sized s ON p.doc_id = s.doc_id AND p.page = s.page GROUP BY p.doc_id, chunk")
+def x03_chunks(spark, sf_dir):
+    own = _pages(spark, sf_dir)
+    return pages.chunks(own, pages.pack(own))
+
+
+@registered(f"WITH {SIZED_SQL} SELECT doc_id, page, ((sum(t) OVER (PARTITION BY doc_id ORDER BY page) - t) // 500)::INT chunk_id FROM sized")
+def w03_pack_by_sum(spark, sf_dir):
+    return pages.pack_by_running_sum(_pages(spark, sf_dir))
+
+
+@registered(f"WITH {PAGES_SQL} SELECT doc_id, arg_min(v, page) long_word, (min(page) + 1)::INT page_no FROM (SELECT doc_id, page, nullif(regexp_extract(text, '[a-z]{{14,}}', 0), '') v FROM pages) WHERE v IS NOT NULL GROUP BY doc_id")
+def x04_extract_merge(spark, sf_dir):
+    return _merged(spark, sf_dir, {"long_word": extract.RULES["long_word"]}).select("doc_id", F.col("value").alias("long_word"), F.col("page").alias("page_no"))
+
+
+@registered(f"WITH {VALUES_SQL} SELECT * FROM vals")
+def x04_extract_fields(spark, sf_dir):
+    return extract.extract_by_rules(_pages(spark, sf_dir))
+
+
+def _shouting(texts):
+    """A provider that gives the first word and fails on texts with '###'."""
+    return [([], "unreadable") if "###" in t else ([("first", t.split()[0])] if t.split() else [], None) for t in texts]
+
+
+@registered(GREEDY_SQL + """, chunked AS (SELECT p.doc_id, chunk, string_agg(text, chr(10) ORDER BY p.page) text FROM packed p JOIN sized s ON p.doc_id = s.doc_id AND p.page = s.page GROUP BY p.doc_id, chunk)
+SELECT doc_id, CASE WHEN bool_or(text LIKE '%###%') THEN 'E100' ELSE 'S100' END status, CASE WHEN bool_or(text LIKE '%###%') THEN 'unreadable' END error FROM chunked WHERE text LIKE '%###%' OR length(trim(text, chr(32) || chr(9) || chr(10) || chr(13))) > 0 GROUP BY doc_id""")
+def x13_error_capture(spark, sf_dir):
+    own = _pages(spark, sf_dir)
+    return extract.outcome(extract.extract(pages.chunks(own, pages.pack(own)), _shouting))
+
+
+@registered(f"WITH {MERGED_SQL} SELECT * FROM merged")
+def a01_merge(spark, sf_dir):
+    return _merged(spark, sf_dir)
+
+
+@registered(f"WITH {VALUES_SQL}, low AS (SELECT * FROM vals WHERE page = 0), high AS (SELECT * FROM vals WHERE page > 0) SELECT doc_id, key, count(*) n FROM (SELECT * FROM low UNION ALL SELECT * FROM high) GROUP BY doc_id, key")
+def u03_combine_chunks(spark, sf_dir):
+    values = extract.extract_by_rules(_pages(spark, sf_dir))
+    both = values.where("page = 0").withColumn("first", F.lit(True)).unionByName(values.where("page > 0"), allowMissingColumns=True)
+    return both.groupBy("doc_id", "key").agg(F.count(F.lit(1)).alias("n"))
+
+
+@registered(f"WITH {MERGED_SQL} SELECT doc_id, max(value) FILTER (key = 'email') email, max(value) FILTER (key = 'ipv4') ipv4, max(value) FILTER (key = 'long_word') long_word FROM merged GROUP BY doc_id")
+def p01_project(spark, sf_dir):
+    return extract.project(_merged(spark, sf_dir), MODEL)
+
+
+@registered(f"""WITH {MERGED_SQL} SELECT doc_id, max(value) FILTER (key = 'email') "E-mail", max(value) FILTER (key = 'ipv4') "Address", max(value) FILTER (key = 'long_word') "Term" FROM merged GROUP BY doc_id""")
+def p02_relabel(spark, sf_dir):
+    return extract.relabel(extract.project(_merged(spark, sf_dir), MODEL), MODEL)
+
+
+@registered("SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d')::DATE \"day\", (printf('%.2f', o_totalprice))::DECIMAL(18,2) money, printf('%.2f', o_totalprice)::DOUBLE number, o_orderkey % 2 = 0 flag, o_orderpriority label FROM orders")
+def p03_typed(spark, sf_dir):
+    raw = table(spark, sf_dir, "orders").select("o_orderkey", F.date_format("o_orderdate", "yyyy'년' M'월' d'일'").alias("day"), F.format_number("o_totalprice", 2).alias("money"), F.format_number("o_totalprice", 2).alias("number"), F.when(F.col("o_orderkey") % 2 == 0, "yes").otherwise("no").alias("flag"), F.col("o_orderpriority").alias("label"))
+    cast = extract.cast_fields(raw, ExtractionModel("orders", (Field("day", "Day", "date"), Field("number", "Number", "number"), Field("flag", "Flag", "boolean"), Field("label", "Label"))))
+    return cast.withColumn("money", scalars.to_money(F.col("money")))
+
+
+@registered(f"WITH {MERGED_SQL} SELECT doc_id, key, value, page, key IN ('email', 'ipv4', 'long_word') guided FROM merged")
+def x09_route(spark, sf_dir):
+    return extract.route(_merged(spark, sf_dir), MODEL)
+
+
+@registered(f"WITH {MERGED_SQL} SELECT doc_id, key, value, page FROM merged WHERE key IN ('email', 'ipv4', 'long_word')")
+def a04_guide_extracted(spark, sf_dir):
+    rows = extract.records(_merged(spark, sf_dir), MODEL)
+    return rows.select("doc_id", F.explode("guide_extracted").alias("key", "v")).select("doc_id", "key", "v.value", "v.page")
+
+
+@registered(f"WITH {MERGED_SQL} SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY page, key, value) - 1)::INT pos, page, key, value FROM merged WHERE key NOT IN ('email', 'ipv4', 'long_word')")
+def a02_other_data(spark, sf_dir):
+    rows = extract.records(_merged(spark, sf_dir), MODEL)
+    return rows.select("doc_id", F.posexplode("other_data").alias("pos", "o")).select("doc_id", "pos", "o.page", "o.key", "o.value")
+
+
+@registered(f"WITH {MERGED_SQL} SELECT m.doc_id, key, value, m.page, instr(text, value)::BIGINT AS \"offset\" FROM merged m JOIN pages p ON m.doc_id = p.doc_id AND m.page = p.page + 1")
+def x10_highlight(spark, sf_dir):
+    own = _pages(spark, sf_dir)
+    return extract.locate(extract.merge(extract.extract_by_rules(own)), own)
+
+
+@registered("SELECT item_id, doc_id, instr(d.text, b.text)::BIGINT AS \"offset\" FROM benchmark b JOIN documents d ON contains(d.text, b.text) WHERE len(list_filter(string_split_regex(b.text, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')) >= 8")
+def j06_mentions(spark, sf_dir):
+    return extract.mentions(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"))
+
+
+ISLANDS_SQL = f"""WITH {PAGES_SQL}, kinds AS (SELECT doc_id, page, CASE WHEN contains(text, '###') THEN 1 ELSE 0 END AS "class" FROM pages),
+islands AS (SELECT *, page - row_number() OVER (PARTITION BY doc_id, "class" ORDER BY page) island FROM kinds),
+subs AS (SELECT doc_id, "class", min(page) + 1 page_from, max(page) + 1 page_to, count(*) n FROM islands GROUP BY doc_id, "class", island),
+indexed AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY page_from) - 1 idx FROM subs)"""
+
+
+@registered(ISLANDS_SQL + ' SELECT doc_id, idx::INT AS "index", "class", page_from::INT page_from, page_to::INT page_to, n::INT n_pages FROM indexed')
+def x08_segments(spark, sf_dir):
+    rows = pages.segment(_pages(spark, sf_dir), F.when(F.col("text").contains("###"), 1).otherwise(0))
+    return rows.select("doc_id", "index", "class", F.col("page_ranges")[0].alias("page_from"), F.element_at("page_ranges", -1).alias("page_to"), F.size("page_ranges").alias("n_pages"))
+
+
+@registered(ISLANDS_SQL + ' SELECT doc_id, idx::INT AS "index", unnest(range(page_from, page_to + 1))::INT page_no FROM indexed')
+def a03_sub_documents(spark, sf_dir):
+    rows = pages.segment(_pages(spark, sf_dir), F.when(F.col("text").contains("###"), 1).otherwise(0))
+    nested = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("index", "page_ranges"))).alias("sub_documents"))
+    return nested.select("doc_id", F.inline("sub_documents")).select("doc_id", "index", F.explode("page_ranges").alias("page_no"))
+
+
+@registered(f"WITH {LOG_SQL} SELECT * FROM log")
+def s05_extraction_log(spark, sf_dir):
+    return extraction_log(spark, sf_dir)
+
+
+@registered(f"WITH {LOG_SQL} SELECT id, status FROM log WHERE status IN ('E100', 'S100')")
+def p04_by_status(spark, sf_dir):
+    return history.history(extraction_log(spark, sf_dir), status=["E100", "S100"]).select("id", "status")
+
+
+@registered(f"WITH {LOG_SQL} SELECT id, model_id FROM log WHERE model_id = 'src3'")
+def p05_by_model(spark, sf_dir):
+    return history.history(extraction_log(spark, sf_dir), model_id="src3").select("id", "model_id")
+
+
+@registered(f"WITH {LOG_SQL} SELECT id, user_id, status FROM log WHERE user_id = 7 AND status = 'S200'")
+def p06_by_user(spark, sf_dir):
+    return history.history(extraction_log(spark, sf_dir), status=["S200"], user_id=7).select("id", "user_id", "status")
+
+
+@registered(f"WITH {LOG_SQL} SELECT id, user_id FROM log WHERE user_id = 5")
+def p07_personal(spark, sf_dir):
+    return history.visible(extraction_log(spark, sf_dir), derived.members(spark), 5).select("id", "user_id")
+
+
+@registered(f"WITH {LOG_SQL} SELECT id, user_id FROM log")
+def p08_all_for_admin(spark, sf_dir):
+    return history.visible(extraction_log(spark, sf_dir), derived.members(spark), 1).select("id", "user_id")
+
+
+@registered(f"WITH {LOG_SQL} SELECT l.id, l.status, l.model_id FROM log l WHERE status = 'E100' AND NOT EXISTS (SELECT 1 FROM log r WHERE r.original_log_id = l.id)")
+def p09_retryable(spark, sf_dir):
+    return history.retryable(extraction_log(spark, sf_dir)).select("id", "status", "model_id")
+
+
+@registered("SELECT event_id, event_type FROM events WHERE event_type NOT IN ('P100', 'P200', 'P300', 'S100', 'S200', 'E100') OR event_type IS NULL")
+def p12_invalid_status(spark, sf_dir):
+    return history.invalid_status(table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("status"))).select("event_id", F.col("status").alias("event_type"))
+
+
+@registered(f"WITH {LOG_SQL} SELECT id, status, status IN ('S100', 'S200', 'E100') terminal FROM log")
+def p13_terminal(spark, sf_dir):
+    return extraction_log(spark, sf_dir).select("id", "status", scalars.is_terminal(F.col("status")).alias("terminal"))
+
+
+@registered(f"WITH {LOG_SQL} SELECT r.id, r.original_log_id, o.status original_status FROM log r LEFT JOIN log o ON r.original_log_id = o.id WHERE r.original_log_id IS NOT NULL")
+def j01_original(spark, sf_dir):
+    return history.with_original(extraction_log(spark, sf_dir)).select("id", "original_log_id", "original_status")
+
+
+@registered(f"WITH {LOG_SQL}, models AS (SELECT DISTINCT source model_id, 'Model ' || source model_name FROM documents) SELECT id, model_id, model_name FROM log LEFT JOIN models USING (model_id)")
+def j02_model(spark, sf_dir):
+    models = table(spark, sf_dir, "documents").select(F.col("source").alias("model_id")).distinct().withColumn("model_name", F.concat(F.lit("Model "), F.col("model_id")))
+    return extraction_log(spark, sf_dir).join(models, "model_id", "left").select("id", "model_id", "model_name")
+
+
+@registered(f"WITH {LOG_SQL}, viewers AS (SELECT unnest([1, 2, 5, 149])::BIGINT viewer) SELECT viewer, id FROM viewers JOIN log ON viewer = 1 OR viewer = user_id")
+def j03_visible(spark, sf_dir):
+    users = spark.createDataFrame([(1,), (2,), (5,), (149,)], "viewer long")
+    return history.seen_by(extraction_log(spark, sf_dir), derived.members(spark), users)
+
+
+@registered(f"WITH {LOG_SQL} SELECT l.id FROM log l ANTI JOIN log r ON r.original_log_id = l.id WHERE l.status = 'E100'")
+def j04_never_retried(spark, sf_dir):
+    return history.retryable(extraction_log(spark, sf_dir)).select("id")
+
+
+EDITS = [(d, "long_word", f"fixed{d}") for d in range(0, 200, 3)]
+EDITS_SQL = "edits AS (SELECT r doc_id, 'long_word' key, 'fixed' || r new FROM range(0, 200, 3) t(r))"
+
+
+@registered(f"WITH {MERGED_SQL}, {EDITS_SQL} SELECT doc_id, key, coalesce(new, value) value, new IS NOT NULL edited FROM merged FULL JOIN edits USING (doc_id, key)")
+def j05_edits(spark, sf_dir):
+    return history.apply_edits(_merged(spark, sf_dir), spark.createDataFrame(EDITS, "doc_id long, key string, value string"))
+
+
+@registered(f"WITH {LOG_SQL}, {EDITS_SQL} SELECT id, CASE WHEN status = 'S100' AND id IN (SELECT doc_id FROM edits) THEN 'S200' ELSE status END status FROM log")
+def x11_confirm(spark, sf_dir):
+    return history.confirm(extraction_log(spark, sf_dir), spark.createDataFrame(EDITS, "doc_id long, key string, value string")).select("id", "status")
+
+
+@registered(f"WITH {LOG_SQL}, jobs AS (SELECT 'job-' || id job_id, CASE WHEN id % 4 > 0 THEN id END log_id FROM log) SELECT job_id, log_id, status log_status, log_id IS NOT NULL AND coalesce(status = 'E100', false) can_retry FROM jobs LEFT JOIN log ON log_id = log.id")
+def j07_jobs(spark, sf_dir):
+    logs = extraction_log(spark, sf_dir)
+    jobs = logs.select(F.concat(F.lit("job-"), F.col("id").cast("string")).alias("job_id"), F.when(F.col("id") % 4 > 0, F.col("id")).alias("log_id"))
+    return history.jobs_with_logs(jobs, logs).select("job_id", "log_id", "log_status", F.coalesce("can_retry", F.lit(False)).alias("can_retry"))
+
+
+@registered(f"WITH {LOG_SQL}, {DIM_SQL} SELECT code, label, terminal, id FROM dim LEFT JOIN log ON code = status")
+def j08_status_label(spark, sf_dir):
+    return history.with_status(extraction_log(spark, sf_dir), status_dim(spark)).select("code", "label", "terminal", "id")
+
+
+@registered(f"WITH RECURSIVE {LOG_SQL}, up AS (SELECT id, id root, 1 attempt FROM log WHERE original_log_id IS NULL UNION ALL SELECT l.id, up.root, up.attempt + 1 FROM log l JOIN up ON l.original_log_id = up.id) SELECT * FROM up")
+def j09_chains(spark, sf_dir):
+    return history.chains(written(extraction_log(spark, sf_dir).select("id", "original_log_id")), written)
+
+
+@registered(f"WITH {LOG_SQL} SELECT id, row_number() OVER (PARTITION BY text ORDER BY id)::INT attempt, lag(id) OVER (PARTITION BY text ORDER BY id) previous FROM log JOIN documents ON id = doc_id")
+def w06_attempts(spark, sf_dir):
+    logs = written(extraction_log(spark, sf_dir).select("id", "original_log_id"))
+    return history.chains(logs, written).join(logs, "id").select("id", "attempt", F.col("original_log_id").alias("previous"))
+
+
+@registered(f"WITH {LOG_SQL} SELECT 'retry-' || id id, id original_log_id, 'P100' status, filename FROM log l WHERE status = 'E100' AND NOT EXISTS (SELECT 1 FROM log r WHERE r.original_log_id = l.id)")
+def x12_retry(spark, sf_dir):
+    return history.retry(extraction_log(spark, sf_dir))
+
+
+@registered(f"WITH {LOG_SQL} SELECT status, model_id, count(*) n FROM log GROUP BY ROLLUP (status, model_id)")
+def a07_counts(spark, sf_dir):
+    return history.counts(extraction_log(spark, sf_dir))
+
+
+@registered(f"WITH {LOG_SQL} SELECT user_id, id, row_number() OVER (PARTITION BY user_id ORDER BY id DESC)::INT rn FROM log QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY id DESC) <= 3")
+def w07_newest(spark, sf_dir):
+    return history.newest(extraction_log(spark, sf_dir), 3).select("user_id", "id", "rn")
+
+
+@registered(f"WITH {LOG_SQL} SELECT id, status FROM log WHERE status = 'S200' AND id < 900 ORDER BY id DESC LIMIT 20")
+def o02_page(spark, sf_dir):
+    logs = history.history(extraction_log(spark, sf_dir), status=["S200"])
+    return history.page_of(logs, [F.col("id").desc()], 20, F.col("id") < 900).select("id", "status")
+
+
+@registered(f"WITH {CHANGES_SQL} SELECT job, arg_max(status, (ts, seq)) status, arg_max(status, (ts, seq)) IN ('S100', 'S200', 'E100') terminal FROM changes GROUP BY job")
+def a06_latest(spark, sf_dir):
+    return history.latest(derived.job_events(spark, sf_dir))
+
+
+LEGAL_SQL = " OR ".join((f"prior IS NULL AND status IN ({', '.join(map(repr, b))})" if a is None else f"prior = '{a}' AND status IN ({', '.join(map(repr, b))})") for a, b in NEXT.items() if b)
+
+
+@registered(f"WITH {CHANGES_SQL}, pairs AS (SELECT job, seq, status, lag(status) OVER (PARTITION BY job ORDER BY ts, seq) prior FROM changes) SELECT job, seq, status, prior, coalesce({LEGAL_SQL}, false) legal FROM pairs")
+def w05_transitions(spark, sf_dir):
+    return history.transitions(derived.job_events(spark, sf_dir)).select("job", "seq", "status", "prior", "legal")
+
+
+@registered(f"WITH {POLLS_SQL} SELECT * FROM made")
+def w01_poll_attempts(spark, sf_dir):
+    return lifecycle.poll_attempts(derived.polls(spark, sf_dir)).select("job", "seq", "attempt", "prior_errors", "made")
+
+
+@registered(OUTCOME_SQL)
+def w02_poll_outcomes(spark, sf_dir):
+    return lifecycle.poll_outcomes(derived.polls(spark, sf_dir))
+
+
+def _stream(spark, sf_dir):
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]")  # a pattern, as a stream's plain path must be a folder
+
+
+@registered(OUTCOME_SQL)
+def t02_poll_stream(spark, sf_dir):
+    return lifecycle.run_to_end(lifecycle.poll_stream(derived.as_polls(_stream(spark, sf_dir))), f"{folder(spark)}/{uuid.uuid4().hex}")
+
+
+MEMBERS_SQL = f"held AS (SELECT * FROM (VALUES (1, '{ADMINS}'), (2, '{EDITORS}')) t(user_id, role))"
+
+
+@registered(f"WITH {MEMBERS_SQL} SELECT user_id::BIGINT user_id, role FROM held UNION SELECT DISTINCT user_id, '{EDITORS}' FROM events WHERE user_id < 10")
+def u01_add_members(spark, sf_dir):
+    new = table(spark, sf_dir, "events").where("user_id < 10").select("user_id", F.lit(EDITORS).alias("role"))
+    return history.add_members(derived.members(spark), new)
+
+
+@registered(f"SELECT DISTINCT user_id, '{EDITORS}' role FROM events WHERE user_id < 10 AND user_id <> 2")
+def u02_remove_members(spark, sf_dir):
+    some = table(spark, sf_dir, "events").where("user_id < 10").select("user_id", F.lit(EDITORS).alias("role")).distinct()
+    return history.remove_members(some, derived.members(spark))
+
+
+@registered(r"SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '(?is)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'), '(?s)<[^>]+>', ' ', 'g'), '[\x20\x09-\x0D]+', ' ', 'g')) text, len(regexp_extract_all(coalesce(html, ''), '(?i)<table[ >]'))::BIGINT n_tables, len(regexp_extract_all(coalesce(html, ''), '(?i)<h[1-6][ >]'))::BIGINT n_headings FROM pages")
+def s03_layout(spark, sf_dir):
+    return extract.html_layout(table(spark, sf_dir, "pages"))
