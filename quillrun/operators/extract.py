@@ -132,7 +132,7 @@ def mentions(items: DataFrame, docs: DataFrame, words: int = 6) -> DataFrame:
     keyed = items.select("item_id", F.col("text").alias("item"), split(F.col("text")).alias("w")).where(F.size("w") >= words + 2).select("item_id", "item", F.xxhash64(F.slice("w", 2, words)).alias("k"))
     starts = F.when(F.size("w") >= words, F.sequence(F.lit(1), F.size("w") - words + 1))
     w = docs.select("doc_id", "text", split(F.col("text")).alias("w")).select("doc_id", "text", F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.slice("w", i, words)))).alias("ks"))
-    found = w.select("doc_id", F.explode("ks").alias("k"), "text").join(keyed, "k").where(F.expr("instr(text, item) > 0"))
+    found = w.select("doc_id", F.explode_outer("ks").alias("k"), "text").join(keyed, "k").where(F.expr("instr(text, item) > 0"))
     return found.select("item_id", "doc_id", F.expr("instr(text, item)").cast("long").alias("offset")).distinct()
 
 
