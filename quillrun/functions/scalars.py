@@ -50,7 +50,7 @@ def to_flag(value: Column) -> Column:
 
 def to_items(value: Column) -> Column:
     """A JSON array, or parts between commas."""
-    return F.when(F.trim(value).startswith("["), F.from_json(value, "array<string>")).when(F.trim(value) != "", F.transform(F.split(value, ","), F.trim))
+    return F.when(F.trim(value).startswith("["), F.from_json(value, "array<string>")).when(F.trim(value) != "", F.transform(F.split(value, ","), lambda v: F.trim(v)))
 
 
 def typed(value: Column, kind: str) -> Column:
