@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 from quillrun.llm.common import ascii_lower, checkpointed, sha256_hex, table
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: The same for text that is not lower-cased.
+ANY_SEPARATORS, ANY_WORD = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 WINDOW = 13
 #: Sets of up to this many windows are broadcast (about 200 bytes each); larger ones are joined by shuffle.
 BROADCAST_WINDOWS = 500_000
@@ -101,7 +102,7 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) ->
     """docs with every hit word cut out of text; what stands between words stays."""
     found, on = _touched(docs, contamination(docs, benchmark, window).where("n_hit > 0"))
     text = docs["text"]
-    gaps, words = F.split(text, WORD, -1), F.array_remove(F.split(text, SEPARATORS, -1), "")
+    gaps, words = F.split(text, ANY_WORD, -1), F.array_remove(F.split(text, ANY_SEPARATORS, -1), "")
     left = F.zip_with(
         gaps, F.transform(words, lambda w, i: F.when(F.exists(found["runs"], lambda r: (r["start"] <= i) & (i < r["end"])), F.lit("")).otherwise(w)),
         lambda g, w: F.concat(g, F.coalesce(w, F.lit(""))),

@@ -13,7 +13,8 @@ documents without tokens count as none but are sampled like their cell; repeated
 drawn together, as the draw depends on the id alone; an empty table gives an empty result; other
 columns are carried along, but for those named like added ones. A target is a share for each value, or an exponent: then shares follow
 the token counts to that power (0: even, 1: as they are, also without a target). Targets for values
-that are absent are let fall, and shares are rescaled to sum to one.
+that are absent are let fall, and shares are rescaled to sum to one. Targets that contradict each
+other (a topic found in one language alone) can't all be met; the last raked, topics, then is.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillrun.llm.common import ascii_lower, checkpointed, table
+from quillrun.llm.common import checkpointed, table
 
 ROUNDS = 12
 #: The part of all tokens that a sample keeps where no cap holds.
@@ -38,8 +39,8 @@ def _words(text: Column) -> Column:
 
 
 def _letters(words: Column, topics: int) -> Column:
-    """The groups of first letters of long words."""
-    return F.transform(F.filter(words, lambda w: F.length(w) >= LONG_WORD), lambda w: F.pmod(F.ascii(ascii_lower(F.substring(w, 1, 1))), F.lit(topics)))
+    """The groups of long words, by their lengths and their first and last characters."""
+    return F.transform(F.filter(words, lambda w: F.length(w) >= LONG_WORD), lambda w: F.pmod(F.ascii(w) + F.ascii(F.substring(w, -1, 1)) + F.length(w), F.lit(topics)))
 
 
 def topic_of(letters: Column, topics: int = TOPICS) -> Column:
@@ -121,7 +122,7 @@ def op3_mixing(spark, sf_dir: str) -> DataFrame:
 
 
 def _sql(rounds: int = ROUNDS) -> str:
-    first = f"(ascii(translate(w[1], 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) % {TOPICS})"
+    first = f"((ascii(w) + ascii(w[-1]) + length(w)) % {TOPICS})"
     counts = ", ".join(f"len(list_filter(g, lambda x: x = {k}))" for k in range(TOPICS))
     steps, name = [], "f0"
     for r in range(rounds):

@@ -91,7 +91,7 @@ def _scan(length: int, gram: int):
         scanner = _Scanner(length, gram)
 
         def emit(parts: list[tuple]) -> pd.DataFrame:
-            """parts: (doc_id, key, offset in the document, bytes)."""
+            """parts: (id, key, offset in the document, bytes)."""
             data = b"".join(p[3] for p in parts)
             ends = np.cumsum([len(p[3]) for p in parts])
             starts = ends - [len(p[3]) for p in parts]
@@ -101,14 +101,13 @@ def _scan(length: int, gram: int):
             shift = np.array([p[2] for p in parts], np.int64) - starts
             return pd.DataFrame({
                 "h": h, "c": c.view(np.int64), "n": n.astype(np.int32), "d": (place - first).astype(np.int32),
-                "doc_id": pd.array([parts[t][0] for t in text], "Int64"), "key": np.array([p[1] for p in parts], np.int64)[text], "p": first + shift[text],
+                "id": np.array([p[0] for p in parts], np.int64)[text], "key": np.array([p[1] for p in parts], np.int64)[text], "p": first + shift[text],
             })
 
         parts: list[tuple] = []
         size = 0
         for pdf in batches:
-            ids = pdf["doc_id"].astype("Int64")
-            for i, k, t in zip(ids, pdf["key"], pdf["text"]):
+            for i, k, t in zip(pdf["id"], pdf["key"], pdf["text"]):
                 data = t.encode("utf-8", "surrogatepass")
                 for at in range(0, len(data) - length + 1, SEGMENT // 2):
                     piece = data[at : at + SEGMENT // 2 + length - 1]
@@ -266,26 +265,32 @@ def _sort(length: int):
     return run
 
 
+def _identity(docs: DataFrame | None = None) -> list[Column]:
+    """A row's id, -1 without one, and a hash of id and text: both never null."""
+    doc_id, text = (docs["doc_id"], docs["text"]) if docs is not None else (F.col("doc_id"), F.col("text"))
+    return [F.coalesce(doc_id, F.lit(-1)).cast("long").alias("id"), F.xxhash64(doc_id, text).alias("key")]
+
+
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """(doc_id, key, spans): the starts of repeated strings of each text that has any, as
-    array<struct<a, b>>, b exclusive, in bytes of UTF-8. key tells texts of one doc_id apart."""
-    texts = docs.select("doc_id", F.xxhash64("text").alias("key"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    runs = stored(texts.where(F.octet_length("text") >= length).mapInPandas(_scan(length, gram), "h long, c long, n int, d int, doc_id long, key long, p long"))
+    """(id, key, spans): the starts of repeated strings of each text that has any, as array<struct<a, b>>,
+    b exclusive, in bytes of UTF-8. id and key are those of _identity()."""
+    texts = docs.select(*_identity(), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    runs = stored(texts.where(F.octet_length("text") >= length).mapInPandas(_scan(length, gram), "h long, c long, n int, d int, id long, key long, p long"))
     twice = runs.groupBy("h").agg(F.count(F.lit(1)).alias("t")).where("t > 1").select("h")
     likely = stored(runs.join(twice, "h"))
     drop_stored(runs)
-    contexts = likely.groupBy("h", "c").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("doc_id", "key", "p", "n", "d")).alias("r"))
+    contexts = likely.groupBy("h", "c").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("id", "key", "p", "n", "d")).alias("r"))
     contexts = checkpointed(contexts.select("h", "c", "copies", "r.*"))
     several = contexts.groupBy("h").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
-    reps = contexts.join(several, "h").select("doc_id", "key", F.struct("h", "c", "p", "n", "d", (F.col("k") > HOT_CONTEXTS).alias("hot")).alias("rep"))
-    reps = reps.groupBy("doc_id", "key").agg(F.collect_list("rep").alias("reps")).withColumnsRenamed({"doc_id": "_id", "key": "_key"})
-    pieces = texts.join(reps, texts["doc_id"].eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key"))).select("text", "reps")
+    reps = contexts.join(several, "h").select("id", "key", F.struct("h", "c", "p", "n", "d", (F.col("k") > HOT_CONTEXTS).alias("hot")).alias("rep"))
+    reps = reps.groupBy("id", "key").agg(F.collect_list("rep").alias("reps"))
+    pieces = texts.join(reps, ["id", "key"]).select("text", "reps")
     pieces = pieces.mapInPandas(_cut(length, gram), "k0 long, k1 long, h long, c long, a int, n int, context binary")
     told = pieces.repartition("k0", "k1").sortWithinPartitions("k0", "k1").mapInPandas(_sort(length), "h long, c long, a int, b int")
     whole = contexts.where("copies > 1").select("h", "c", F.lit(0).alias("a"), F.col("n").alias("b"))
     marks = checkpointed(told.unionByName(whole).groupBy("h", "c").agg(F.collect_set(F.struct("a", "b")).alias("m")))
-    starts = likely.join(marks, ["h", "c"]).select("doc_id", "key", F.transform("m", lambda m: F.struct((F.col("p") + m["a"]).alias("a"), (F.col("p") + m["b"]).alias("b"))).alias("s"))
-    found = checkpointed(starts.groupBy("doc_id", "key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("s")))).alias("spans")))
+    starts = likely.join(marks, ["h", "c"]).select("id", "key", F.transform("m", lambda m: F.struct((F.col("p") + m["a"]).alias("a"), (F.col("p") + m["b"]).alias("b"))).alias("s"))
+    found = checkpointed(starts.groupBy("id", "key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("s")))).alias("spans")))
     drop_stored(likely)
     return found
 
@@ -314,21 +319,23 @@ def _reported(length: int):
                 data, removed = t.encode("utf-8", "surrogatepass"), _removed(spans, length)
                 rows.append((len(data), sum(b - a for a, b in removed), len(removed), hashlib.sha256(_kept(data, removed)).hexdigest()))
             out = pd.DataFrame(rows, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256"])
-            yield pd.concat([pdf[["doc_id"]].reset_index(drop=True), out], axis=1)
+            yield pd.concat([pdf[["known", "id"]].reset_index(drop=True), out], axis=1)
 
     return run
 
 
 def _with_spans(docs: DataFrame, length: int, gram: int) -> tuple[DataFrame, Column]:
-    found = repeated_spans(docs, length, gram).withColumnsRenamed({"doc_id": "_id", "key": "_key"})
-    return docs.join(found, docs["doc_id"].eqNullSafe(found["_id"]) & (F.xxhash64(docs["text"]) == found["_key"]), "left"), found["spans"]
+    found = repeated_spans(docs, length, gram)
+    own_id, own_key = _identity(docs)
+    return docs.join(found, (own_id == found["id"]) & (own_key == found["key"]), "left"), found["spans"]
 
 
 def dedup_report(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """One row per row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     rows, spans = _with_spans(docs.select("doc_id", "text"), length, gram)
-    rows = rows.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), spans.alias("spans"))
-    return rows.mapInPandas(_reported(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    rows = rows.select(F.col("doc_id").isNotNull().alias("known"), F.coalesce("doc_id", F.lit(0)).cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text"), spans.alias("spans"))
+    rows = rows.mapInPandas(_reported(length), "known boolean, id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return rows.select(F.when(F.col("known"), F.col("id")).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
