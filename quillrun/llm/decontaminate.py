@@ -51,7 +51,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", F.xxhash64("text").alias("text_key"), words_of(F.col("text")).alias("words"))
     mark = F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("size"), F.lit(None).cast("long").alias("h")))
     rows = rows.withColumn("at", F.concat(mark, *(_hashes(F.col("words"), s) for s in sizes)))
-    rows = rows.select("rid", "doc_id", "text_key", "words", F.size("words").cast("long").alias("n_words"), F.inline("at"))
+    rows = rows.select("rid", "doc_id", "text_key", "words", F.size("words").cast("long").alias("n_words"), F.inline_outer("at"))
     joined = rows.join(F.broadcast(windows) if n_windows <= BROADCAST_WINDOWS else windows, ["h", "size"], "left")
     hit = F.col("win").isNotNull() & (F.slice("words", F.greatest("i", F.lit(1)), F.greatest("size", F.lit(1))) == F.col("win"))
     found = joined.where((F.col("size") == 0) | hit).select(
