@@ -40,7 +40,7 @@ def spans_of(docs: DataFrame, text: Column, kinds: list[Kind]) -> DataFrame:
     base = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", F.xxhash64("text").alias("text_key"), text.alias("t"))
     mark = F.array(F.struct(F.lit("").alias("kind"), F.lit(0).alias("gap"), F.lit(0).alias("len"), F.lit("").alias("value"), F.lit("").alias("before"), F.lit("").alias("after")))
     found = base.select("rid", "doc_id", "text_key", F.concat(mark, *(_found(F.col("t"), k) for k in kinds)).alias("f"))
-    rows = found.select("rid", "doc_id", "text_key", F.posexplode("f").alias("n", "x")).select("rid", "doc_id", "text_key", "n", "x.*").repartition("rid")
+    rows = found.select("rid", "doc_id", "text_key", F.posexplode_outer("f").alias("n", "x")).select("rid", "doc_id", "text_key", "n", "x.*").repartition("rid")
     order = Window.partitionBy("rid", "kind").orderBy("n").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = rows.withColumn("end", F.sum(F.col("gap") + F.col("len")).over(order)).withColumn("start", F.col("end") - F.col("len"))
     keep = F.lit(True)
