@@ -102,7 +102,7 @@ def bucket_of(token: str) -> int:
 def word_counts(texts: DataFrame, most: int = WORDS) -> dict[str, int]:
     """Counts of the commonest words of a string column ``text`` over all rows; at most ``most`` come
     to the driver."""
-    words = texts.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0))).alias("w"))
+    words = texts.select(F.explode_outer(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0))).alias("w")).where(F.col("w").isNotNull())
     return {r["w"]: r["n"] for r in words.groupBy("w").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "w").limit(most).collect()}
 
 
