@@ -272,16 +272,16 @@ def _identity(docs: DataFrame | None = None) -> list[Column]:
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """(id, key, spans): the starts of repeated strings of each text that has any, as array<struct<a, b>>,
-    b exclusive, in bytes of UTF-8. id and key are those of _identity()."""
+    """(id, key, spans): the starts of repeated strings of each text that has any, as array<struct<a, b>>
+    in any order, b exclusive, in bytes of UTF-8. id and key are those of _identity()."""
     texts = docs.select(*_identity(), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     runs = stored(texts.where(F.octet_length("text") >= length).mapInPandas(_scan(length, gram), "h long, c long, n int, d int, id long, key long, p long"))
-    twice = runs.groupBy("h").agg(F.count(F.lit(1)).alias("t")).where("t > 1").select("h")
+    twice = checkpointed(runs.groupBy("h").agg(F.count(F.lit(1)).alias("t")).where("t > 1").select("h"))
     likely = stored(runs.join(twice, "h"))
     drop_stored(runs)
     contexts = likely.groupBy("h", "c").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("id", "key", "p", "n", "d")).alias("r"))
     contexts = checkpointed(contexts.select("h", "c", "copies", "r.*"))
-    several = contexts.groupBy("h").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
+    several = checkpointed(contexts.groupBy("h").agg(F.count(F.lit(1)).alias("k")).where("k > 1"))
     reps = contexts.join(several, "h").select("id", "key", F.struct("h", "c", "p", "n", "d", (F.col("k") > HOT_CONTEXTS).alias("hot")).alias("rep"))
     reps = reps.groupBy("id", "key").agg(F.collect_list("rep").alias("reps"))
     pieces = texts.join(reps, ["id", "key"]).select("text", "reps")
@@ -290,7 +290,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     whole = contexts.where("copies > 1").select("h", "c", F.lit(0).alias("a"), F.col("n").alias("b"))
     marks = checkpointed(told.unionByName(whole).groupBy("h", "c").agg(F.collect_set(F.struct("a", "b")).alias("m")))
     starts = likely.join(marks, ["h", "c"]).select("id", "key", F.transform("m", lambda m: F.struct((F.col("p") + m["a"]).alias("a"), (F.col("p") + m["b"]).alias("b"))).alias("s"))
-    found = checkpointed(starts.groupBy("id", "key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("s")))).alias("spans")))
+    found = checkpointed(starts.groupBy("id", "key").agg(F.flatten(F.collect_list("s")).alias("spans")))
     drop_stored(likely)
     return found
 
@@ -298,8 +298,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
 def _removed(spans, length: int) -> list[tuple[int, int]]:
     """Maximal runs of bytes that strings of the given starts cover."""
     out: list[list[int]] = []
-    for s in spans if spans is not None else ():
-        a, b = int(s["a"]), int(s["b"]) + length - 1
+    for a, b in sorted((int(s["a"]), int(s["b"]) + length - 1) for s in spans) if spans is not None else ():
         if out and a <= out[-1][1]:
             out[-1][1] = max(out[-1][1], b)
         else:
