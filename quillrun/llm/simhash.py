@@ -23,16 +23,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillrun.llm.blocks import BLOCK, bucket_links, forest
 from quillrun.llm.common import checkpointed, table
 from quillrun.llm.components import connected_components
 
 SEED = 42
-#: Rows of a bucket on either side that one task compares; larger buckets are cut into blocks.
-BLOCK = 2048
 #: Histograms have at most this many bits of a partition's value, whatever the corpus.
 HISTOGRAM_BITS = 16
-#: Hot bucket lists up to this length are broadcast, longer ones joined.
-BROADCAST_BUCKETS = 20_000
 
 
 def fingerprint_of(text: str | None, shingle: int = 3) -> int:
@@ -129,7 +126,7 @@ def allocate(costs: np.ndarray, radius: int) -> np.ndarray:
 
 
 def _prober(parts, counts, radius: int):
-    """Rows (part, val, fp, probe): each fingerprint once in every partition, and its probes."""
+    """Rows (part, val, id, probe): each fingerprint once in every partition, and its probes."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         near = [spheres(np.array(h), radius) for h in counts.value]
@@ -147,68 +144,12 @@ def _prober(parts, counts, radius: int):
                         costs[:, i, e + 1] = size + scale * near[i][e][values[i] & ((1 << HISTOGRAM_BITS) - 1)]
                 limits = allocate(costs, radius)
                 for i in range(len(parts)):
-                    yield pd.DataFrame({"part": i, "val": values[i], "fp": fps, "probe": False})
+                    yield pd.DataFrame({"part": i, "val": values[i], "id": fps, "probe": False})
                     for e in range(radius + 1):
                         own = limits[:, i] >= e
                         if own.any():
                             n = len(masks[i][e])
-                            yield pd.DataFrame({"part": i, "val": (values[i][own][:, None] ^ masks[i][e][None, :]).ravel(), "fp": np.repeat(fps[own], n), "probe": True})
-
-    return run
-
-
-def forest(x: np.ndarray, q: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """Edges that join what links of x to q join: each node of a component to its smallest node."""
-    x, q = np.unique(x), np.unique(q)
-    near = np.bitwise_count(x.view(np.uint64)[:, None] ^ q.view(np.uint64)[None, :]) <= radius
-    other = near & (x[:, None] != q[None, :])
-    rows, cols = np.flatnonzero(other.any(axis=1)), np.flatnonzero(other.any(axis=0))
-    if not len(rows):
-        return []
-    near, x, q = near[np.ix_(rows, cols)], x[rows], q[cols]
-    fresh_x, fresh_q, out = np.ones(len(x), bool), np.ones(len(q), bool), []
-    while fresh_x.any():
-        edge, nodes = np.flatnonzero(fresh_x)[:1], []
-        fresh_x[edge] = False
-        while len(edge):
-            nodes.append(x[edge])
-            to = np.flatnonzero(near[edge].any(axis=0) & fresh_q)
-            fresh_q[to] = False
-            nodes.append(q[to])
-            edge = np.flatnonzero(near[:, to].any(axis=1) & fresh_x)
-            fresh_x[edge] = False
-        group = np.unique(np.concatenate(nodes))
-        out += [(int(v), int(group[0])) for v in group[1:]]
-    return out
-
-
-def _verifier(radius: int):
-    key = ["part", "val", "bi", "bp"]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kept: list[pd.DataFrame] = []
-
-        def edges(pdf: pd.DataFrame) -> pd.DataFrame:
-            fp, probe, out = pdf["fp"].to_numpy(np.int64), pdf["probe"].to_numpy(bool), []
-            ids = pdf[key].to_numpy(np.int64)
-            cuts = np.flatnonzero((ids[1:] != ids[:-1]).any(axis=1)) + 1
-            for a, b in zip([0, *cuts], [*cuts, len(pdf)]):
-                if b - a > 1 and (fp[a:b] != fp[a]).any():
-                    out += forest(fp[a:b][~probe[a:b]], fp[a:b][probe[a:b]], radius)
-            return pd.DataFrame(out, columns=["u", "v"], dtype="int64")
-
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            last = (pdf[key].to_numpy() == pdf[key].to_numpy()[-1]).all(axis=1)
-            if kept and last.all() and (kept[-1][key].to_numpy()[-1] == pdf[key].to_numpy()[-1]).all():
-                kept.append(pdf)
-                continue
-            cut = int(len(pdf) - last[::-1].argmin()) if not last.all() else 0
-            yield edges(pd.concat([*kept, pdf.iloc[:cut]]))
-            kept = [pdf.iloc[cut:]]
-        if kept:
-            yield edges(pd.concat(kept))
+                            yield pd.DataFrame({"part": i, "val": (values[i][own][:, None] ^ masks[i][e][None, :]).ravel(), "id": np.repeat(fps[own], n), "probe": True})
 
     return run
 
@@ -243,23 +184,13 @@ def near_links(fps: DataFrame, radius: int = 3, block: int = BLOCK) -> DataFrame
     counts = [np.zeros(1 << min(len(bits), HISTOGRAM_BITS)) for bits in parts]
     for r in fps.mapInPandas(histogram, "part int, val long, c long").groupBy("part", "val").agg(F.sum("c").alias("c")).toLocalIterator():  # at most 2^16 a partition
         counts[r["part"]][r["val"]] = r["c"]
-    rows = fps.mapInPandas(_prober(parts, sc.broadcast(counts), radius), "part int, val long, fp long, probe boolean")
-    hot = checkpointed(
-        rows.groupBy("part", "val")
-        .agg(F.count(F.when(~F.col("probe"), 1)).alias("ni"), F.count(F.when(F.col("probe"), 1)).alias("np"))
-        .where((F.greatest("ni", "np") > block) & (F.col("ni") > 0))
-        .select("part", "val", F.ceil(F.col("ni") / block).cast("int").alias("ki"), F.ceil(F.greatest("np", F.lit(1)) / block).cast("int").alias("kp"))
-    )
-    n_hot = hot.count()
-    if n_hot:
-        rows = rows.join(F.broadcast(hot) if n_hot <= BROADCAST_BUCKETS else hot, ["part", "val"], "left").fillna(1, ["ki", "kp"])
-    else:
-        rows = rows.withColumns({"ki": F.lit(1), "kp": F.lit(1)})
-    at = F.pmod(F.xxhash64("fp"), F.when(F.col("probe"), F.col("kp")).otherwise(F.col("ki"))).cast("int")
-    rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.when(F.col("probe"), F.col("ki")).otherwise(F.col("kp")) - 1))).select(
-        "part", "val", "fp", "probe", F.when(F.col("probe"), F.col("o")).otherwise(at).alias("bi"), F.when(F.col("probe"), at).otherwise(F.col("o")).alias("bp")
-    )
-    return rows.repartition("part", "val", "bi", "bp").sortWithinPartitions("part", "val", "bi", "bp").mapInPandas(_verifier(radius), "u long, v long")
+    rows = fps.mapInPandas(_prober(parts, sc.broadcast(counts), radius), "part int, val long, id long, probe boolean")
+
+    def links(own: pd.DataFrame, probes: pd.DataFrame) -> list[tuple[int, int]]:
+        x, q = np.unique(own["id"].to_numpy(np.int64)), np.unique(probes["id"].to_numpy(np.int64))
+        return forest(np.bitwise_count(x.view(np.uint64)[:, None] ^ q.view(np.uint64)[None, :]) <= radius, x, q)
+
+    return bucket_links(rows, links, block)
 
 
 def row_keys() -> list:

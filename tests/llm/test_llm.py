@@ -343,6 +343,23 @@ def test_few_edits_keep_texts_near():
         assert editsketch.likeness([a], [b])[0] > 0.5 > 0.4 > editsketch.likeness([a], [c])[0] and editsketch.likeness([a], [a])[0] == 1
 
 
+@pytest.mark.parametrize("block", [2048, 8])
+def test_near_groups(spark, block):
+    rng = random.Random(6)
+    word = lambda n: "".join(rng.choice("etaoin shrdlu") for _ in range(n))
+    rows, group = [], {}
+    for k in range(12):
+        base = word(rng.choice([200, 900, 4000]))
+        for j in range(4):
+            at = len(base) - 30 + j
+            rows.append((10 * k + j, base[:at] + "#" + base[at + 1 :]))
+            group[10 * k + j] = 10 * k
+    rows += [(500, word(700)), (501, None), (502, "")]
+    group |= {500: 500, 501: 501, 502: 501}
+    got = {r.doc_id: r.component_id for r in editsketch.near_groups(spark.createDataFrame(rows, "doc_id long, text string"), 0.8, block).collect()}
+    assert got == group
+
+
 def test_edit_report_on_awkward_rows(awkward):
     got = editsketch.edit_report(awkward).collect()
     assert len(got) == awkward.count() and all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in got)
