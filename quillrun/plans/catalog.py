@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from quillrun.functions import scalars
 from quillrun.operators import extract, history, pages
 from quillrun.schemas import ADMINS, EDITORS, NEXT, STATUSES, ExtractionModel, Field, status_dim
-from quillrun.sources import derived
+from quillrun.sources import derived, files
 from quillrun.sources.derived import LOG_SQL, extraction_log, table
 from quillrun.sources.shared import folder, written
 from quillrun.streaming import lifecycle
@@ -372,3 +372,44 @@ def u02_remove_members(spark, sf_dir):
 @registered(r"SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '(?is)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'), '(?s)<[^>]+>', ' ', 'g'), '[\x20\x09-\x0D]+', ' ', 'g')) text, len(regexp_extract_all(coalesce(html, ''), '(?i)<table[ >]'))::BIGINT n_tables, len(regexp_extract_all(coalesce(html, ''), '(?i)<h[1-6][ >]'))::BIGINT n_headings FROM pages")
 def s03_layout(spark, sf_dir):
     return extract.html_layout(table(spark, sf_dir, "pages"))
+
+
+@registered("SELECT * FROM (VALUES " + ", ".join(f"({i}, '{f.key}', '{f.label}', '{f.type}')" for i, f in enumerate(MODEL.fields)) + ") t(pos, key, label, type)")
+def s04_model_fields(spark, sf_dir):
+    path = f"{folder(spark)}/models-{uuid.uuid4().hex}"
+    spark.createDataFrame([(MODEL.to_json(),)], "value string").coalesce(1).write.text(path)
+    return files.read_models(spark, path).select("pos", "key", "label", "type")
+
+
+@registered(f"WITH {MEMBERS_SQL} SELECT user_id::BIGINT user_id, role FROM held")
+def s06_members(spark, sf_dir):
+    return derived.members(spark)
+
+
+@registered(f"WITH {LOG_SQL} SELECT id, CASE WHEN id % 10 = 0 THEN 'S200' ELSE status END status FROM log UNION ALL SELECT -1, 'P100'")
+def k02_upsert(spark, sf_dir):
+    old = extraction_log(spark, sf_dir).select("id", "status")
+    new = old.where("id % 10 = 0").withColumn("status", F.lit("S200")).unionByName(spark.createDataFrame([(-1, "P100")], "id long, status string"))
+    return files.save(old, new, f"{folder(spark)}/log-{uuid.uuid4().hex}")
+
+
+@registered(None)
+def k03_workbooks(spark, sf_dir):
+    return files.workbooks(extraction_log(spark, sf_dir)).select("part", F.length("content").alias("n_bytes"))
+
+
+@registered(f"WITH {LOG_SQL} SELECT id, status, model_id FROM log ORDER BY id DESC")
+def o01_history_order(spark, sf_dir):
+    return extraction_log(spark, sf_dir).select("id", "status", "model_id").orderBy(F.col("id").desc())
+
+
+STATE_SQL = LEGAL_SQL.replace("prior", "s.status").replace("AND status", "AND n.status")
+
+
+@registered(f"""WITH RECURSIVE {CHANGES_SQL}, n AS (SELECT *, row_number() OVER (PARTITION BY job ORDER BY ts, seq) k FROM changes), jobs AS (SELECT job, max(k) most FROM n GROUP BY job),
+states AS (SELECT job, 0::BIGINT k, NULL::VARCHAR status, 0::BIGINT refused FROM jobs UNION ALL
+  SELECT s.job, n.k, CASE WHEN coalesce({STATE_SQL}, false) THEN n.status ELSE s.status END, refused + (NOT coalesce({STATE_SQL}, false))::BIGINT FROM states s JOIN n ON s.job = n.job AND n.k = s.k + 1)
+SELECT job, status, refused FROM states JOIN jobs USING (job) WHERE k = most""")
+def t01_status_stream(spark, sf_dir):
+    events = derived.as_changes(_stream(spark, sf_dir))
+    return lifecycle.run_to_end(lifecycle.status_stream(events), f"{folder(spark)}/{uuid.uuid4().hex}")

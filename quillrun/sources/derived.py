@@ -47,5 +47,9 @@ def as_polls(events: DataFrame) -> DataFrame:
 
 def job_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(job, ts, seq, status): events as status changes."""
+    return as_changes(table(spark, sf_dir, "events"))
+
+
+def as_changes(events: DataFrame) -> DataFrame:
     names = F.create_map(*(F.lit(x) for kv in {"signup": "P100", "view": "P200", "click": "P300", "purchase": "S100", "error": "E100"}.items() for x in kv))
-    return table(spark, sf_dir, "events").select(F.col("user_id").alias("job"), "ts", F.col("event_id").alias("seq"), F.element_at(names, F.col("event_type")).alias("status"))
+    return events.select(F.col("user_id").alias("job"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"), F.element_at(names, F.col("event_type")).alias("status"))
