@@ -413,3 +413,16 @@ SELECT job, status, refused FROM states JOIN jobs USING (job) WHERE k = most""")
 def t01_status_stream(spark, sf_dir):
     events = derived.as_changes(_stream(spark, sf_dir))
     return lifecycle.run_to_end(lifecycle.status_stream(events), f"{folder(spark)}/{uuid.uuid4().hex}")
+
+
+@registered(r"SELECT page_id, name, regexp_matches(name, '(?i)\.(pdf|png|jpe?g|tiff?|bmp|webp)$') supported FROM (SELECT page_id, 'page-' || page_id || ['.pdf', '.txt', '.PNG', '.jpg.html'][page_id % 4 + 1] AS name FROM pages)")
+def p11_supported(spark, sf_dir):
+    endings = F.array(*map(F.lit, (".pdf", ".txt", ".PNG", ".jpg.html")))
+    names = table(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("page-"), F.col("page_id").cast("string"), F.element_at(endings, (F.col("page_id") % 4 + 1).cast("int"))).alias("name"))
+    return names.withColumn("supported", scalars.is_supported(F.col("name")))
+
+
+@registered(f"WITH {LOG_SQL} SELECT id, user_id, model_id, filename, status FROM log WHERE id = 100")
+def k04_preview(spark, sf_dir):
+    row = files.preview(extraction_log(spark, sf_dir).select("id", "user_id", "model_id", "filename", "status"), 100)
+    return spark.createDataFrame([tuple(row.values())] if row else [], "id long, user_id long, model_id string, filename string, status string")
