@@ -42,6 +42,10 @@ STEMS = (3, 4, 5, 6, 7, 8)
 TIERS = ("", "*", "**")
 #: How far the label of a sampled row is trusted.
 LABEL_TRUST = 0.999
+#: Log-odds that all voters together can give; less than a known label's.
+MOST_VOTE_ODDS = 4.0
+#: Steps of the classifier's training.
+STEPS = 1500
 INSULTS = ["idiot", "moron", "stupid", "loser", "scum", "trash", "worthless", "pathetic", "disgusting", "clown", "dumb", "fool", "jerk", "freak", "pig", "vermin", "filth", "hate", "kill", "die", "ugly", "liar", "coward", "creep"]
 WORD = re.compile(r"[^\W\d_]+")
 YOU = re.compile(r"\b(?:you|your|he|she|they|this)\b(?:\W+\w+){0,2}\W+(?:are|is|was)\b", re.I)
@@ -148,7 +152,7 @@ def label_model(votes: np.ndarray, labels: np.ndarray, rounds: int = 25) -> np.n
         cov = ((p[:, None] * x).T @ x + ((1 - p)[:, None] * y).T @ y) / len(votes) + 0.05 * np.eye(votes.shape[1])
         w = np.linalg.solve(cov, high - low)
         z = votes @ w - (high + low) @ w / 2 + math.log(a / b)
-        p = 1 / (1 + np.exp(-np.clip(z + trust, -30, 30)))
+        p = 1 / (1 + np.exp(-(np.clip(z, -MOST_VOTE_ODDS, MOST_VOTE_ODDS) + trust)))
     return p
 
 
@@ -170,7 +174,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model
     entry = np.array([i for r in rows for i in r["found"]], int)
     vw, ew, bias = np.zeros(votes.shape[1]), np.zeros(len(model.at)), 0.0
     gv, ge, gb = np.full(len(vw), 1e-8), np.full(len(ew), 1e-8), 1e-8
-    for _ in range(300):  # full-batch AdaGrad on the cross-entropy with the posteriors
+    for _ in range(STEPS):  # full-batch AdaGrad on the cross-entropy with the posteriors
         z = votes @ vw + np.bincount(doc, ew[entry], len(rows)) + bias
         off = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - p) / len(rows)
         dv, de, db = off @ votes + 1e-4 * vw, np.bincount(entry, off[doc], len(ew)) + 1e-4 * ew, off.sum()
