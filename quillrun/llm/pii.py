@@ -24,8 +24,9 @@ from quillrun.llm.common import checkpointed, sha256_hex, table
 from quillrun.llm.spans import Kind, joined, spans_of, sql_spans
 
 #: The base patterns. Look-behinds keep long runs linear: a match can only begin where a run begins
-#: or where the match before has ended, which is where the plain pattern begins too.
-EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
+#: or where the match before has ended, which is where the plain pattern begins too. Repeated groups
+#: are possessive: others recurse once for each repeat, and long texts exhaust a task's stack.
+EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]+"
 CARD = r"[0-9]+(?:[\x20-][0-9]+)*+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
@@ -70,7 +71,7 @@ KINDS = [
     Kind("ip", IP, lambda t: t.rlike(r"[0-9]\.[0-9]"), _is_ip),
     Kind("card", CARD, lambda t: t.rlike(r"[0-9](?:[\x20-]?[0-9]){15}"), _is_card),
     Kind("phone", PHONE, lambda t: t.contains("+"), lambda v: F.length(_digits(v)).between(8, 15)),
-    Kind("email_masked", r"(?i)\b[a-z0-9._%+-]{1,64}\x20?[\[({]\x20?at\x20?[\])}]\x20?[a-z0-9-]{1,63}(?:\x20?(?:\.|[\[({]\x20?dot\x20?[\])}])\x20?[a-z0-9-]{1,63})+", lambda t: t.rlike(r"(?i)[\[({]\x20?at\x20?[\])}]")),
+    Kind("email_masked", r"(?i)\b[a-z0-9._%+-]{1,64}\x20?[\[({]\x20?at\x20?[\])}]\x20?[a-z0-9-]{1,63}(?:\x20?(?:\.|[\[({]\x20?dot\x20?[\])}])\x20?[a-z0-9-]{1,63})++", lambda t: t.rlike(r"(?i)[\[({]\x20?at\x20?[\])}]")),
     Kind("phone_local", r"(?<![0-9+.-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}(?![0-9])", lambda t: t.rlike(r"[0-9]{3}[\x20.-][0-9]{4}")),
     Kind("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", lambda t: t.rlike(r"[0-9]-[0-9]{2}-[0-9]")),
     Kind("iban", r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-9]{1,3})?\b", lambda t: t.rlike(r"[A-Z]{2}[0-9]{2}\x20?[A-Z0-9]{4}")),
