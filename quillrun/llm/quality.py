@@ -47,6 +47,7 @@ class _Folds(dict):
 
 _FOLDS = _Folds()
 _RUNS = re.compile(r"(a)a+|(A)A+|(0)0+")
+_OTHER = re.compile(r"[^\w\s]|_")
 
 
 def terms_of(text: str) -> Counter:
@@ -64,7 +65,7 @@ def terms_of(text: str) -> Counter:
     return Counter({t: c / n for t, c in out.items()}) + Counter({
         "<same>": 4 * same / n, "<few words>": 2 * max(0.0, 0.6 - distinct), "<lines>": lines / n,
         f"<distinct {int(10 * distinct)}>": 0.2, f"<size {min(n, 65536).bit_length()}>": 0.1, f"<word length {min(12, len(text) // n)}>": 0.2,
-        "<other>": sum(not c.isalnum() and not c.isspace() for c in text[:4000]) / min(4000, len(text)),
+        "<other>": len(_OTHER.findall(text)) / len(text),
     })
 
 

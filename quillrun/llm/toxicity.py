@@ -71,7 +71,7 @@ def features_of(text: str) -> set[str]:
 def votes_of(text: str, hits: list[float], stems: int, words: int, n: int, insults: int) -> list[int]:
     """hits: log-odds of the lexicon entries found, of which so many are stems and words."""
     strong = sum(1 for h in hits if h >= math.log(20))
-    letters = sum(map(str.isupper, text[:20000])) / max(1, min(len(text), 20000))
+    letters = sum(map(str.isupper, text)) / max(1, len(text))
     return [
         1 if insults else 0,
         1 if strong else 0,
