@@ -52,8 +52,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     mark = F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("size"), F.lit(None).cast("long").alias("h")))
     rows = rows.withColumn("at", F.concat(mark, *(_hashes(F.col("words"), s) for s in sizes)))
     rows = rows.select("rid", "doc_id", "text_key", "words", F.size("words").cast("long").alias("n_words"), F.inline_outer("at"))
-    joined = rows.join(F.broadcast(windows) if n_windows <= BROADCAST_WINDOWS else windows, ["h", "size"], "left")
-    hit = F.col("win").isNotNull() & (F.slice("words", F.greatest("i", F.lit(1)), F.greatest("size", F.lit(1))) == F.col("win"))
+    own = F.slice("words", F.greatest("i", F.lit(1)), F.greatest("size", F.lit(1)))
+    if n_windows <= BROADCAST_WINDOWS:
+        joined, hit = rows.join(F.broadcast(windows), ["h", "size"], "left"), own == F.col("win")
+    else:  # a window is sent with its own words alone, and the marks are spread by their rows
+        sent = rows.select("rid", "doc_id", "text_key", "n_words", "i", "size", F.coalesce("h", F.xxhash64("rid")).alias("h"), F.when(F.col("size") > 0, own).alias("own"))
+        joined, hit = sent.join(windows, ["h", "size"], "left"), F.col("own") == F.col("win")
     found = joined.where((F.col("size") == 0) | hit).select(
         "rid", "doc_id", "text_key", "n_words", "items", F.when(F.col("size") > 0, F.struct((F.col("i") - 1).alias("start"), (F.col("i") + F.col("size") - 1).alias("end"))).alias("run")
     )

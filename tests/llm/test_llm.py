@@ -257,6 +257,12 @@ def test_personal_data_by_plain_code(spark):
         assert {(s.kind, s.start, s.end) for s in r.spans} >= set(want)
 
 
+@pytest.mark.parametrize("text,kinds", [("a@b" + ".c" * 60_000, ["email"]), ("1 " * 60_000, []), ("a (at) b" + " (dot) c" * 30_000, ["email_masked"]), ("+1" + "-2" * 60_000, [])])
+def test_long_repeats_need_no_stack(spark, text, kinds):
+    rows = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert [s.kind for s in pii.personal_spans(rows).first().spans] == kinds and secrets.secret_spans(rows).first().spans == []
+
+
 def test_loose_personal_data_needs_support(spark):
     rows = spark.createDataFrame([(1, "call me: (980) 555-6268"), (2, "order no 2001-02-03")], "doc_id long, text string")
     got = {r.doc_id: [s.kind for s in r.spans] for r in pii.personal_spans(rows).collect()}
@@ -308,6 +314,14 @@ def test_spans_and_documents_are_removed(spark):
     assert decontaminate.remove_documents(docs.limit(0), bench).count() == 0
 
 
+def test_windows_joined_by_shuffle(spark, monkeypatch):
+    docs, bench = table(spark, "documents"), table(spark, "benchmark")
+    few = decontaminate.contamination(docs, bench).collect()
+    monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", 0)
+    many = decontaminate.contamination(docs, bench).collect()
+    assert any(r.n_hit for r in few) and sorted(few) == sorted(many)
+
+
 def test_decontamination_on_awkward_rows(awkward, spark):
     bench = table(spark, "benchmark")
     for got in (decontaminate.remove_documents(awkward, bench), decontaminate.remove_spans(awkward, bench)):
