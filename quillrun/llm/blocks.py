@@ -95,4 +95,6 @@ def bucket_links(rows: DataFrame, links: Callable[[pd.DataFrame, pd.DataFrame],
     rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.when(F.col("probe"), F.col("ki")).otherwise(F.col("kp")) - 1))).select(
         *columns, F.when(F.col("probe"), F.col("o")).otherwise(at).alias("bi"), F.when(F.col("probe"), at).otherwise(F.col("o")).alias("bp")
     )
-    return rows.repartition(*_KEY).sortWithinPartitions(*_KEY).mapInPandas(_verified(links), "u long, v long")
+    # a given number, as merging small partitions would leave few tasks for work that isn't small
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parts, *_KEY).sortWithinPartitions(*_KEY).mapInPandas(_verified(links), "u long, v long")
