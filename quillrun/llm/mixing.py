@@ -50,7 +50,9 @@ def topic_of(letters: Column, topics: int = TOPICS) -> Column:
         return F.struct(F.size(F.filter(letters, lambda g: g == k)).alias("n"), F.lit(-k).alias("k"))
 
     none = F.struct(F.lit(0).alias("n"), F.lit(1).alias("k"))
-    return (-F.array_max(F.array(none, *map(counted, range(topics))))["k"]).cast("string")
+    most = F.array_max(F.array(none, *map(counted, range(topics))))["k"]
+    # never null, and said so: joins on it would else test it for null first, word by word, group by group
+    return F.coalesce((-most).cast("string"), F.lit("-1"))
 
 
 def described(docs: DataFrame) -> DataFrame:
