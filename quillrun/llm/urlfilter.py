@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillrun.llm.common import ascii_lower, table
+from quillrun.llm.common import ascii_lower, checkpointed, table
 
 #: (host, path, verdict).
 RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
@@ -103,7 +103,16 @@ def word_counts(texts: DataFrame, most: int = WORDS) -> dict[str, int]:
     """Counts of the commonest words of a string column ``text`` over all rows; at most ``most`` come
     to the driver."""
     words = texts.select(F.explode_outer(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0))).alias("w")).where(F.col("w").isNotNull())
-    return {r["w"]: r["n"] for r in words.groupBy("w").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "w").limit(most).collect()}
+    counts = checkpointed(words.groupBy("w").agg(F.count(F.lit(1)).alias("n")))
+    # else every task would send its own ``most`` words: first find a count that about so many words reach
+    steps = counts.groupBy(F.floor(8 * F.log2("n")).alias("step")).agg(F.count(F.lit(1)).alias("k")).orderBy(F.col("step").desc()).collect()  # at most 8 x 63 rows
+    seen, least = 0, 0
+    for r in steps:
+        seen, least = seen + r["k"], r["step"]
+        if seen >= most:
+            break
+    top = counts.where(F.floor(8 * F.log2("n")) >= least).orderBy(F.col("n").desc(), "w").limit(most)
+    return {r["w"]: r["n"] for r in top.collect()}
 
 
 class Bayes:

@@ -288,6 +288,14 @@ def test_segmentation():
     assert s.split("freebets") == ["free", "bets"] and s.split("") == [] and "".join(s.split("qqfreeqq")) == "qqfreeqq"
 
 
+@pytest.mark.parametrize("most", [1, 7, 300, 10**6])
+def test_commonest_words(spark, most):
+    docs = table(spark, "documents").select("text")
+    own = Counter(w for r in docs.collect() for w in re.findall(urlfilter.WORD, r.text.lower()))
+    want = dict(sorted(own.items(), key=lambda x: (-x[1], x[0]))[:most])
+    assert urlfilter.word_counts(docs, most) == want and urlfilter.word_counts(docs.limit(0), most) == {}
+
+
 def test_urls_on_awkward_rows(spark):
     urls = [None, "", "no scheme", "http://", "HTTP://EXAMPLE.ORG/es/", "http://a.example.org/en/1?x", "http://x.com/fr", "http://x.com/fr/", "http://borg/", "http://o.org", "http://best-casino.net/", "http://best-casino.net/", "a://b://c/d"]
     rows = spark.createDataFrame([(i if i else None, u, None) for i, u in enumerate(urls)], "page_id long, url string, html string").withColumns({c: F.lit(1) for c in ("host", "path", "rule", "score")})
