@@ -6,9 +6,7 @@ moves on. Texts a few edits apart soon walk in step again, so their walks differ
 distance becomes Hamming distance. Bits are sampled from the walk - a shared random bit of each
 sampled character - at places spread over a power of two that holds most of it.
 
-A text of n code points has the scale s = bit length of n. Beyond 2^FULL code points, it is the
-characters that open a four-character window whose hash ends in s - FULL zero bits which are walked,
-so that the steps stay bounded while an edit still changes only what stands beside it.
+A text of n code points has the scale s = bit length of n. Texts of any length are walked whole.
 
 A fingerprint is "<s>:<block>:<block>" in hex, the blocks for the scales s and s + 1, so that texts
 whose lengths straddle a power of two still share a scale. A block is the number of places that the
@@ -41,7 +39,9 @@ from quillrun.llm.components import connected_components
 SEED = 20_240_229
 #: Bits sampled at each of the two scales of a fingerprint.
 SAMPLES = 128
-LEAST_SCALE, FULL = 5, 12
+LEAST_SCALE = 5
+#: Texts of so many code points are walked one by one, as few are left to walk beside; the walk is the same.
+ALONE = 8192
 #: Code points that are walked side by side; bounds the memory of a task.
 TOGETHER = 3_000_000
 #: The walk knows of a character a number below ALPHABET; coins repeat after PERIOD steps.
@@ -60,7 +60,7 @@ _SPREAD = np.sort(_RNG.random(SAMPLES))
 
 def places(scale: int) -> np.ndarray:
     """The steps sampled at a scale, ascending; a walk over 2^k characters takes 2^(k+1) on average."""
-    return (_SPREAD * (2 << min(scale, FULL))).astype(np.int64)
+    return (_SPREAD * (2 << scale)).astype(np.int64)
 
 
 def _characters(text: str) -> np.ndarray:
@@ -69,35 +69,48 @@ def _characters(text: str) -> np.ndarray:
     return np.where(points < 128, points, 128 + ((points * np.uint32(2_654_435_761)) >> np.uint32(25))).astype(np.uint8)
 
 
-def _thinned(chars: np.ndarray, zeros: int) -> np.ndarray:
-    """The hashes of the four-character windows that end in so many zero bits, as numbers below ALPHABET."""
-    if not zeros:
-        return chars
-    c = np.concatenate([chars, np.zeros(3, np.uint8)]).astype(np.uint32)
-    h = c[:-3] | c[1:-2] << np.uint32(8) | c[2:-1] << np.uint32(16) | c[3:] << np.uint32(24)
-    h = (h ^ h >> np.uint32(15)) * np.uint32(2_246_822_519)
-    h = (h ^ h >> np.uint32(13)) * np.uint32(3_266_489_917)
-    h ^= h >> np.uint32(16)
-    return (h[h & np.uint32((1 << zeros) - 1) == 0] >> np.uint32(24)).astype(np.uint8)
+def _stays() -> bytes:
+    """For each step of a period and each character, how many steps the walk stays on it from there."""
+    out, stay = np.zeros((PERIOD, ALPHABET), np.int64), np.zeros(ALPHABET, np.int64)
+    for j in reversed(range(2 * PERIOD)):
+        stay = np.where(COINS[j % PERIOD] == 1, 1, stay + 1)
+        out[j % PERIOD] = stay
+    if out.max() > 255:
+        raise ValueError("a coin stays too long")
+    return out.astype(np.uint8).tobytes()
 
 
-def _walk(parts: list[np.ndarray], scales: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each sequence: how many places of its scale the walk reaches, and the bits sampled there."""
-    n, sizes = len(parts), np.fromiter(map(len, parts), np.int64, len(parts))
+_STAYS = _stays()
+
+
+def _alone(chars: bytes, due: list[int]) -> bytes:
+    """The characters under the walk at the steps due, ascending, as far as it reaches them."""
+    seen, steps, j = bytearray(), iter(due), 0
+    q = next(steps)
+    for c in chars:
+        j += _STAYS[(j & PERIOD - 1) << 8 | c]
+        while q < j:
+            seen.append(c)
+            if (q := next(steps, -1)) < 0:
+                return bytes(seen)
+    return bytes(seen)
+
+
+def _beside(parts: list[np.ndarray], scales: np.ndarray, due: dict[int, list[int]], seen: np.ndarray, reached: np.ndarray) -> None:
+    """As _alone(), of many sequences step by step: into the rows of seen, and how many into reached."""
+    sizes = np.fromiter(map(len, parts), np.int64, len(parts))
     codes, start = np.concatenate([*parts, np.zeros(1, np.uint8)]), np.cumsum(sizes) - sizes
-    limit = np.array([places(s)[-1] + 1 for s in scales], np.int64)
-    seen, reached = np.zeros((n, SAMPLES), np.uint8), np.zeros(n, np.int64)
-    due: dict[int, list[tuple[int, int]]] = {}
-    for s in sorted({min(s, FULL) for s in scales.tolist()}):
-        for i, q in enumerate(places(s).tolist()):
-            due.setdefault(q, []).append((s, i))
-    kind = np.minimum(scales, FULL)
+    at_step: dict[int, list[tuple[int, int]]] = {}
+    for s in set(scales.tolist()):
+        for i, q in enumerate(due[s]):
+            at_step.setdefault(q, []).append((s, i))
     ids = np.flatnonzero(sizes > 0)
-    p, end, stop, own = start[ids], (start + sizes)[ids], limit[ids], kind[ids]
+    p, end, own = start[ids], (start + sizes)[ids], scales[ids]
+    stop = np.array([due[s][-1] + 1 for s in own.tolist()], np.int64)
     j = 0
     while len(ids):
         c = codes[p]
-        for s, i in due.get(j, ()):
+        for s, i in at_step.get(j, ()):
             at = own == s
             seen[ids[at], i] = c[at]
             reached[ids[at]] = i + 1
@@ -106,18 +119,31 @@ def _walk(parts: list[np.ndarray], scales: np.ndarray) -> tuple[np.ndarray, np.n
         live = (p < end) & (stop > j)
         if not live.all():
             ids, p, end, stop, own = ids[live], p[live], end[live], stop[live], own[live]
-    bits = BITS[np.arange(SAMPLES)[None, :], seen] * (np.arange(SAMPLES)[None, :] < reached[:, None])
-    return reached, np.packbits(bits.astype(np.uint8), axis=1)
 
 
 def fingerprints(texts: list[str]) -> list[str]:
+    """Every text is walked once, whole, for both of its scales."""
     chars = [_characters(t) for t in texts]
-    scale = np.array([max(LEAST_SCALE, len(c).bit_length()) for c in chars], np.int64)
-    blocks = []
+    scales = np.array([max(LEAST_SCALE, len(c).bit_length()) for c in chars], np.int64)
+    due = {s: sorted({*places(s).tolist(), *places(s + 1).tolist()}) for s in set(scales.tolist())}
+    seen, reached = np.zeros((len(texts), 2 * SAMPLES), np.uint8), np.zeros(len(texts), np.int64)
+    beside = np.array([len(c) < ALONE for c in chars], bool)
+    if beside.any():
+        ids = np.flatnonzero(beside)
+        own, n = np.zeros((len(ids), 2 * SAMPLES), np.uint8), np.zeros(len(ids), np.int64)
+        _beside([chars[i] for i in ids], scales[ids], due, own, n)
+        seen[ids], reached[ids] = own, n
+    for i in np.flatnonzero(~beside):
+        found = _alone(chars[i].tobytes(), due[int(scales[i])])
+        seen[i, : len(found)], reached[i] = np.frombuffer(found, np.uint8), len(found)
+    blocks, every = [], np.arange(SAMPLES)
     for up in (0, 1):
-        reached, bits = _walk([_thinned(c, max(0, int(s) + up - FULL)) for c, s in zip(chars, scale)], scale + up)
-        blocks.append([f"{int(k):02x}{b.tobytes().hex()}" for k, b in zip(reached, bits)])
-    return [f"{int(s):02x}:{a}:{b}" for s, a, b in zip(scale, *blocks)]
+        at = {s: np.searchsorted(q, places(s + up)) for s, q in due.items()}
+        at = np.array([at[s] for s in scales.tolist()], np.int64).reshape(-1, SAMPLES)
+        known = at < reached[:, None]
+        bits = np.packbits(BITS[every, np.take_along_axis(seen, at, axis=1)] * known, axis=1)
+        blocks.append([f"{int(k):02x}{b.tobytes().hex()}" for k, b in zip(known.sum(axis=1), bits)])
+    return [f"{int(s):02x}:{a}:{b}" for s, a, b in zip(scales, *blocks)]
 
 
 def likeness(a: list[str], b: list[str]) -> np.ndarray:

@@ -382,6 +382,22 @@ def test_near_groups(spark, block):
     assert got == group
 
 
+def test_long_texts_are_walked_whole(monkeypatch):
+    rng = random.Random(8)
+    phrases = ["".join(rng.choice("abcdefghij klmnop") for _ in range(20)) for _ in range(12)]
+    texts = [(p * (n // 20 + 1))[:n] for p in phrases for n in (30_000, 100_000)]
+    found = editsketch.fingerprints(texts)
+    for i, f in enumerate(found):  # every sketch has its places, and other phrases stay apart
+        assert int(f[3:5], 16) >= 40 and int(f.split(":")[2][:2], 16) >= 20
+        assert all(editsketch.likeness([f], [g])[0] < 0.8 for k, g in enumerate(found) if k // 2 != i // 2)
+    prose = " ".join(rng.choice(phrases)[: rng.randint(2, 9)] for _ in range(20_000))
+    edited = prose[:50_000] + "x" + prose[50_000:]
+    assert editsketch.likeness(*([f] for f in editsketch.fingerprints([prose, edited])))[0] > 0.5
+    alone = editsketch.fingerprints([*texts[:4], prose])
+    monkeypatch.setattr(editsketch, "ALONE", 1 << 30)
+    assert editsketch.fingerprints([*texts[:4], prose]) == alone
+
+
 def test_edit_report_on_awkward_rows(awkward):
     got = editsketch.edit_report(awkward).collect()
     assert len(got) == awkward.count() and all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in got)
