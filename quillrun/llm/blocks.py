@@ -20,6 +20,8 @@ from quillrun.llm.common import checkpointed
 BLOCK = 2048
 #: Hot bucket lists up to this length are broadcast, longer ones joined.
 BROADCAST_BUCKETS = 20_000
+#: Comparisons of a unit of work up to which it can be done together with others, and those done at once.
+FEW, AT_ONCE = 1024, 1 << 20
 _KEY = ["part", "val", "bi", "bp"]
 
 
@@ -47,15 +49,48 @@ def forest(near: np.ndarray, x: np.ndarray, q: np.ndarray) -> list[tuple[int, in
     return out
 
 
-def _verified(links: Callable[[pd.DataFrame, pd.DataFrame], list[tuple[int, int]]]):
+def _small(pdf: pd.DataFrame, a: np.ndarray, b: np.ndarray, pairs: Callable[[pd.DataFrame, pd.DataFrame], np.ndarray]) -> list[tuple[int, int]]:
+    """Links within the units of rows a to b, all compared as pairs of rows; other rows stand before
+    probe rows."""
+    probe, ids, out = np.concatenate([[0], np.cumsum(pdf["probe"].to_numpy(bool))]), pdf["id"].to_numpy(np.int64), []
+    probes = probe[b] - probe[a]
+    own = b - a - probes
+    last, rest = np.cumsum(own * probes), pdf.drop(columns=[*_KEY, "probe"])
+    while len(a):
+        n = max(1, int(np.searchsorted(last, AT_ONCE, side="right")))
+        size = (own * probes)[:n]
+        unit = np.repeat(np.arange(n), size)
+        k = np.arange(len(unit)) - np.repeat(np.cumsum(size) - size, size)
+        x, q = a[unit] + k // probes[unit], a[unit] + own[unit] + k % probes[unit]
+        other = ids[x] != ids[q]
+        x, q = x[other], q[other]
+        near = pairs(rest.iloc[x], rest.iloc[q])
+        u, v = np.maximum(ids[x], ids[q])[near], np.minimum(ids[x], ids[q])[near]
+        out += zip(u.tolist(), v.tolist())
+        done, a, b, own, probes = last[n - 1], a[n:], b[n:], own[n:], probes[n:]
+        last = last[n:] - done
+    return out
+
+
+def _verified(links: Callable[[pd.DataFrame, pd.DataFrame], list[tuple[int, int]]], pairs: Callable[[pd.DataFrame, pd.DataFrame], np.ndarray] | None = None):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         kept: list[pd.DataFrame] = []
 
         def edges(pdf: pd.DataFrame) -> pd.DataFrame:
+            if pairs:
+                pdf = pdf.iloc[np.lexsort((pdf["probe"], *(pdf[c] for c in reversed(_KEY))))]
             ids, probe, out = pdf["id"].to_numpy(np.int64), pdf["probe"].to_numpy(bool), []
             keys = pdf[_KEY].to_numpy(np.int64)
             cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
-            for a, b in zip([0, *cuts], [*cuts, len(pdf)]):
+            starts, ends = np.array([0, *cuts], np.int64), np.array([*cuts, len(pdf)], np.int64)
+            if pairs:
+                probes = np.concatenate([[0], np.cumsum(probe)])
+                probes = probes[ends] - probes[starts]
+                size = probes * (ends - starts - probes)
+                few = (size > 0) & (size <= FEW)
+                out += set(_small(pdf, starts[few], ends[few], pairs))
+                starts, ends = starts[size > FEW], ends[size > FEW]
+            for a, b in zip(starts.tolist(), ends.tolist()):
                 if b - a > 1 and (ids[a:b] != ids[a]).any():
                     out += links(pdf.iloc[a:b][~probe[a:b]], pdf.iloc[a:b][probe[a:b]])
             return pd.DataFrame(out, columns=["u", "v"], dtype="int64")
@@ -77,8 +112,9 @@ def _verified(links: Callable[[pd.DataFrame, pd.DataFrame], list[tuple[int, int]
     return run
 
 
-def bucket_links(rows: DataFrame, links: Callable[[pd.DataFrame, pd.DataFrame], list[tuple[int, int]]], block: int = BLOCK) -> DataFrame:
-    """Edges (u, v) between ids. ``links`` gets the other rows and the probe rows of a unit of work.
+def bucket_links(rows: DataFrame, links: Callable[[pd.DataFrame, pd.DataFrame], list[tuple[int, int]]], block: int = BLOCK, pairs: Callable[[pd.DataFrame, pd.DataFrame], np.ndarray] | None = None) -> DataFrame:
+    """Edges (u, v) between ids. ``links`` gets the other rows and the probe rows of a unit of work;
+    ``pairs``, if given, as many rows of each from small units, and says which of them are linked.
     ``rows`` is read twice."""
     hot = checkpointed(
         rows.groupBy("part", "val")
@@ -97,4 +133,4 @@ def bucket_links(rows: DataFrame, links: Callable[[pd.DataFrame, pd.DataFrame],
     )
     # a given number, as merging small partitions would leave few tasks for work that isn't small
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(parts, *_KEY).sortWithinPartitions(*_KEY).mapInPandas(_verified(links), "u long, v long")
+    return rows.repartition(parts, *_KEY).sortWithinPartitions(*_KEY).mapInPandas(_verified(links, pairs), "u long, v long")

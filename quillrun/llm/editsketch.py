@@ -13,8 +13,9 @@ whose lengths straddle a power of two still share a scale. A block is the number
 walk reaches and the bits, 0 beyond it. likeness() is 1 - 2 x differing bits / places reached by
 either walk, at least 0; 1 for equal fingerprints; 0 where no scale is shared.
 
-near_groups() finds texts alike by banding: bits sampled from a block form bands, fingerprints that
-share a band are candidates, and every candidate is verified by likeness.
+with_near() joins texts alike by banding: neighbouring places of a block form parts, so narrow that
+fingerprints as like as wanted must share one of them whole (_parts()); those that share one are
+candidates, and every candidate is verified by likeness. No link is missed, wherever the edits stand.
 
 Defined results: null counts as empty; empty texts share a fingerprint; repeated rows and ids each
 get a row, equal ids in the order of their texts' hashes, null ids first; a single row is its own
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillrun.llm.blocks import BLOCK, bucket_links, forest
-from quillrun.llm.common import checkpointed, table
+from quillrun.llm.common import checkpointed, drop_stored, stored, table
 from quillrun.llm.components import connected_components
 
 SEED = 20_240_229
@@ -49,8 +50,8 @@ ALPHABET, PERIOD = 256, 4096
 #: Runs of neighbouring ids, each streamed by one task.
 MOST_RUNS, RUN_ROWS = 4096, 1000
 
-#: Bands of a block, their bits, and the first places that they sample, by scale s and s + 1.
-BANDS, BAND_BITS, BAND_PLACES = 16, 12, (48, 24)
+#: The likeness from which texts are near, and the widest parts of a block that are compared whole.
+NEAR, MOST_PART_BITS = 0.8, 32
 
 _RNG = np.random.Generator(np.random.PCG64(SEED))
 COINS = _RNG.integers(0, 2, (PERIOD, ALPHABET), dtype=np.int64)
@@ -246,44 +247,101 @@ def fingerprint(texts: pd.Series) -> pd.Series:
     return pd.Series(out, dtype="object")
 
 
-_BAND_AT = [np.array([_RNG.permutation(n)[:BAND_BITS] for _ in range(BANDS)]) for n in BAND_PLACES]
+def _limits(least: float) -> tuple[np.ndarray, int]:
+    """For each number of places the most differing bits at a likeness of ``least``, and the widest
+    parts of which any number of places has more than such bits."""
+    most = [max((d for d in range(k + 1) if round(1 - 2 * d / k, 6) >= least), default=-1) for k in range(1, SAMPLES + 1)]
+    fits = [w for w in range(1, MOST_PART_BITS + 1) if all(d < -(-k // w) for k, d in enumerate(most, 1))]
+    if not fits:
+        raise ValueError("least must be above -1")
+    return np.array([-1, *most], np.int64), fits[-1]
 
 
-def _bands(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows (part, val, id, probe, k, b0, b1): every band of both blocks, once to probe and once to be
-    probed; k and b are the block."""
-    for pdf in batches:
-        rows = []
-        for i, f in zip(pdf["id"], pdf["fp"]):
-            scale, *blocks = f.split(":")
-            for up, block in enumerate(blocks):
-                raw = bytes.fromhex(block[2:])
-                bits, words = np.unpackbits(np.frombuffer(raw, np.uint8)), np.frombuffer(raw, "<i8")
-                values = bits[_BAND_AT[up]] @ (1 << np.arange(BAND_BITS))
-                rows += [(int(scale, 16) + up << 8 | b, int(v), i, int(block[:2], 16), int(words[0]), int(words[1])) for b, v in enumerate(values)]
-        out = pd.DataFrame(rows, columns=["part", "val", "id", "k", "b0", "b1"])
-        for probe in (False, True):
-            yield out.assign(probe=probe)[["part", "val", "id", "probe", "k", "b0", "b1"]]
-
-
-def near_groups(docs: DataFrame, least: float = 0.8, block: int = BLOCK) -> DataFrame:
-    """(doc_id, fingerprint, component_id) for each row of docs: texts whose fingerprints are linked by
-    verified candidates of likeness ``least`` or more share the smallest id. Banding finds a link with
-    a probability that grows with its likeness: nearly always from 0.9 on."""
-    rows = checkpointed(docs.select("doc_id", fingerprint("text").alias("fingerprint")).withColumn("id", F.xxhash64("fingerprint")))
-    reps = checkpointed(rows.groupBy("id").agg(F.min("fingerprint").alias("fp"), F.min("doc_id").alias("least")))
+def _parts(least: float):
+    """Fingerprints (id, fp) to rows (part, val, id, probe, k, b0, b1), by the pigeonhole principle.
+
+    Of two blocks let K be the places of the longer, d the most bits that may differ, and U the parts
+    that the shorter reaches. Beyond those it has zeros, so each one of the longer there differs. With o
+    such ones, d - o bits at most differ within the U parts, and of any d - o + 1 parts one is equal. So
+    a block is to be found by its U and the values of its parts, and probes for each U up to its own
+    with d - o + 1 values; where there are no more parts than d - o, with all blocks of that U.
+    """
+    limits, width = _limits(least)
+    total = -(-SAMPLES // width)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            fps = [f.split(":") for f in pdf["fp"]]
+            ids, scales = pdf["id"].to_numpy(np.int64), np.array([int(f[0], 16) for f in fps], np.int64)
+            for up in (0, 1):
+                k = np.array([int(f[1 + up][:2], 16) for f in fps], np.int64)
+                raw = np.frombuffer(b"".join(bytes.fromhex(f[1 + up][2:]) for f in fps), np.uint8).reshape(-1, SAMPLES // 8)
+                words, bits = np.ascontiguousarray(raw).view("<i8"), np.unpackbits(raw, axis=1).astype(np.int64)
+                bits = np.concatenate([bits, np.zeros((len(fps), total * width - SAMPLES), np.int64)], axis=1).reshape(-1, total, width)
+                values, ones = bits @ (1 << np.arange(width)), bits.sum(axis=2)
+                beyond = np.concatenate([ones[:, ::-1].cumsum(axis=1)[:, ::-1], np.zeros((len(fps), 1), np.int64)], axis=1)  # ones from each part on
+                own, scale = -(-k // width), scales + up
+
+                def rows(at: np.ndarray, to: int, u, part, val, probe: bool) -> pd.DataFrame:
+                    # the scale, which of its blocks is looked for, its parts, and the part, total for all
+                    key = ((scale[at] * 2 + to) * (total + 1) + u) * (total + 1) + part
+                    return pd.DataFrame({"part": key.astype(np.int32), "val": val, "id": ids[at], "probe": probe, "k": k[at].astype(np.int32), "b0": words[at, 0], "b1": words[at, 1]})
+
+                at, part = np.nonzero(np.arange(total)[None, :] < own[:, None])
+                yield rows(at, up, own[at], part, values[at, part], False)
+                at = np.flatnonzero(own)
+                yield rows(at, up, own[at], total, np.zeros(len(at), np.int64), False)
+                for u in range(1, total + 1):
+                    wanted = np.where(own >= u, limits[k] - beyond[:, u] + 1, 0)
+                    at, part = np.nonzero(np.arange(u)[None, :] < np.where(wanted > u, 0, wanted)[:, None])
+                    every = np.flatnonzero(wanted > u)
+                    for to in (0, 1) if up == 0 else (0,):
+                        yield rows(at, to, u, part, values[at, part], True)
+                        yield rows(every, to, u, total, np.zeros(len(every), np.int64), True)
+
+    return run
+
+
+def near_classes(fps: DataFrame, least: float = NEAR, block: int = BLOCK) -> DataFrame:
+    """(id, root): of the fingerprints fp with their ids, longs, those of which some other has a
+    likeness of ``least`` or more, and the smallest id that such links join. Exact."""
+    limits = _limits(least)[0]
+    rows = fps.mapInPandas(_parts(least), "part int, val long, id long, probe boolean, k int, b0 long, b1 long")
+    held = stored(rows)
+    # the scales, blocks and numbers of parts that some probe for and others have: some hundreds
+    kinds = held.groupBy("part").agg(F.countDistinct("probe").alias("n")).where("n = 2").select("part").collect()
+    rows = held.where(F.col("part").isin(sorted(r["part"] for r in kinds)))
+
+    def near(x: pd.DataFrame, q: pd.DataFrame, outer: bool) -> np.ndarray:
+        own, other = ([t[c].to_numpy(np.int64) for c in ("b0", "b1", "k")] for t in (x, q))
+        if outer:
+            own, other = [c[:, None] for c in own], [c[None, :] for c in other]
+        diff = sum(np.bitwise_count((own[b] ^ other[b]).view(np.uint64)).astype(np.int64) for b in (0, 1))
+        return diff <= limits[np.maximum(own[2], other[2])]
 
     def links(own: pd.DataFrame, probes: pd.DataFrame) -> list[tuple[int, int]]:
-        x, q = own.drop_duplicates("id"), probes.drop_duplicates("id")
-        diff = sum(np.bitwise_count(x[b].to_numpy(np.int64).view(np.uint64)[:, None] ^ q[b].to_numpy(np.int64).view(np.uint64)[None, :]).astype(np.int32) for b in ("b0", "b1"))
-        most = np.maximum(np.maximum(x["k"].to_numpy()[:, None], q["k"].to_numpy()[None, :]), 1)
-        return forest(1 - 2 * diff / most >= least, x["id"].to_numpy(np.int64), q["id"].to_numpy(np.int64))
+        x, q = own.drop_duplicates(["id", "k", "b0", "b1"]), probes.drop_duplicates(["id", "k", "b0", "b1"])
+        return forest(near(x, q, True), x["id"].to_numpy(np.int64), q["id"].to_numpy(np.int64))
+
+    found = checkpointed(bucket_links(rows, links, block, lambda x, q: near(x, q, False)))
+    drop_stored(held)
+    return connected_components(found).select(F.col("node").alias("id"), "root")
 
-    found = connected_components(bucket_links(checkpointed(reps.mapInPandas(_bands, "part int, val long, id long, probe boolean, k int, b0 long, b1 long")), links, block))
-    of = reps.join(found.withColumnRenamed("node", "id"), "id", "left").select("id", "least", F.coalesce("root", "id").alias("root"))
+
+def with_near(rows: DataFrame, least: float = NEAR, block: int = BLOCK) -> DataFrame:
+    """rows, read twice, with component_id: the smallest doc_id of the rows whose fingerprints links of
+    likeness ``least`` or more join."""
+    reps = checkpointed(rows.groupBy("fingerprint").agg(F.min("doc_id").alias("least")).select(F.xxhash64("fingerprint").alias("id"), F.col("fingerprint").alias("fp"), "least"))
+    of = reps.join(near_classes(reps.select("id", "fp"), least, block), "id", "left").select("fp", "least", F.coalesce("root", "id").alias("root"))
     small = of.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rows.join(of.join(small, "root").select("id", "component_id"), "id").select("doc_id", "fingerprint", "component_id")
+    of = of.join(small, "root").select(F.col("fp").alias("fingerprint"), "component_id")
+    return rows.join(of, "fingerprint").select(*rows.columns, "component_id")
+
+
+def near_groups(docs: DataFrame, least: float = NEAR, block: int = BLOCK) -> DataFrame:
+    """(doc_id, fingerprint, component_id) for each row of docs: see with_near()."""
+    return with_near(checkpointed(docs.select("doc_id", fingerprint("text").alias("fingerprint"))), least, block)
 
 
 def op8_edit_fingerprints(spark, sf_dir: str) -> DataFrame:
-    return edit_report(table(spark, sf_dir, "documents"))
+    return with_near(stored(edit_report(table(spark, sf_dir, "documents"))))

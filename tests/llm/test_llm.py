@@ -382,6 +382,63 @@ def test_near_groups(spark, block):
     assert got == group
 
 
+def brute_classes(fps, least):
+    root = {f: f for f in fps}
+
+    def find(a):
+        while root[a] != a:
+            a = root[a]
+        return a
+
+    links = 0
+    for i, a in enumerate(fps):
+        for b, x in zip(fps[:i], editsketch.likeness([a] * i, fps[:i])):
+            if x >= least:
+                links += x < 0.86
+                root[find(a)] = find(b)
+    return Counter(tuple(sorted(f for f in fps if find(f) == r)) for r in {find(f) for f in fps}), links
+
+
+@pytest.mark.parametrize("block", [2048, 4])
+def test_near_misses_no_link(spark, block):
+    rng, rows = random.Random(9), []
+    for k in range(60):  # edits at the beginning, in the middle, at the end; lengths about powers of two
+        base = "".join(rng.choice("etaoin shrdlu") for _ in range(rng.choice([40, 127, 128, 300, 1000, 1024])))
+        for j in range(6):
+            at, n = [0, len(base) // 2, int(len(base) * 0.85)][j % 3], max(1, int(len(base) * rng.choice([0.04, 0.08, 0.12])))
+            rows.append((10 * k + j, base[:at] + "".join(rng.choice("xyzq") for _ in range(n)) + base[at + n :]))
+    bits = lambda n, ones=0.5: "".join(str(int(rng.random() < ones)) for _ in range(n)).ljust(128, "0")
+    block_of = lambda k, b: f"{k:02x}{int(b, 2):032x}"
+    drawn = []
+    for _ in range(120):  # blocks at the very limit, of unlike numbers of places, and with few ones
+        k = rng.randint(1, 128)
+        one = bits(k, rng.choice([0.03, 0.5]))
+        flipped = set(rng.sample(range(k), min(k, int(k / 10))))
+        k2 = rng.randint(max(1, k - rng.choice([0, 4, 40])), k)
+        two = "".join(str(int(c) ^ (i in flipped)) if i < k2 else "0" for i, c in enumerate(one))
+        up = rng.random() < 0.5
+        drawn.append(f"07:{block_of(k, one)}:{block_of(60, bits(60))}")
+        drawn.append(f"06:{block_of(100, bits(100))}:{block_of(k2, two)}" if up else f"07:{block_of(k2, two)}:{block_of(60, bits(60))}")
+    fps = sorted({*drawn, *editsketch.fingerprints([t for _, t in rows])})
+    want, limits = brute_classes(fps, 0.8)
+    found = {r.id: r.root for r in editsketch.near_classes(spark.createDataFrame(list(enumerate(fps)), "id long, fp string"), 0.8, block).collect()}
+    got = {}
+    for i, f in enumerate(fps):
+        got.setdefault(found.get(i, i), []).append(f)
+    assert limits > 100 and Counter(tuple(sorted(c)) for c in got.values()) == want
+
+
+def test_edit_query_has_near_classes(spark):
+    rows = editsketch.op8_edit_fingerprints(spark, SF).collect()
+    assert len(rows) == table(spark, "documents").count()
+    fps = sorted({r.fingerprint for r in rows})
+    want, _ = brute_classes(fps, editsketch.NEAR)
+    of, least = {f: c for c in want for f in c}, {}
+    for r in rows:
+        least[of[r.fingerprint]] = min(least.get(of[r.fingerprint], r.doc_id), r.doc_id)
+    assert any(r.component_id != r.doc_id for r in rows) and all(r.component_id == least[of[r.fingerprint]] for r in rows)
+
+
 def test_long_texts_are_walked_whole(monkeypatch):
     rng = random.Random(8)
     phrases = ["".join(rng.choice("abcdefghij klmnop") for _ in range(20)) for _ in range(12)]
