@@ -12,8 +12,9 @@ anywhere else in the corpus, the same document included.
    suffix order with a common prefix of the full length are repeats.
 4. Repeated starts go back to all runs of an equal context, and documents are cut.
 
-Hashes with many different contexts are dealt by finer keys: ranges of the offset of the minimiser,
-and a hash of what all strings of such a range have in common, so no hash gathers in one task.
+Of hashes with over HOT_CONTEXTS different contexts, single strings are counted by a 128-bit hash
+instead. Such counts are summed before they are shuffled, and a join gives them back to their starts,
+so a task sorts HOT_CONTEXTS contexts of a hash at most, whatever the surroundings of a common passage.
 
 Defined results: null counts as empty; texts shorter than the length are kept whole; repeated rows
 are each other's repeats; several rows may share a doc_id; an empty table gives an empty result;
@@ -28,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillrun.llm.common import checkpointed, drop_stored, stored, table
@@ -39,8 +40,8 @@ GRAM = 160
 SEGMENT = 1 << 19
 #: Bytes of contexts whose suffixes are sorted together.
 SORTED_TOGETHER = 1 << 20
-#: Different contexts of a hash from which on finer keys deal them, and the offsets in one such key.
-HOT_CONTEXTS, OFFSETS = 512, 16
+#: Different contexts of a hash that are sorted together at most.
+HOT_CONTEXTS = 512
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _POSITION = np.uint64((1 << 20) - 1)
 
@@ -207,7 +208,8 @@ def _spans(marks: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _cut(length: int, gram: int):
-    """Rows (doc's text, its representatives) to pieces: (k0, k1, h, c, from, n, context)."""
+    """Rows (doc's text, its representatives) to pieces: (k0, k1, h, c, from, n, context), dealt by hash.
+    Of hot hashes each start is a piece without a context, dealt by 128 bits of its string."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -217,20 +219,13 @@ def _cut(length: int, gram: int):
                 data = t.encode("utf-8", "surrogatepass")
                 for r in reps:
                     h, c, p, n, d = (int(r[x]) for x in ("h", "c", "p", "n", "d"))
-                    if not r["hot"]:
+                    if r["hot"]:
+                        keys = np.frombuffer(b"".join(xxhash.xxh3_128_digest(data[i : i + length]) for i in range(p, p + n)), "<i8").reshape(-1, 2)
+                        out += [(k0, k1, h, c, i, 1, None) for i, (k0, k1) in enumerate(keys.tolist())]
+                        size += 100 * n
+                    else:
                         out.append((h, 0, h, c, 0, n, data[p : p + n + length - 1]))
                         size += n + length
-                        continue
-                    at = 0
-                    while at < n:  # starts whose minimiser's offset lies in one range
-                        low = (d - at) // OFFSETS
-                        to = min(n, d - low * OFFSETS + 1)
-                        # what all strings of the range have in common, wherever a run begins or ends
-                        q = p + d
-                        core = data[q - low * OFFSETS : q - low * OFFSETS + length - OFFSETS + 1]
-                        out.append((h ^ low + 1, np.uint64(xxhash.xxh3_64_intdigest(core)).astype(np.int64).item(), h, c, at, to - at, data[p + at : p + to + length - 1]))
-                        size += to - at + length
-                        at = to
                     if size > 1 << 23:
                         yield pd.DataFrame(out, columns=["k0", "k1", "h", "c", "a", "n", "context"])
                         out, size = [], 0
@@ -286,9 +281,16 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     reps = reps.groupBy("id", "key").agg(F.collect_list("rep").alias("reps"))
     pieces = texts.join(reps, ["id", "key"]).select("text", "reps")
     pieces = pieces.mapInPandas(_cut(length, gram), "k0 long, k1 long, h long, c long, a int, n int, context binary")
-    told = pieces.repartition("k0", "k1").sortWithinPartitions("k0", "k1").mapInPandas(_sort(length), "h long, c long, a int, b int")
+    pieces = stored(pieces)
+    told = pieces.where("context is not null").repartition("k0", "k1").sortWithinPartitions("k0", "k1").mapInPandas(_sort(length), "h long, c long, a int, b int")
+    singles = pieces.where("context is null").select("k0", "k1", "h", "c", "a")
+    again = singles.join(singles.groupBy("k0", "k1").agg(F.count(F.lit(1)).alias("t")).where("t > 1").select("k0", "k1"), ["k0", "k1"])
+    # starts in a row become one span; a context has no more starts than a minimiser's strings have offsets
+    island = (F.col("a") - F.row_number().over(Window.partitionBy("h", "c").orderBy("a"))).alias("i")
+    told = told.unionByName(again.select("h", "c", "a", island).groupBy("h", "c", "i").agg(F.min("a").alias("a"), (F.max("a") + 1).alias("b")).drop("i"))
     whole = contexts.where("copies > 1").select("h", "c", F.lit(0).alias("a"), F.col("n").alias("b"))
     marks = checkpointed(told.unionByName(whole).groupBy("h", "c").agg(F.collect_set(F.struct("a", "b")).alias("m")))
+    drop_stored(pieces)
     starts = likely.join(marks, ["h", "c"]).select("id", "key", F.transform("m", lambda m: F.struct((F.col("p") + m["a"]).alias("a"), (F.col("p") + m["b"]).alias("b"))).alias("s"))
     found = checkpointed(starts.groupBy("id", "key").agg(F.flatten(F.collect_list("s")).alias("spans")))
     drop_stored(likely)

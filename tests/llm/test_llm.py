@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -203,6 +204,23 @@ def test_repeats_equal_brute_force(spark, hot, monkeypatch):
     assert Counter(tuple(r)[1:] for r in got.collect()) == brute_repeats([(t or "").encode() for _, t in rows], 40)
 
 
+def test_common_passage_gathers_no_contexts(spark, monkeypatch):
+    """Passages a little longer than a string, with other surroundings in each text."""
+    rng = random.Random(12)
+    noise = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    passage = noise(44)
+    texts = [noise(60) + passage + noise(60) for _ in range(300)]
+    runs = pd.concat(suffixes._scan(40, 16)(iter([pd.DataFrame({"id": range(300), "key": 0, "text": texts})])))
+    shared = runs[runs["h"].isin([h for h, n in Counter(runs.drop_duplicates(["h", "c"])["h"]).items() if n > 1])]
+    reps = [[r | {"hot": True} for r in shared[shared["id"] == i].to_dict("records")] for i in range(300)]
+    pieces = pd.concat(suffixes._cut(40, 16)(iter([pd.DataFrame({"text": texts, "reps": reps})])))
+    held = pieces["context"].map(lambda c: 0 if c is None else len(c)).groupby([pieces["k0"], pieces["k1"]]).sum()
+    assert len(pieces) >= 300 and held.max() < 1000
+    monkeypatch.setattr(suffixes, "HOT_CONTEXTS", 16)
+    got = suffixes.dedup_report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 40, 16)
+    assert Counter(tuple(r)[1:] for r in got.collect()) == brute_repeats([t.encode() for t in texts], 40)
+
+
 def test_suffix_order_groups_equal_strings():
     rng = random.Random(3)
     for _ in range(150):
