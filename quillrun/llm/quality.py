@@ -4,12 +4,14 @@ A text becomes a vector of terms that tell of its make-up: shapes of words (lett
 marks kept), pairs of shapes, repeats of the word before, line make-up and word lengths. Latent
 directions are found by singular value decomposition of a bounded labelled sample; its latent
 vectors and labels are broadcast. Every document's vector is multiplied with all of them in blocks,
-exact cosines, and the nearest neighbours vote with weights that grow with similarity.
+exact cosines, and the nearest neighbours vote with weights that grow with similarity. Votes of a
+class of which the sample has a part count for the whole class, so that the mix of classes doesn't
+depend on the input's size.
 
 Labels of held-out rows are never read; language, source and id are never inputs.
 
-Defined results: a null or empty text has no terms, a zero vector, and gets the share of label 1 in
-the sample; repeated rows score alike; ties between neighbours go to those of smaller ids; an empty
+Defined results: a null or empty text has no terms, a zero vector, and gets the share of label 1 among
+all labels that may be read; repeated rows score alike; ties between neighbours go to those of smaller ids; an empty
 table gives an empty result; with no labelled rows every score is 0.5; other columns of the input
 are carried along.
 """
@@ -72,12 +74,13 @@ def terms_of(text: str) -> Counter:
 class Model:
     """terms: their columns; idf; the latent directions; the labelled vectors and labels."""
 
-    def __init__(self, rows: list[tuple[int, Counter]]):
+    def __init__(self, rows: list[tuple[int, Counter]], weights: list[float] | None = None):
         seen = Counter(t for _, c in rows for t in c)
         self.at = {t: i for i, (t, _) in enumerate(sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:TERMS])}
         self.idf = np.array([np.log((1 + len(rows)) / (1 + seen[t])) + 0.1 for t in self.at], np.float32)
         self.labels = np.array([y for y, _ in rows], np.float32)
-        self.prior = float(self.labels.mean()) if rows else 0.5
+        self.weights = np.ones(len(rows)) if weights is None else np.array(weights, np.float64)
+        self.prior = float(np.average(self.labels, weights=self.weights)) if rows else 0.5
         self.axes = np.zeros((len(self.at), 0), np.float32)
         if rows:
             x = self._matrix([c for _, c in rows])
@@ -104,7 +107,7 @@ class Model:
         cosines = self._latent(self._matrix(counts)) @ self.points.T
         k = min(NEIGHBOURS, cosines.shape[1])
         near = np.argpartition(-cosines, k - 1, axis=1)[:, :k]
-        weight = np.maximum(np.take_along_axis(cosines, near, axis=1), 0).astype(np.float64) ** SHARPNESS
+        weight = np.maximum(np.take_along_axis(cosines, near, axis=1), 0).astype(np.float64) ** SHARPNESS * self.weights[near]
         total = weight.sum(axis=1)
         return np.where(total > 1e-9, (weight * self.labels[near]).sum(axis=1) / np.maximum(total, 1e-9), self.prior)
 
@@ -113,11 +116,11 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             own = [terms_of(t) for t in pdf["text"]]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "label": pdf["label"], "t": [list(c) for c in own], "v": [[float(x) for x in c.values()] for c in own]})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "label": pdf["label"], "weight": pdf["weight"], "t": [list(c) for c in own], "v": [[float(x) for x in c.values()] for c in own]})
 
     sample = labelled_sample(docs, labels, "quality", per_class)
-    rows = sorted(sample.mapInPandas(read, "doc_id long, label int, t array<string>, v array<double>").collect(), key=lambda r: (r["doc_id"], r["t"]))  # at most 2 x per_class rows
-    return Model([(r["label"], Counter(dict(zip(r["t"], r["v"])))) for r in rows])
+    rows = sorted(sample.mapInPandas(read, "doc_id long, label int, weight double, t array<string>, v array<double>").collect(), key=lambda r: (r["doc_id"], r["t"]))  # at most 2 x per_class rows
+    return Model([(r["label"], Counter(dict(zip(r["t"], r["v"])))) for r in rows], [r["weight"] for r in rows])
 
 
 def scored(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:

@@ -140,16 +140,17 @@ def induce(sample: DataFrame, most: int = LEXICON) -> dict[str, float]:
     return {r["f"]: r["odds"] for r in top.collect()}
 
 
-def label_model(votes: np.ndarray, labels: np.ndarray, rounds: int = 25) -> np.ndarray:
-    """Posteriors of toxicity. Class means and a common covariance of the votes are re-estimated with
+def label_model(votes: np.ndarray, labels: np.ndarray, rounds: int = 25, weights: np.ndarray | None = None) -> np.ndarray:
+    """Posteriors of toxicity, of rows with weights. Class means and a common covariance of the votes are re-estimated with
     the posteriors; correlated voters share their weight through the inverse covariance."""
     trust = math.log(LABEL_TRUST / (1 - LABEL_TRUST)) * (2 * labels - 1)
-    p = 1 / (1 + np.exp(-trust))
+    p, n = 1 / (1 + np.exp(-trust)), np.ones(len(votes)) if weights is None else weights
     for _ in range(rounds):
-        a, b = p.sum() + 1e-9, (1 - p).sum() + 1e-9
-        high, low = p @ votes / a, (1 - p) @ votes / b
+        toxic, clean = n * p, n * (1 - p)
+        a, b = toxic.sum() + 1e-9, clean.sum() + 1e-9
+        high, low = toxic @ votes / a, clean @ votes / b
         x, y = votes - high, votes - low
-        cov = ((p[:, None] * x).T @ x + ((1 - p)[:, None] * y).T @ y) / len(votes) + 0.05 * np.eye(votes.shape[1])
+        cov = ((toxic[:, None] * x).T @ x + (clean[:, None] * y).T @ y) / n.sum() + 0.05 * np.eye(votes.shape[1])
         w = np.linalg.solve(cov, high - low)
         z = votes @ w - (high + low) @ w / 2 + math.log(a / b)
         p = 1 / (1 + np.exp(-(np.clip(z, -MOST_VOTE_ODDS, MOST_VOTE_ODDS) + trust)))
@@ -163,20 +164,21 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             own = [model.read(t) for t in pdf["text"]]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "label": pdf["label"], "votes": [v for v, _ in own], "found": [f for _, f in own]})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "label": pdf["label"], "weight": pdf["weight"], "votes": [v for v, _ in own], "found": [f for _, f in own]})
 
-    rows = sorted(sample.mapInPandas(read, "doc_id long, label int, votes array<int>, found array<int>").collect(), key=lambda r: r["doc_id"])  # at most 2 x per_class rows
+    rows = sorted(sample.mapInPandas(read, "doc_id long, label int, weight double, votes array<int>, found array<int>").collect(), key=lambda r: r["doc_id"])  # at most 2 x per_class rows
     if {r["label"] for r in rows} != {0, 1}:
         return model
     votes, y = np.array([r["votes"] for r in rows], float), np.array([r["label"] for r in rows], float)
-    p = label_model(votes, y)
+    n = np.array([r["weight"] for r in rows], float)
+    p = label_model(votes, y, weights=n)
     doc = np.repeat(np.arange(len(rows)), [len(r["found"]) for r in rows])
     entry = np.array([i for r in rows for i in r["found"]], int)
     vw, ew, bias = np.zeros(votes.shape[1]), np.zeros(len(model.at)), 0.0
     gv, ge, gb = np.full(len(vw), 1e-8), np.full(len(ew), 1e-8), 1e-8
     for _ in range(STEPS):  # full-batch AdaGrad on the cross-entropy with the posteriors
         z = votes @ vw + np.bincount(doc, ew[entry], len(rows)) + bias
-        off = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - p) / len(rows)
+        off = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - p) * n / n.sum()
         dv, de, db = off @ votes + 1e-4 * vw, np.bincount(entry, off[doc], len(ew)) + 1e-4 * ew, off.sum()
         gv, ge, gb = gv + dv**2, ge + de**2, gb + db**2
         vw, ew, bias = vw - 0.3 * dv / np.sqrt(gv), ew - 0.3 * de / np.sqrt(ge), bias - 0.3 * db / math.sqrt(gb)

@@ -108,6 +108,26 @@ def test_label_model_trusts_agreeing_voters():
 # --- 2: SimHash
 
 
+def test_sample_keeps_the_mix_of_classes(spark):
+    rng = random.Random(15)
+    texts = [" ".join(rng.choice(["word", "of", "text,", "so", "many."]) for _ in range(30)) for _ in range(420)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 7 > 0), int(i % 7 > 0)) for i in range(420)], "doc_id long, quality int, toxic int")
+    share = labels.where(~quality.held_out(F.col("doc_id"))).agg(F.avg("quality")).first()[0]
+    model = quality.fit(docs, labels, 40)  # 40 rows of each class, where whole texts tell nothing of it
+    assert abs(model.prior - share) < 1e-9
+    assert abs(np.mean(model.score([quality.terms_of(t) for t in texts])) - share) < 0.1
+    few = toxicity.fit(docs, labels, 40)
+    assert abs(np.mean([few.score(t) for t in texts]) - share) < 0.1
+
+
+def test_label_model_counts_weights_as_repeats():
+    rng = np.random.default_rng(4)
+    votes, y, n = rng.integers(-1, 2, (60, 5)).astype(float), rng.integers(0, 2, 60).astype(float), rng.integers(1, 4, 60)
+    got = toxicity.label_model(votes, y, weights=n.astype(float))
+    assert np.allclose(np.repeat(got, n), toxicity.label_model(np.repeat(votes, n, axis=0), np.repeat(y, n)))
+
+
 def test_fingerprint_by_definition():
     for text in ("A b c d B", "one two", "", None, "x y z x y z"):
         words = re.findall(r"[^\x20\x09-\x0D]+", (text or "").lower())
