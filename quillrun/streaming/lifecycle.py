@@ -37,15 +37,24 @@ def advance(state: tuple[int, int], kind: str, restart: bool = False) -> tuple[i
     return attempts + 1, errors + (kind == "error")
 
 
+def earliest(parts: Iterator[pd.DataFrame], most: int = MAX_POLLS) -> pd.DataFrame:
+    """The first rows by time, then number; no more than these and one part are held."""
+    held = None
+    for part in parts:
+        held = (part if held is None else pd.concat([held, part])).sort_values(["ts", "seq"])[:most].copy()
+    return held
+
+
 def poll_stream(polls: DataFrame, restart: bool = False) -> DataFrame:
     """(job, attempts, errors, outcome) after each batch, from a stream of polls.
 
-    Within a batch the polls of a job are taken by time, then number.
+    Within a batch the polls of a job are taken by time, then number. No more than MAX_POLLS count, so
+    only the earliest are held of a batch; where restarts count, the whole batch of a job is.
     """
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         now = tuple(state.get) if state.exists else (0, 0)
-        rows = pd.concat(list(parts)).sort_values(["ts", "seq"])
+        rows = pd.concat(list(parts)).sort_values(["ts", "seq"]) if restart else earliest(parts)
         for kind in rows["kind"]:
             now = advance(now, kind, restart)
         state.update(now)

@@ -1,6 +1,9 @@
+import gc
 import io
+import weakref
 import zipfile
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -83,6 +86,33 @@ def test_a_new_upload_clears_the_poll(spark, tmp_path):
     assert lifecycle.run_to_end(lifecycle.poll_stream(stream), str(tmp_path / "out2")).collect()[0][1:] == (3, 3, "stopped")
 
 
+def test_poll_stream_holds_the_earliest_polls_only(spark, tmp_path):
+    alive, most = weakref.WeakSet(), []
+
+    class Part(pd.DataFrame):
+        pass
+
+    def parts():
+        for k in reversed(range(50)):
+            part = Part({"ts": range(100 * k, 100 * k + 100), "seq": 0, "kind": "poll"})
+            alive.add(part._mgr)
+            yield part
+            del part
+            gc.collect()
+            most.append(len(alive))
+
+    assert lifecycle.earliest(parts())["ts"].tolist() == list(range(lifecycle.MAX_POLLS)) and max(most) <= 2
+    rows = [(1, i, i, "error" if i in (70, 71, 72) or i == 5 else "poll") for i in range(3000)] + [(2, i, i, "error" if i % 2 else "poll") for i in range(3000)]
+    spark.createDataFrame(rows, "job long, ts long, seq long, kind string").repartition(3).write.parquet(str(tmp_path / "in"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 100)
+    try:
+        stream = spark.readStream.schema("job long, ts long, seq long, kind string").parquet(str(tmp_path / "in"))
+        got = {r.job: tuple(r)[1:] for r in lifecycle.run_to_end(lifecycle.poll_stream(stream), str(tmp_path / "out")).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == {1: (60, 1, "timeout"), 2: (6, 3, "stopped")}
+
+
 def test_status_stream(spark, tmp_path):
     rows = [(1, i, s) for i, s in enumerate(["P100", "P200", "S100", "P300", "S100", "S200"])]
     spark.createDataFrame([(j, i, i, s) for j, i, s in rows], "job long, ts long, seq long, status string").write.parquet(str(tmp_path / "in"))
