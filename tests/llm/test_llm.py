@@ -77,12 +77,13 @@ def test_held_out_ranking(spark, query, label, least):
     assert good and bad and np.mean([(a > b) + 0.5 * (a == b) for a in good for b in bad]) >= least
 
 
-def test_labels_of_held_out_rows_are_not_read(spark):
+@pytest.mark.parametrize("module,label", [(quality, "quality"), (toxicity, "toxic")])
+def test_labels_of_held_out_rows_are_not_read(spark, module, label):
     docs, labels = table(spark, "documents"), table(spark, "labels")
     from quillrun.llm.common import held_out
 
-    turned = labels.withColumn("quality", F.when(held_out(F.col("doc_id")), 1 - F.col("quality")).otherwise(F.col("quality")))
-    one, other = (quality.scored(docs, quality.fit(docs, x)).select("doc_id", "score") for x in (labels, turned))
+    turned = labels.withColumn(label, F.when(held_out(F.col("doc_id")), 1 - F.col(label)).otherwise(F.col(label)))
+    one, other = (module.scored(docs, module.fit(docs, x)).select("doc_id", "score") for x in (labels, turned))
     assert one.exceptAll(other).count() == 0
 
 
@@ -101,10 +102,39 @@ def test_label_model_trusts_agreeing_voters():
     y = rng.integers(0, 2, 600)
     good = np.where(rng.random((600, 3)) < 0.9, y[:, None], 1 - y[:, None])
     votes = np.column_stack([good, good[:, 0], rng.integers(0, 2, 600)]) * 2.0 - 1
-    p = toxicity.label_model(votes, y.astype(float))
+    p, _ = toxicity.label_model(votes, y.astype(float), np.ones(600))
     assert ((p > 0.5) == y).mean() > 0.97
 
 
+def test_voters_overrule_wrong_labels():
+    rng = np.random.default_rng(7)
+    y = rng.integers(0, 2, 4000)
+    votes = np.where(rng.random((4000, 6)) < 0.85, y[:, None], 1 - y[:, None]) * 2.0 - 1
+    wrong = rng.random(4000) < 0.1
+    labels = np.where(wrong, 1 - y, y).astype(float)
+    labels[2000:] = np.nan  # unlabelled rows count too
+    p, told = toxicity.label_model(votes, labels, np.ones(4000))
+    assert ((p > 0.5) == y)[:2000][wrong[:2000]].mean() > 0.75 and ((p > 0.5) == y)[2000:].mean() > 0.93
+    assert abs(told["label right when toxic"] - 0.9) < 0.03 and abs(told["label right when clean"] - 0.9) < 0.03
+
+
+def test_label_model_without_labels():
+    rng = np.random.default_rng(8)
+    y = (rng.random(3000) < 0.2).astype(int)
+    votes = np.where(rng.random((3000, 8)) < 0.85, y[:, None], 1 - y[:, None]) * 2.0 - 1
+    p, told = toxicity.label_model(votes, np.full(3000, np.nan), np.ones(3000))
+    assert ((p > 0.5) == y).mean() > 0.95 and abs(told["toxic share"] - 0.2) < 0.03
+
+
+def test_sample_takes_one_row_of_an_id(spark):
+    from quillrun.llm.labels import labelled_sample
+
+    docs = spark.createDataFrame([(i % 20, f"text {i}") for i in range(200)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(20)] * 2, "doc_id long, quality int, toxic int")
+    got = labelled_sample(docs, labels, "quality", 5).collect()
+    assert len(got) == len({r.doc_id for r in got}) == 10
+
+
 # --- 2: SimHash
 
 
@@ -124,8 +154,8 @@ def test_sample_keeps_the_mix_of_classes(spark):
 def test_label_model_counts_weights_as_repeats():
     rng = np.random.default_rng(4)
     votes, y, n = rng.integers(-1, 2, (60, 5)).astype(float), rng.integers(0, 2, 60).astype(float), rng.integers(1, 4, 60)
-    got = toxicity.label_model(votes, y, weights=n.astype(float))
-    assert np.allclose(np.repeat(got, n), toxicity.label_model(np.repeat(votes, n, axis=0), np.repeat(y, n)))
+    got, _ = toxicity.label_model(votes, y, n.astype(float))
+    assert np.allclose(np.repeat(got, n), toxicity.label_model(np.repeat(votes, n, axis=0), np.repeat(y, n), np.ones(n.sum()))[0])
 
 
 def test_fingerprint_by_definition():
