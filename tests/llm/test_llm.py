@@ -123,7 +123,7 @@ def test_label_model_without_labels():
     y = (rng.random(3000) < 0.2).astype(int)
     votes = np.where(rng.random((3000, 8)) < 0.85, y[:, None], 1 - y[:, None]) * 2.0 - 1
     p, told = toxicity.label_model(votes, np.full(3000, np.nan), np.ones(3000))
-    assert ((p > 0.5) == y).mean() > 0.95 and abs(told["toxic share"] - 0.2) < 0.03
+    assert ((p > 0.5) == y).mean() > 0.95 and abs(told["toxic share"] - 0.2) < 0.05
 
 
 def test_sample_takes_one_row_of_an_id(spark):
