@@ -1,30 +1,38 @@
 """Mixing sources to target weights by iterative proportional fitting.
 
 Token counts are summed by cell (source, language, topic). Raking scales the cells in turn so that
-their sums meet the target share of each source, then language, then topic, and repeats. A document
-carries its cell's weight, 1 on average over the tokens, and is sampled with the probability rate x
-weight, 1 at most. Its residual, weight / probability, makes up for what that cap takes: the tokens
-of the sample, times their residuals, are expected to meet the targets. Without a rate the largest
-weight gets probability one, no cap holds and all residuals are equal. Draws are hashes of seed and id, alike on every run and every partitioning. Only built-in functions
-run; the cells stay a table, and what reaches the driver is one factor for each value of a marginal.
+their sums meet the target share of each source, then language, then topic, and repeats until no cell
+changes, ROUNDS times at most. A document carries its cell's weight, 1 on average over the tokens, and
+is sampled with the probability rate x weight, 1 at most. Its residual, weight / probability, makes up
+for what that cap takes: the tokens of the sample, times their residuals, are expected to meet the
+targets. Without a rate the largest weight gets probability one, no cap holds and all residuals are
+equal. Draws are hashes of seed and id, alike on every run and every partitioning.
+
+A topic is what the caller gives as such. Without one it is a group of words by form, the commonest
+among the TOPICS groups of a text's long words: it stands in for a topic, and tells nothing of meaning.
+Only built-in functions run; cells and factors stay tables, of which the driver sees sums alone.
 
 Defined results: null sources, languages and texts form categories of their own ('' for the name);
-documents without tokens count as none but are sampled like their cell; repeated rows and ties are
-drawn together, as the draw depends on the id alone; an empty table gives an empty result; other
-columns are carried along, but for those named like added ones. A target is a share for each value, or an exponent: then shares follow
-the token counts to that power (0: even, 1: as they are, also without a target). Targets for values
-that are absent are let fall, and shares are rescaled to sum to one. Targets that contradict each
-other (a topic found in one language alone) can't all be met; the last raked, topics, then is.
+so do texts without long words; documents without tokens count as none but are sampled like their cell;
+repeated rows and ties are drawn together, as the draw depends on the id alone; an empty table gives an
+empty result; other columns are carried along, but for those named like added ones. A target is a share
+for each value, or an exponent: then shares follow the token counts to that power (0: even, 1: as they
+are, also without a target). Values that a target doesn't name keep their own share of the tokens, and
+those it names share the rest; names that are absent are let fall. Targets that contradict each other (a
+topic found in one language alone) can't all be met; the last raked, topics, then is.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillrun.llm.common import checkpointed, table
 
-ROUNDS = 12
+#: Rounds of raking at most, and the relative change of a cell below which it ends.
+ROUNDS, SETTLED = 12, 1e-12
+#: Cells up to which one partition holds them while they are raked.
+FEW_CELLS = 100_000
 #: The part of all tokens that a sample keeps where no cap holds.
 RATE = 0.5
 MARGINALS = ("source", "lang", "topic")
@@ -55,49 +63,66 @@ def topic_of(letters: Column, topics: int = TOPICS) -> Column:
     return F.coalesce((-most).cast("string"), F.lit("-1"))
 
 
-def described(docs: DataFrame) -> DataFrame:
+def described(docs: DataFrame, topic: Column | None = None) -> DataFrame:
     """docs with their categories and token counts: _source, _lang, _topic, _tokens."""
     docs = docs.drop("_source", "_lang", "_topic", "_tokens", "_w", "_g")
     rows = docs.withColumn("_w", _words(F.col("text"))).withColumn("_g", _letters(F.col("_w"), TOPICS))
     name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) if c in docs.columns else F.lit("")
-    return rows.select(*docs.columns, name("source").alias("_source"), name("lang").alias("_lang"), topic_of(F.col("_g")).alias("_topic"), F.size("_w").cast("long").alias("_tokens"))
+    own = topic_of(F.col("_g")) if topic is None else F.coalesce(topic.cast("string"), F.lit(""))
+    return rows.select(*docs.columns, name("source").alias("_source"), name("lang").alias("_lang"), own.alias("_topic"), F.size("_w").cast("long").alias("_tokens"))
 
 
 Target = dict[str, float] | float
 
 
-def _targets(present: dict[str, int], wanted: Target) -> dict[str, float]:
-    shares = {v: float(wanted.get(v, 0.0)) if isinstance(wanted, dict) else float(n) ** wanted for v, n in present.items()}
-    total = sum(shares.values())
-    if present and total <= 0:
-        raise ValueError("no target is above zero for a value that is present")
-    return {v: s / total for v, s in shares.items()}
-
-
-def _lookup(values: dict[str, float], key: Column) -> Column:
-    return F.element_at(F.create_map(*(F.lit(x) for kv in values.items() for x in kv)), key) if values else F.lit(1.0)
+def shares(positive: DataFrame, m: str, wanted: Target) -> DataFrame:
+    """(m, share) of each value of a marginal that has tokens; shares sum to one."""
+    n = positive.groupBy(m).agg(F.sum("tokens").cast("double").alias("n"))
+    total = positive.agg(F.sum("tokens")).first()[0] or 0
+    if not isinstance(wanted, dict):
+        n = n.withColumn("x", F.pow("n", F.lit(float(wanted))))
+        return n.select(m, (F.col("x") / F.lit(float(n.agg(F.sum("x")).first()[0] or 1.0))).alias("share"))
+    listed = n.sparkSession.createDataFrame([(k, float(v)) for k, v in wanted.items()], f"{m} string, v double")
+    n = n.join(F.broadcast(listed), m, "left")  # a target is an argument, and as long as its caller wrote it
+    given, known = n.agg(F.sum("v"), F.sum(F.when(F.col("v").isNotNull(), F.col("n")))).first()
+    if given is not None and given <= 0:
+        raise ValueError(f"no target of {m} is above zero for a value that is present")
+    return n.select(m, F.when(F.col("v").isNull(), F.col("n") / float(total or 1)).otherwise(F.col("v") / float(given or 1) * (float(known or 0) / float(total or 1))).alias("share"))
 
 
 def rake(cells: DataFrame, targets: dict[str, Target], rounds: int = ROUNDS) -> DataFrame:
     """cells (source, lang, topic, tokens) with factor, each sum of tokens x factor over a marginal
-    near its target share. ``cells`` should be checkpointed; every half step is one aggregate of it.
+    near its target share. A half step sums the cells by a marginal and scales each by its sum; a round
+    is checkpointed. FEW_CELLS are held in one partition, where sums need no shuffle; of more, sums are
+    taken by partial aggregation and joined back, so no value's cells gather. ``cells`` should be
+    checkpointed.
     """
-    positive, factors, shares = cells.where("tokens > 0"), {}, {}
-    for m in MARGINALS:
-        shares[m] = _targets({r[m]: r["n"] for r in positive.groupBy(m).agg(F.sum("tokens").alias("n")).orderBy(m).collect()}, targets.get(m, 1.0))
-        factors[m] = dict.fromkeys(shares[m], 1.0)
+    wanted = {m: checkpointed(shares(cells.where("tokens > 0"), m, targets.get(m, 1.0))) for m in MARGINALS}
+    now, few = cells.where("tokens > 0").withColumn("factor", F.lit(1.0)), cells.count() <= FEW_CELLS
+    for m in MARGINALS if few else ():  # a value of a marginal has a cell at least, so shares are as few
+        now = now.join(F.broadcast(wanted[m].withColumnRenamed("share", f"share_{m}")), m)
+    now = checkpointed(now.coalesce(1)) if few else now
     for _ in range(rounds):
+        now = now.withColumn("before", F.col("factor"))
         for m in MARGINALS:
-            others = [_lookup(factors[o], F.col(o)) for o in MARGINALS if o != m]
-            sums = {r[m]: r["s"] for r in positive.groupBy(m).agg(F.sum(F.col("tokens") * others[0] * others[1]).alias("s")).collect()}
-            factors[m] = {v: shares[m][v] / sums[v] if sums[v] > 0 else 0.0 for v in shares[m]}
-    factor = _lookup(factors["source"], F.col("source")) * _lookup(factors["lang"], F.col("lang")) * _lookup(factors["topic"], F.col("topic"))
-    return cells.withColumn("factor", F.coalesce(factor, F.lit(0.0)))
-
-
-def mixed(docs: DataFrame, targets: dict[str, Target], rate: float | None = RATE, rounds: int = ROUNDS, seed: str = SEED) -> DataFrame:
+            own = F.col("tokens") * F.col("factor")
+            if few:
+                now = now.withColumn("s", F.sum(own).over(Window.partitionBy(m)))
+            else:
+                now = now.join(now.groupBy(m).agg(F.sum(own).alias("s")).join(wanted[m].withColumnRenamed("share", f"share_{m}"), m), m)
+            now = now.withColumn("factor", F.when(F.col("s") > 0, F.col("factor") * F.col(f"share_{m}") / F.col("s")).otherwise(0.0)).drop("s")
+            now = now if few else now.drop(f"share_{m}")
+        now = checkpointed(now)
+        change = now.agg(F.max(F.abs(F.col("factor") - F.col("before")) / F.greatest("factor", "before"))).first()[0]
+        now = now.drop("before")
+        if change is None or change <= SETTLED:
+            break
+    return cells.join(now.select(*MARGINALS, "factor"), list(MARGINALS), "left").withColumn("factor", F.coalesce("factor", F.lit(0.0)))
+
+
+def mixed(docs: DataFrame, targets: dict[str, Target], rate: float | None = RATE, rounds: int = ROUNDS, seed: str = SEED, topic: Column | None = None) -> DataFrame:
     """docs with _source, _lang, _topic, _tokens, weight, probability, residual and sampled."""
-    return weighed(described(docs.drop("weight", "probability", "residual", "sampled")), targets, rate, rounds, seed)
+    return weighed(described(docs.drop("weight", "probability", "residual", "sampled"), topic), targets, rate, rounds, seed)
 
 
 def weighed(rows: DataFrame, targets: dict[str, Target], rate: float | None = RATE, rounds: int = ROUNDS, seed: str = SEED) -> DataFrame:
@@ -133,14 +158,15 @@ def _sql(rounds: int = ROUNDS) -> str:
             steps.append(f"{new} AS MATERIALIZED (SELECT source, lang, topic, tokens, CASE WHEN s > 0 THEN factor * share / s ELSE 0 END factor FROM (SELECT *, sum(tokens * factor) OVER (PARTITION BY {m}) s FROM {name}) JOIN t_{m} USING ({m}))")
             name = new
     given = " ".join(f"WHEN '{k}' THEN {v}" for k, v in TARGETS["lang"].items())
-    share = {"source": f"pow(sum(tokens), {TARGETS['source']})", "topic": "sum(tokens)", "lang": f"CASE lang {given} ELSE 0.0 END::DOUBLE"}
-    marginals = ",\n".join(f"t_{m} AS (SELECT {m}, x / sum(x) OVER () share FROM (SELECT {m}, {share[m]} x FROM f0 GROUP BY {m}))" for m in MARGINALS)
+    share = {"source": f"pow(n, {TARGETS['source']})", "topic": "n"}
+    marginals = ",\n".join(f"t_{m} AS (SELECT {m}, x / sum(x) OVER () share FROM (SELECT {m}, {x} x FROM (SELECT {m}, sum(tokens) n FROM f0 GROUP BY {m})))" for m, x in share.items())
     return f"""
 WITH w AS (SELECT doc_id, coalesce(source, '') source, coalesce(lang, '') lang, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') ws FROM documents),
 g AS (SELECT doc_id, source, lang, len(ws)::BIGINT tokens, list_transform(list_filter(ws, lambda x: length(x) >= {LONG_WORD}), lambda w: {first}) g FROM w),
 d AS (SELECT doc_id, source, lang, tokens, CASE WHEN len(g) = 0 THEN '-1' ELSE (list_position([{counts}], list_max([{counts}])) - 1)::VARCHAR END topic FROM g),
 f0 AS MATERIALIZED (SELECT source, lang, topic, sum(tokens)::DOUBLE tokens, 1.0::DOUBLE factor FROM d GROUP BY ALL HAVING sum(tokens) > 0),
 {marginals},
+t_lang AS (SELECT lang, CASE WHEN v IS NULL THEN n / sum(n) OVER () ELSE v / sum(v) OVER () * (sum(CASE WHEN v IS NOT NULL THEN n END) OVER () / sum(n) OVER ()) END share FROM (SELECT lang, n, (CASE lang {given} END)::DOUBLE v FROM (SELECT lang, sum(tokens) n FROM f0 GROUP BY lang))),
 {", ".join(steps)},
 known AS (SELECT source, lang, topic, round(factor * (SELECT sum(tokens) FROM f0), 6) weight, round(least(1.0, factor * (SELECT {RATE} * sum(tokens) FROM f0)), 6) probability FROM {name})
 SELECT doc_id, topic, tokens n_tokens, coalesce(weight, 0) weight, coalesce(probability, 0) probability, CASE WHEN probability > 0 THEN round(weight / probability, 6) ELSE 0 END residual,

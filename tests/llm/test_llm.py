@@ -224,6 +224,37 @@ def test_mixing_awkward_rows(spark, awkward):
     assert mixing.mixed(awkward.limit(0), {}).count() == 0
 
 
+def test_values_that_no_target_names_keep_their_share(spark):
+    rows = [(i, "word " * 10, lang, "a", 1) for i, lang in enumerate(["en"] * 60 + ["de"] * 20 + ["it"] * 15 + [None] * 5)]
+    got = mixing.mixed(spark.createDataFrame(rows, DOC), {"lang": {"en": 0.5, "de": 0.5, "zz": 3.0}}, None).collect()
+    weight = {(r._lang): r.weight for r in got}
+    assert weight == {"en": round(0.4 / 0.6, 6), "de": 2.0, "it": 1.0, "": 1.0} and all(r.probability > 0 for r in got)
+
+
+def test_topics_of_the_caller(spark):
+    docs = spark.createDataFrame([(i, "some words", "en", "a", 1, f"t{i % 3}" if i % 10 else None) for i in range(60)], DOC + ", subject string")
+    got = mixing.mixed(docs, {"topic": {"t0": 0.5, "t1": 0.25, "t2": 0.25}}, topic=F.col("subject")).collect()
+    total = sum(r._tokens for r in got)
+    shares = {t: round(sum(r._tokens * r.weight for r in got if r._topic == t) / total, 4) for t in ("t0", "t1", "t2", "")}
+    assert shares == {"t0": 0.45, "t1": 0.225, "t2": 0.225, "": 0.1}
+
+
+@pytest.mark.parametrize("few", [100_000, 0])
+def test_few_and_many_cells_are_raked_alike(spark, monkeypatch, few):
+    monkeypatch.setattr(mixing, "FEW_CELLS", few)
+    cells = spark.createDataFrame([(s, l, t, 1 + len(s) * k + k * k % 7) for k, (s, l, t) in enumerate((s, l, t) for s in "abc" for l in "xy" for t in "01")], "source string, lang string, topic string, tokens long")
+    got = mixing.rake(cells, {"source": 0.0, "lang": {"x": 0.7, "y": 0.3}}, 4).collect()
+    assert abs(sum(r.tokens * r.factor for r in got if r.lang == "x") - 0.7) < 1e-3
+    assert all(abs(sum(r.tokens * r.factor for r in got if r.source == s) - 1 / 3) < 1e-3 for s in "abc")
+
+
+def test_draws_meet_the_rate_and_repeat(spark):
+    docs = table(spark, "documents")
+    one, other = (sorted((r.doc_id, r.sampled) for r in mixing.mixed(d, mixing.TARGETS).collect()) for d in (docs, docs.repartition(7)))
+    rows = mixing.mixed(docs, mixing.TARGETS).collect()
+    assert one == other and abs(sum(r.sampled for r in rows) - sum(r.probability for r in rows)) < 4 * sum(r.probability * (1 - r.probability) for r in rows) ** 0.5
+
+
 # --- 4: suffix array
 
 
