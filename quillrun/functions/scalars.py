@@ -44,6 +44,11 @@ def to_day(value: Column) -> Column:
     return F.coalesce(*(F.try_to_date(F.trim(value), f) for f in DATE_FORMATS))
 
 
+def to_time(value: Column) -> Column:
+    """An entity's timestamp from its string, ISO 8601 with or without zone or time; null where it isn't one."""
+    return F.try_to_timestamp(F.trim(value))
+
+
 def to_flag(value: Column) -> Column:
     return F.trim(value).try_cast("boolean")
 

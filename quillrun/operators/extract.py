@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import islice
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillrun.functions.scalars import typed
@@ -31,22 +32,30 @@ def extract_by_rules(pages: DataFrame, rules: dict[str, str] = RULES) -> DataFra
 
 def extract(chunks: DataFrame, provider: Provider, max_in_flight: int = MAX_IN_FLIGHT, batch: int = 16) -> DataFrame:
     """(doc_id, chunk_id, page, key, value, error) from a provider, at most ``max_in_flight`` calls at
-    once: the stage has so many tasks, each with one call at a time. An error is a row with a message.
+    once: the stage has so many tasks, each with one call at a time. An error is a row with a message; a
+    text without values and error is a row without key. A call that fails is repeated text by text.
 
     A call may cost money and differ when repeated: write or checkpoint the result before using it twice.
     """
 
+    def asked(texts: list[str]) -> list[tuple[list[tuple[str, str]], str | None]]:
+        try:
+            answers = list(provider(texts))
+            if len(answers) == len(texts):
+                return answers
+            failed = f"{len(answers)} answers to {len(texts)} texts"
+        except Exception as error:  # a provider's failure is a result, not the job's end
+            failed = f"{type(error).__name__}: {error}"
+        # one bad text doesn't fail the others of its call
+        return [([], failed)] if len(texts) == 1 else [asked([t])[0] for t in texts]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for at in range(0, len(pdf), batch):
                 part, rows = pdf.iloc[at : at + batch], []
-                try:
-                    answers = provider(part["text"].tolist())
-                except Exception as failed:  # a provider's failure is a result, not the job's end
-                    answers = [([], f"{type(failed).__name__}: {failed}")] * len(part)
-                for (doc, chunk, page), (values, error) in zip(part[["doc_id", "chunk_id", "page_from"]].itertuples(index=False), answers):
+                for (doc, chunk, page), (values, error) in zip(part[["doc_id", "chunk_id", "page_from"]].itertuples(index=False), asked(part["text"].tolist())):
                     rows += [(doc, chunk, page, k, v, None) for k, v in values]
-                    if error is not None:
+                    if error is not None or not values:
                         rows.append((doc, chunk, page, None, None, error))
                 yield pd.DataFrame(rows, columns=["doc_id", "chunk_id", "page", "key", "value", "error"])
 
@@ -54,20 +63,39 @@ def extract(chunks: DataFrame, provider: Provider, max_in_flight: int = MAX_IN_F
     return source.mapInPandas(run, "doc_id long, chunk_id int, page int, key string, value string, error string")
 
 
-def recognise(files: DataFrame, provider: Callable[[list[bytes]], list[list[str]]]) -> DataFrame:
-    """(path, page, text, error): text of each page of files with a binary ``content``."""
+PAGE = "text string, tables array<array<array<string>>>, layout array<struct<kind:string,text:string>>"
+
+
+def recognise(files: DataFrame, provider: Callable[[bytes], list]) -> DataFrame:
+    """(path, page, text, tables, layout, error): the pages of files with a binary ``content``.
+
+    A page is its text, or a dictionary with text, tables (rows of cells) and layout (kind and text
+    of each block in reading order). A file that can't be read is one page with an error.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
             for path, content in zip(pdf["path"], pdf["content"]):
                 try:
-                    rows += [(path, i, text, None) for i, text in enumerate(provider([bytes(content)])[0])]
+                    for i, page in enumerate(provider(bytes(content))):
+                        page = page if isinstance(page, dict) else {"text": page}
+                        layout = [{"kind": k, "text": t} for k, t in page.get("layout", [])]
+                        rows.append((path, i, page.get("text"), page.get("tables", []), layout, None))
                 except Exception as failed:
-                    rows.append((path, 0, None, f"{type(failed).__name__}: {failed}"))
-            yield pd.DataFrame(rows, columns=["path", "page", "text", "error"])
+                    rows.append((path, 0, None, [], [], f"{type(failed).__name__}: {failed}"))
+            yield pd.DataFrame(rows, columns=["path", "page", "text", "tables", "layout", "error"])
 
-    return files.select("path", "content").mapInPandas(run, "path string, page int, text string, error string")
+    return files.select("path", "content").mapInPandas(run, f"path string, page int, {PAGE}, error string")
+
+
+def html_tables(pages: DataFrame) -> DataFrame:
+    """(page_id, table, row, cells): the cells of every table row of raw web pages, numbered from 0."""
+    bare = lambda c: F.trim(F.regexp_replace(F.regexp_replace(c, r"(?s)<[^>]+>", " "), r"[\x20\x09-\x0D]+", " "))
+    tables = pages.select("page_id", F.posexplode(F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(r"(?is)<table[ >].*?</table>"), F.lit(0))).alias("table", "t"))
+    rows = tables.select("page_id", "table", F.posexplode(F.regexp_extract_all("t", F.lit(r"(?is)<tr[ >].*?</tr>"), F.lit(0))).alias("row", "r"))
+    cells = F.transform(F.regexp_extract_all("r", F.lit(r"(?is)<t[dh][ >].*?</t[dh]>"), F.lit(0)), bare)
+    return rows.select("page_id", "table", "row", cells.alias("cells"))
 
 
 def html_layout(pages: DataFrame) -> DataFrame:
@@ -125,14 +153,34 @@ def locate(merged: DataFrame, pages: DataFrame) -> DataFrame:
     return merged.join(at, ["doc_id", "page"]).select("doc_id", "key", "value", "page", F.expr("instr(text, value)").cast("long").alias("offset"))
 
 
-def mentions(items: DataFrame, docs: DataFrame, words: int = 6) -> DataFrame:
-    """(item_id, doc_id, offset): where items' texts stand in documents. Documents are matched on their
-    word windows, as a join of equal keys, before the text is looked for."""
-    split = lambda c: F.array_remove(F.split(c, r"[\x20\x09-\x0D]+", -1), "")
-    keyed = items.select("item_id", F.col("text").alias("item"), split(F.col("text")).alias("w")).where(F.size("w") >= words + 2).select("item_id", "item", F.xxhash64(F.slice("w", 2, words)).alias("k"))
-    starts = F.when(F.size("w") >= words, F.sequence(F.lit(1), F.size("w") - words + 1))
-    w = docs.select("doc_id", "text", split(F.col("text")).alias("w")).select("doc_id", "text", F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.slice("w", i, words)))).alias("ks"))
-    found = w.select("doc_id", F.explode_outer("ks").alias("k"), "text").join(keyed, "k").where(F.expr("instr(text, item) > 0"))
-    return found.select("item_id", "doc_id", F.expr("instr(text, item)").cast("long").alias("offset")).distinct()
-
+def mentions(items: DataFrame, docs: DataFrame, words: int = 6, block: int = 200) -> DataFrame:
+    """(item_id, doc_id, offset): where items' texts stand in documents, whole words or not.
 
+    The words within an item, but for its first and last, are whole words wherever it stands. Up to
+    ``words`` of them in a row are its key; documents are joined on the windows of the sizes that keys
+    have, by hashes alone, and texts are looked at for the candidates only. Items of one or two words
+    have no such key: they are a query set that every document is searched for, ``block`` at a time.
+    Empty items and rows without ids have no mentions.
+    """
+    split = lambda c: F.array_remove(F.split(c, r"[\x20\x09-\x0D]+", -1), "")
+    own = items.where((F.length("text") > 0) & F.col("item_id").isNotNull()).select("item_id", F.col("text").alias("item"), split(F.col("text")).alias("w")).distinct()
+    size = F.least(F.size("w") - 2, F.lit(words))
+    keyed = own.where(F.size("w") > 2).select("item_id", "item", size.alias("n"), F.xxhash64(size, F.slice("w", F.lit(2), size)).alias("k"))
+    sizes = sorted(r["n"] for r in keyed.select("n").distinct().collect())  # ``words`` values at most
+
+    def windows(w: Column, n: int) -> Column:
+        starts = F.when(F.size(w) >= n, F.sequence(F.lit(1), F.size(w) - n + 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.xxhash64(F.lit(n), F.slice(w, i, n)))
+
+    found = docs.sparkSession.createDataFrame([], items.select("item_id").schema.add("doc_id", docs.schema["doc_id"].dataType).add("offset", "long"))
+    if sizes:
+        w = docs.select("doc_id", split(F.col("text")).alias("w"))
+        places = w.select("doc_id", F.explode(F.array_distinct(F.flatten(F.array(*(windows(F.col("w"), n) for n in sizes))))).alias("k"))
+        likely = places.join(keyed, "k").select("item_id", "item", "doc_id").distinct()
+        found = likely.join(docs.select("doc_id", "text"), "doc_id").select("item_id", "doc_id", F.expr("instr(text, item)").cast("long").alias("offset")).where("offset > 0").distinct()
+    short = iter(own.where(F.size("w") <= 2).toLocalIterator())
+    while part := list(islice(short, block)):
+        listed = F.array(*(F.struct(F.lit(r["item_id"]).alias("item_id"), F.lit(r["item"]).alias("item")) for r in part))
+        hits = docs.select("doc_id", "text", F.inline(F.filter(listed, lambda x: F.col("text").contains(x["item"]))))
+        found = found.unionByName(hits.where(F.col("doc_id").isNotNull()).select("item_id", "doc_id", F.expr("instr(text, item)").cast("long").alias("offset")).distinct())
+    return found

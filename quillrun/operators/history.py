@@ -7,12 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillrun.functions.scalars import is_status, is_terminal
+from quillrun.functions.scalars import is_status, is_terminal, to_time
 from quillrun.schemas import ADMINS, EDITORS, NEXT
 
-#: Administrators whose views are listed at once.
-MOST_ADMINS = 1000
-
 
 def visible(logs: DataFrame, members: DataFrame, user_id: int) -> DataFrame:
     """The logs that a user may see: an administrator all, others their own."""
@@ -21,19 +18,16 @@ def visible(logs: DataFrame, members: DataFrame, user_id: int) -> DataFrame:
 
 
 def seen_by(logs: DataFrame, members: DataFrame, users: DataFrame) -> DataFrame:
-    """(viewer, id): each viewer's logs. Owners' logs come by an equal-key join; administrators, of
-    whom there may be MOST_ADMINS, see all."""
+    """(viewer, role, id): each viewer's own logs, and all logs once for the administrators among the
+    viewers, who see all: there viewer is null and role theirs."""
     admins = users.join(members.where(F.col("role") == ADMINS).select(F.col("user_id").alias("viewer")).distinct(), "viewer", "left_semi").distinct()
-    ids = [r["viewer"] for r in admins.limit(MOST_ADMINS + 1).collect()]
-    if len(ids) > MOST_ADMINS:
-        raise ValueError(f"more than {MOST_ADMINS} administrators would each be given all logs")
-    own = users.join(admins, "viewer", "left_anti").join(logs, F.col("viewer") == F.col("user_id")).select("viewer", "id")
-    every = F.array(*map(F.lit, ids)).cast("array<bigint>")
-    return own.unionByName(logs.select(F.explode(every).alias("viewer"), "id"))
+    own = users.distinct().join(admins, "viewer", "left_anti").join(logs, F.col("viewer") == F.col("user_id")).select("viewer", F.lit(None).cast("string").alias("role"), "id")
+    every = logs if admins.limit(1).count() else logs.limit(0)
+    return own.unionByName(every.select(F.lit(None).cast("long").alias("viewer"), F.lit(ADMINS).alias("role"), "id"))
 
 
 def may_edit_models(members: DataFrame, user_id: int) -> bool:
-    return bool(members.where((F.col("user_id") == user_id) & F.col("role").isin(ADMINS, EDITORS)).limit(1).count())
+    return bool(editors(members).where(F.col("user_id") == user_id).limit(1).count())
 
 
 def history(logs: DataFrame, status: list[str] | None = None, model_id: str | None = None, user_id: int | None = None) -> DataFrame:
@@ -49,6 +43,19 @@ def page_of(logs: DataFrame, order: list, size: int, after: Column | None = None
     return (logs.where(after) if after is not None else logs).orderBy(*order).limit(size)
 
 
+def by_time(logs: DataFrame, since: str | None = None) -> DataFrame:
+    """logs with the time that created_at tells, newest first, of equal times the larger id first; those
+    without one stand last. ``since`` keeps what is not older."""
+    rows = logs.withColumn("created", to_time(F.col("created_at")))
+    rows = rows.where(F.col("created") >= to_time(F.lit(since))) if since else rows
+    return rows.orderBy(F.col("created").desc_nulls_last(), F.col("id").desc())
+
+
+def editors(members: DataFrame) -> DataFrame:
+    """(user_id): who may edit models."""
+    return members.where(F.col("role").isin(ADMINS, EDITORS)).select("user_id").distinct()
+
+
 def newest(logs: DataFrame, n: int) -> DataFrame:
     """The n logs of the largest ids of each user. A user's logs are cut down in parts first, so that
     a user with very many logs never gathers in one task."""
@@ -71,17 +78,24 @@ def counts(logs: DataFrame) -> DataFrame:
     return logs.rollup("status", "model_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-def previous(rows: DataFrame, group: str, order: str, width: int = 100_000) -> Column | DataFrame:
-    """rows with ``before``: the ``order`` of the row before in its group.
+def previous(rows: DataFrame, group: str, order: str, each: int = 100_000) -> DataFrame:
+    """rows with ``before``: the ``order``, a whole number, of the row before in its group; null for
+    the first and where the order is null. Rows of a null group are one group.
 
-    Groups are cut into ranges of the order, a row's predecessor is looked for within its range, and
-    only the last of each range is compared across ranges; so one group may hold most rows.
+    The orders are cut into as many ranges as rows make with ``each`` of them; a row's predecessor is
+    looked for within its range, and only the last of each range is compared across ranges; so one
+    group may hold most rows.
     """
-    cut = rows.withColumn("_r", F.floor(F.col(order) / width))
+    n, low, high = rows.agg(F.count(order), F.min(order), F.max(order)).first()
+    if not n:
+        return rows.withColumn("before", F.lit(None).cast(rows.schema[order].dataType))
+    width = max(1, (int(high) - int(low) + 1) // max(1, n // each))
+    cut = rows.where(F.col(order).isNotNull()).withColumn("_r", F.expr(f"(cast(`{order}` as decimal(20,0)) - {int(low)}) div {width}"))
     inner = cut.withColumn("_b", F.lag(order).over(Window.partitionBy(group, "_r").orderBy(order)))
     lasts = cut.groupBy(group, "_r").agg(F.max(order).alias("_last"))
-    over = lasts.withColumn("_prior", F.lag("_last").over(Window.partitionBy(group).orderBy("_r"))).drop("_last")
-    return inner.join(over, [group, "_r"]).withColumn("before", F.coalesce("_b", "_prior")).drop("_r", "_b", "_prior")
+    over = lasts.withColumn("_prior", F.lag("_last").over(Window.partitionBy(group).orderBy("_r"))).select(F.col(group).alias("_g"), F.col("_r").alias("_k"), "_prior")
+    found = inner.join(over, inner[group].eqNullSafe(over["_g"]) & (inner["_r"] == over["_k"])).withColumn("before", F.coalesce("_b", "_prior")).select(*rows.columns, "before")
+    return found.unionByName(rows.where(F.col(order).isNull()).withColumn("before", F.lit(None).cast(rows.schema[order].dataType)))
 
 
 def retryable(logs: DataFrame) -> DataFrame:

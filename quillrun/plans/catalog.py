@@ -5,14 +5,15 @@ Names begin with the id of the operator. Entities are stand-ins on the test tabl
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import functions as F
 
 from quillrun.functions import scalars
-from quillrun.operators import extract, history, pages
+from quillrun.operators import extract, history, jobs, pages
 from quillrun.schemas import ADMINS, EDITORS, NEXT, STATUSES, ExtractionModel, Field, status_dim
-from quillrun.sources import derived, files
+from quillrun.sources import derived, files, workbook
 from quillrun.sources.derived import LOG_SQL, extraction_log, table
 from quillrun.sources.shared import folder, written
 from quillrun.streaming import lifecycle
@@ -114,7 +115,7 @@ def _shouting(texts):
 
 
 @registered(GREEDY_SQL + """, chunked AS (SELECT p.doc_id, chunk, string_agg(text, chr(10) ORDER BY p.page) text FROM packed p JOIN sized s ON p.doc_id = s.doc_id AND p.page = s.page GROUP BY p.doc_id, chunk)
-SELECT doc_id, CASE WHEN bool_or(text LIKE '%###%') THEN 'E100' ELSE 'S100' END status, CASE WHEN bool_or(text LIKE '%###%') THEN 'unreadable' END error FROM chunked WHERE text LIKE '%###%' OR length(trim(text, chr(32) || chr(9) || chr(10) || chr(13))) > 0 GROUP BY doc_id""")
+SELECT doc_id, CASE WHEN bool_or(text LIKE '%###%') THEN 'E100' ELSE 'S100' END status, CASE WHEN bool_or(text LIKE '%###%') THEN 'unreadable' END error FROM chunked GROUP BY doc_id""")
 def x13_error_capture(spark, sf_dir):
     own = _pages(spark, sf_dir)
     return extract.outcome(extract.extract(pages.chunks(own, pages.pack(own)), _shouting))
@@ -172,7 +173,7 @@ def x10_highlight(spark, sf_dir):
     return extract.locate(extract.merge(extract.extract_by_rules(own)), own)
 
 
-@registered("SELECT item_id, doc_id, instr(d.text, b.text)::BIGINT AS \"offset\" FROM benchmark b JOIN documents d ON contains(d.text, b.text) WHERE len(list_filter(string_split_regex(b.text, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')) >= 8")
+@registered("SELECT item_id, doc_id, instr(d.text, b.text)::BIGINT AS \"offset\" FROM benchmark b JOIN documents d ON contains(d.text, b.text) WHERE length(b.text) > 0")
 def j06_mentions(spark, sf_dir):
     return extract.mentions(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"))
 
@@ -252,7 +253,7 @@ def j02_model(spark, sf_dir):
     return extraction_log(spark, sf_dir).join(models, "model_id", "left").select("id", "model_id", "model_name")
 
 
-@registered(f"WITH {LOG_SQL}, viewers AS (SELECT unnest([1, 2, 5, 149])::BIGINT viewer) SELECT viewer, id FROM viewers JOIN log ON viewer = 1 OR viewer = user_id")
+@registered(f"WITH {LOG_SQL}, viewers AS (SELECT unnest([1, 2, 5, 149])::BIGINT viewer) SELECT viewer, NULL::VARCHAR AS role, id FROM viewers JOIN log ON viewer = user_id WHERE viewer <> 1 UNION ALL SELECT NULL, 'System Admins', id FROM log")
 def j03_visible(spark, sf_dir):
     users = spark.createDataFrame([(1,), (2,), (5,), (149,)], "viewer long")
     return history.seen_by(extraction_log(spark, sf_dir), derived.members(spark), users)
@@ -393,9 +394,11 @@ def k02_upsert(spark, sf_dir):
     return files.save(old, new, f"{folder(spark)}/log-{uuid.uuid4().hex}")
 
 
-@registered(None)
+@registered(f"WITH {LOG_SQL} SELECT id::VARCHAR id, user_id::VARCHAR user_id, model_id, filename, status, original_log_id::VARCHAR original_log_id FROM log")
 def k03_workbooks(spark, sf_dir):
-    return files.workbooks(extraction_log(spark, sf_dir)).select("part", F.length("content").alias("n_bytes"))
+    path = f"{folder(spark)}/books-{uuid.uuid4().hex}"
+    workbook.export_workbooks(extraction_log(spark, sf_dir), path)
+    return workbook.read_workbooks(spark, path)
 
 
 @registered(f"WITH {LOG_SQL} SELECT id, status, model_id FROM log ORDER BY id DESC")
@@ -426,3 +429,78 @@ def p11_supported(spark, sf_dir):
 def k04_preview(spark, sf_dir):
     row = files.preview(extraction_log(spark, sf_dir).select("id", "user_id", "model_id", "filename", "status"), 100)
     return spark.createDataFrame([tuple(row.values())] if row else [], "id long, user_id long, model_id string, filename string, status string")
+
+
+def _by_pattern(texts):
+    """A provider that gives the first match of each rule, and fails on texts with '###'."""
+    first = lambda p, t: (m := re.search(p, t)) and m.group()
+    return [([(k, v) for k, p in extract.RULES.items() if (v := first(p, t))], "unreadable" if "###" in t else None) for t in texts]
+
+
+JOB_SQL = GREEDY_SQL + """, chunked AS (SELECT p.doc_id, chunk, string_agg(text, chr(10) ORDER BY p.page) text FROM packed p JOIN sized s ON p.doc_id = s.doc_id AND p.page = s.page GROUP BY p.doc_id, chunk),
+told AS (""" + " UNION ALL ".join(f"SELECT doc_id, chunk, '{k}' key, nullif(regexp_extract(text, '{p}', 0), '') value FROM chunked" for k, p in extract.RULES.items()) + """),
+places AS (SELECT t.doc_id, key, value, p.page, instr(s.text, value) AS "offset", row_number() OVER (PARTITION BY t.doc_id, t.chunk, key ORDER BY p.page) n
+  FROM told t JOIN packed p ON t.doc_id = p.doc_id AND t.chunk = p.chunk JOIN sized s ON s.doc_id = p.doc_id AND s.page = p.page WHERE value IS NOT NULL AND contains(s.text, value)),
+kinds AS (SELECT doc_id, page, CASE WHEN contains(text, '###') THEN 1 ELSE 0 END k FROM sized),
+marked AS (SELECT *, page - row_number() OVER (PARTITION BY doc_id, k ORDER BY page) island FROM kinds),
+subs AS (SELECT doc_id, page, dense_rank() OVER (PARTITION BY doc_id ORDER BY least_page) - 1 idx FROM (SELECT *, min(page) OVER (PARTITION BY doc_id, k, island) least_page FROM marked)),
+firsts AS (SELECT p.doc_id, idx, key, arg_min(struct_pack(value, page := p.page, o := "offset"), (p.page, "offset", value)) m FROM places p JOIN subs s ON p.doc_id = s.doc_id AND p.page = s.page WHERE n = 1 GROUP BY p.doc_id, idx, key),
+states AS (SELECT doc_id, CASE WHEN bool_or(contains(text, '###')) THEN 'E100' ELSE 'S100' END status FROM chunked GROUP BY doc_id)"""
+
+
+def _job(spark, sf_dir):
+    own = _pages(spark, sf_dir)
+    return jobs.run(own, MODEL, _by_pattern, F.when(F.col("text").contains("###"), 1).otherwise(0), "2024-01-31T12:00:00Z")
+
+
+@registered(JOB_SQL + """ SELECT doc_id, status, idx::INT AS "index", key, m.value AS "value", (m.page + 1)::INT page, m.o::INT AS "offset" FROM firsts JOIN states USING (doc_id) WHERE key IN ('email', 'ipv4', 'long_word')""")
+def x14_extraction_job(spark, sf_dir):
+    logs = written(_job(spark, sf_dir))
+    return jobs.fields_of(logs).join(logs.select("doc_id", "status"), "doc_id").select("doc_id", "status", "index", "key", "value", "page", "offset")
+
+
+@registered(JOB_SQL + """ SELECT doc_id, idx::INT AS "index", key, m.value AS "value", (m.page + 1)::INT page FROM firsts WHERE key NOT IN ('email', 'ipv4', 'long_word')""")
+def x15_open_data(spark, sf_dir):
+    return jobs.others_of(_job(spark, sf_dir))
+
+
+@registered(JOB_SQL + " SELECT doc_id, status, CASE status WHEN 'E100' THEN 'unreadable' END error, json_extract_string(d, '$.digits') digits, TIMESTAMP '2024-01-31 12:00:00' created FROM states LEFT JOIN (SELECT doc_id, json_object('digits', arg_min(value, page)) d FROM places WHERE n = 1 AND key = 'digits' GROUP BY doc_id) USING (doc_id)")
+def x16_job_logs(spark, sf_dir):
+    logs = _job(spark, sf_dir)
+    return logs.select("doc_id", "status", "error", F.try_variant_get("extracted_data", "$.digits", "string").alias("digits"), scalars.to_time(F.col("created_at")).cast("timestamp_ntz").alias("created"))
+
+
+@registered("SELECT o_orderkey id, o_orderdate::TIMESTAMP created, date_trunc('month', o_orderdate)::TIMESTAMP AS \"month\" FROM orders WHERE o_orderdate >= TIMESTAMP '1995-01-01'")
+def o03_by_time(spark, sf_dir):
+    logs = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("created_at"))
+    rows = history.by_time(logs, "1995-01-01T00:00:00Z")
+    return rows.select("id", F.col("created").cast("timestamp_ntz").alias("created"), F.date_trunc("month", "created").cast("timestamp_ntz").alias("month"))
+
+
+@registered(f"WITH {MEMBERS_SQL} SELECT DISTINCT e.user_id, e.user_id IN (SELECT user_id FROM held) may_edit FROM events e WHERE e.user_id < 5")
+def r02_model_editors(spark, sf_dir):
+    users = table(spark, sf_dir, "events").where("user_id < 5").select("user_id").distinct()
+    return users.join(history.editors(derived.members(spark)).withColumn("may_edit", F.lit(True)), "user_id", "left").select("user_id", F.coalesce("may_edit", F.lit(False)).alias("may_edit"))
+
+
+@registered("""WITH polls AS (SELECT user_id job, ts, event_id seq, event_type = 'error' bad, date_diff('second', date_trunc('second', min(ts) OVER (PARTITION BY user_id)), date_trunc('second', ts)) age FROM events),
+numbered AS (SELECT *, row_number() OVER w attempt, coalesce(sum(bad::INT) OVER (PARTITION BY job ORDER BY ts, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) prior FROM polls WHERE age < 259200 WINDOW w AS (PARTITION BY job ORDER BY ts, seq)),
+sums AS (SELECT job, count(*) attempts, sum(bad::INT)::BIGINT errors FROM numbered WHERE attempt <= 60 AND prior < 3 GROUP BY job)
+SELECT *, CASE WHEN errors >= 3 THEN 'stopped' WHEN attempts >= 60 OR job IN (SELECT job FROM polls WHERE age >= 259200) THEN 'timeout' ELSE 'open' END outcome FROM sums""")
+def t03_timed_polls(spark, sf_dir):
+    return lifecycle.timed_polls(derived.polls(spark, sf_dir), 3 * 86_400)
+
+
+@registered("SELECT 'retry-' || event_id id, event_id original_log_id, 'P100' status, 'event-' || event_id filename FROM events WHERE event_type = 'error' AND event_id % 3 <> 0")
+def t05_retry_stream(spark, sf_dir):
+    failed = _stream(spark, sf_dir).select(F.col("event_id").alias("id"), F.when(F.col("event_type") == "error", "E100").otherwise("S100").alias("status"), F.concat(F.lit("event-"), F.col("event_id").cast("string")).alias("filename"))
+    tried = table(spark, sf_dir, "events").where("event_id % 3 = 0").select(F.col("event_id").alias("original_log_id"))
+    return lifecycle.append_to_end(lifecycle.retry_stream(failed, tried), f"{folder(spark)}/{uuid.uuid4().hex}")
+
+
+@registered(r"""WITH t AS (SELECT page_id, regexp_extract_all(coalesce(html, ''), '(?is)<table[ >].*?</table>') ts FROM pages), u AS (SELECT page_id, unnest(range(len(ts))) k, ts FROM t),
+r AS (SELECT page_id, k, regexp_extract_all(ts[k + 1], '(?is)<tr[ >].*?</tr>') rs FROM u), v AS (SELECT page_id, k, unnest(range(len(rs))) n, rs FROM r)
+SELECT page_id, k::INT AS "table", n::INT AS "row", array_to_string(list_transform(regexp_extract_all(rs[n + 1], '(?is)<t[dh][ >].*?</t[dh]>'), lambda c: trim(regexp_replace(regexp_replace(c, '(?s)<[^>]+>', ' ', 'g'), '[\x20\x09-\x0D]+', ' ', 'g'))), '|') cells FROM v""")
+def s03_tables(spark, sf_dir):
+    rows = extract.html_tables(table(spark, sf_dir, "pages"))
+    return rows.withColumn("cells", F.array_join("cells", "|"))

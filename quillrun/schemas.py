@@ -15,9 +15,9 @@ JOB_STATUSES = [c for c, _, _ in STATUSES if c != "S200"]
 TYPES = ("string", "number", "date", "boolean", "array")
 ADMINS, EDITORS = "System Admins", "Model Editors"
 FIELD_DDL = "key string, label string, type string, description string"
-PREVIEW_DDL = "struct<sub_documents:array<struct<index:int,page_ranges:array<int>,data:struct<guide_extracted:map<string,struct<value:string,page:int,offset:int>>,other_data:array<string>>>>>"
-LOG_DDL = f"id string, user_id string, model_id string, filename string, file_url string, status string, extracted_data string, preview_data {PREVIEW_DDL}, error string, created_at string, updated_at string"
-JOB_DDL = "id string, status string, filename string, file_url string, preview_data string, error string, original_log_id string, log_id string, created_at string, updated_at string"
+PREVIEW_DDL = "struct<sub_documents:array<struct<index:int,page_ranges:array<int>,data:struct<guide_extracted:map<string,struct<value:string,page:int,offset:int>>,other_data:array<variant>>>>>"
+LOG_DDL = f"id string, user_id string, model_id string, filename string, file_url string, status string, extracted_data variant, preview_data {PREVIEW_DDL}, error string, created_at string, updated_at string"
+JOB_DDL = "id string, status string, filename string, file_url string, preview_data variant, error string, original_log_id string, log_id string, created_at string, updated_at string"
 
 
 @dataclass(frozen=True)

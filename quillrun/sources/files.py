@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillrun.functions.scalars import is_supported
+from quillrun.operators.history import may_edit_models
 from quillrun.schemas import JOB_DDL, LOG_DDL, ExtractionModel
 
 GLOB = "*.{pdf,PDF,png,PNG,jpg,JPG,jpeg,tif,tiff,bmp,webp}"
@@ -35,6 +36,13 @@ def load_model(spark: SparkSession, path: str) -> ExtractionModel:
     return ExtractionModel.from_json("\n".join(r["value"] for r in spark.read.text(path, wholetext=True).collect()))
 
 
+def save_model(members: DataFrame, user_id: int, model: ExtractionModel, path: str) -> None:
+    """Writes a model as a new JSON file of a folder of models; administrators and model editors may."""
+    if not may_edit_models(members, user_id):
+        raise PermissionError(f"user {user_id} may not edit models")
+    members.sparkSession.createDataFrame([(model.to_json(),)], "value string").coalesce(1).write.mode("append").text(path)
+
+
 def read_models(spark: SparkSession, path: str) -> DataFrame:
     """(model_name, pos, key, label, type, description) of a folder of model files."""
     raw = spark.read.schema("model_name string, fields array<struct<key:string,label:string,type:string,description:string>>").json(path, multiLine=True)
@@ -76,7 +84,7 @@ def export_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", "true").csv(path)
 
 
-def _sheet(header: list[str], rows: list[tuple]) -> bytes:
+def sheet(header: list[str], rows: list[tuple]) -> bytes:
     """A workbook of one sheet."""
 
     def cell(v) -> str:
@@ -111,10 +119,10 @@ def workbooks(df: DataFrame, rows_each: int = 100_000) -> DataFrame:
         for pdf in batches:
             held += [tuple(None if pd.isna(v) else v for v in r) for r in pdf.itertuples(index=False)]
             while len(held) >= rows_each:
-                yield pd.DataFrame({"content": [_sheet(header, held[:rows_each])]})
+                yield pd.DataFrame({"content": [sheet(header, held[:rows_each])]})
                 held = held[rows_each:]
         if held:
-            yield pd.DataFrame({"content": [_sheet(header, held)]})
+            yield pd.DataFrame({"content": [sheet(header, held)]})
 
     flat = df.select(*(F.col(c) if t in ("bigint", "int", "double", "string") else F.col(c).cast("string").alias(c) for c, t in df.dtypes))
     return flat.mapInPandas(run, "content binary").withColumn("part", F.monotonically_increasing_id()).select("part", "content")

@@ -8,10 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def folder(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; where that is unset, as in tests, a temporary one."""
+    """The session's ``spark.checkpoint.dir``. Where that is unset, a temporary folder of this machine
+    serves a local master; on a cluster, whose executors wouldn't see it, it is an error."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="quillrun-"))
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="quillrun-"))
     return sc.getCheckpointDir()
 
 

@@ -20,6 +20,25 @@ def poll_attempts(polls: DataFrame) -> DataFrame:
     return rows.withColumn("made", (F.col("attempt") <= MAX_POLLS) & (F.col("prior_errors") < MAX_ERRORS))
 
 
+def timed_polls(polls: DataFrame, seconds: int = MAX_POLLS * POLL_SECONDS) -> DataFrame:
+    """(job, attempts, errors, outcome) where polling ends ``seconds`` after a job's first poll, besides
+    the other limits. Starts come by partial aggregation, so a job's late polls never gather."""
+    starts = polls.groupBy("job").agg(F.min("ts").alias("_start"))
+    rows = polls.join(starts, "job")
+    late = rows.where(F.col("ts").cast("long") - F.col("_start").cast("long") >= seconds).select("job").distinct().withColumn("_late", F.lit(True))
+    own = poll_outcomes(rows.where(F.col("ts").cast("long") - F.col("_start").cast("long") < seconds).drop("_start"))
+    return own.join(late, "job", "left").withColumn("outcome", F.when((F.col("outcome") == "open") & F.col("_late"), "timeout").otherwise(F.col("outcome"))).drop("_late")
+
+
+def retry_stream(failed: DataFrame, tried: DataFrame) -> DataFrame:
+    """(id, original_log_id, status, filename): a new pending job for each failed log (id, status,
+    filename) of a stream that none of ``tried`` (original_log_id) retries. Stateless: a stream of logs
+    has each log once."""
+    done = tried.where(F.col("original_log_id").isNotNull()).select(F.col("original_log_id").alias("id")).distinct()
+    rows = failed.where(F.col("status") == "E100").join(done, "id", "left_anti")
+    return rows.select(F.concat_ws("-", F.lit("retry"), F.col("id").cast("string")).alias("id"), F.col("id").alias("original_log_id"), F.lit("P100").alias("status"), "filename")
+
+
 def poll_outcomes(polls: DataFrame) -> DataFrame:
     """(job, attempts, errors, outcome) after all polls that were made."""
     made = poll_attempts(polls).where("made").groupBy("job").agg(F.count(F.lit(1)).alias("attempts"), F.sum((F.col("kind") == "error").cast("long")).alias("errors"))
@@ -84,6 +103,13 @@ def status_stream(events: DataFrame) -> DataFrame:
     return events.groupBy("job").applyInPandasWithState(step, "job long, status string, refused long", "status string, refused long", "update", "NoTimeout")
 
 
+def append_to_end(stream: DataFrame, path: str) -> DataFrame:
+    """All rows of a stateless stream over what is there; ``path`` is a folder that the cluster shares."""
+    query = stream.writeStream.format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/rows")
+
+
 def run_to_end(stream: DataFrame, path: str) -> DataFrame:
     """Runs a stream over all that is there, in one batch, and gives the last row of each job. ``path``
     is a folder that the whole cluster shares."""

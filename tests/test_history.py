@@ -47,7 +47,7 @@ def test_a_job_without_a_log_cant_be_retried(spark, logs):
 
 def test_previous_across_ranges(spark):
     rows = spark.createDataFrame([("g", i) for i in (1, 5, 12, 31)] + [("h", 7)], "k string, n long")
-    assert {r.n: r.before for r in history.previous(rows, "k", "n", width=10).collect()} == {1: None, 5: 1, 12: 5, 31: 12, 7: None}
+    assert {r.n: r.before for r in history.previous(rows, "k", "n", each=1).collect()} == {1: None, 5: 1, 12: 5, 31: 12, 7: None}
 
 
 def test_edits(spark, logs):
@@ -158,3 +158,54 @@ def test_files_in_and_out(spark, tmp_path, logs):
     assert len(books) == 2
     with zipfile.ZipFile(io.BytesIO(bytes(books[0].content))) as z:
         assert z.testzip() is None and z.read("xl/worksheets/sheet1.xml").count(b"<row>") == 4
+
+
+def test_previous_keeps_rows_without_an_order(spark):
+    rows = spark.createDataFrame([("k", 3), ("k", None), (None, 1), (None, 2**62), ("k", -(2**62))], "k string, n long")
+    got = sorted(((r.k, r.n, r.before) for r in history.previous(rows, "k", "n", each=1).collect()), key=repr)
+    assert got == sorted([("k", 3, -(2**62)), ("k", None, None), (None, 1, None), (None, 2**62, 1), ("k", -(2**62), None)], key=repr)
+    assert history.previous(rows.limit(0), "k", "n").columns == ["k", "n", "before"]
+
+
+def test_only_editors_save_models(spark, tmp_path):
+    from quillrun.sources import derived, files
+    from quillrun.schemas import ExtractionModel, Field
+
+    path, model = str(tmp_path / "models"), ExtractionModel("m", (Field("a", "A"),))
+    with pytest.raises(PermissionError):
+        files.save_model(derived.members(spark), 5, model, path)
+    files.save_model(derived.members(spark), 2, model, path)
+    files.save_model(derived.members(spark), 1, ExtractionModel("n", ()), path)
+    assert [(r.model_name, r.key) for r in files.read_models(spark, path).collect()] == [("m", "a")]
+
+
+def test_workbooks_go_there_and_back(spark, tmp_path):
+    from quillrun.sources import workbook
+
+    rows = spark.createDataFrame([(i, f"<a & {i}>" if i % 3 else None, i / 4) for i in range(50)], "n long, t string, x double").repartition(3)
+    workbook.export_workbooks(rows, str(tmp_path / "books"), rows_each=10)
+    got = workbook.read_workbooks(spark, f"file://{tmp_path}/books")
+    assert sorted((int(r.n), r.t, float(r.x)) for r in got.collect()) == sorted((r.n, r.t, r.x) for r in rows.collect())
+    names = [p.name for p in (tmp_path / "books").iterdir()]
+    assert len(names) >= 5 and all(n.endswith(".xlsx") for n in names)
+
+
+def test_polls_end_by_time(spark):
+    rows = [("a", s, s, "poll") for s in (0, 100, 299, 300)] + [("b", 0, 0, "poll"), ("c", 0, 0, "error"), ("c", 1, 1, "error"), ("c", 2, 2, "error"), ("c", 900, 3, "poll")]
+    polls = spark.createDataFrame(rows, "job string, ts long, seq long, kind string").withColumn("ts", F.col("ts").cast("timestamp"))
+    got = {r.job: (r.attempts, r.outcome) for r in lifecycle.timed_polls(polls).collect()}
+    assert got == {"a": (3, "timeout"), "b": (1, "open"), "c": (3, "stopped")}
+
+
+def test_job_keeps_failed_files(spark):
+    from quillrun.operators import jobs
+    from quillrun.schemas import ExtractionModel, Field
+
+    files = spark.createDataFrame([(1, "a.pdf", bytearray(b"ab 12|cd 34")), (2, "b.pdf", bytearray(b"\xff")), (3, "c.txt", bytearray(b"x"))], "doc_id long, path string, content binary")
+    own, failures = jobs.recognised(files, lambda c: c.decode("ascii").split("|"))
+    provider = lambda texts: [([("n", t.split()[1]), ("w", t.split()[0])], None) for t in texts]
+    logs = jobs.run(own, ExtractionModel("m", (Field("n", "N"),)), provider, F.lit(0), "2024-01-01T00:00:00Z", failures).collect()
+    got = {r.doc_id: r for r in logs}
+    assert {d: (r.status, (r.error or "").split(":")[0]) for d, r in got.items()} == {1: ("S100", ""), 2: ("E100", "UnicodeDecodeError"), 3: ("E100", "unsupported file")}
+    sub = got[1].preview_data.sub_documents[0]
+    assert sub.page_ranges == [1, 2] and sub.data.guide_extracted["n"].asDict() == {"value": "12", "page": 1, "offset": 4} and sub.data.other_data[0].toPython() == {"page": 1, "key": "w", "value": "ab"}

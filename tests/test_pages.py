@@ -74,7 +74,38 @@ def test_the_provider_stage_has_as_many_tasks_as_calls_in_flight(spark):
 
 
 def test_recognise(spark):
-    files = spark.createDataFrame([("a", bytearray(b"1|2")), ("b", bytearray(b"\xff"))], "path string, content binary")
-    got = extract.recognise(files, lambda contents: [c.decode("ascii").split("|") for c in contents]).collect()
-    assert {(r.path, r.page, r.text) for r in got if r.error is None} == {("a", 0, "1"), ("a", 1, "2")}
-    assert [r.path for r in got if r.error] == ["b"]
+    files = spark.createDataFrame([("a.pdf", bytearray(b"one|two")), ("b.pdf", bytearray(b"\xff")), ("c.pdf", bytearray(b"=x"))], "path string, content binary")
+
+    def provider(content):
+        text = content.decode("ascii")
+        return [{"text": text, "tables": [[["1", "2"], ["3"]]], "layout": [("title", "x")]}] if text[0] == "=" else text.split("|")
+
+    got = {(r.path, r.page): r for r in extract.recognise(files, provider).collect()}
+    assert got["a.pdf", 1].text == "two" and got["a.pdf", 0].tables == [] and got["b.pdf", 0].error.startswith("UnicodeDecodeError")
+    assert got["c.pdf", 0].tables == [[["1", "2"], ["3"]]] and got["c.pdf", 0].layout[0].kind == "title"
+
+
+def test_no_text_is_lost_by_its_provider(spark):
+    chunks = spark.createDataFrame([(i, 0, 0, t) for i, t in enumerate(["a", "bad", "", "b", "few"])], "doc_id long, chunk_id int, page_from int, text string")
+
+    def provider(texts):
+        if "bad" in texts:
+            raise ValueError("bad")
+        return [([("k", t)], None) if t else ([], None) for t in texts if t != "few"]
+
+    got = {r.doc_id: (r.status, r.error) for r in extract.outcome(extract.extract(chunks, provider, 1)).collect()}
+    assert got == {0: ("S100", None), 1: ("E100", "ValueError: bad"), 2: ("S100", None), 3: ("S100", None), 4: ("E100", "0 answers to 1 texts")}
+
+
+def test_mentions_of_any_length(spark):
+    texts = ["the quick brown fox jumps over the lazy dog", "quick brown", "aquick brownie", "", None, "a b  c d", "x"]
+    items = ["quick brown fox jumps over the lazy d", "uick brow", "brown", "ick brown fo", "b  c", "", None, "a b  c d", " ", "nowhere at all here"]
+    docs = spark.createDataFrame([*enumerate(texts), (None, "quick brown")], "doc_id long, text string")
+    got = {(r.item_id, r.doc_id, r.offset) for r in extract.mentions(spark.createDataFrame(list(enumerate(items)), "item_id long, text string"), docs, block=2).collect()}
+    assert got == {(i, d, t.index(x) + 1) for i, x in enumerate(items) if x for d, t in enumerate(texts) if t and x in t}
+
+
+def test_html_tables(spark):
+    html = "<table><tr><th>a</th><td> b <b>c</b></td></tr><tr><td>d</td></tr></table><p>no</p><TABLE class=x><tr ><td>e</td></tr></TABLE>"
+    rows = extract.html_tables(spark.createDataFrame([(1, html), (2, None)], "page_id long, html string")).collect()
+    assert [(r.page_id, r.table, r.row, r.cells) for r in rows] == [(1, 0, 0, ["a", "b c"]), (1, 0, 1, ["d"]), (1, 1, 0, ["e"])]
