@@ -2,8 +2,8 @@
 
 Words are runs of digits, ASCII letters and non-ASCII characters of the text with A-Z lower-cased.
 A window is 13 consecutive words of a benchmark item, or the whole of a shorter item that has words.
-Every window of a document is hashed in place, looked up in the set, and a hit is verified word for
-word. Only built-in functions run.
+Every place of a document is looked up by its two next words; where a window of the set begins so, the
+document's window is hashed, looked up in the set, and a hit is verified word for word. Only built-in functions run.
 
 Defined results: null and empty texts have no words and no hits; repeated rows are judged one by one
 and ties don't arise; an empty benchmark hits nothing; an empty table gives an empty result; other
@@ -48,14 +48,27 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     windows = checkpointed(benchmark_windows(benchmark, window))
     n_windows = windows.count()
     sizes = sorted(r["size"] for r in windows.select("size").distinct().collect())  # at most `window` values
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", F.xxhash64("text").alias("text_key"), words_of(F.col("text")).alias("words"))
-    mark = F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("size"), F.lit(None).cast("long").alias("h")))
-    rows = rows.withColumn("at", F.concat(mark, *(_hashes(F.col("words"), s) for s in sizes)))
-    rows = rows.select("rid", "doc_id", "text_key", "words", F.size("words").cast("long").alias("n_words"), F.inline_outer("at"))
+    rows = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", F.xxhash64("text").alias("text_key"), words_of(F.col("text")).alias("words")).withColumn("n_words", F.size("words").cast("long"))
     own = F.slice("words", F.greatest("i", F.lit(1)), F.greatest("size", F.lit(1)))
     if n_windows <= BROADCAST_WINDOWS:
-        joined, hit = rows.join(F.broadcast(windows), ["h", "size"], "left"), own == F.col("win")
+        # hashed whole are only windows that begin with the two words of one in the set, or its single one
+        at = rows.select("*", F.posexplode_outer("words").alias("at", "w")).withColumn("i", F.coalesce(F.col("at") + 1, F.lit(0)))
+        head = windows.groupBy(F.xxhash64(F.col("win")[0], F.get("win", F.lit(1))).alias("head"), (F.col("size") == 1).alias("single")).agg(F.collect_set("size").alias("sizes"))
+        pairs = head.where("not single").select("head", "sizes")
+        at = at.withColumn("head", F.xxhash64("w", F.get("words", F.col("i")))).join(F.broadcast(pairs), "head", "left").drop("head")
+        if 1 in sizes:
+            singles = head.where("single").select("head", F.col("sizes").alias("one"))
+            at = at.withColumn("head", F.xxhash64("w", F.lit(None).cast("string"))).join(F.broadcast(singles), "head", "left").drop("head")
+        none = F.array().cast("array<int>")
+        mark = F.when(F.col("i") <= 1, F.array(F.lit(0))).otherwise(none)  # a row for every document
+        found = F.concat(mark, F.coalesce("sizes", none), *([F.coalesce("one", none)] if 1 in sizes else []))
+        at = at.where((F.col("i") <= 1) | F.col("sizes").isNotNull() | (F.col("one").isNotNull() if 1 in sizes else F.lit(False)))
+        at = at.select("rid", "doc_id", "text_key", "n_words", "words", "i", F.explode(found).alias("size")).where(F.col("i") + F.col("size") - 1 <= F.col("n_words"))
+        joined, hit = at.withColumn("h", F.when(F.col("size") > 0, F.xxhash64(own))).join(F.broadcast(windows), ["h", "size"], "left"), own == F.col("win")
     else:  # a window is sent with its own words alone, and the marks are spread by their rows
+        mark = F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("size"), F.lit(None).cast("long").alias("h")))
+        rows = rows.withColumn("at", F.concat(mark, *(_hashes(F.col("words"), s) for s in sizes)))
+        rows = rows.select("rid", "doc_id", "text_key", "words", "n_words", F.inline_outer("at"))
         sent = rows.select("rid", "doc_id", "text_key", "n_words", "i", "size", F.coalesce("h", F.xxhash64("rid")).alias("h"), F.when(F.col("size") > 0, own).alias("own"))
         joined, hit = sent.join(windows, ["h", "size"], "left"), F.col("own") == F.col("win")
     found = joined.where((F.col("size") == 0) | hit).select(
