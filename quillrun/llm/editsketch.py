@@ -25,6 +25,7 @@ next; an empty table gives an empty result; other columns are not read.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -47,8 +48,8 @@ ALONE = 8192
 TOGETHER = 3_000_000
 #: The walk knows of a character a number below ALPHABET; coins repeat after PERIOD steps.
 ALPHABET, PERIOD = 256, 4096
-#: Runs of neighbouring ids, each streamed by one task.
-MOST_RUNS, RUN_ROWS = 4096, 1000
+#: Rows of a run of neighbouring ids, which one task streams: so many, or the root of all if that is more.
+RUN_ROWS = 1000
 
 #: The likeness from which texts are near, and the widest parts of a block that are compared whole.
 NEAR, MOST_PART_BITS = 0.8, 32
@@ -198,25 +199,31 @@ def runs_of(docs: DataFrame) -> DataFrame:
     """(run, carry, known, id, hash, text): every row in its run of neighbouring ids and, with carry, the
     first row of the run that follows (after the last run, of the first).
 
-    Only run limits and the first key of each run reach the driver, MOST_RUNS at most.
+    Only run limits and the first key of each run reach the driver: as many as the root of the rows at
+    most. Null ids, and an id that many rows have, are split by the hashes of their texts.
     """
     rows = docs.select(F.col("doc_id").isNotNull().alias("known"), F.coalesce("doc_id", F.lit(0)).cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("hash", F.xxhash64("text"))
-    n = rows.count()
-    parts = int(min(MOST_RUNS, max(1, n // RUN_ROWS)))
-    limits = np.array(sorted(set(map(int, rows.approxQuantile("id", [k / parts for k in range(1, parts)], 0.2 / parts)))) if parts > 1 else [], np.int64)
+    n, with_id = rows.agg(F.count(F.lit(1)), F.count(F.when(F.col("known"), 1))).first()
+    each = max(RUN_ROWS, math.isqrt(n))
+    parts, unknown = max(1, with_id // each), max(1, (n - with_id) // each)
+    limits = np.array(sorted(map(int, rows.where("known").approxQuantile("id", [k / parts for k in range(1, parts)], 0.2 / parts))) if parts > 1 else [], np.int64)
 
     @F.pandas_udf("int")
-    def run_of(known: pd.Series, ids: pd.Series) -> pd.Series:
-        return pd.Series(np.where(known, np.searchsorted(limits, ids.to_numpy(np.int64), side="right"), 0).astype("int32"))
-
-    rows = rows.withColumn("run", run_of("known", "id"))
+    def run_of(known: pd.Series, ids: pd.Series, hashes: pd.Series) -> pd.Series:
+        ids, share = ids.to_numpy(np.int64), hashes.to_numpy(np.float64) / 2.0**64 + 0.5
+        first, last = np.searchsorted(limits, ids, side="left"), np.searchsorted(limits, ids, side="right")
+        # an id that is several limits has as many runs of its own
+        run = np.where(last - first > 1, first + 1 + np.minimum(share * (last - first), last - first - 1), last)
+        return pd.Series(np.where(known, run, np.minimum(share * unknown, unknown - 1) - unknown).astype("int32"))
+
+    rows = rows.withColumn("run", run_of("known", "id", "hash"))
     key = F.struct("known", "id", "hash")
     firsts = rows.groupBy("run").agg(F.min(key).alias("k")).orderBy("run").collect()
     at = {r["run"]: (firsts[k - 1]["run"], (r["k"]["known"], r["k"]["id"], r["k"]["hash"])) for k, r in enumerate(firsts)}
 
     @F.pandas_udf("int")
     def carried_to(run: pd.Series, known: pd.Series, ids: pd.Series, hashes: pd.Series) -> pd.Series:
-        return pd.Series([at[b][0] if at[b][1] == k else None for b, k in zip(run, zip(known, ids, hashes))], dtype="Int32")
+        return pd.Series([at[b][0] if b in at and at[b][1] == k else None for b, k in zip(run, zip(known, ids, hashes))], dtype="Int32")
 
     sent = F.struct(F.col("run").alias("run"), F.lit(False).alias("carry"))
     also = F.struct(F.col("to").alias("run"), F.lit(True).alias("carry"))
