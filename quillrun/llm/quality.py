@@ -11,7 +11,7 @@ depend on the input's size.
 Labels of held-out rows are never read; language, source and id are never inputs.
 
 Defined results: a null or empty text has no terms, a zero vector, and gets the share of label 1 among
-all labels that may be read; repeated rows score alike; ties between neighbours go to those of smaller ids; an empty
+all labels that may be read; repeated rows score alike; neighbours that tie with the last one all vote; an empty
 table gives an empty result; with no labelled rows every score is 0.5; other columns of the input
 are carried along.
 """
@@ -106,10 +106,10 @@ class Model:
             return np.full(len(counts), self.prior)
         cosines = self._latent(self._matrix(counts)) @ self.points.T
         k = min(NEIGHBOURS, cosines.shape[1])
-        near = np.argpartition(-cosines, k - 1, axis=1)[:, :k]
-        weight = np.maximum(np.take_along_axis(cosines, near, axis=1), 0).astype(np.float64) ** SHARPNESS * self.weights[near]
+        last = np.partition(cosines, -k, axis=1)[:, -k, None]
+        weight = np.where(cosines >= last, np.maximum(cosines, 0), 0).astype(np.float64) ** SHARPNESS * self.weights
         total = weight.sum(axis=1)
-        return np.where(total > 1e-9, (weight * self.labels[near]).sum(axis=1) / np.maximum(total, 1e-9), self.prior)
+        return np.where(total > 1e-9, weight @ self.labels.astype(np.float64) / np.maximum(total, 1e-9), self.prior)
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model:
