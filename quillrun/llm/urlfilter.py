@@ -37,7 +37,7 @@ BLOCK_ABOVE = 1.0
 #: What a suspect word counts at least in segmentation.
 SUSPECT_COUNT = 100
 #: Words that speak against a host.
-SUSPECT = ["casino", "bet", "bets", "betting", "poker", "slots", "jackpot", "win", "free", "cheap", "pills", "viagra", "loan", "loans", "adult", "porn", "xxx", "sex", "dating", "spam", "replica", "crypto", "torrent", "warez"]
+SUSPECT = ["casino", "bet", "bets", "betting", "poker", "slots", "jackpot", "win", "free", "cheap", "pills", "viagra", "loan", "loans", "adult", "porn", "xxx", "sex", "dating", "spam", "replica", "crypto", "torrent", "warez", "ads", "adserver", "track", "tracker", "popup"]
 WORD = r"[a-z]{2,20}"
 
 
@@ -165,7 +165,8 @@ def fit(rows: DataFrame, segmenter: Segmenter) -> Bayes:
 
 def judged(pages: DataFrame, rules=RULES) -> DataFrame:
     """page_id, host, path, rule, verdict and score (log-odds of block by the model) of every page."""
-    texts = pages.select(F.col("html").alias("text")) if "html" in pages.columns else pages.select(F.col("url").alias("text"))
+    # words of what a page says: tags and entities would be its commonest
+    texts = pages.select(F.regexp_replace("html", r"<[^>]*+>|&#?[A-Za-z0-9]++;", " ").alias("text")) if "html" in pages.columns else pages.select(F.col("url").alias("text"))
     counts = word_counts(texts)
     segmenter = Segmenter(counts | {w: max(counts.get(w, 0), SUSPECT_COUNT) for w in SUSPECT})
     rows = parsed(pages, rules)
