@@ -351,4 +351,5 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
 
 
 def op4_suffix_dedup(spark, sf_dir: str) -> DataFrame:
-    return dedup_report(table(spark, sf_dir, "documents"))
+    """dedup_report() of all documents, and has_repeats: 1 where anything was removed, else 0."""
+    return dedup_report(table(spark, sf_dir, "documents")).withColumn("has_repeats", (F.col("n_removed") > 0).cast("int"))
