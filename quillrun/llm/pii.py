@@ -6,7 +6,7 @@ patterns estimates every labeler's reliability; a logistic span classifier is th
 posteriors and scores all candidates. Spans of the base kinds are always reported, a loose
 candidate when its score is at least 0.5 and it overlaps no base span. All candidates of the corpus
 are counted; the driver sees only the counts of distinct vote patterns, of which there are at most
-(kinds x 3^4). Only built-in functions run.
+(kinds x 2^2 x 3^4). Only built-in functions run.
 
 Defined results: a null text counts as empty and has no spans; repeated rows are scanned one by one;
 spans of one kind are ordered by start; an empty table gives an empty result; other columns of the
@@ -44,6 +44,8 @@ IBAN_LANDS = ["DE", "FR", "ES", "GB", "IT", "NL", "BE", "AT", "CH", "PT", "IE",
 FOR = r"(?i)(?:call|phone|tel|mobile|fax|mail|contact|reach|write|ssn|social|security|born|birth|dob|name|address|iban|account|card|patient|client|user)\b[^\n]{0,30}$"
 AGAINST = r"(?i)(?:version|release|build|isbn|issn|order|invoice|serial|model|part|page|section|figure|sku|ref|id|no)\.?\x20*[:#]?\x20*$"
 VOTERS = ["shape", "list", "context", "edge"]
+#: What the span classifier sees besides the votes.
+FEATURES = ["labelled", "alone"]
 
 
 def _digits(v: Column) -> Column:
@@ -57,6 +59,14 @@ def luhn(digits: Column) -> Column:
     return F.aggregate(each, F.lit(0), lambda a, x: a + F.coalesce(x, F.lit(0))) % 10 == 0
 
 
+def remainder_97(account: Column) -> Column:
+    """Of an account number, its first four characters put last and letters read as numbers from 10: the
+    remainder by 97, 1 where the check digits are right."""
+    moved = F.concat(F.substring(account, 5, 40), F.substring(account, 1, 4))
+    number = lambda c: F.when(c.rlike("[0-9]"), c.try_cast("int")).otherwise(F.ascii(c) - 55)
+    return F.aggregate(F.filter(F.split(moved, ""), lambda c: c != ""), F.lit(0), lambda r, c: F.when(c.rlike("[0-9]"), (r * 10 + number(c)) % 97).otherwise((r * 100 + number(c)) % 97))
+
+
 def _is_card(v: Column) -> Column:
     return F.length(_digits(v)).between(16, 19) & luhn(F.when(F.length(_digits(v)).between(16, 19), _digits(v)).otherwise("0"))
 
@@ -88,17 +98,24 @@ def candidates(docs: DataFrame) -> DataFrame:
     shape = (
         F.when(kind == "email", value.rlike(r"^[A-Za-z0-9][A-Za-z0-9._%+-]*@")).when(kind.isin("ip"), ~value.rlike(r"^0|\.0[0-9]"))
         .when(kind.isin("card", "phone", "email_masked"), True)
-        .when(kind == "ssn", ~value.rlike(r"^(?:000|666|9)|-00-|-0000$")).when(kind == "iban", F.length(F.regexp_replace(value, " ", "")).between(15, 34))
-        .when(kind == "phone_local", value.startswith("(")).when(kind == "birth_date", False)
+        .when(kind == "ssn", ~value.rlike(r"^(?:000|666|9)|-00-|-0000$")).when(kind == "iban", F.length(F.regexp_replace(value, " ", "")).between(15, 34) & remainder_97(F.regexp_replace(value, " ", "")).eqNullSafe(1))
+        .when(kind == "phone_local", value.startswith("("))
     )
     listed = (
         F.when(kind.isin("email", "email_masked"), ending.isin(MAIL_ENDS)).when(kind == "iban", F.substring(value, 1, 2).isin(IBAN_LANDS))
         .when(kind == "person", F.regexp_extract(value, "^[A-Za-z]+", 0).isin(TITLES)).when(kind == "card", F.substring(value, 1, 1).isin("3", "4", "5", "6"))
         .when(kind == "ip", ~value.rlike(r"^(?:0|10|127|255)\.|^192\.168\.")).when(kind.isin("phone_local"), ~_digits(value).rlike("^[01]"))
     )
-    context = F.when(F.col("before").rlike(AGAINST), False).when(F.col("before").rlike(FOR), True)
+    context = F.when(F.col("before").rlike(AGAINST), False).when(F.col("before").rlike(FOR), True).when(kind == "birth_date", False)  # a date alone is no birth date
     edge = F.when(F.col("before").rlike(r"[A-Za-z0-9]$") | F.col("after").rlike(r"^[A-Za-z0-9]"), False)
-    return rows.select("rid", "doc_id", "text_key", "kind", "start", "end", *(v.cast("int").alias(n) for n, v in zip(VOTERS, (shape, listed, context, edge))))
+    # what the classifier sees besides the votes
+    labelled, alone = F.col("before").rlike(r"[:=]\x20*$"), F.col("before").rlike(r"(?:^|\n)\x20*$") & (F.col("after").rlike(r"^\x20*(?:\n|$)"))
+    base = kind.isin(BASE)
+    whole = Window.partitionBy("rid").orderBy("start", "end", "kind")
+    over = F.coalesce(F.max(F.when(base, F.col("end"))).over(whole.rowsBetween(Window.unboundedPreceding, -1)) > F.col("start"), F.lit(False)) | F.coalesce(
+        F.min(F.when(base, F.col("start"))).over(whole.rowsBetween(1, Window.unboundedFollowing)) < F.col("end"), F.lit(False)
+    )
+    return rows.withColumn("over", over & kind.isin(LOOSE)).select("rid", "doc_id", "text_key", "kind", "start", "end", "over", *(f.cast("int").alias(n) for n, f in zip(FEATURES, (labelled, alone))), *(v.cast("int").alias(n) for n, v in zip(VOTERS, (shape, listed, context, edge))))
 
 
 def fit(counts: list[dict], rounds: int = 30) -> dict:
@@ -124,7 +141,7 @@ def fit(counts: list[dict], rounds: int = 30) -> dict:
     for _ in range(300):
         slope, curve = {}, {}
         for c, p in zip(counts, posterior):
-            own = [("bias", 1.0), (c["kind"], 1.0), *((v, 1.0 if c[v] else -1.0) for v in VOTERS if c[v] is not None)]
+            own = [("bias", 1.0), (c["kind"], 1.0), *((v, 1.0 if c[v] else -1.0) for v in VOTERS if c[v] is not None), *((f, 1.0) for f in FEATURES if c.get(f))]
             off = p - 1 / (1 + math.exp(-sum(weights.get(f, 0.0) * x for f, x in own)))
             for f, x in own:
                 slope[f] = slope.get(f, 0.0) + math.log1p(c["n"]) * off * x
@@ -140,6 +157,8 @@ def _score(weights: dict) -> Column:
         total = total + F.when(F.col("kind") == k, weights.get(k, 0.0)).otherwise(0.0)
     for v in VOTERS:
         total = total + F.when(F.col(v) == 1, weights.get(v, 0.0)).when(F.col(v) == 0, -weights.get(v, 0.0)).otherwise(0.0)
+    for f in FEATURES:
+        total = total + F.when(F.col(f) == 1, weights.get(f, 0.0)).otherwise(0.0)
     return 1 / (1 + F.exp(-total))
 
 
@@ -147,13 +166,10 @@ def personal_spans(docs: DataFrame) -> DataFrame:
     """One row per row of docs: doc_id, text_key, base and spans, arrays of struct<rank, start, kind,
     end, score> in order."""
     rows = checkpointed(candidates(docs))
-    counts = [r.asDict() for r in rows.where("kind <> ''").groupBy("kind", *VOTERS).agg(F.count(F.lit(1)).alias("n")).orderBy("kind", *VOTERS).collect()]
+    # loose candidates within base spans tell nothing: they are tails of those
+    counts = [r.asDict() for r in rows.where("kind <> '' and not over").groupBy("kind", *FEATURES, *VOTERS).agg(F.count(F.lit(1)).alias("n")).orderBy("kind", *FEATURES, *VOTERS).collect()]
     base = F.col("kind").isin(BASE)
-    whole = Window.partitionBy("rid").orderBy("start", "end", "kind")
-    over = F.coalesce(F.max(F.when(base, F.col("end"))).over(whole.rowsBetween(Window.unboundedPreceding, -1)) > F.col("start"), F.lit(False)) | F.coalesce(
-        F.min(F.when(base, F.col("start"))).over(whole.rowsBetween(1, Window.unboundedFollowing)) < F.col("end"), F.lit(False)
-    )
-    rows = rows.withColumn("score", F.round(_score(fit(counts)), 6)).withColumn("over", over)
+    rows = rows.withColumn("score", F.round(_score(fit(counts)), 6))
     rank = F.array_position(F.array(*map(F.lit, BASE + LOOSE)), F.col("kind"))
     span = F.struct(rank.alias("rank"), "start", "kind", "end", "score")
     loose = F.col("kind").isin(LOOSE) & (F.col("score") >= 0.5) & ~F.col("over")
