@@ -130,16 +130,22 @@ def _signature(text: str) -> int:
     return min((xxhash.xxh64_intdigest(" ".join(w[i : i + 3])) for i in range(max(1, len(w) - 2))), default=0) >> 1
 
 
+def _signed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        yield pd.DataFrame({"doc_id": pdf["doc_id"], "sig": [_signature(t) for t in pdf["text"]]})
+
+
 def _told(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        yield pd.DataFrame({"doc_id": pdf["doc_id"], "label": pdf["label"], "sig": [_signature(t) for t in pdf["text"]], "f": [sorted(features_of(t)) for t in pdf["text"]]})
+        yield pd.DataFrame({"label": pdf["label"], "f": [sorted(features_of(t)) for t in pdf["text"]]})
 
 
 def induce(sample: DataFrame, most: int = LEXICON) -> dict[str, float]:
     """Entries and their log-odds: those in at least LEAST_DOCS toxic rows, LEAST_ODDS times as common
     there as in clean ones, and surely (SURE_ODDS) no chance finds."""
-    told = sample.mapInPandas(_told, "doc_id long, label int, sig long, f array<string>")
-    told = checkpointed(told.groupBy("sig").agg(F.min_by(F.struct("label", "f"), F.struct("doc_id", "label")).alias("t")).select("t.*"))
+    # ids alone are compared, so that a large group of copies is summed before it is shuffled
+    one = sample.mapInPandas(_signed, "doc_id long, sig long").groupBy("sig").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
+    told = checkpointed(sample.join(F.broadcast(one), "doc_id").mapInPandas(_told, "label int, f array<string>"))
     n = {r["label"]: r["n"] for r in told.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not n.get(0) or not n.get(1):
         return {f"={w}": math.log(20) for w in INSULTS}
