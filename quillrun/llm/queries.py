@@ -7,7 +7,7 @@ from quillrun.llm.pii import op10_personal_data
 from quillrun.llm.quality import op9_quality
 from quillrun.llm.secrets import OP5_SQL, op5_secret_scan
 from quillrun.llm.simhash import op2_simhash_near_dedup
-from quillrun.llm.suffixes import op4_suffix_dedup
+from quillrun.llm.suffixes import OP4_SQL, op4_suffix_dedup
 from quillrun.llm.toxicity import op1_toxicity
 from quillrun.llm.urlfilter import op6_url_filter
 
@@ -25,6 +25,7 @@ QUERIES = {
 }
 ORACLE_SQL = {
     "op3_mixing": OP3_SQL,
+    "op4_suffix_dedup": OP4_SQL,
     "op5_secret_scan": OP5_SQL,
     "op7_benchmark_decontamination": OP7_SQL,
 }

@@ -353,3 +353,24 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
 def op4_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     """dedup_report() of all documents, and has_repeats: 1 where anything was removed, else 0."""
     return dedup_report(table(spark, sf_dir, "documents")).withColumn("has_repeats", (F.col("n_removed") > 0).cast("int"))
+
+
+#: The rows of op4 by counting every 400-byte window, cut from blocks of 512 starts; bytes are hex digits,
+#: and windows are told apart by MD5.
+OP4_SQL = r"""
+WITH d AS (SELECT row_number() OVER () r, doc_id, hex(encode(coalesce(text, ''))) h FROM documents),
+blocks AS (SELECT r, b, substr(h, 2 * b + 1, 1822) t FROM (SELECT r, h, unnest(range(0, length(h) // 2 - 399, 512)) b FROM d)),
+starts AS (SELECT r, b, t, unnest(range(0, least(512, length(t) // 2 - 399))) i FROM blocks),
+windows AS (SELECT r, b + i i, md5(substr(t, 2 * i + 1, 800)) k FROM starts),
+repeats AS (SELECT k FROM windows GROUP BY k HAVING count(*) > 1),
+hits AS (SELECT r, i FROM windows SEMI JOIN repeats USING (k)),
+marked AS (SELECT r, i, (i > coalesce(lag(i) OVER (PARTITION BY r ORDER BY i) + 400, -1))::INT apart FROM hits),
+numbered AS (SELECT r, i, sum(apart) OVER (PARTITION BY r ORDER BY i) run FROM marked),
+runs AS (SELECT r, min(i) a, max(i) + 400 b FROM numbered GROUP BY r, run),
+pieces AS (SELECT r, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) a, a b FROM runs UNION ALL SELECT r, max(b), NULL FROM runs GROUP BY r),
+kept AS (SELECT r, string_agg(substr(h, 2 * a + 1, 2 * (coalesce(b, length(h) // 2) - a)), '' ORDER BY a) k FROM pieces JOIN d USING (r) GROUP BY r),
+removed AS (SELECT r, sum(b - a) n, count(*) spans FROM runs GROUP BY r)
+SELECT doc_id, (length(h) // 2)::BIGINT n_bytes, coalesce(n, 0)::BIGINT n_removed, coalesce(spans, 0)::BIGINT n_spans,
+  sha256(unhex(coalesce(k, h))) kept_sha256, (coalesce(n, 0) > 0)::INT has_repeats
+FROM d LEFT JOIN removed USING (r) LEFT JOIN kept USING (r)
+"""
