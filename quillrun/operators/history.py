@@ -2,14 +2,34 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillrun.functions.scalars import is_status, is_terminal, to_time
 from quillrun.schemas import ADMINS, EDITORS, NEXT
 
+#: Rows of a range of times that one task works on at once, about.
+PIECE_ROWS = 1_000_000
+
+
+def in_pieces(events: DataFrame, each: int = PIECE_ROWS) -> DataFrame:
+    """events with ``_piece``: which of the ranges of ``ts`` holds the row, ascending, null times first.
+    There are as many ranges, alike in rows, as rows make with ``each`` of them; equal times share one.
+    Their limits, one for ``each`` rows, come to the driver."""
+    known = events.where(F.col("ts").isNotNull())
+    n = known.count() // each
+    if n < 2:
+        return events.withColumn("_piece", F.when(F.col("ts").isNull(), -1).otherwise(0))
+    seconds = F.col("ts").cast("double").alias("_at")
+    limits = sorted(set(known.select(seconds).approxQuantile("_at", [k / n for k in range(1, n)], 0.25 / n)))
+    cut = Bucketizer(splits=[-math.inf, *limits, math.inf], inputCol="_at", outputCol="_piece", handleInvalid="keep")
+    rows = cut.transform(events.select("*", seconds)).drop("_at")
+    return rows.withColumn("_piece", F.when(F.col("ts").isNull(), -1).otherwise(F.col("_piece").cast("int")))
+
 
 def visible(logs: DataFrame, members: DataFrame, user_id: int) -> DataFrame:
     """The logs that a user may see: an administrator all, others their own."""
@@ -159,11 +179,19 @@ def jobs_with_logs(jobs: DataFrame, logs: DataFrame) -> DataFrame:
     return jobs.join(got, "log_id", "left").withColumn("can_retry", F.col("log_id").isNotNull() & (F.col("log_status") == "E100"))
 
 
-def transitions(events: DataFrame) -> DataFrame:
-    """(job, ts, seq, status, prior, legal): each status with the one before, and whether it may follow."""
-    prior = F.lag("status").over(Window.partitionBy("job").orderBy("ts", "seq"))
+def transitions(events: DataFrame, each: int = PIECE_ROWS) -> DataFrame:
+    """events with prior, the status before in the job, and legal, whether the status may follow it. The
+    one before is looked for by pieces, and beyond them among their last rows only, so one job may have
+    most events."""
+    rows = in_pieces(events, each)
+    own = Window.partitionBy("job", "_piece").orderBy("ts", "seq")
+    lasts = rows.groupBy(F.col("job").alias("_job"), F.col("_piece").alias("_p")).agg(F.max(F.struct("ts", "seq", "status")).alias("_last"))
+    lasts = lasts.select("_job", "_p", F.lag("_last.status").over(Window.partitionBy("_job").orderBy("_p")).alias("_carried"))
+    rows = rows.withColumn("_k", F.row_number().over(own)).withColumn("_lag", F.lag("status").over(own))
+    rows = rows.join(lasts, rows["job"].eqNullSafe(lasts["_job"]) & (rows["_piece"] == lasts["_p"]))
+    rows = rows.withColumn("prior", F.when(F.col("_k") == 1, F.col("_carried")).otherwise(F.col("_lag"))).select(*events.columns, "prior")
     legal = [(F.col("prior").isNull() if a is None else F.col("prior") == a) & F.col("status").isin(b) for a, b in NEXT.items() if b]
-    return events.withColumn("prior", prior).withColumn("legal", F.coalesce(reduce(Column.__or__, legal), F.lit(False)))
+    return rows.withColumn("legal", F.coalesce(reduce(Column.__or__, legal), F.lit(False)))
 
 
 def latest(events: DataFrame) -> DataFrame:

@@ -350,6 +350,18 @@ def _stream(spark, sf_dir):
     return spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]")  # a pattern, as a stream's plain path must be a folder
 
 
+RESTARTS_SQL = f"""WITH {POLLS_SQL.split("numbered AS")[0].rstrip().rstrip(",")}, fresh AS (SELECT *, max(CASE WHEN kind = 'upload' THEN (ts, seq) END) OVER (PARTITION BY job) up FROM polls),
+counted AS (SELECT *, row_number() OVER w attempt, coalesce(sum((kind = 'error')::INT) OVER (PARTITION BY job ORDER BY ts, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) prior FROM fresh WHERE up IS NULL OR (ts, seq) > up WINDOW w AS (PARTITION BY job ORDER BY ts, seq)),
+sums AS (SELECT job, count(*) attempts, sum((kind = 'error')::INT)::BIGINT errors FROM counted WHERE attempt <= 60 AND prior < 3 GROUP BY job),
+every AS (SELECT job, coalesce(attempts, 0) attempts, coalesce(errors, 0) errors FROM (SELECT DISTINCT job FROM polls) LEFT JOIN sums USING (job))
+SELECT *, CASE WHEN errors >= 3 THEN 'stopped' WHEN attempts >= 60 THEN 'timeout' ELSE 'open' END outcome FROM every"""
+
+
+@registered(RESTARTS_SQL)
+def t04_new_uploads(spark, sf_dir):
+    return lifecycle.poll_states(derived.as_polls(_stream(spark, sf_dir)), f"{folder(spark)}/{uuid.uuid4().hex}")
+
+
 @registered(OUTCOME_SQL)
 def t02_poll_stream(spark, sf_dir):
     return lifecycle.run_to_end(lifecycle.poll_stream(derived.as_polls(_stream(spark, sf_dir))), f"{folder(spark)}/{uuid.uuid4().hex}")
@@ -415,7 +427,7 @@ states AS (SELECT job, 0::BIGINT k, NULL::VARCHAR status, 0::BIGINT refused FROM
 SELECT job, status, refused FROM states JOIN jobs USING (job) WHERE k = most""")
 def t01_status_stream(spark, sf_dir):
     events = derived.as_changes(_stream(spark, sf_dir))
-    return lifecycle.run_to_end(lifecycle.status_stream(events), f"{folder(spark)}/{uuid.uuid4().hex}")
+    return lifecycle.status_states(events, f"{folder(spark)}/{uuid.uuid4().hex}")
 
 
 @registered(r"SELECT page_id, name, regexp_matches(name, '(?i)\.(pdf|png|jpe?g|tiff?|bmp|webp)$') supported FROM (SELECT page_id, 'page-' || page_id || ['.pdf', '.txt', '.PNG', '.jpg.html'][page_id % 4 + 1] AS name FROM pages)")

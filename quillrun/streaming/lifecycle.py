@@ -2,21 +2,39 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillrun.operators.history import PIECE_ROWS, in_pieces
 from quillrun.schemas import NEXT
 
 MAX_POLLS, MAX_ERRORS, POLL_SECONDS = 60, 3, 5
 
 
-def poll_attempts(polls: DataFrame) -> DataFrame:
-    """polls with attempt (from 1, per job), prior_errors, and whether the poll was still made."""
-    order = Window.partitionBy("job").orderBy("ts", "seq")
-    rows = polls.withColumn("attempt", F.row_number().over(order).cast("long")).withColumn("prior_errors", F.coalesce(F.sum((F.col("kind") == "error").cast("long")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+def poll_attempts(polls: DataFrame, each: int = PIECE_ROWS) -> DataFrame:
+    """polls with attempt (from 1, per job), prior_errors, and whether the poll was still made. Polls are
+    numbered by pieces, whose sums are then added up, so one job may have most polls."""
+    bad = (F.col("kind") == "error").cast("long")
+    rows = in_pieces(polls, each)
+    own = Window.partitionBy("job", "_piece").orderBy("ts", "seq")
+    earlier = Window.partitionBy("job").orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy("job", "_piece").agg(F.count(F.lit(1)).alias("n"), F.sum(bad).alias("e"))
+    sums = sums.select(
+        F.col("job").alias("_job"),
+        F.col("_piece").alias("_p"),
+        F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("_n"),
+        F.coalesce(F.sum("e").over(earlier), F.lit(0)).alias("_e"),
+    )
+    rows = rows.withColumn("attempt", F.row_number().over(own).cast("long")).withColumn(
+        "prior_errors", F.coalesce(F.sum(bad).over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    )
+    rows = rows.join(sums, rows["job"].eqNullSafe(sums["_job"]) & (rows["_piece"] == sums["_p"]))
+    rows = rows.withColumns({"attempt": F.col("attempt") + F.col("_n"), "prior_errors": F.col("prior_errors") + F.col("_e")})
+    rows = rows.select(*polls.columns, "attempt", "prior_errors")
     return rows.withColumn("made", (F.col("attempt") <= MAX_POLLS) & (F.col("prior_errors") < MAX_ERRORS))
 
 
@@ -64,21 +82,23 @@ def earliest(parts: Iterator[pd.DataFrame], most: int = MAX_POLLS) -> pd.DataFra
     return held
 
 
-def poll_stream(polls: DataFrame, restart: bool = False) -> DataFrame:
+def outcome_of(attempts: int, errors: int) -> str:
+    return "stopped" if errors >= MAX_ERRORS else "timeout" if attempts >= MAX_POLLS else "open"
+
+
+def poll_stream(polls: DataFrame) -> DataFrame:
     """(job, attempts, errors, outcome) after each batch, from a stream of polls.
 
     Within a batch the polls of a job are taken by time, then number. No more than MAX_POLLS count, so
-    only the earliest are held of a batch; where restarts count, the whole batch of a job is.
+    only the earliest are held of a batch. See poll_states() for uploads that start anew.
     """
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         now = tuple(state.get) if state.exists else (0, 0)
-        rows = pd.concat(list(parts)).sort_values(["ts", "seq"]) if restart else earliest(parts)
-        for kind in rows["kind"]:
-            now = advance(now, kind, restart)
+        for kind in earliest(parts)["kind"]:
+            now = advance(now, kind)
         state.update(now)
-        outcome = "stopped" if now[1] >= MAX_ERRORS else "timeout" if now[0] >= MAX_POLLS else "open"
-        yield pd.DataFrame({"job": [key[0]], "attempts": [now[0]], "errors": [now[1]], "outcome": [outcome]})
+        yield pd.DataFrame({"job": [key[0]], "attempts": [now[0]], "errors": [now[1]], "outcome": [outcome_of(*now)]})
 
     return polls.groupBy("job").applyInPandasWithState(step, "job long, attempts long, errors long, outcome string", "attempts long, errors long", "update", "NoTimeout")
 
@@ -89,18 +109,85 @@ def follow(prior: str | None, status: str) -> tuple[str | None, bool]:
     return (status if legal else prior), legal
 
 
-def status_stream(events: DataFrame) -> DataFrame:
-    """(job, status, refused) after each batch, from a stream of (job, ts, seq, status)."""
+def fold_stream(stream: DataFrame, path: str, effect: Callable, effect_ddl: str, apply: Callable, state_ddl: str, each: int = PIECE_ROWS) -> DataFrame:
+    """(job, state columns) after all that is there of a stream of (job, ts, seq, ...).
 
-    def step(key: tuple, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        status, refused = tuple(state.get) if state.exists else (None, 0)
-        for asked in pd.concat(list(parts)).sort_values(["ts", "seq"])["status"]:
-            status, legal = follow(status, asked)
-            refused += not legal
-        state.update((status, refused))
-        yield pd.DataFrame({"job": [key[0]], "status": [status], "refused": [refused]})
-
-    return events.groupBy("job").applyInPandasWithState(step, "job long, status string, refused long", "status string, refused long", "update", "NoTimeout")
+    A batch is cut into pieces by time, and ``effect(rows)`` tells in one row what the rows of a job in
+    a piece, in order, do to any state. ``apply(state, effect)`` takes a state, None at first, through
+    these few rows, so a job may have most rows of a batch. States are a table for each batch below
+    ``path``, which the cluster shares; a batch that is repeated reads the table before and writes its own
+    again. Each batch rewrites all states. Within a batch rows are taken by time, then number; nothing
+    orders events across batches.
+    """
+    spark, names = stream.sparkSession, [c.split()[0] for c in state_ddl.split(", ")]
+
+    def told(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        row = effect(pdf.sort_values(["ts", "seq"]))
+        return pd.DataFrame({"job": pd.array([None if pd.isna(key[0]) else key[0]], "Int64"), "_piece": [key[1]], **{k: [v] for k, v in row.items()}})
+
+    def folded(key: tuple, before: pd.DataFrame, effects: pd.DataFrame) -> pd.DataFrame:
+        state = tuple(before[names].iloc[0]) if len(before) else None
+        for row in effects.sort_values("_piece").to_dict("records"):
+            state = apply(state, row)
+        return pd.DataFrame({"job": pd.array([None if pd.isna(key[0]) else key[0]], "Int64"), **{n: [v] for n, v in zip(names, state)}})
+
+    ddl = f"job long, {state_ddl}"
+
+    def write(batch: DataFrame, number: int) -> None:
+        own = batch.sparkSession
+        effects = in_pieces(batch, each).groupBy("job", "_piece").applyInPandas(told, f"job long, _piece int, {effect_ddl}")
+        before = own.read.schema(ddl).parquet(f"{path}/states/batch={number - 1}") if number else own.createDataFrame([], ddl)
+        now = before.groupBy("job").cogroup(effects.groupBy("job")).applyInPandas(folded, ddl)
+        now.write.mode("overwrite").parquet(f"{path}/states/batch={number}")
+
+    query = stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    try:
+        rows = spark.read.schema(f"{ddl}, batch long").parquet(f"{path}/states")
+    except AnalysisException:  # there has been no batch
+        return spark.createDataFrame([], ddl)
+    return rows.where(F.col("batch") == (rows.agg(F.max("batch")).first()[0] or 0)).drop("batch")
+
+
+def status_states(events: DataFrame, path: str, each: int = PIECE_ROWS) -> DataFrame:
+    """(job, status, refused) after all that is there of a stream of (job, ts, seq, status)."""
+
+    def effect(rows: pd.DataFrame) -> dict:
+        """From each status that a job may have, none too, the status after the rows and how many were refused."""
+        after = {s: (s, 0) for s in NEXT}
+        for asked in rows["status"]:
+            for s, (now, refused) in after.items():
+                now, legal = follow(now, asked)
+                after[s] = (now, refused + (not legal))
+        return {"after": [now for now, _ in after.values()], "refused": [n for _, n in after.values()]}
+
+    def apply(state: tuple | None, row: dict) -> tuple:
+        status, refused = state or (None, 0)
+        k = list(NEXT).index(status)
+        return row["after"][k], int(refused) + int(row["refused"][k])
+
+    return fold_stream(events, path, effect, "after array<string>, refused array<long>", apply, "status string, refused long", each)
+
+
+def poll_states(polls: DataFrame, path: str, each: int = PIECE_ROWS) -> DataFrame:
+    """(job, attempts, errors, outcome) after all that is there of a stream of polls, where a new upload
+    starts a job anew."""
+
+    def effect(rows: pd.DataFrame) -> dict:
+        """Whether there is an upload, and the first polls after the last one."""
+        kinds = rows["kind"].tolist()
+        uploads = [i for i, k in enumerate(kinds) if k == "upload"]
+        return {"anew": bool(uploads), "kinds": kinds[uploads[-1] + 1 if uploads else 0 :][:MAX_POLLS]}
+
+    def apply(state: tuple | None, row: dict) -> tuple:
+        now = (0, 0) if state is None or row["anew"] else tuple(map(int, state))
+        for kind in row["kinds"]:
+            now = advance(now, kind, restart=True)
+        return now
+
+    rows = fold_stream(polls, path, effect, "anew boolean, kinds array<string>", apply, "attempts long, errors long", each)
+    stopped, late = F.col("errors") >= MAX_ERRORS, F.col("attempts") >= MAX_POLLS
+    return rows.withColumn("outcome", F.when(stopped, "stopped").when(late, "timeout").otherwise("open"))
 
 
 def append_to_end(stream: DataFrame, path: str) -> DataFrame:
