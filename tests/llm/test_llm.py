@@ -5,6 +5,7 @@ import random
 import re
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pandas as pd
 import pytest
@@ -633,6 +634,29 @@ def test_edit_report_on_awkward_rows(awkward):
 # --- pipeline
 
 
+def brute_quality(docs, labels):
+    """By id: the votes of the labelled texts whose cosines are largest, each told by itself."""
+    model, out = quality.fit(docs, labels), {}
+    points = [p.astype(float) for p in model.points]
+    for r in docs.select("doc_id", "text").collect():
+        own = model._latent(model._matrix([quality.terms_of(r.text or "")]))[0].astype(float)
+        cosines = [float(own @ p) for p in points]
+        least = sorted(cosines, reverse=True)[: quality.NEIGHBOURS][-1]
+        near = [(max(0.0, c) ** quality.SHARPNESS * w, y) for c, w, y in zip(cosines, model.weights, model.labels) if c >= least - 1e-6]
+        total = sum(w for w, _ in near)
+        out[r.doc_id] = sum(w * float(y) for w, y in near) / total if total > 1e-9 else model.prior
+    return out
+
+
+def test_quality_votes_are_those_of_exact_cosines(spark):
+    docs, labels = table(spark, "documents"), table(spark, "labels")
+    want = brute_quality(docs, labels)
+    got = {r.doc_id: r.score for r in quality.op9_quality(spark, SF).collect()}
+    assert got.keys() == want.keys()
+    close = sum(abs(got[i] - want[i]) < 1e-4 for i in want)
+    assert close >= 0.99 * len(want)  # neighbours a rounding error apart may change places
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 
@@ -642,6 +666,10 @@ def test_pipeline_stages(spark):
         assert out.columns[: len(docs.columns)] == docs.columns
         kept, before = {r.doc_id for r in out.select("doc_id").collect()}, {r.doc_id for r in docs.select("doc_id").collect()}
         assert kept and kept <= before and out.count() == len(kept)
+        if k == 0:
+            votes = brute_quality(docs, table(spark, "labels"))
+            sure = {i for i, v in votes.items() if abs(v - quality.THRESHOLD) > 1e-4}
+            assert len(sure) > 0.9 * len(votes) and kept & sure == {i for i in sure if votes[i] >= quality.THRESHOLD} and len(kept) < len(before)
         if k == 1:
             groups = simhash.simhash_groups(docs).collect()
             assert kept == {r.component_id for r in groups}
@@ -650,4 +678,11 @@ def test_pipeline_stages(spark):
         if k == 3:
             assert kept == before and out.where("n_chars <> length(text)").count() == 0
             assert all(r.n == 0 for r in secrets.secret_spans(out).select(F.size("base").alias("n")).collect())
+        if k == 4:
+            con = duckdb.connect()
+            con.register("documents", docs.select("doc_id", "text", "lang", "source").toPandas())
+            want = con.sql(f"SELECT doc_id, probability, residual FROM ({mixing.OP3_SQL}) WHERE sampled").fetchall()
+            got = {r.doc_id: (r.probability, r.residual) for r in out.collect()}
+            assert got.keys() == {i for i, *_ in want} and len(kept) < len(before)
+            assert all(got[i] == pytest.approx(both, abs=2e-6) for i, *both in want)
         docs = out
