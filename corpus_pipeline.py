@@ -1,8 +1,9 @@
 """A corpus pipeline: quality, near-duplicates, decontamination, secrets, mixing.
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. The quality
-classifier can't be stated in SQL, so there is no ORACLE_SQL; tests hold every stage against a
-brute-force version.
+classifier can't be stated in SQL, so there is no ORACLE_SQL. Tests hold its votes against exact
+cosines one by one, the mixing stage against SQL, and the others against the operators' own results,
+which other tests hold against brute force.
 """
 
 from __future__ import annotations
