@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from quillrun.sources.shared import folder, written
 
+#: Documents whose ids a task remembers.
+REMEMBERED = 1 << 18
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -49,3 +51,15 @@ def held_out(doc_id: Column) -> Column:
 
 def sha256_hex(text: Column) -> Column:
     return F.sha2(text.cast("binary"), 256)
+
+
+class Seen(set):
+    """Documents that a task met before. Forgets all when it has become too large, so a repeat may pass."""
+
+    def again(self, document: tuple) -> bool:
+        if document in self:
+            return True
+        if len(self) >= REMEMBERED:
+            self.clear()
+        self.add(document)
+        return False

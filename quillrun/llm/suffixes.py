@@ -15,6 +15,7 @@ anywhere else in the corpus, the same document included.
 Of hashes with over HOT_CONTEXTS different contexts, single strings are counted by a 128-bit hash
 instead. Such counts are summed before they are shuffled, and a join gives them back to their starts,
 so a task sorts HOT_CONTEXTS contexts of a hash at most, whatever the surroundings of a common passage.
+Rows equal in id and text share one set of spans, and a task cuts the contexts of such rows once.
 
 Defined results: null counts as empty; texts shorter than the length are kept whole; repeated rows
 are each other's repeats; several rows may share a doc_id; an empty table gives an empty result;
@@ -32,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillrun.llm.common import checkpointed, drop_stored, stored, table
+from quillrun.llm.common import Seen, checkpointed, drop_stored, stored, table
 
 LENGTH = 400
 GRAM = 160
@@ -212,16 +213,19 @@ def _cut(length: int, gram: int):
     Of hot hashes each start is a piece without a context, dealt by 128 bits of its string."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen = Seen()
         for pdf in batches:
             out: list[tuple] = []
             size = 0
-            for t, reps in zip(pdf["text"], pdf["reps"]):
+            for i, k, t, reps in zip(pdf["id"], pdf["key"], pdf["text"], pdf["reps"]):
+                if seen.again((i, k)):
+                    continue
                 data = t.encode("utf-8", "surrogatepass")
                 for r in reps:
                     h, c, p, n, d = (int(r[x]) for x in ("h", "c", "p", "n", "d"))
                     if r["hot"]:
-                        keys = np.frombuffer(b"".join(xxhash.xxh3_128_digest(data[i : i + length]) for i in range(p, p + n)), "<i8").reshape(-1, 2)
-                        out += [(k0, k1, h, c, i, 1, None) for i, (k0, k1) in enumerate(keys.tolist())]
+                        keys = np.frombuffer(b"".join(xxhash.xxh3_128_digest(data[j : j + length]) for j in range(p, p + n)), "<i8").reshape(-1, 2)
+                        out += [(k0, k1, h, c, j, 1, None) for j, (k0, k1) in enumerate(keys.tolist())]
                         size += 100 * n
                     else:
                         out.append((h, 0, h, c, 0, n, data[p : p + n + length - 1]))
@@ -239,7 +243,7 @@ def _sort(length: int):
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[tuple] = []
-        size, key = 0, None
+        size, key, last = 0, None, None
 
         def marked() -> pd.DataFrame:
             found = repeated([x[3] for x in held], [x[2] for x in held], length)
@@ -251,7 +255,9 @@ def _sort(length: int):
                 if size >= SORTED_TOGETHER and (k0, k1) != key:  # a key's pieces stay together
                     yield marked()
                     held, size = [], 0
-                key = (k0, k1)
+                if (h, c, a) == last:  # of another row with the same id and text
+                    continue
+                key, last = (k0, k1), (h, c, a)
                 held.append((h, c, n, context, a))
                 size += len(context)
         if held:
@@ -279,11 +285,11 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     several = checkpointed(contexts.groupBy("h").agg(F.count(F.lit(1)).alias("k")).where("k > 1"))
     reps = contexts.join(several, "h").select("id", "key", F.struct("h", "c", "p", "n", "d", (F.col("k") > HOT_CONTEXTS).alias("hot")).alias("rep"))
     reps = reps.groupBy("id", "key").agg(F.collect_list("rep").alias("reps"))
-    pieces = texts.join(reps, ["id", "key"]).select("text", "reps")
+    pieces = texts.join(reps, ["id", "key"]).select("id", "key", "text", "reps")
     pieces = pieces.mapInPandas(_cut(length, gram), "k0 long, k1 long, h long, c long, a int, n int, context binary")
     pieces = stored(pieces)
-    told = pieces.where("context is not null").repartition("k0", "k1").sortWithinPartitions("k0", "k1").mapInPandas(_sort(length), "h long, c long, a int, b int")
-    singles = pieces.where("context is null").select("k0", "k1", "h", "c", "a")
+    told = pieces.where("context is not null").repartition("k0", "k1").sortWithinPartitions("k0", "k1", "h", "c", "a").mapInPandas(_sort(length), "h long, c long, a int, b int")
+    singles = pieces.where("context is null").select("k0", "k1", "h", "c", "a").distinct()
     again = singles.join(singles.groupBy("k0", "k1").agg(F.count(F.lit(1)).alias("t")).where("t > 1").select("k0", "k1"), ["k0", "k1"])
     # starts in a row become one span; a context has no more starts than a minimiser's strings have offsets
     island = (F.col("a") - F.row_number().over(Window.partitionBy("h", "c").orderBy("a"))).alias("i")
@@ -292,7 +298,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     marks = checkpointed(told.unionByName(whole).groupBy("h", "c").agg(F.collect_set(F.struct("a", "b")).alias("m")))
     drop_stored(pieces)
     starts = likely.join(marks, ["h", "c"]).select("id", "key", F.transform("m", lambda m: F.struct((F.col("p") + m["a"]).alias("a"), (F.col("p") + m["b"]).alias("b"))).alias("s"))
-    found = checkpointed(starts.groupBy("id", "key").agg(F.flatten(F.collect_list("s")).alias("spans")))
+    found = checkpointed(starts.groupBy("id", "key").agg(F.flatten(F.collect_set("s")).alias("spans")))
     drop_stored(likely)
     return found
 
