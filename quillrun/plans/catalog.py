@@ -359,7 +359,7 @@ SELECT *, CASE WHEN errors >= 3 THEN 'stopped' WHEN attempts >= 60 THEN 'timeout
 
 @registered(RESTARTS_SQL)
 def t04_new_uploads(spark, sf_dir):
-    return lifecycle.poll_states(derived.as_polls(_stream(spark, sf_dir)), f"{folder(spark)}/{uuid.uuid4().hex}")
+    return lifecycle.run_to_end(lifecycle.upload_stream(derived.as_polls(_stream(spark, sf_dir))), f"{folder(spark)}/{uuid.uuid4().hex}")
 
 
 @registered(OUTCOME_SQL)
@@ -427,7 +427,7 @@ states AS (SELECT job, 0::BIGINT k, NULL::VARCHAR status, 0::BIGINT refused FROM
 SELECT job, status, refused FROM states JOIN jobs USING (job) WHERE k = most""")
 def t01_status_stream(spark, sf_dir):
     events = derived.as_changes(_stream(spark, sf_dir))
-    return lifecycle.status_states(events, f"{folder(spark)}/{uuid.uuid4().hex}")
+    return lifecycle.run_to_end(lifecycle.status_stream(events), f"{folder(spark)}/{uuid.uuid4().hex}")
 
 
 @registered(r"SELECT page_id, name, regexp_matches(name, '(?i)\.(pdf|png|jpe?g|tiff?|bmp|webp)$') supported FROM (SELECT page_id, 'page-' || page_id || ['.pdf', '.txt', '.PNG', '.jpg.html'][page_id % 4 + 1] AS name FROM pages)")
@@ -503,6 +503,16 @@ def t03_timed_polls(spark, sf_dir):
     return lifecycle.timed_polls(derived.polls(spark, sf_dir), 3 * 86_400)
 
 
+@registered("""WITH polls AS (SELECT user_id job, epoch_ms(ts) ms, event_id seq, event_type = 'error' bad, min(epoch_ms(ts)) OVER (PARTITION BY user_id) start FROM events),
+numbered AS (SELECT *, row_number() OVER w attempt, coalesce(sum(bad::INT) OVER (PARTITION BY job ORDER BY ms, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) prior
+  FROM polls WHERE ms < start + 259200000 WINDOW w AS (PARTITION BY job ORDER BY ms, seq)),
+sums AS (SELECT job, start, count(*) attempts, sum(bad::INT)::BIGINT errors FROM numbered WHERE attempt <= 60 AND prior < 3 GROUP BY job, start)
+SELECT job, attempts, errors, CASE WHEN errors >= 3 THEN 'stopped' WHEN attempts >= 60 OR start + 259200000 <= (SELECT max(ms) - 3600000 FROM polls) THEN 'timeout' ELSE 'open' END outcome FROM sums""")
+def t02_timed_stream(spark, sf_dir):
+    stream = lifecycle.timed_poll_stream(derived.as_polls(_stream(spark, sf_dir)), 3 * 86_400)
+    return lifecycle.run_to_end(stream, f"{folder(spark)}/{uuid.uuid4().hex}")
+
+
 @registered("SELECT 'retry-' || event_id id, event_id original_log_id, 'P100' status, 'event-' || event_id filename FROM events WHERE event_type = 'error' AND event_id % 3 <> 0")
 def t05_retry_stream(spark, sf_dir):
     failed = _stream(spark, sf_dir).select(F.col("event_id").alias("id"), F.when(F.col("event_type") == "error", "E100").otherwise("S100").alias("status"), F.concat(F.lit("event-"), F.col("event_id").cast("string")).alias("filename"))

@@ -8,11 +8,17 @@ import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from quillrun.operators.history import PIECE_ROWS, in_pieces
 from quillrun.schemas import NEXT
 
 MAX_POLLS, MAX_ERRORS, POLL_SECONDS = 60, 3, 5
+#: Width of the ranges of time in which a stream's rows are folded.
+PIECE_SECONDS = 86_400
+NO_JOB = -(1 << 63)
+OUTCOMES = "job long, attempts long, errors long, outcome string"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def poll_attempts(polls: DataFrame, each: int = PIECE_ROWS) -> DataFrame:
@@ -109,85 +115,168 @@ def follow(prior: str | None, status: str) -> tuple[str | None, bool]:
     return (status if legal else prior), legal
 
 
-def fold_stream(stream: DataFrame, path: str, effect: Callable, effect_ddl: str, apply: Callable, state_ddl: str, each: int = PIECE_ROWS) -> DataFrame:
-    """(job, state columns) after all that is there of a stream of (job, ts, seq, ...).
-
-    A batch is cut into pieces by time, and ``effect(rows)`` tells in one row what the rows of a job in
-    a piece, in order, do to any state. ``apply(state, effect)`` takes a state, None at first, through
-    these few rows, so a job may have most rows of a batch. States are a table for each batch below
-    ``path``, which the cluster shares; a batch that is repeated reads the table before and writes its own
-    again. Each batch rewrites all states. Within a batch rows are taken by time, then number; nothing
-    orders events across batches.
-    """
-    spark, names = stream.sparkSession, [c.split()[0] for c in state_ddl.split(", ")]
+def by_pieces(stream: DataFrame, effect: Callable[[pd.DataFrame], dict], ddl: str, seconds: int) -> DataFrame:
+    """(job, piece, effect): what the rows of a job in a range of so many seconds, in the order of time and
+    number, do to any state. So a job's rows are folded in many tasks, and its state meets a row for each
+    range; null times come first."""
 
     def told(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        row = effect(pdf.sort_values(["ts", "seq"]))
-        return pd.DataFrame({"job": pd.array([None if pd.isna(key[0]) else key[0]], "Int64"), "_piece": [key[1]], **{k: [v] for k, v in row.items()}})
+        row = effect(pdf.sort_values(["ts", "seq"], na_position="first"))
+        return pd.DataFrame({"job": [key[0]], "piece": [-(1 << 62) if pd.isna(key[1]) else key[1]], **{k: [v] for k, v in row.items()}})
 
-    def folded(key: tuple, before: pd.DataFrame, effects: pd.DataFrame) -> pd.DataFrame:
-        state = tuple(before[names].iloc[0]) if len(before) else None
-        for row in effects.sort_values("_piece").to_dict("records"):
-            state = apply(state, row)
-        return pd.DataFrame({"job": pd.array([None if pd.isna(key[0]) else key[0]], "Int64"), **{n: [v] for n, v in zip(names, state)}})
+    piece = F.floor(F.col("ts").cast("double") / seconds).cast("long").alias("piece")
+    return _keyed(stream).groupBy("job", piece).applyInPandas(told, f"job long, piece long, {ddl}")
 
-    ddl = f"job long, {state_ddl}"
 
-    def write(batch: DataFrame, number: int) -> None:
-        own = batch.sparkSession
-        effects = in_pieces(batch, each).groupBy("job", "_piece").applyInPandas(told, f"job long, _piece int, {effect_ddl}")
-        before = own.read.schema(ddl).parquet(f"{path}/states/batch={number - 1}") if number else own.createDataFrame([], ddl)
-        now = before.groupBy("job").cogroup(effects.groupBy("job")).applyInPandas(folded, ddl)
-        now.write.mode("overwrite").parquet(f"{path}/states/batch={number}")
+def _in_order(rows: Iterator[pd.DataFrame]) -> list[dict]:
+    return pd.concat(list(rows)).sort_values("piece").to_dict("records")
+
+
+def _keyed(rows: DataFrame) -> DataFrame:
+    """rows whose job is never null, as keys of states can't be: NO_JOB stands for null."""
+    return rows.withColumn("job", F.coalesce("job", F.lit(NO_JOB)))
+
+
+def _unkeyed(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("job", F.nullif("job", F.lit(NO_JOB)))
 
-    query = stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
-    query.awaitTermination()
-    try:
-        rows = spark.read.schema(f"{ddl}, batch long").parquet(f"{path}/states")
-    except AnalysisException:  # there has been no batch
-        return spark.createDataFrame([], ddl)
-    return rows.where(F.col("batch") == (rows.agg(F.max("batch")).first()[0] or 0)).drop("batch")
 
+#: The states that a change may meet, and the statuses that may be asked for; any other is the last.
+BEFORE, ASKED = list(NEXT), [s for s in NEXT if s] + ["other"]
 
-def status_states(events: DataFrame, path: str, each: int = PIECE_ROWS) -> DataFrame:
-    """(job, status, refused) after all that is there of a stream of (job, ts, seq, status)."""
 
-    def effect(rows: pd.DataFrame) -> dict:
-        """From each status that a job may have, none too, the status after the rows and how many were refused."""
-        after = {s: (s, 0) for s in NEXT}
-        for asked in rows["status"]:
-            for s, (now, refused) in after.items():
-                now, legal = follow(now, asked)
-                after[s] = (now, refused + (not legal))
-        return {"after": [now for now, _ in after.values()], "refused": [n for _, n in after.values()]}
+class StatusMachine(StatefulProcessor):
+    """Each job's status, and how often each status was refused, in Spark's state store."""
 
-    def apply(state: tuple | None, row: dict) -> tuple:
-        status, refused = state or (None, 0)
-        k = list(NEXT).index(status)
-        return row["after"][k], int(refused) + int(row["refused"][k])
+    def __init__(self, ttl_ms: int | None = None):
+        self.ttl_ms = ttl_ms
 
-    return fold_stream(events, path, effect, "after array<string>, refused array<long>", apply, "status string, refused long", each)
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.status = handle.getValueState("status", "status string", self.ttl_ms)
+        self.refused = handle.getMapState("refused", "asked string", "n long", self.ttl_ms)
 
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        now = self.status.get()[0] if self.status.exists() else None
+        refused = {k[0]: v[0] for k, v in self.refused.iterator()}
+        for row in _in_order(rows):
+            k = BEFORE.index(now)
+            now = row["after"][k]
+            for asked, n in zip(ASKED, row["refused"][k]):
+                if n:
+                    refused[asked] = refused.get(asked, 0) + int(n)
+                    self.refused.updateValue((asked,), (refused[asked],))
+        self.status.update((now,))
+        yield pd.DataFrame({"job": [key[0]], "status": [now], "refused": [sum(refused.values())]})
 
-def poll_states(polls: DataFrame, path: str, each: int = PIECE_ROWS) -> DataFrame:
-    """(job, attempts, errors, outcome) after all that is there of a stream of polls, where a new upload
-    starts a job anew."""
+    def close(self) -> None:
+        pass
 
-    def effect(rows: pd.DataFrame) -> dict:
-        """Whether there is an upload, and the first polls after the last one."""
-        kinds = rows["kind"].tolist()
-        uploads = [i for i, k in enumerate(kinds) if k == "upload"]
-        return {"anew": bool(uploads), "kinds": kinds[uploads[-1] + 1 if uploads else 0 :][:MAX_POLLS]}
 
-    def apply(state: tuple | None, row: dict) -> tuple:
-        now = (0, 0) if state is None or row["anew"] else tuple(map(int, state))
-        for kind in row["kinds"]:
-            now = advance(now, kind, restart=True)
-        return now
+def status_effect(rows: pd.DataFrame) -> dict:
+    """From each status that a job may have, none too, the status after the rows, and how often each was refused."""
+    after, refused = list(BEFORE), [[0] * len(ASKED) for _ in BEFORE]
+    for asked in rows["status"]:
+        for k, now in enumerate(after):
+            after[k], legal = follow(now, asked)
+            if not legal:
+                refused[k][ASKED.index(asked) if asked in ASKED else -1] += 1
+    return {"after": after, "refused": refused}
 
-    rows = fold_stream(polls, path, effect, "anew boolean, kinds array<string>", apply, "attempts long, errors long", each)
-    stopped, late = F.col("errors") >= MAX_ERRORS, F.col("attempts") >= MAX_POLLS
-    return rows.withColumn("outcome", F.when(stopped, "stopped").when(late, "timeout").otherwise("open"))
+
+def status_stream(events: DataFrame, seconds: int = PIECE_SECONDS, ttl_ms: int | None = None) -> DataFrame:
+    """(job, status, refused) of the jobs that a batch changes, from a stream of (job, ts, seq, status).
+    Within a batch changes are taken by time, then number. A state that hasn't changed for ``ttl_ms``
+    milliseconds is dropped."""
+    effects = by_pieces(events, status_effect, "after array<string>, refused array<array<long>>", seconds)
+    mode = "None" if ttl_ms is None else "ProcessingTime"
+    return _unkeyed(effects.groupBy("job").transformWithStateInPandas(StatusMachine(ttl_ms), "job long, status string, refused long", "Update", mode))
+
+
+class PollCounter(StatefulProcessor):
+    """Each job's polls since its last upload; a new upload clears its state."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.counted = handle.getValueState("counted", "attempts long, errors long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        for row in _in_order(rows):
+            if row["anew"]:
+                self.counted.clear()
+            now = tuple(self.counted.get()) if self.counted.exists() else (0, 0)
+            for kind in row["kinds"]:
+                now = advance(now, kind, restart=True)
+            self.counted.update(now)
+        yield pd.DataFrame({"job": [key[0]], "attempts": [now[0]], "errors": [now[1]], "outcome": [outcome_of(*now)]})
+
+    def close(self) -> None:
+        pass
+
+
+def poll_effect(rows: pd.DataFrame) -> dict:
+    """Whether there is an upload, and the first polls after the last one."""
+    kinds = rows["kind"].tolist()
+    uploads = [i for i, k in enumerate(kinds) if k == "upload"]
+    return {"anew": bool(uploads), "kinds": kinds[uploads[-1] + 1 if uploads else 0 :][:MAX_POLLS]}
+
+
+def upload_stream(polls: DataFrame, seconds: int = PIECE_SECONDS) -> DataFrame:
+    """(job, attempts, errors, outcome) of the jobs that a batch changes, where a new upload starts a job anew."""
+    effects = by_pieces(polls, poll_effect, "anew boolean, kinds array<string>", seconds)
+    return _unkeyed(effects.groupBy("job").transformWithStateInPandas(PollCounter(), OUTCOMES, "Update", "None"))
+
+
+class TimedPolls(StatefulProcessor):
+    """Polls of each job until a time after its first one. A timer then ends the job; a second one, after
+    ``linger_ms``, in which further polls of the job are let fall, drops its state."""
+
+    def __init__(self, limit_ms: int, linger_ms: int):
+        self.limit_ms, self.linger_ms = limit_ms, linger_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.job = handle.getValueState("job", "start_ms long, attempts long, errors long, ended boolean")
+
+    def _row(self, key, attempts: int, errors: int, over: bool) -> pd.DataFrame:
+        outcome = outcome_of(attempts, errors)
+        return pd.DataFrame({"job": [key[0]], "attempts": [attempts], "errors": [errors], "outcome": ["timeout" if over and outcome == "open" else outcome]})
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        held = earliest(rows)
+        first = int(held["ms"].iloc[0])
+        start, attempts, errors, ended = tuple(self.job.get()) if self.job.exists() else (first, 0, 0, False)
+        if ended:
+            return
+        if first < start or not self.job.exists():  # a poll from before the first one known moves the end
+            if self.job.exists():
+                self.handle.deleteTimer(start + self.limit_ms)
+            start = first
+            self.handle.registerTimer(start + self.limit_ms)
+        for kind in held["kind"][held["ms"] < start + self.limit_ms]:
+            attempts, errors = advance((attempts, errors), kind)
+        self.job.update((start, attempts, errors, False))
+        yield self._row(key, attempts, errors, False)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        start, attempts, errors, ended = tuple(self.job.get())
+        last = start + self.limit_ms + self.linger_ms
+        if ended or timerValues.getCurrentWatermarkInMs() > last:
+            self.job.clear()
+        else:
+            self.job.update((start, attempts, errors, True))
+            self.handle.registerTimer(last)
+        if not ended:
+            yield self._row(key, attempts, errors, True)
+
+    def close(self) -> None:
+        pass
+
+
+def timed_poll_stream(polls: DataFrame, seconds: int = MAX_POLLS * POLL_SECONDS, linger: int = 86_400, delay: str = "1 hour") -> DataFrame:
+    """(job, attempts, errors, outcome) of the jobs that a batch changes or ends. A job ends ``seconds``
+    after its first poll, when the watermark, ``delay`` behind the latest poll of all jobs, has passed that
+    time. Polls without a time are let fall, and no more than MAX_POLLS of a job and batch are held."""
+    rows = _keyed(polls.where(F.col("ts").isNotNull())).withWatermark("ts", delay).withColumn("ms", F.unix_millis("ts"))
+    return _unkeyed(rows.groupBy("job").transformWithStateInPandas(TimedPolls(1000 * seconds, 1000 * linger), OUTCOMES, "Update", "EventTime"))
 
 
 def append_to_end(stream: DataFrame, path: str) -> DataFrame:
@@ -197,15 +286,23 @@ def append_to_end(stream: DataFrame, path: str) -> DataFrame:
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/rows")
 
 
-def run_to_end(stream: DataFrame, path: str) -> DataFrame:
-    """Runs a stream over all that is there, in one batch, and gives the last row of each job. ``path``
-    is a folder that the whole cluster shares."""
+def run_to_end(stream: DataFrame, path: str, one_batch: bool = False) -> DataFrame:
+    """Runs a stateful stream over all that is there and gives the last row of each job. ``path`` is a folder
+    that the whole cluster shares: states stay in the state store there, and a batch adds the rows of
+    the jobs that it changes. Run again, it goes on where it ended. States with a time to live ask for
+    batches for ever, as time passes by itself: for them take ``one_batch``, or start the stream yourself."""
+    spark = stream.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)  # the only one that has timers and maps
 
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/rows/batch={number}")
 
-    query = stream.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+    trigger = {"once": True} if one_batch else {"availableNow": True}
+    query = stream.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{path}/state").trigger(**trigger).start()
     query.awaitTermination()
     names = [c for c in stream.columns if c != "job"]
-    rows = stream.sparkSession.read.option("basePath", f"{path}/rows").parquet(f"{path}/rows")
+    try:
+        rows = spark.read.schema(stream.schema.add("batch", "long")).option("basePath", f"{path}/rows").parquet(f"{path}/rows")
+    except AnalysisException:  # there has been no batch
+        return spark.createDataFrame([], stream.schema)
     return rows.groupBy("job").agg(*(F.max_by(c, "batch").alias(c) for c in names))

@@ -82,7 +82,7 @@ def test_a_new_upload_clears_the_poll(spark, tmp_path):
     rows = [(1, i, "error") for i in range(3)] + [(1, 3, "upload"), (1, 4, "poll")]
     spark.createDataFrame([(j, s, s, k) for j, s, k in rows], "job long, ts long, seq long, kind string").write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("job long, ts long, seq long, kind string").parquet(str(tmp_path / "in"))
-    assert lifecycle.poll_states(stream, str(tmp_path / "out")).collect()[0][1:] == (1, 0, "open")
+    assert lifecycle.run_to_end(lifecycle.upload_stream(stream, 2), str(tmp_path / "out")).collect()[0][1:] == (1, 0, "open")
     stream = spark.readStream.schema("job long, ts long, seq long, kind string").parquet(str(tmp_path / "in"))
     assert lifecycle.run_to_end(lifecycle.poll_stream(stream), str(tmp_path / "out2")).collect()[0][1:] == (3, 3, "stopped")
 
@@ -114,29 +114,6 @@ def test_poll_stream_holds_the_earliest_polls_only(spark, tmp_path):
     assert got == {1: (60, 1, "timeout"), 2: (6, 3, "stopped")}
 
 
-EVENT = "job long, ts long, seq long, status string"
-
-
-def test_status_states(spark, tmp_path):
-    rows = [(1, i, s) for i, s in enumerate(["P100", "P200", "S100", "P300", "S100", "S200"])]
-    spark.createDataFrame([(j, i, i, s) for j, i, s in rows], EVENT).write.parquet(str(tmp_path / "in"))
-    for each in (1_000_000, 2):
-        stream = spark.readStream.schema(EVENT).parquet(str(tmp_path / "in"))
-        assert lifecycle.status_states(stream, str(tmp_path / f"out{each}"), each).collect()[0][1:] == ("S200", 1)
-
-
-def test_states_go_on_in_the_next_batch(spark, tmp_path):
-    stream = lambda: spark.readStream.schema(EVENT).parquet(str(tmp_path / "in"))
-    for k, told in enumerate([["P100", "S200", "P200"], ["P300", "P100"]]):
-        spark.createDataFrame([(1, 10 * k + i, i, s) for i, s in enumerate(told)] + [(k + 2, k, k, "P100")], EVENT).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-        got = {r.job: tuple(r)[1:] for r in lifecycle.status_states(stream(), str(tmp_path / "out"), 2).collect()}
-    assert got == {1: ("P300", 2), 2: ("P100", 0), 3: ("P100", 0)}
-    again = lifecycle.status_states(stream(), str(tmp_path / "out"), 2)  # nothing is new
-    assert {r.job: tuple(r)[1:] for r in again.collect()} == got
-    (tmp_path / "none").mkdir()
-    assert not lifecycle.status_states(spark.readStream.schema(EVENT).parquet(str(tmp_path / "none")), str(tmp_path / "out0")).collect()
-
-
 def test_hot_jobs_are_cut_into_pieces(spark):
     rng = random.Random(7)
     rows = [(rng.choice([1, 1, 1, 2, None]), rng.choice([None, *range(40)]), i, rng.choice(["poll", "poll", "error", "upload"])) for i in range(400)]
