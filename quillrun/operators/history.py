@@ -2,33 +2,27 @@
 
 from __future__ import annotations
 
-import math
 from functools import reduce
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillrun.functions.scalars import is_status, is_terminal, to_time
 from quillrun.schemas import ADMINS, EDITORS, NEXT
+from quillrun.sources.shared import written
 
 #: Rows of a range of times that one task works on at once, about.
 PIECE_ROWS = 1_000_000
 
 
-def in_pieces(events: DataFrame, each: int = PIECE_ROWS) -> DataFrame:
-    """events with ``_piece``: which of the ranges of ``ts`` holds the row, ascending, null times first.
-    There are as many ranges, alike in rows, as rows make with ``each`` of them; equal times share one.
-    Their limits, one for ``each`` rows, come to the driver."""
-    known = events.where(F.col("ts").isNotNull())
-    n = known.count() // each
+def in_pieces(events: DataFrame, each: int = PIECE_ROWS, order: tuple[str, ...] = ("ts", "seq")) -> DataFrame:
+    """events with ``_piece``: which range of an order holds the row, ascending, nulls first. There are as
+    many ranges, alike in rows, as rows make with ``each`` of them; rows share one where all of the order is
+    equal. Where there are several, events are written to the shared folder, as ranges differ by run."""
+    n = events.count() // each
     if n < 2:
-        return events.withColumn("_piece", F.when(F.col("ts").isNull(), -1).otherwise(0))
-    seconds = F.col("ts").cast("double").alias("_at")
-    limits = sorted(set(known.select(seconds).approxQuantile("_at", [k / n for k in range(1, n)], 0.25 / n)))
-    cut = Bucketizer(splits=[-math.inf, *limits, math.inf], inputCol="_at", outputCol="_piece", handleInvalid="keep")
-    rows = cut.transform(events.select("*", seconds)).drop("_at")
-    return rows.withColumn("_piece", F.when(F.col("ts").isNull(), -1).otherwise(F.col("_piece").cast("int")))
+        return events.withColumn("_piece", F.lit(0))
+    return written(events.repartitionByRange(n, *order).withColumn("_piece", F.spark_partition_id()))
 
 
 def visible(logs: DataFrame, members: DataFrame, user_id: int) -> DataFrame:
@@ -102,20 +96,16 @@ def previous(rows: DataFrame, group: str, order: str, each: int = 100_000) -> Da
     """rows with ``before``: the ``order``, a whole number, of the row before in its group; null for
     the first and where the order is null. Rows of a null group are one group.
 
-    The orders are cut into as many ranges as rows make with ``each`` of them; a row's predecessor is
-    looked for within its range, and only the last of each range is compared across ranges; so one
-    group may hold most rows.
+    A row's predecessor is looked for within ranges of the order (in_pieces), and only the last of each
+    range is compared across ranges; so one group may hold most rows.
     """
-    n, low, high = rows.agg(F.count(order), F.min(order), F.max(order)).first()
-    if not n:
-        return rows.withColumn("before", F.lit(None).cast(rows.schema[order].dataType))
-    width = max(1, (int(high) - int(low) + 1) // max(1, n // each))
-    cut = rows.where(F.col(order).isNotNull()).withColumn("_r", F.expr(f"(cast(`{order}` as decimal(20,0)) - {int(low)}) div {width}"))
+    empty = F.lit(None).cast(rows.schema[order].dataType)
+    cut = in_pieces(rows.where(F.col(order).isNotNull()), each, (order,)).withColumnRenamed("_piece", "_r")
     inner = cut.withColumn("_b", F.lag(order).over(Window.partitionBy(group, "_r").orderBy(order)))
     lasts = cut.groupBy(group, "_r").agg(F.max(order).alias("_last"))
-    over = lasts.withColumn("_prior", F.lag("_last").over(Window.partitionBy(group).orderBy("_r"))).select(F.col(group).alias("_g"), F.col("_r").alias("_k"), "_prior")
+    over = lasts.select(F.col(group).alias("_g"), F.col("_r").alias("_k"), F.lag("_last").over(Window.partitionBy(group).orderBy("_r")).alias("_prior"))
     found = inner.join(over, inner[group].eqNullSafe(over["_g"]) & (inner["_r"] == over["_k"])).withColumn("before", F.coalesce("_b", "_prior")).select(*rows.columns, "before")
-    return found.unionByName(rows.where(F.col(order).isNull()).withColumn("before", F.lit(None).cast(rows.schema[order].dataType)))
+    return found.unionByName(rows.where(F.col(order).isNull()).withColumn("before", empty))
 
 
 def retryable(logs: DataFrame) -> DataFrame:
