@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,21 +38,30 @@ def pack(pages: DataFrame, max_tokens: int = MAX_TOKENS) -> DataFrame:
     """(doc_id, page, est_tokens, chunk_id, oversized): pages in order fill a chunk until the next one
     would exceed the limit. A page over the limit stays alone and is flagged.
 
-    A document's page sizes become one array, folded in order; texts don't move.
+    A document's page sizes become one array; the next chunk's start is searched in their running sums, so
+    the time grows with the pages. Texts don't move.
     """
     rows = pages.select("doc_id", "page", est_tokens(F.col("text")).alias("t"))
     docs = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page", "t"))).alias("p"))
-    start = F.struct(F.lit(0).alias("chunk"), F.lit(None).cast("long").alias("sum"), F.array().cast("array<int>").alias("ids"))
 
-    def step(acc: Column, x: Column) -> Column:
-        new = acc["sum"].isNotNull() & (acc["sum"] + x["t"] > max_tokens)
-        chunk = acc["chunk"] + new.cast("int")
-        return F.struct(chunk.alias("chunk"), F.when(new | acc["sum"].isNull(), x["t"]).otherwise(acc["sum"] + x["t"]).alias("sum"), F.concat(acc["ids"], F.array(chunk)).alias("ids"))
+    @F.pandas_udf("array<int>")
+    def chunk_ids(sizes: pd.Series) -> pd.Series:
+        return pd.Series([packed_greedily(np.asarray(t, np.int64), max_tokens) for t in sizes])
 
-    packed = docs.select("doc_id", F.arrays_zip("p", F.aggregate("p", start, step)["ids"].alias("ids")).alias("z")).select("doc_id", F.explode("z").alias("z"))
+    packed = docs.select("doc_id", F.arrays_zip("p", chunk_ids("p.t").alias("ids")).alias("z")).select("doc_id", F.explode("z").alias("z"))
     return packed.select("doc_id", F.col("z.p.page").alias("page"), F.col("z.p.t").alias("est_tokens"), F.col("z.ids").alias("chunk_id"), (F.col("z.p.t") > max_tokens).alias("oversized"))
 
 
+def packed_greedily(sizes: np.ndarray, most: int) -> np.ndarray:
+    """The chunk of each page: as many pages as ``most`` holds, one at least."""
+    sums, starts = np.concatenate([[0], np.cumsum(sizes)]), [0]
+    while (n := max(int(np.searchsorted(sums, sums[starts[-1]] + most, side="right")) - 1, starts[-1] + 1)) < len(sizes):
+        starts.append(n)
+    marks = np.zeros(len(sizes), np.int32)
+    marks[starts[1:]] = 1
+    return np.cumsum(marks, dtype=np.int32)
+
+
 def pack_by_running_sum(pages: DataFrame, max_tokens: int = MAX_TOKENS) -> DataFrame:
     """(doc_id, page, chunk_id) by the running sum alone: a chunk may exceed the limit by a page."""
     order = Window.partitionBy("doc_id").orderBy("page").rowsBetween(Window.unboundedPreceding, Window.currentRow)
