@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from itertools import islice
 from typing import Protocol
 
 import pandas as pd
@@ -30,6 +29,19 @@ def extract_by_rules(pages: DataFrame, rules: dict[str, str] = RULES) -> DataFra
     return pages.select("doc_id", "page", F.inline(F.filter(found, lambda x: x["value"].isNotNull())))
 
 
+def asked(provider: Provider, texts: list[str]) -> list[tuple[list[tuple[str, str]], str | None]]:
+    """A provider's answers, one for each text; a call that fails is repeated text by text."""
+    try:
+        answers = list(provider(texts))
+        if len(answers) == len(texts):
+            return answers
+        failed = f"{len(answers)} answers to {len(texts)} texts"
+    except Exception as error:  # a provider's failure is a result, not the job's end
+        failed = f"{type(error).__name__}: {error}"
+    # one bad text doesn't fail the others of its call
+    return [([], failed)] if len(texts) == 1 else [asked(provider, [t])[0] for t in texts]
+
+
 def extract(chunks: DataFrame, provider: Provider, max_in_flight: int = MAX_IN_FLIGHT, batch: int = 16) -> DataFrame:
     """(doc_id, chunk_id, page, key, value, error) from a provider, at most ``max_in_flight`` calls at
     once: the stage has so many tasks, each with one call at a time. An error is a row with a message; a
@@ -38,22 +50,11 @@ def extract(chunks: DataFrame, provider: Provider, max_in_flight: int = MAX_IN_F
     A call may cost money and differ when repeated: write or checkpoint the result before using it twice.
     """
 
-    def asked(texts: list[str]) -> list[tuple[list[tuple[str, str]], str | None]]:
-        try:
-            answers = list(provider(texts))
-            if len(answers) == len(texts):
-                return answers
-            failed = f"{len(answers)} answers to {len(texts)} texts"
-        except Exception as error:  # a provider's failure is a result, not the job's end
-            failed = f"{type(error).__name__}: {error}"
-        # one bad text doesn't fail the others of its call
-        return [([], failed)] if len(texts) == 1 else [asked([t])[0] for t in texts]
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for at in range(0, len(pdf), batch):
                 part, rows = pdf.iloc[at : at + batch], []
-                for (doc, chunk, page), (values, error) in zip(part[["doc_id", "chunk_id", "page_from"]].itertuples(index=False), asked(part["text"].tolist())):
+                for (doc, chunk, page), (values, error) in zip(part[["doc_id", "chunk_id", "page_from"]].itertuples(index=False), asked(provider, part["text"].tolist())):
                     rows += [(doc, chunk, page, k, v, None) for k, v in values]
                     if error is not None or not values:
                         rows.append((doc, chunk, page, None, None, error))
@@ -153,14 +154,13 @@ def locate(merged: DataFrame, pages: DataFrame) -> DataFrame:
     return merged.join(at, ["doc_id", "page"]).select("doc_id", "key", "value", "page", F.expr("instr(text, value)").cast("long").alias("offset"))
 
 
-def mentions(items: DataFrame, docs: DataFrame, words: int = 6, block: int = 200) -> DataFrame:
+def mentions(items: DataFrame, docs: DataFrame, words: int = 6) -> DataFrame:
     """(item_id, doc_id, offset): where items' texts stand in documents, whole words or not.
 
     The words within an item, but for its first and last, are whole words wherever it stands. Up to
     ``words`` of them in a row are its key; documents are joined on the windows of the sizes that keys
     have, by hashes alone, and texts are looked at for the candidates only. Items of one or two words
-    have no such key: they are a query set that every document is searched for, ``block`` at a time.
-    Empty items and rows without ids have no mentions.
+    have no such key: occurrences() searches every document for all of them at once. Empty items and rows without ids have no mentions.
     """
     split = lambda c: F.array_remove(F.split(c, r"[\x20\x09-\x0D]+", -1), "")
     own = items.where((F.length("text") > 0) & F.col("item_id").isNotNull()).select("item_id", F.col("text").alias("item"), split(F.col("text")).alias("w")).distinct()
@@ -178,9 +178,51 @@ def mentions(items: DataFrame, docs: DataFrame, words: int = 6, block: int = 200
         places = w.select("doc_id", F.explode(F.array_distinct(F.flatten(F.array(*(windows(F.col("w"), n) for n in sizes))))).alias("k"))
         likely = places.join(keyed, "k").select("item_id", "item", "doc_id").distinct()
         found = likely.join(docs.select("doc_id", "text"), "doc_id").select("item_id", "doc_id", F.expr("instr(text, item)").cast("long").alias("offset")).where("offset > 0").distinct()
-    short = iter(own.where(F.size("w") <= 2).toLocalIterator())
-    while part := list(islice(short, block)):
-        listed = F.array(*(F.struct(F.lit(r["item_id"]).alias("item_id"), F.lit(r["item"]).alias("item")) for r in part))
-        hits = docs.select("doc_id", "text", F.inline(F.filter(listed, lambda x: F.col("text").contains(x["item"]))))
-        found = found.unionByName(hits.where(F.col("doc_id").isNotNull()).select("item_id", "doc_id", F.expr("instr(text, item)").cast("long").alias("offset")).distinct())
-    return found
+    short = occurrences(own.where(F.size("w") <= 2).select("item_id", F.col("item").alias("text")), docs)
+    return found.unionByName(short.groupBy("item_id", "doc_id").agg(F.min("offset").alias("offset")))
+
+
+def _blocks(items: DataFrame, most: int) -> Iterator[list[tuple]]:
+    """Items in lists of about so many characters."""
+    block, size = [], 0
+    for r in items.toLocalIterator():
+        block.append((r["item_id"], r["text"]))
+        size += len(r["text"])
+        if size >= most:
+            yield block
+            block, size = [], 0
+    if block:
+        yield block
+
+
+def occurrences(items: DataFrame, docs: DataFrame, most: int = 1 << 24) -> DataFrame:
+    """(item_id, doc_id, offset): every place, from 1, where an item's text stands in a document's, those
+    that overlap too. One pass over a text finds all items by an automaton of their characters; items
+    of over ``most`` characters together are a query set of several automata, a scan of the documents each.
+    Equal items are found alike, rows that repeat count once; empty items and rows without ids have none.
+    """
+    import ahocorasick
+
+    own = items.where((F.length("text") > 0) & F.col("item_id").isNotNull()).select("item_id", "text").distinct()
+    texts = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text")
+    ddl = f"item_id {items.schema['item_id'].dataType.simpleString()}, doc_id {docs.schema['doc_id'].dataType.simpleString()}, offset long"
+    found = docs.sparkSession.createDataFrame([], ddl)
+    for block in _blocks(own, most):
+        listed = docs.sparkSession.sparkContext.broadcast(block)
+
+        def run(batches: Iterator[pd.DataFrame], listed=listed) -> Iterator[pd.DataFrame]:
+            by: dict[str, list] = {}
+            for item, text in listed.value:
+                by.setdefault(text, []).append(item)
+            automaton = ahocorasick.Automaton()
+            for text, ids in by.items():
+                automaton.add_word(text, (len(text), ids))
+            automaton.make_automaton()
+            for pdf in batches:
+                for doc, text in zip(pdf["doc_id"], pdf["text"]):
+                    rows = [(i, doc, end - n + 2) for end, (n, ids) in automaton.iter(text) for i in ids]
+                    if rows:
+                        yield pd.DataFrame(rows, columns=["item_id", "doc_id", "offset"])
+
+        found = found.unionByName(texts.mapInPandas(run, ddl))
+    return found.distinct()

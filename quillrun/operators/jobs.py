@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillrun.functions.scalars import is_supported
-from quillrun.operators import extract, pages
+from quillrun.operators import extract, ledger, pages
 from quillrun.schemas import ExtractionModel
 from quillrun.sources.shared import written
 
@@ -56,16 +56,23 @@ def previews(found: DataFrame, subs: DataFrame, model: ExtractionModel) -> DataF
     return nested.select("doc_id", F.struct(ordered.alias("sub_documents")).alias("preview_data"))
 
 
-def run(own: DataFrame, model: ExtractionModel, provider: extract.Provider, kind: Column, now: str, failures: DataFrame | None = None, max_tokens: int = pages.MAX_TOKENS, max_in_flight: int = extract.MAX_IN_FLIGHT) -> DataFrame:
+def run(own: DataFrame, model: ExtractionModel, provider: extract.Provider, kind: Column, now: str, failures: DataFrame | None = None, max_tokens: int = pages.MAX_TOKENS, max_in_flight: int = extract.MAX_IN_FLIGHT, answers_at: str | None = None, question: str = "") -> DataFrame:
     """The log of each document with pages (doc_id, page, text): status, error, nested preview_data,
     extracted_data as open data, created_at and updated_at. ``failures`` (doc_id, error) become logs too.
 
     The provider's answers are checkpointed before anything reads them twice. A document of which any
-    chunk failed is E100 and keeps what the others gave.
+    chunk failed is E100 and keeps what the others gave. With a ledger of answers at ``answers_at`` only
+    chunks are asked for that have no good answer there, so a job that is run again retries what failed.
     """
     own = written(own)
     packed = written(pages.pack(own, max_tokens))
-    answers = written(extract.extract(pages.chunks(own, packed), provider, max_in_flight))
+    chunked = pages.chunks(own, packed)
+    if answers_at is None:
+        answers = written(extract.extract(chunked, provider, max_in_flight))
+    else:
+        chunked = written(chunked)
+        ledger.ask(chunked, provider, answers_at, question, max_in_flight)
+        answers = written(ledger.answers(chunked, answers_at, question))
     found = written(placed(answers, own, packed))
     nested = previews(found, pages.segment(own, kind), model)
     flat = extract.merge(found).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("m"))

@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from quillrun.functions import scalars
-from quillrun.operators import extract, history, jobs, pages
+from quillrun.operators import extract, history, jobs, ledger, pages
 from quillrun.schemas import ADMINS, EDITORS, NEXT, STATUSES, ExtractionModel, Field, status_dim
 from quillrun.sources import derived, files, workbook
 from quillrun.sources.derived import LOG_SQL, extraction_log, table
@@ -121,6 +121,27 @@ def x13_error_capture(spark, sf_dir):
     return extract.outcome(extract.extract(pages.chunks(own, pages.pack(own)), _shouting))
 
 
+def _reading(texts):
+    """A provider that gives the first word of any text."""
+    return [([("first", t.split()[0])] if t.split() else [], None) for t in texts]
+
+
+@registered(
+    GREEDY_SQL
+    + r""", chunked AS (SELECT p.doc_id, chunk, string_agg(text, chr(10) ORDER BY p.page) text FROM packed p JOIN sized s ON p.doc_id = s.doc_id AND p.page = s.page GROUP BY p.doc_id, chunk)
+SELECT doc_id, chunk::INT chunk_id, nullif(regexp_extract(text, '\S+', 0), '') value, CASE WHEN contains(text, '###') THEN 2 ELSE 1 END run FROM chunked"""
+)
+def x12_retry_chunks(spark, sf_dir):
+    """All chunks are asked for; a second run asks again for those that failed, and only for them."""
+    own = _pages(spark, sf_dir)
+    chunked, path = written(pages.chunks(own, pages.pack(own))), f"{folder(spark)}/ledger-{uuid.uuid4().hex}"
+    ledger.ask(chunked, _shouting, path, per_task=4096)
+    failed = written(ledger.answers(chunked, path).where("error is not null").select("doc_id", "chunk_id").distinct())
+    ledger.ask(chunked, _reading, path, per_task=4096)
+    rows = ledger.answers(chunked, path).join(failed.withColumn("again", F.lit(True)), ["doc_id", "chunk_id"], "left")
+    return rows.select("doc_id", "chunk_id", "value", F.when(F.col("again"), 2).otherwise(1).alias("run"))
+
+
 @registered(f"WITH {MERGED_SQL} SELECT * FROM merged")
 def a01_merge(spark, sf_dir):
     return _merged(spark, sf_dir)
@@ -178,6 +199,19 @@ def j06_mentions(spark, sf_dir):
     return extract.mentions(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"))
 
 
+ITEMS_SQL = "items AS (SELECT item_id, array_to_string(string_split(text, ' ')[1:2], ' ') t FROM benchmark WHERE text <> '')"
+
+
+@registered(
+    f"""WITH {ITEMS_SQL}, found AS (SELECT item_id, doc_id, t, text FROM items JOIN documents ON contains(text, t) WHERE t <> ''),
+places AS (SELECT item_id, doc_id, t, text, unnest(range(1, length(text) - length(t) + 2)) o FROM found)
+SELECT item_id, doc_id, o "offset" FROM places WHERE substr(text, o, length(t)) = t"""
+)
+def j06_occurrences(spark, sf_dir):
+    items = table(spark, sf_dir, "benchmark").where("text <> ''").select("item_id", F.array_join(F.slice(F.split("text", " "), 1, 2), " ").alias("text"))
+    return extract.occurrences(items, table(spark, sf_dir, "documents"))
+
+
 ISLANDS_SQL = f"""WITH {PAGES_SQL}, kinds AS (SELECT doc_id, page, CASE WHEN contains(text, '###') THEN 1 ELSE 0 END AS "class" FROM pages),
 islands AS (SELECT *, page - row_number() OVER (PARTITION BY doc_id, "class" ORDER BY page) island FROM kinds),
 subs AS (SELECT doc_id, "class", min(page) + 1 page_from, max(page) + 1 page_to, count(*) n FROM islands GROUP BY doc_id, "class", island),
