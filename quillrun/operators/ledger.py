@@ -28,18 +28,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillrun.operators.extract import MAX_IN_FLIGHT, Provider, asked
+from quillrun.sources.shared import opened
 
 ANSWER = "asked string, run string, at double, pairs array<struct<key:string,value:string>>, error string"
 #: Texts that a task asks for, about.
 PER_TASK = 256
 
 
-def _opened(path: str) -> tuple[fs.FileSystem, str]:
-    if path.startswith("file:"):
-        path = "/" + path[5:].lstrip("/")
-    return fs.FileSystem.from_uri(path)
-
-
 def key_of(question: str):
     """The key of the text in column ``text``, for what is asked about it."""
     return F.sha2(F.concat(F.lit(question + "\0"), F.coalesce("text", F.lit(""))).cast("binary"), 256)
@@ -57,7 +52,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
 def _settle(spark: SparkSession, path: str) -> None:
     """Files of answers become rows of the table. If this ends before they are deleted, rows double, which read() bears."""
-    system, folder = _opened(f"{path}/files")
+    system, folder = opened(f"{path}/files")
     if not any(f.is_file and f.base_name.endswith(".json") for f in system.get_file_info(fs.FileSelector(folder, allow_not_found=True))):
         return
     spark.read.schema(ANSWER).option("pathGlobFilter", "*.json").json(f"{path}/files").coalesce(1).write.mode("append").parquet(f"{path}/table")
@@ -68,7 +63,7 @@ def _asking(provider: Provider, path: str, run: str, batch: int):
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import time
 
-        system, folder = _opened(f"{path}/files")
+        system, folder = opened(f"{path}/files")
         for pdf in batches:
             keys, texts, done = pdf["asked"].tolist(), pdf["text"].tolist(), 0
             files = [f"{folder}/{run}-{k}.json" for k in keys]
@@ -91,7 +86,7 @@ def ask(chunks: DataFrame, provider: Provider, path: str, question: str = "", ma
     """Asks the provider about the texts of chunks that have no good answer in the ledger at ``path``, and
     returns how many were asked. ``question`` names what is asked: the model, the prompt, the provider."""
     spark, run = chunks.sparkSession, uuid.uuid4().hex
-    system, folder = _opened(f"{path}/files")
+    system, folder = opened(f"{path}/files")
     system.create_dir(folder, recursive=True)
     _settle(spark, path)  # what a run before left behind
     texts = chunks.select(key_of(question).alias("asked"), F.coalesce("text", F.lit("")).alias("text")).dropDuplicates(["asked"])
@@ -108,7 +103,7 @@ def ask(chunks: DataFrame, provider: Provider, path: str, question: str = "", ma
         dealt = rows.where(F.col("wave") == wave).select("asked", "text").repartition(max_in_flight, "asked").sortWithinPartitions("asked")
         done += dealt.mapInPandas(_asking(provider, path, run, batch), "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
         _settle(spark, path)
-    system, folder = _opened(work)
+    system, folder = opened(work)
     system.delete_dir(folder)
     return done
 

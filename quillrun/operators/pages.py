@@ -83,3 +83,48 @@ def segment(pages: DataFrame, kind: Column) -> DataFrame:
     island = F.col("page") - F.row_number().over(Window.partitionBy("doc_id", "class").orderBy("page"))
     found = rows.withColumn("island", island).groupBy("doc_id", "class", "island").agg(F.array_sort(F.collect_list(F.col("page") + 1)).alias("page_ranges"))
     return found.select("doc_id", (F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("page_ranges")[0])) - 1).alias("index"), "class", "page_ranges")
+
+
+def unlikeness(pages: DataFrame) -> DataFrame:
+    """(doc_id, page, unlike): how much a page differs from the one before, in thousandths: 1000 less the share
+    of their different words that both have. First pages have none; two pages without words are alike."""
+    words = pages.select("doc_id", "page", F.array_distinct(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))).alias("w"))
+    before = words.select("doc_id", (F.col("page") + 1).alias("page"), F.col("w").alias("v"))
+    sizes = words.join(before, ["doc_id", "page"]).select("doc_id", "page", F.size(F.array_intersect("w", "v")).alias("both"), F.size(F.array_union("w", "v")).alias("every"))
+    return sizes.select("doc_id", "page", F.expr("1000 - case when every = 0 then 1000 else 1000 * both div every end").cast("int").alias("unlike"))
+
+
+def best_cuts(unlike: np.ndarray, threshold: int, least: int) -> np.ndarray:
+    """Where to cut n + 1 pages, given how much each but the first differs from the one before: the
+    cuts of the largest sum of (unlike - threshold) of which no part has under ``least`` pages."""
+    n = len(unlike)
+    gain = [int(x) - threshold for x in unlike]
+    best = [0] * (n + 1)  # best[i]: of cuts before pages 1 to i
+    for i in range(1, n + 1):
+        fits = least <= i <= n + 1 - least
+        best[i] = max(best[i - 1], best[max(i - least, 0)] + gain[i - 1]) if fits else best[i - 1]
+    cuts, i = np.zeros(n, bool), n
+    while i > 0:
+        if best[i] > best[i - 1]:
+            cuts[i - 1] = True
+            i -= least
+        else:
+            i -= 1
+    return cuts
+
+
+def detect(pages: DataFrame, threshold: int = 950, least: int = 2) -> DataFrame:
+    """(doc_id, index, page_ranges): sub-documents told by where neighbouring pages differ. Of all ways to
+    cut a document into parts of ``least`` pages or more, the one whose cuts differ most beyond
+    ``threshold``, by dynamic programming; page numbers count from 1. Only numbers of a document meet."""
+
+    @F.pandas_udf("array<boolean>")
+    def cut(unlike: pd.Series) -> pd.Series:
+        return pd.Series([best_cuts(np.asarray(u, np.int64), threshold, least) for u in unlike])
+
+    gathered = unlikeness(pages).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page", "unlike"))).alias("u"))
+    cuts = gathered.select("doc_id", F.explode(F.arrays_zip(F.col("u.page").alias("page"), cut("u.unlike").alias("cut"))).alias("z")).select("doc_id", "z.page", "z.cut")
+    rows = pages.select("doc_id", "page").join(cuts, ["doc_id", "page"], "left")
+    order = Window.partitionBy("doc_id").orderBy("page")
+    numbered = rows.select("doc_id", "page", F.sum(F.coalesce(F.col("cut"), F.lit(False)).cast("int")).over(order).cast("int").alias("index"))
+    return numbered.groupBy("doc_id", "index").agg(F.array_sort(F.collect_list(F.col("page") + 1)).alias("page_ranges"))

@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from quillrun.functions import scalars
-from quillrun.operators import extract, history, jobs, ledger, pages
+from quillrun.operators import extract, grids, history, jobs, ledger, pages
 from quillrun.schemas import ADMINS, EDITORS, NEXT, STATUSES, ExtractionModel, Field, status_dim
 from quillrun.sources import derived, files, workbook
 from quillrun.sources.derived import LOG_SQL, extraction_log, table
@@ -224,6 +224,24 @@ def x08_segments(spark, sf_dir):
     return rows.select("doc_id", "index", "class", F.col("page_ranges")[0].alias("page_from"), F.element_at("page_ranges", -1).alias("page_to"), F.size("page_ranges").alias("n_pages"))
 
 
+DETECTED_SQL = f"""WITH RECURSIVE {PAGES_SQL}, words AS (SELECT doc_id, page, list_distinct(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) w FROM pages),
+unlike AS (SELECT a.doc_id, a.page i, 1000 - CASE WHEN len(list_distinct(list_concat(a.w, b.w))) = 0 THEN 1000 ELSE 1000 * len(list_intersect(a.w, b.w)) // len(list_distinct(list_concat(a.w, b.w))) END - 950 gain
+  FROM words a JOIN words b ON a.doc_id = b.doc_id AND a.page = b.page + 1),
+sizes AS (SELECT doc_id, (max(page) + 1)::INT n FROM pages GROUP BY doc_id),
+best AS (SELECT doc_id, 0 i, 0::BIGINT f, 0::BIGINT back, n FROM sizes UNION ALL
+  SELECT b.doc_id, b.i + 1, CASE WHEN b.i >= 1 AND b.i + 1 <= n - 2 THEN greatest(b.f, b.back + gain) ELSE b.f END, b.f, n FROM best b JOIN unlike u ON u.doc_id = b.doc_id AND u.i = b.i + 1),
+walk AS (SELECT doc_id, n - 1 i, false cut FROM sizes UNION ALL
+  SELECT w.doc_id, CASE WHEN b.f > b.back THEN w.i - 2 ELSE w.i - 1 END, b.f > b.back FROM walk w JOIN best b ON b.doc_id = w.doc_id AND b.i = w.i WHERE w.i > 0),
+cuts AS (SELECT doc_id, i + 2 i FROM walk WHERE cut),
+starts AS (SELECT p.doc_id, page, count(c.i) k FROM pages p LEFT JOIN cuts c ON c.doc_id = p.doc_id AND c.i <= page GROUP BY p.doc_id, page)"""
+
+
+@registered(DETECTED_SQL + ' SELECT doc_id, k::INT AS "index", (min(page) + 1)::INT page_from, (max(page) + 1)::INT page_to FROM starts GROUP BY doc_id, k')
+def x08_detected(spark, sf_dir):
+    rows = pages.detect(_pages(spark, sf_dir))
+    return rows.select("doc_id", "index", F.col("page_ranges")[0].alias("page_from"), F.element_at("page_ranges", -1).alias("page_to"))
+
+
 @registered(ISLANDS_SQL + ' SELECT doc_id, idx::INT AS "index", unnest(range(page_from, page_to + 1))::INT page_no FROM indexed')
 def a03_sub_documents(spark, sf_dir):
     rows = pages.segment(_pages(spark, sf_dir), F.when(F.col("text").contains("###"), 1).otherwise(0))
@@ -440,6 +458,29 @@ def k02_upsert(spark, sf_dir):
     return files.save(old, new, f"{folder(spark)}/log-{uuid.uuid4().hex}")
 
 
+@registered(f"WITH {LOG_SQL} SELECT id, CASE WHEN id % 10 = 0 THEN 'S200' ELSE status END status FROM log UNION ALL SELECT -1, 'P100'")
+def k02_upsert_buckets(spark, sf_dir):
+    old, path = extraction_log(spark, sf_dir).select("id", "status"), f"{folder(spark)}/log-{uuid.uuid4().hex}"
+    files.save_in_buckets(old, path)
+    new = old.where("id % 10 = 0").withColumn("status", F.lit("S200")).unionByName(spark.createDataFrame([(-1, "P100")], "id long, status string"))
+    files.upsert_buckets(new, path, "id long, status string")
+    return spark.read.schema("id long, status string").parquet(path).select("id", "status")
+
+
+@registered("SELECT sha256(coalesce(text, '')) hash, strlen(coalesce(text, '')) length, count(*) n_files FROM documents WHERE text <> '' GROUP BY ALL")
+def t06_ingest_once(spark, sf_dir):
+    """All documents as files that arrive in two lots, the first of which the second repeats."""
+    path = f"{folder(spark)}/ingest-{uuid.uuid4().hex}"
+    rows = written(table(spark, sf_dir, "documents").where("text <> ''").select(F.concat(F.lit("doc-"), F.col("doc_id").cast("string"), F.lit(".pdf")).alias("name"), F.coalesce("text", F.lit("")).cast("binary").alias("content")))
+    files.write_files(rows.where("crc32(content) % 2 = 0"), f"{path}/in")
+    files.ingest_once(files.ingest_stream(spark, f"{path}/in"), path)
+    files.write_files(rows, f"{path}/in")
+    files.write_files(rows.withColumn("name", F.concat(F.lit("again-"), "name")), f"{path}/in")
+    found = files.ingest_once(files.ingest_stream(spark, f"{path}/in"), path)
+    counts = rows.groupBy(F.sha2("content", 256).alias("hash")).agg(F.count(F.lit(1)).alias("n_files"))
+    return found.select("hash", "length").join(counts, "hash")
+
+
 @registered(f"WITH {LOG_SQL} SELECT id::VARCHAR id, user_id::VARCHAR user_id, model_id, filename, status, original_log_id::VARCHAR original_log_id FROM log")
 def k03_workbooks(spark, sf_dir):
     path = f"{folder(spark)}/books-{uuid.uuid4().hex}"
@@ -560,3 +601,16 @@ SELECT page_id, k::INT AS "table", n::INT AS "row", array_to_string(list_transfo
 def s03_tables(spark, sf_dir):
     rows = extract.html_tables(table(spark, sf_dir, "pages"))
     return rows.withColumn("cells", F.array_join("cells", "|"))
+
+
+@registered("""SELECT o_orderkey page_id, 0 "table", NULL::INT parent, 0 "row", 'No. ' || o_orderkey || '|' || o_orderpriority || '|' || o_orderpriority cells FROM orders UNION ALL
+SELECT o_orderkey, 0, NULL, 1, 'No. ' || o_orderkey || '|' || o_orderstatus || '|' FROM orders UNION ALL
+SELECT o_orderkey, 1, 0, 0, o_custkey || '|' || o_custkey FROM orders UNION ALL SELECT o_orderkey, 1, 0, 1, 'a & b|' || o_orderstatus FROM orders""")
+def s03_grid(spark, sf_dir):
+    """Orders as web pages, each a table with spans and a table in it."""
+    html = F.format_string(
+        "<p>1</p><table class='t'><tr><th rowspan=2>No.<br>%d</th><td colspan=\"2\">%s<tr><td>%s</td><td><table><tr><td colspan=2>%d</td></tr><tr><td>a &amp; b<td><b>%s</b></table></td></tr></table>",
+        "o_orderkey", "o_orderpriority", "o_orderstatus", "o_custkey", "o_orderstatus",
+    )
+    rows = grids.html_grids(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("page_id"), html.alias("html")))
+    return rows.withColumn("cells", F.array_join("cells", "|"))

@@ -6,12 +6,14 @@ import io
 import zipfile
 from xml.sax.saxutils import escape
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillrun.functions.scalars import is_supported
 from quillrun.operators.history import may_edit_models
 from quillrun.schemas import JOB_DDL, LOG_DDL, ExtractionModel
+from quillrun.sources.shared import opened, written
 
 GLOB = "*.{pdf,PDF,png,PNG,jpg,JPG,jpeg,tif,tiff,bmp,webp}"
 BINARY = "path string, modificationTime timestamp, length long, content binary"
@@ -22,9 +24,9 @@ def ingest(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", GLOB).option("recursiveFileLookup", "true").load(path)
 
 
-def ingest_stream(spark: SparkSession, path: str) -> DataFrame:
-    """The same for files as they arrive."""
-    return spark.readStream.format("binaryFile").schema(BINARY).option("pathGlobFilter", GLOB).load(path)
+def ingest_stream(spark: SparkSession, path: str, most_files: int = 1000) -> DataFrame:
+    """The same for files as they arrive, so many in a batch at most."""
+    return spark.readStream.format("binaryFile").schema(BINARY).option("pathGlobFilter", GLOB).option("maxFilesPerTrigger", most_files).load(path)
 
 
 def supported(files: DataFrame) -> DataFrame:
@@ -74,6 +76,71 @@ def save(old: DataFrame, new: DataFrame, path: str, key: str = "id") -> DataFram
     return old.sparkSession.read.schema(old.schema).parquet(path)
 
 
+def _bucket(key: str, buckets: int):
+    return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int").alias("bucket")
+
+
+def save_in_buckets(rows: DataFrame, path: str, key: str = "id", buckets: int = 64) -> None:
+    """A table in as many folders as ``buckets``, dealt by key, for upsert_buckets()."""
+    rows.withColumn("bucket", _bucket(key, buckets)).repartition("bucket").write.mode("errorifexists").partitionBy("bucket").parquet(path)
+
+
+def upsert_buckets(new: DataFrame, path: str, schema: str, key: str = "id", buckets: int = 64) -> int:
+    """Puts rows of new in place of those with their keys. Only buckets that new's keys fall in are read
+    and written, each replaced by its new files when all are there; returns how many. One writer at a time."""
+    spark, new = new.sparkSession, written(new.withColumn("bucket", _bucket(key, buckets)))
+    touched = [r["bucket"] for r in new.select("bucket").distinct().collect()]  # ``buckets`` numbers at most
+    old = spark.read.schema(f"{schema}, bucket int").parquet(path).where(F.col("bucket").isin(touched))
+    merged = written(old.join(new.select(key).distinct(), key, "left_anti").unionByName(new.select(old.columns)))
+    merged.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+    return len(touched)
+
+
+def write_files(rows: DataFrame, path: str) -> int:
+    """Rows (name, content binary) as files of a folder that all executors share, written where the rows
+    are; returns how many. Writing a row again replaces its file."""
+    system, folder = opened(path)
+    system.create_dir(folder, recursive=True)
+
+    def run(batches):
+        import pandas as pd
+
+        system, folder = opened(path)
+        for pdf in batches:
+            for name, content in zip(pdf["name"], pdf["content"]):
+                with system.open_output_stream(f"{folder}/{name}") as out:
+                    out.write(bytes(content))
+            yield pd.DataFrame({"n": [len(pdf)]})
+
+    return rows.select("name", "content").mapInPandas(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
+def ingest_once(files: DataFrame, path: str) -> DataFrame:
+    """(hash, file_url, length, content) of a stream of files, each content once: its SHA-256 is its key, and
+    of equal files the smallest path of the first batch counts. A batch that is repeated reads what the
+    batches before it stored and writes its own part again, so a restart stores nothing twice. Spark reads
+    no empty files."""
+    spark = files.sparkSession
+    ddl = "hash string, file_url string, length long, content binary"
+
+    def write(batch: DataFrame, number: int) -> None:
+        own = batch.sparkSession
+        rows = batch.select(F.sha2("content", 256).alias("hash"), F.col("path").alias("file_url"), "length")
+        first = rows.groupBy("hash").agg(F.min("file_url").alias("file_url"))
+        if number:
+            stored = own.read.schema(f"{ddl}, batch long").parquet(f"{path}/store").where(F.col("batch") < number)
+            first = first.join(stored.select("hash"), "hash", "left_anti")
+        kept = batch.withColumnRenamed("path", "file_url").join(first, "file_url").select("hash", "file_url", "length", "content")
+        kept.write.mode("overwrite").parquet(f"{path}/store/batch={number}")
+
+    query = files.writeStream.foreachBatch(write).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    try:
+        return spark.read.schema(f"{ddl}, batch long").parquet(f"{path}/store").drop("batch")
+    except AnalysisException:  # no file has come
+        return spark.createDataFrame([], ddl)
+
+
 def preview(logs: DataFrame, log_id) -> dict | None:
     """One log as a nested dictionary."""
     row = logs.where(F.col("id") == log_id).limit(1).collect()

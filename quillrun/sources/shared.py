@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -13,7 +14,7 @@ def folder(spark: SparkSession) -> str:
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = sc.getConf().get("spark.checkpoint.dir")
-        if not named and not sc.master.startswith("local["):
+        if not named and not (sc.master == "local" or sc.master.startswith("local[")):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="quillrun-"))
     return sc.getCheckpointDir()
@@ -23,3 +24,10 @@ def written(df: DataFrame) -> DataFrame:
     """df in the shared folder, its lineage cut."""
     folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def opened(path: str) -> tuple[fs.FileSystem, str]:
+    """A folder as tasks open it: local paths and what pyarrow's file systems reach (file, s3, gs, hdfs)."""
+    if path.startswith("file:"):
+        path = "/" + path[5:].lstrip("/")
+    return fs.FileSystem.from_uri(path)

@@ -101,7 +101,7 @@ def test_mentions_of_any_length(spark):
     texts = ["the quick brown fox jumps over the lazy dog", "quick brown", "aquick brownie", "", None, "a b  c d", "x"]
     items = ["quick brown fox jumps over the lazy d", "uick brow", "brown", "ick brown fo", "b  c", "", None, "a b  c d", " ", "nowhere at all here"]
     docs = spark.createDataFrame([*enumerate(texts), (None, "quick brown")], "doc_id long, text string")
-    got = {(r.item_id, r.doc_id, r.offset) for r in extract.mentions(spark.createDataFrame(list(enumerate(items)), "item_id long, text string"), docs, block=2).collect()}
+    got = {(r.item_id, r.doc_id, r.offset) for r in extract.mentions(spark.createDataFrame(list(enumerate(items)), "item_id long, text string"), docs).collect()}
     assert got == {(i, d, t.index(x) + 1) for i, x in enumerate(items) if x for d, t in enumerate(texts) if t and x in t}
 
 
