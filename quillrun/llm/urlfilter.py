@@ -3,10 +3,12 @@
 Rules name a host and the beginning of a path; a rule fits its host and all subdomains, and the
 longest that fits decides. For urls without a rule, host labels are split into words by a unigram
 Viterbi search over word counts from the pages themselves, path parts are taken as they are with
-digits folded, and a multinomial naive Bayes model scores the tokens. It is trained on all pages: a
-verdict by rule is a page's label; of the rest, those whose host has a word of a fixed list count as
-blocked and the others as allowed. Tokens are hashed into a fixed number of
-buckets, so the broadcast model has one size whatever the corpus; all pages are counted.
+digits folded, and a multinomial naive Bayes model scores the tokens. It is trained on all pages but
+those of a rule for a part of a host, which says nothing of such paths elsewhere: a verdict by another
+rule is a page's label; of the rest, those whose host has a word of a fixed list count as blocked and the
+others as allowed. So a host is blocked for words that are on the list or stand beside them. Tokens are
+hashed into BUCKETS buckets, and the segmenter knows the WORDS commonest words at most, so what is
+broadcast has one size whatever the corpus; all pages are counted.
 
 Defined results: null urls and those without '://' have empty host and path; on a tie the
 verdict is allow; repeated rows are judged alike; an empty table gives
@@ -153,7 +155,9 @@ def fit(rows: DataFrame, segmenter: Segmenter) -> Bayes:
         k, b = np.nonzero(counts)
         yield pd.DataFrame({"k": np.append(k, [0, 1]), "b": np.append(b, [-1, -1]), "n": np.append(counts[k, b], urls)})
 
-    found = rows.where("host <> ''").select("host", "path", "by_rule").mapInPandas(counted, "k long, b long, n long").groupBy("k", "b").agg(F.sum("n").alias("n"))
+    # a rule that begins below a host's root
+    partial = F.coalesce(F.substring_index("rule", "/", 1) != F.regexp_replace("rule", "/$", ""), F.lit(False))
+    found = rows.where((F.col("host") != "") & ~partial).select("host", "path", "by_rule").mapInPandas(counted, "k long, b long, n long").groupBy("k", "b").agg(F.sum("n").alias("n"))
     counts, urls = np.zeros((2, BUCKETS)), np.zeros(2)
     for r in found.toLocalIterator():  # at most 2 x BUCKETS rows
         if r["b"] < 0:
