@@ -24,13 +24,16 @@ topic found in one language alone) can't all be met; the last raked, topics, the
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillrun.llm.common import checkpointed, table
 
-#: Rounds of raking at most, and the relative change of a cell below which it ends.
-ROUNDS, SETTLED = 12, 1e-12
+#: Rounds of raking at most, those between two looks at the change, and the relative change of a cell below
+#: which raking ends.
+ROUNDS, LOOK, SETTLED = 24, 4, 1e-12
 #: Cells up to which one partition holds them while they are raked.
 FEW_CELLS = 100_000
 #: The part of all tokens that a sample keeps where no cap holds.
@@ -92,8 +95,8 @@ def shares(positive: DataFrame, m: str, wanted: Target) -> DataFrame:
 
 def rake(cells: DataFrame, targets: dict[str, Target], rounds: int = ROUNDS) -> DataFrame:
     """cells (source, lang, topic, tokens) with factor, each sum of tokens x factor over a marginal
-    near its target share. A half step sums the cells by a marginal and scales each by its sum; a round
-    is checkpointed. FEW_CELLS are held in one partition, where sums need no shuffle; of more, sums are
+    near its target share. A half step sums the cells by a marginal and scales each by its sum; every LOOK
+    rounds are checkpointed. Where the last round still changes a cell, a warning says by how much. FEW_CELLS are held in one partition, where sums need no shuffle; of more, sums are
     taken by partial aggregation and joined back, so no value's cells gather. ``cells`` should be
     checkpointed.
     """
@@ -102,7 +105,8 @@ def rake(cells: DataFrame, targets: dict[str, Target], rounds: int = ROUNDS) ->
     for m in MARGINALS if few else ():  # a value of a marginal has a cell at least, so shares are as few
         now = now.join(F.broadcast(wanted[m].withColumnRenamed("share", f"share_{m}")), m)
     now = checkpointed(now.coalesce(1)) if few else now
-    for _ in range(rounds):
+    change = None
+    for r in range(1, rounds + 1):
         now = now.withColumn("before", F.col("factor"))
         for m in MARGINALS:
             own = F.col("tokens") * F.col("factor")
@@ -112,11 +116,17 @@ def rake(cells: DataFrame, targets: dict[str, Target], rounds: int = ROUNDS) ->
                 now = now.join(now.groupBy(m).agg(F.sum(own).alias("s")).join(wanted[m].withColumnRenamed("share", f"share_{m}"), m), m)
             now = now.withColumn("factor", F.when(F.col("s") > 0, F.col("factor") * F.col(f"share_{m}") / F.col("s")).otherwise(0.0)).drop("s")
             now = now if few else now.drop(f"share_{m}")
+        if r % LOOK and r < rounds:
+            now = now if few else checkpointed(now)
+            now = now.drop("before")
+            continue
         now = checkpointed(now)
         change = now.agg(F.max(F.abs(F.col("factor") - F.col("before")) / F.greatest("factor", "before"))).first()[0]
         now = now.drop("before")
         if change is None or change <= SETTLED:
             break
+    if change is not None and change > SETTLED:
+        warnings.warn(f"raking has not settled in {rounds} rounds: a cell still changes by {change:.1e} of itself", stacklevel=2)
     return cells.join(now.select(*MARGINALS, "factor"), list(MARGINALS), "left").withColumn("factor", F.coalesce("factor", F.lit(0.0)))
 
 
