@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillrun.llm import common, merkle, seedextend, suffixes, whitening
+from quillrun.llm import common, merkle, mixing, seedextend, suffixes, urlfilter, whitening
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
 VEC = "vec_id long, embedding array<float>, label int"
@@ -195,3 +195,27 @@ def test_manifest_of_nothing_and_of_one(spark):
     assert merkle.manifest(spark.createDataFrame([], DOC)).collect() == []
     (row,) = merkle.verified(merkle.manifest(spark.createDataFrame([(None, None, None, None, None)], DOC))).collect()
     assert row["leaf"] == row["subroot"] == row["root"] == hashlib.sha256(b"-----").hexdigest() and row["steps"] == [] and row["verified"]
+
+
+# --- URL filter and raking
+
+
+def test_rules_for_parts_of_hosts_say_nothing_of_other_hosts(spark):
+    rows = [(i, f"http://example.org/es/{i}", "<p>plain words</p>") for i in range(60)] + [(100 + i, f"http://site{i}.example.net/{'es' if i % 2 else 'en'}/{i}", "<p>plain words</p>") for i in range(60)]
+    rows += [(200 + i, f"http://casino-win.example.net/en/{i}", "<p>plain words</p>") for i in range(9)]
+    got = {r["page_id"]: r["verdict"] for r in urlfilter.judged(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == "block" for i in range(60)) and all(got[100 + i] == "allow" for i in range(60)) and all(got[200 + i] == "block" for i in range(9))
+
+
+def test_raking_says_where_it_has_not_settled(spark, recwarn):
+    rows = [("a", "en", "0", 90), ("a", "de", "1", 1), ("b", "en", "1", 5), ("b", "de", "0", 300)]
+    cells = spark.createDataFrame(rows, "source string, lang string, topic string, tokens long")
+    targets = {"source": {"a": 0.5, "b": 0.5}, "lang": {"en": 0.5, "de": 0.5}, "topic": {"0": 0.5, "1": 0.5}}
+    few = mixing.rake(cells, targets, rounds=2).collect()
+    assert len(few) == 4 and any("has not settled" in str(w.message) for w in recwarn)
+    recwarn.clear()
+    done = {tuple(r)[:3]: r["factor"] * r["tokens"] for r in mixing.rake(cells, targets, rounds=4000).collect()}
+    assert not any("has not settled" in str(w.message) for w in recwarn)
+    for k, name in enumerate(("source", "lang", "topic")):
+        for value, share in targets[name].items():
+            assert abs(sum(v for c, v in done.items() if c[k] == value) - share) < 1e-6
