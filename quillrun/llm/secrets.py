@@ -30,6 +30,8 @@ ENDPOINT = r"(?:https?|ftp|ssh|amqp|redis|mongodb|mysql|postgres|postgresql|jdbc
 BASE = ["assign", "access", "hex"]
 WEAK = ["weak_secret", "weak_id", "endpoint"]
 SCOPE = 200
+#: Runs of a text up to which masked() cuts substrings; with more it takes the text apart once.
+FEW = 64
 
 
 def _has_sign(t: Column) -> Column:
@@ -52,7 +54,9 @@ def secret_spans(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = spans_of(docs, text, KINDS)
     whole = Window.partitionBy("rid").orderBy("start", "end", "kind")
-    past, ahead = whole.rowsBetween(Window.unboundedPreceding, -1), whole.rowsBetween(1, Window.unboundedFollowing)
+    # what follows is what precedes in the order turned round: a frame without end would be summed anew for each row
+    back = Window.partitionBy("rid").orderBy(F.desc("start"), F.desc("end"), F.desc("kind"))
+    past, ahead = (w.rowsBetween(Window.unboundedPreceding, -1) for w in (whole, back))
     base, ident, secret, place = F.col("kind").isin(BASE), F.col("kind").isin("access", "weak_id"), F.col("kind").isin("assign", "hex", "weak_secret"), F.col("kind") == "endpoint"
 
     def within(part: Column) -> Column:
@@ -79,23 +83,32 @@ def secret_spans(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
 
 
 def masked(docs: DataFrame, scope: int = SCOPE, mask: str = "[SECRET]") -> DataFrame:
-    """docs with every reported span of text replaced; spans that overlap are replaced as one."""
+    """docs with every reported span of text replaced; spans that overlap are replaced as one. Takes time
+    in proportion to a text and its spans, but for texts of up to ``FEW`` runs, where each run is sought from the start."""
     found = secret_spans(docs, scope).where(F.size("spans") > 0).dropDuplicates(["doc_id", "text_key"])
-    found = checkpointed(found.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "spans"))
+    found = checkpointed(_islands(checkpointed(found.select(F.monotonically_increasing_id().alias("n"), "doc_id", "text_key", "spans"))))
     found = F.broadcast(found) if found.count() <= 100_000 else found
-    rows = docs.join(found, [docs["doc_id"].eqNullSafe(found["_id"]), F.xxhash64(docs["text"]).eqNullSafe(found["_key"])], "left")
-    text = docs["text"]
-    pieces = F.aggregate(
-        found["spans"],
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")),
-        lambda acc, s: F.struct(
-            F.greatest(acc["at"], s["end"].cast("int")).alias("at"),
-            F.when(s["end"] <= acc["at"], acc["out"]).when((s["start"] < acc["at"]) & (acc["at"] > 0), acc["out"])
-            .otherwise(F.concat(acc["out"], F.array(F.substring(text, acc["at"] + 1, s["start"].cast("int") - acc["at"]), F.lit(mask)))).alias("out"),
-        ),
-        lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text))),
-    )
-    return rows.select(*(F.when(found["spans"].isNull(), text).otherwise(pieces).alias(c) if c == "text" else docs[c] for c in docs.columns))
+    own = "_" * (1 + max(map(len, docs.columns)))  # a name that docs doesn't have
+    on = [docs["doc_id"].eqNullSafe(found["doc_id"]), F.xxhash64(docs["text"]).eqNullSafe(found["text_key"])]
+    runs = found["runs"]
+    rows = docs.join(found, on, "left").select(*(docs[c] for c in docs.columns), runs.alias(f"{own}runs"), F.when(F.size(runs) > FEW, F.split(docs["text"], "", -1)).alias(f"{own}chars"))
+    text, runs, chars = rows["text"], rows[f"{own}runs"], rows[f"{own}chars"]
+    before = lambda i: F.when(i > 0, F.get(runs, i - 1)["end"]).otherwise(0)
+    last = F.element_at(runs, -1)["end"]
+    short = F.concat(F.array_join(F.transform(runs, lambda r, i: F.concat(F.substring(text, before(i) + 1, r["start"] - before(i)), F.lit(mask))), ""), F.substring(text, last + 1, F.length(text)))
+    many = F.concat(F.array_join(F.transform(runs, lambda r, i: F.concat(F.array_join(F.slice(chars, before(i) + 1, r["start"] - before(i)), ""), F.lit(mask))), ""), F.array_join(F.slice(chars, last + 1, F.size(chars)), ""))
+    new = F.when(runs.isNull(), text).when(chars.isNull(), short).otherwise(many)
+    return rows.select(*(new.alias(c) if c == "text" else rows[c] for c in docs.columns))
+
+
+def _islands(found: DataFrame) -> DataFrame:
+    """(doc_id, text_key, runs) of rows with a number ``n`` each: spans that overlap made one, by windows over a text's spans."""
+    rows = found.select("n", "doc_id", "text_key", F.explode("spans").alias("s")).select("n", "doc_id", "text_key", F.col("s.start").cast("int").alias("start"), F.col("s.end").cast("int").alias("end"))
+    order = Window.partitionBy("n").orderBy("start", "end")
+    rows = rows.withColumn("reached", F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1)))
+    rows = rows.withColumn("island", F.sum(F.when(F.col("start") < F.col("reached"), 0).otherwise(1)).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = rows.groupBy("n", "island").agg(F.first("doc_id").alias("doc_id"), F.first("text_key").alias("text_key"), F.min("start").alias("start"), F.max("end").alias("end"))
+    return runs.groupBy("n").agg(F.first("doc_id").alias("doc_id"), F.first("text_key").alias("text_key"), F.array_sort(F.collect_list(F.struct("start", "end"))).alias("runs")).drop("n")
 
 
 def op5_secret_scan(spark, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 from collections import Counter
 
 import duckdb
@@ -339,6 +340,47 @@ def test_masking_overlaps(spark):
     assert got == 'x [SECRET]" y'
 
 
+def test_masking_is_alike_for_few_and_many_spans(spark, monkeypatch):
+    rng = random.Random(5)
+    parts = lambda: rng.choice(["token=" + "a1" * 8, "0123456789abcdef" * 2, "token: 0123456789abcdef", "\u00e9\U0001f600 x", "AKIA" + "Z" * 16, " "])
+    texts = ["".join(parts() + rng.choice([" ", "", ", \U0001f600"]) for _ in range(n)) for n in (1, 3, 40, 400) for _ in range(5)]
+    rows = spark.createDataFrame([(i if i else None, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    spans = {r.doc_id: [(s.start, s.end) for s in r.spans] for r in secrets.secret_spans(rows).collect()}
+
+    def plain(text, found):
+        out, at = "", 0
+        for s, e in found:
+            if s >= at or not at:
+                out, at = out + text[at:s] + "[SECRET]", e
+            at = max(at, e)
+        return out + text[at:]
+
+    want = {i if i else None: plain(t, spans[i if i else None]) for i, t in enumerate(texts)}
+    for few in (0, 10**6):
+        monkeypatch.setattr(secrets, "FEW", few)
+        assert {r.doc_id: r.text for r in secrets.masked(rows).collect()} == want
+
+
+def test_masking_takes_time_in_proportion(spark):
+    took = []
+    for n in (2_000, 20_000):
+        rows = spark.createDataFrame([(1, "token=abcdefghijkl " * n)], "doc_id long, text string")
+        began = time.time()
+        assert secrets.masked(rows).first().text == "[SECRET] " * n
+        took.append(time.time() - began)
+    assert took[1] < 10 + 10 * took[0]
+
+
+def test_many_spans_of_one_text_take_time_in_proportion(spark):
+    took = []
+    for n in (2_000, 20_000):
+        rows = spark.createDataFrame([(1, "mail a@b.org or (at) c (dot) d " * n)], "doc_id long, text string")
+        began = time.time()
+        assert len(pii.personal_spans(rows).collect()) == 1
+        took.append(time.time() - began)
+    assert took[1] < 10 + 10 * took[0]
+
+
 def test_personal_data_by_plain_code(spark):
     def luhn(d):
         return sum(int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(reversed(d))) % 10 == 0
@@ -464,6 +506,22 @@ def test_spans_and_documents_are_removed(spark):
     assert decontaminate.remove_documents(docs.limit(0), bench).count() == 0
 
 
+def test_hit_words_become_runs(spark):
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(6)]
+    bench = [("a", "w0 w1 w2 w3 w4 w5 " * 4), ("b", "w1 w2"), ("c", "w5"), ("d", " ".join(rng.choices(words, k=20)))]
+    texts = [" ".join(rng.choices([*words, "x", "y"], k=n)) for n in (0, 1, 5, 40, 3000)] + [bench[0][1] * 500]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    windows = {tuple(w[i : i + 13]) for _, t in bench for w in [t.split()] for i in range(max(1, len(w) - 12))}
+    left = {r.doc_id: r.text.split() for r in decontaminate.remove_spans(docs, spark.createDataFrame(bench, "item_id string, text string")).collect()}
+    for r in decontaminate.contamination(docs, spark.createDataFrame(bench, "item_id string, text string")).collect():
+        w = texts[r.doc_id].split()
+        hit = {p for i in range(len(w)) for size in (1, 2, 13) if tuple(w[i : i + size]) in windows and i + size <= len(w) for p in range(i, i + size)}
+        assert [p for run in r.runs for p in range(run.start, run.end)] == sorted(hit) and r.n_hit == len(hit)
+        assert all(a.end < b.start for a, b in zip(r.runs, r.runs[1:]))
+        assert left[r.doc_id] == [x for p, x in enumerate(w) if p not in hit]
+
+
 def test_windows_joined_by_shuffle(spark, monkeypatch):
     docs, bench = table(spark, "documents"), table(spark, "benchmark")
     few = decontaminate.contamination(docs, bench).collect()
