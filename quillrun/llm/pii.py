@@ -112,8 +112,9 @@ def candidates(docs: DataFrame) -> DataFrame:
     labelled, alone = F.col("before").rlike(r"[:=]\x20*$"), F.col("before").rlike(r"(?:^|\n)\x20*$") & (F.col("after").rlike(r"^\x20*(?:\n|$)"))
     base = kind.isin(BASE)
     whole = Window.partitionBy("rid").orderBy("start", "end", "kind")
+    back = Window.partitionBy("rid").orderBy(F.desc("start"), F.desc("end"), F.desc("kind"))  # what follows precedes here
     over = F.coalesce(F.max(F.when(base, F.col("end"))).over(whole.rowsBetween(Window.unboundedPreceding, -1)) > F.col("start"), F.lit(False)) | F.coalesce(
-        F.min(F.when(base, F.col("start"))).over(whole.rowsBetween(1, Window.unboundedFollowing)) < F.col("end"), F.lit(False)
+        F.min(F.when(base, F.col("start"))).over(back.rowsBetween(Window.unboundedPreceding, -1)) < F.col("end"), F.lit(False)
     )
     return rows.withColumn("over", over & kind.isin(LOOSE)).select("rid", "doc_id", "text_key", "kind", "start", "end", "over", *(f.cast("int").alias(n) for n, f in zip(FEATURES, (labelled, alone))), *(v.cast("int").alias(n) for n, v in zip(VOTERS, (shape, listed, context, edge))))
 
