@@ -78,22 +78,20 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
         F.first("doc_id").alias("doc_id"), F.first("text_key").alias("text_key"), F.first("n_words").alias("n_words"),
         F.array_sort(F.collect_set("run")).alias("runs"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
     )
-    return by_row.select("doc_id", "text_key", "n_words", _merged(F.col("runs")).alias("runs"), "items").select(
-        "doc_id", "text_key", "n_words", "runs", F.aggregate("runs", F.lit(0), lambda n, r: n + r["end"] - r["start"]).cast("long").alias("n_hit"), "items"
-    )
+    hit = by_row.select("doc_id", "text_key", "n_words", _places(F.col("runs")).alias("places"), "items")
+    return hit.select("doc_id", "text_key", "n_words", _merged(F.col("places")).alias("runs"), F.size("places").cast("long").alias("n_hit"), "items")
 
 
-def _merged(runs: Column) -> Column:
-    """Sorted runs, those that overlap or touch made one: a run begins where none before reaches it."""
-    kind = "array<struct<start:int,end:int>>"
-    return F.aggregate(
-        runs,
-        F.struct(F.array().cast(kind).alias("out"), F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("end")),
-        lambda acc, r: F.when(acc["start"].isNull(), F.struct(acc["out"].alias("out"), r["start"].alias("start"), r["end"].alias("end")))
-        .when(r["start"] <= acc["end"], F.struct(acc["out"].alias("out"), acc["start"].alias("start"), F.greatest(acc["end"], r["end"]).alias("end")))
-        .otherwise(F.struct(F.concat(acc["out"], F.array(F.struct(acc["start"].alias("start"), acc["end"].alias("end")))).alias("out"), r["start"].alias("start"), r["end"].alias("end"))),
-        lambda acc: F.when(acc["start"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(F.struct(acc["start"].alias("start"), acc["end"].alias("end"))))),
-    )
+def _places(runs: Column) -> Column:
+    """The words of sorted runs, each once. They ascend: of a run's words those are new that lie beyond all before."""
+    return F.array_distinct(F.flatten(F.transform(runs, lambda r: F.sequence(r["start"], r["end"] - 1))))
+
+
+def _merged(places: Column) -> Column:
+    """Ascending places as runs of neighbours; places must be a column of its own, as each is looked up by number."""
+    first = F.filter(places, lambda p, i: (i == 0) | (F.get(places, i - 1) < p - 1))
+    last = F.filter(places, lambda p, i: (i == F.size(places) - 1) | (F.get(places, i + 1) > p + 1))
+    return F.zip_with(first, last, lambda s, e: F.struct(s.alias("start"), (e + 1).alias("end")))
 
 
 def is_contaminated() -> Column:
@@ -118,14 +116,16 @@ def remove_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW
 def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """docs with every hit word cut out of text; what stands between words stays."""
     found, on = _touched(docs, contamination(docs, benchmark, window).where("n_hit > 0"))
-    text = docs["text"]
+    own = "_" * (1 + max(map(len, docs.columns)))  # a name that docs doesn't have
+    text, runs = docs["text"], found["runs"]
     gaps, words = F.split(text, ANY_WORD, -1), F.array_remove(F.split(text, ANY_SEPARATORS, -1), "")
-    left = F.zip_with(
-        gaps, F.transform(words, lambda w, i: F.when(F.exists(found["runs"], lambda r: (r["start"] <= i) & (i < r["end"])), F.lit("")).otherwise(w)),
-        lambda g, w: F.concat(g, F.coalesce(w, F.lit(""))),
-    )
-    joined = docs.join(found, on, "left")
-    return joined.select(*(F.when(found["runs"].isNull(), docs["text"]).otherwise(F.array_join(left, "")).alias(c) if c == "text" else docs[c] for c in docs.columns))
+    rows = docs.join(found, on, "left").select(*(docs[c] for c in docs.columns), runs.alias(f"{own}runs"), *(F.when(runs.isNotNull(), x).alias(f"{own}{n}") for n, x in (("gaps", gaps), ("words", words))))
+    text, runs, gaps, words = rows["text"], rows[f"{own}runs"], rows[f"{own}gaps"], rows[f"{own}words"]
+    before = lambda i: F.when(i > 0, F.get(runs, i - 1)["end"]).otherwise(0)
+    kept = F.transform(runs, lambda r, i: F.concat(F.slice(words, before(i) + 1, r["start"] - before(i)), F.array_repeat(F.lit(""), r["end"] - r["start"])))
+    tail = F.slice(words, F.element_at(runs, -1)["end"] + 1, F.size(words))
+    left = F.zip_with(gaps, F.concat(F.flatten(kept), tail), lambda g, w: F.concat(g, F.coalesce(w, F.lit(""))))
+    return rows.select(*(F.when(runs.isNull(), text).otherwise(F.array_join(left, "")).alias(c) if c == "text" else rows[c] for c in docs.columns))
 
 
 def op7_benchmark_decontamination(spark, sf_dir: str) -> DataFrame:
