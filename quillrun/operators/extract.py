@@ -124,6 +124,19 @@ def route(values: DataFrame, model: ExtractionModel) -> DataFrame:
     return values.withColumn("guided", F.coalesce(F.col("key").isin([f.key for f in model.fields]), F.lit(False)))
 
 
+#: Values of a field drafted as a number.
+NUMBER = r"^-?[0-9]+(\.[0-9]+)?$"
+
+
+def drafted(values: DataFrame) -> DataFrame:
+    """(model_name, fields) of values with the model_name they were found for: each key a field, by name, of type
+    number where all its values are numbers, string otherwise, labelled by the key in capitals. Values without a
+    model's name are left out."""
+    keys = values.where("model_name IS NOT NULL AND key IS NOT NULL").groupBy("model_name", "key").agg(F.every(F.coalesce(F.col("value").rlike(NUMBER), F.lit(False))).alias("numeric"))
+    one = F.struct("key", F.upper("key").alias("label"), F.when(F.col("numeric"), "number").otherwise("string").alias("type"), F.lit(None).cast("string").alias("description"))
+    return keys.groupBy("model_name").agg(F.array_sort(F.collect_list(one)).alias("fields"))
+
+
 def records(merged: DataFrame, model: ExtractionModel) -> DataFrame:
     """(doc_id, guide_extracted map, other_data array) from merged values."""
     rows = route(merged, model).groupBy("doc_id").agg(

@@ -439,16 +439,22 @@ def s03_layout(spark, sf_dir):
     return extract.html_layout(table(spark, sf_dir, "pages"))
 
 
-@registered("SELECT * FROM (VALUES " + ", ".join(f"({i}, '{f.key}', '{f.label}', '{f.type}')" for i, f in enumerate(MODEL.fields)) + ") t(pos, key, label, type)")
+@registered(f"""WITH {VALUES_SQL}, keys AS (SELECT source, key, bool_and(regexp_matches(value, '{extract.NUMBER}')) numeric FROM vals JOIN documents USING (doc_id) WHERE source IS NOT NULL GROUP BY ALL)
+SELECT source model_name, (row_number() OVER (PARTITION BY source ORDER BY key) - 1)::INT pos, key, upper(key) label, CASE WHEN numeric THEN 'number' ELSE 'string' END type FROM keys""")
 def s04_model_fields(spark, sf_dir):
+    """A model for each source, drafted from the values found in its documents, saved and read again."""
     path = f"{folder(spark)}/models-{uuid.uuid4().hex}"
-    spark.createDataFrame([(MODEL.to_json(),)], "value string").coalesce(1).write.text(path)
-    return files.read_models(spark, path).select("pos", "key", "label", "type")
+    sources = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("model_name"))
+    files.save_models(extract.drafted(extract.extract_by_rules(_pages(spark, sf_dir)).join(sources, "doc_id")), path)
+    return files.read_models(spark, path).select("model_name", "pos", "key", "label", "type")
 
 
-@registered(f"WITH {MEMBERS_SQL} SELECT user_id::BIGINT user_id, role FROM held")
+@registered(f"SELECT user_id, CASE WHEN count(*) > 2 THEN '{ADMINS}' ELSE '{EDITORS}' END role FROM events WHERE event_type = 'signup' AND user_id IS NOT NULL GROUP BY user_id")
 def s06_members(spark, sf_dir):
-    return derived.members(spark)
+    """Users who signed up as members, those who did so over twice as administrators, saved and read again."""
+    path = f"{folder(spark)}/members-{uuid.uuid4().hex}"
+    derived.signed_up(table(spark, sf_dir, "events")).write.json(path)
+    return files.read_members(spark, path)
 
 
 @registered(f"WITH {LOG_SQL} SELECT id, CASE WHEN id % 10 = 0 THEN 'S200' ELSE status END status FROM log UNION ALL SELECT -1, 'P100'")
@@ -488,6 +494,14 @@ def k03_workbooks(spark, sf_dir):
     return workbook.read_workbooks(spark, path)
 
 
+@registered("SELECT doc_id::VARCHAR doc_id, lang, text FROM documents")
+def k03_workbook_texts(spark, sf_dir):
+    """Whole texts as cells, those that don't fit on second sheets."""
+    path = f"{folder(spark)}/books-{uuid.uuid4().hex}"
+    workbook.export_workbooks(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"), path)
+    return workbook.read_workbooks(spark, path)
+
+
 @registered(f"WITH {LOG_SQL} SELECT id, status, model_id FROM log ORDER BY id DESC")
 def o01_history_order(spark, sf_dir):
     return extraction_log(spark, sf_dir).select("id", "status", "model_id").orderBy(F.col("id").desc())

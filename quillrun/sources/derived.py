@@ -19,6 +19,12 @@ def members(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(MEMBERS, "user_id long, role string")
 
 
+def signed_up(events: DataFrame) -> DataFrame:
+    """(user_id, role): users with sign-ups as model editors, with over two as administrators."""
+    counts = events.where("event_type = 'signup' AND user_id IS NOT NULL").groupBy("user_id").count()
+    return counts.select("user_id", F.when(F.col("count") > 2, ADMINS).otherwise(EDITORS).alias("role"))
+
+
 def extraction_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, user_id, model_id, filename, status, original_log_id): exact copies act as retries."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")

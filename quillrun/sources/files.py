@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import io
-import zipfile
-from xml.sax.saxutils import escape
-
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +10,7 @@ from quillrun.functions.scalars import is_supported
 from quillrun.operators.history import may_edit_models
 from quillrun.schemas import JOB_DDL, LOG_DDL, ExtractionModel
 from quillrun.sources.shared import opened, written
+from quillrun.sources.workbook import sheet
 
 GLOB = "*.{pdf,PDF,png,PNG,jpg,JPG,jpeg,tif,tiff,bmp,webp}"
 BINARY = "path string, modificationTime timestamp, length long, content binary"
@@ -51,6 +48,18 @@ def read_models(spark: SparkSession, path: str) -> DataFrame:
     return raw.select("model_name", F.posexplode("fields").alias("pos", "f")).select("model_name", "pos", "f.*")
 
 
+def save_models(models: DataFrame, path: str) -> int:
+    """(model_name, fields array<struct<key, label, type, description>>) as one JSON file each, named by the
+    hash of the model's name; returns how many. Saving a model again replaces its file."""
+    name = F.concat(F.sha2("model_name", 256), F.lit(".json"))
+    return write_files(models.select(name.alias("name"), F.to_json(F.struct("model_name", "fields")).cast("binary").alias("content")), path)
+
+
+def read_members(spark: SparkSession, path: str) -> DataFrame:
+    """(user_id, role) of a folder of JSON lines; rows without either are left out, repeats count once."""
+    return spark.read.schema("user_id long, role string").json(path).dropna().distinct()
+
+
 def read_logs(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     return spark.read.schema(LOG_DDL).format(fmt).load(path)
 
@@ -151,30 +160,6 @@ def export_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", "true").csv(path)
 
 
-def sheet(header: list[str], rows: list[tuple]) -> bytes:
-    """A workbook of one sheet."""
-
-    def cell(v) -> str:
-        if v is None:
-            return "<c/>"
-        if isinstance(v, (int, float)) and not isinstance(v, bool):
-            return f"<c><v>{v}</v></c>"
-        return f'<c t="inlineStr"><is><t xml:space="preserve">{escape(str(v))}</t></is></c>'
-
-    main, rel = "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
-    package, types = "http://schemas.openxmlformats.org/package/2006/relationships", "http://schemas.openxmlformats.org/package/2006/content-types"
-    kind = "application/vnd.openxmlformats-officedocument.spreadsheetml."
-    body = "".join(f"<row>{''.join(map(cell, r))}</row>" for r in [tuple(header), *rows])
-    out = io.BytesIO()
-    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-        z.writestr("[Content_Types].xml", f'<Types xmlns="{types}"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Override PartName="/xl/workbook.xml" ContentType="{kind}sheet.main+xml"/><Override PartName="/xl/worksheets/sheet1.xml" ContentType="{kind}worksheet+xml"/></Types>')
-        z.writestr("_rels/.rels", f'<Relationships xmlns="{package}"><Relationship Id="r1" Type="{rel}/officeDocument" Target="xl/workbook.xml"/></Relationships>')
-        z.writestr("xl/workbook.xml", f'<workbook xmlns="{main}" xmlns:r="{rel}"><sheets><sheet name="Sheet1" sheetId="1" r:id="r1"/></sheets></workbook>')
-        z.writestr("xl/_rels/workbook.xml.rels", f'<Relationships xmlns="{package}"><Relationship Id="r1" Type="{rel}/worksheet" Target="worksheets/sheet1.xml"/></Relationships>')
-        z.writestr("xl/worksheets/sheet1.xml", f'<worksheet xmlns="{main}"><sheetData>{body}</sheetData></worksheet>')
-    return out.getvalue()
-
-
 def workbooks(df: DataFrame, rows_each: int = 100_000) -> DataFrame:
     """(part, content): the rows as workbooks of up to ``rows_each`` rows, made where the rows are."""
     header = df.columns

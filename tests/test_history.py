@@ -3,6 +3,7 @@ import io
 import random
 import weakref
 import zipfile
+from xml.etree import ElementTree
 
 import pandas as pd
 import pytest
@@ -202,6 +203,66 @@ def test_workbooks_go_there_and_back(spark, tmp_path):
     assert len(names) >= 5 and all(n.endswith(".xlsx") for n in names)
 
 
+def test_workbooks_keep_whole_values(spark, tmp_path):
+    from quillrun.sources import workbook
+
+    texts = ["\x01 a\x0bb \uffff", "_x0041_", "_x0041\x01", "__x005F_x0001_x0002_", "a\r\nb\rc\n", "", None, " <&>\"' ", "x" * 32_767, "\U0001f600" * 40_000, "_x000D_\r" * 9_000, "y" * 100_000]
+    rows = spark.createDataFrame([(i, t, x) for i, (t, x) in enumerate(zip(texts, [0.5, float("nan"), float("inf"), -1e300] * 3))], "n long, `t\x02` string, x double")
+    rows = rows.withColumn("big", F.lit(2**60 + 1)).repartition(2)
+    workbook.export_workbooks(rows, str(tmp_path / "books"))
+    got = workbook.read_workbooks(spark, str(tmp_path / "books"))
+    assert got.columns == rows.columns
+    assert {int(r[0]): r[1] for r in got.collect()} == dict(enumerate(texts))
+    assert {r.big for r in got.collect()} == {str(2**60 + 1)} and {r.x for r in got.collect()} == {"0.5", "nan", "inf", "-1e+300"}
+    for book in (tmp_path / "books").iterdir():
+        with zipfile.ZipFile(book) as z:
+            for n in (n for n in z.namelist() if "sheets/sheet" in n):
+                cells = ("".join(c.itertext()) for c in ElementTree.fromstring(z.read(n)).iter(f"{workbook.MAIN}c"))
+                assert all(len(c.encode("utf-16-le")) <= 2 * workbook.CELL for c in cells)
+
+
+def test_workbooks_refuse_what_a_sheet_cannot_hold(spark, tmp_path):
+    from quillrun.sources import workbook
+
+    for each in (0, workbook.MOST_ROWS):
+        with pytest.raises(Exception, match="rows_each"):
+            workbook.export_workbooks(spark.range(3), str(tmp_path / "books"), rows_each=each)
+    with pytest.raises(ValueError, match="columns at most"):
+        workbook.sheet([f"c{i}" for i in range(workbook.MOST_COLUMNS + 1)], [])
+
+
+def test_a_commit_sweeps_what_lost_tasks_left(tmp_path):
+    from quillrun.sources import workbook
+
+    writer = workbook.Writer(str(tmp_path), ["a"], 2)
+    lost = writer.write(iter([(1,), (2,), (3,)]))
+    kept = writer.write(iter([(1,), (2,), (3,)]))
+    (tmp_path / ".other-1.part").write_bytes(b"")
+    assert len(lost.files) == len(kept.files) == 2
+    writer.commit([kept])
+    names = sorted(p.name for p in tmp_path.iterdir())
+    assert names[0] == ".other-1.part" and len(names) == 3 and all(n.endswith(".xlsx") for n in names[1:])
+
+
+def test_models_are_drafted_and_read_again(spark, tmp_path):
+    from quillrun.operators import extract
+    from quillrun.sources import files
+
+    rows = [("m/1", "b", "1"), ("m/1", "b", "-2.5"), ("m/1", "a", "x"), ("m/1", "a", "3"), ("n", "a", None), (None, "a", "1"), ("n", None, None)]
+    models = extract.drafted(spark.createDataFrame(rows, "model_name string, key string, value string"))
+    for _ in range(2):  # saved again, a model replaces its file
+        assert files.save_models(models, str(tmp_path / "models")) == 2
+    got = files.read_models(spark, str(tmp_path / "models"))
+    assert sorted((r.model_name, r.pos, r.key, r.label, r.type) for r in got.collect()) == [("m/1", 0, "a", "A", "string"), ("m/1", 1, "b", "B", "number"), ("n", 0, "a", "A", "string")]
+
+
+def test_members_are_read_once_each(spark, tmp_path):
+    from quillrun.sources import files
+
+    spark.createDataFrame([(1, "x"), (1, "x"), (None, "x"), (2, None)], "user_id long, role string").write.json(str(tmp_path / "m"))
+    assert [tuple(r) for r in files.read_members(spark, str(tmp_path / "m")).collect()] == [(1, "x")]
+
+
 def test_polls_end_by_time(spark):
     rows = [("a", s, s, "poll") for s in (0, 100, 299, 300)] + [("b", 0, 0, "poll"), ("c", 0, 0, "error"), ("c", 1, 1, "error"), ("c", 2, 2, "error"), ("c", 900, 3, "poll")]
     polls = spark.createDataFrame(rows, "job string, ts long, seq long, kind string").withColumn("ts", F.col("ts").cast("timestamp"))
