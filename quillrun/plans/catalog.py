@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from quillrun.functions import scalars
-from quillrun.operators import extract, grids, history, jobs, ledger, pages
+from quillrun.operators import edits, extract, grids, history, jobs, ledger, pages
 from quillrun.schemas import ADMINS, EDITORS, NEXT, STATUSES, ExtractionModel, Field, status_dim
 from quillrun.sources import derived, files, workbook
 from quillrun.sources.derived import LOG_SQL, extraction_log, table
@@ -571,6 +571,52 @@ def x16_job_logs(spark, sf_dir):
     return logs.select("doc_id", "status", "error", F.try_variant_get("extracted_data", "$.digits", "string").alias("digits"), scalars.to_time(F.col("created_at")).cast("timestamp_ntz").alias("created"))
 
 
+USER_EDITS_SQL = JOB_SQL + """, edits AS (SELECT user_id * 7 + event_id % 7 doc_id, (event_id % 2)::INT idx, CASE event_id % 5 WHEN 0 THEN 'email' WHEN 1 THEN 'long_word' WHEN 2 THEN 'digits' WHEN 3 THEN 'note' END key,
+  CASE WHEN event_type <> 'error' THEN 'fixed-' || (event_id % 50) END val, ts edited_at, event_id seq FROM events),
+judged AS (SELECT e.*, CASE WHEN key IS NULL THEN 'no field' WHEN status IS NULL THEN 'no log' WHEN status <> 'S100' THEN 'not finished' WHEN s.doc_id IS NULL THEN 'no sub-document' END reason
+  FROM edits e LEFT JOIN states USING (doc_id) LEFT JOIN (SELECT DISTINCT doc_id, idx FROM subs) s ON e.doc_id = s.doc_id AND e.idx = s.idx),
+lasts AS (SELECT doc_id, idx, key, arg_max(struct_pack(v := val), struct_pack(edited_at, seq)) l FROM judged WHERE reason IS NULL GROUP BY doc_id, idx, key),
+fields AS (SELECT coalesce(f.doc_id, l.doc_id) doc_id, coalesce(f.idx, l.idx) idx, coalesce(f.key, l.key) key, CASE WHEN l.doc_id IS NULL THEN m.value ELSE l.l.v END val, (m.page + 1)::INT page, m.o::INT o
+  FROM firsts f FULL JOIN lasts l ON f.doc_id = l.doc_id AND f.idx = l.idx AND f.key = l.key)"""
+
+
+def _user_edits(spark, sf_dir):
+    """A stand-in for what users edit: events as edits of fields, some of which aren't there."""
+    n = F.col("event_id")
+    key = F.when(n % 5 == 0, "email").when(n % 5 == 1, "long_word").when(n % 5 == 2, "digits").when(n % 5 == 3, "note")
+    value = F.when(F.col("event_type") != "error", F.concat(F.lit("fixed-"), (n % 50).cast("string")))
+    return table(spark, sf_dir, "events").select(
+        (F.col("user_id") * 7 + n % 7).alias("doc_id"), (n % 2).cast("int").alias("index"), key.alias("key"), value.alias("value"), F.col("ts").alias("edited_at"), n.alias("seq")
+    )
+
+
+@registered(USER_EDITS_SQL + """ SELECT doc_id, CASE WHEN status = 'S100' AND doc_id IN (SELECT doc_id FROM lasts) THEN 'S200' ELSE status END status, idx::INT AS "index", key, val AS "value", page,
+  CASE WHEN key IN ('email', 'ipv4', 'long_word') THEN o END "offset" FROM fields JOIN states USING (doc_id)""")
+def j05_edited_fields(spark, sf_dir):
+    """Every value in preview_data after users' edits; open data has no offsets."""
+    logs = written(edits.apply(_job(spark, sf_dir), _user_edits(spark, sf_dir), MODEL, "2024-02-01T12:00:00Z"))
+    values = jobs.fields_of(logs).unionByName(jobs.others_of(logs), allowMissingColumns=True)
+    return values.join(logs.select("doc_id", "status"), "doc_id").select("doc_id", "status", "index", "key", "value", "page", "offset")
+
+
+@registered(USER_EDITS_SQL + """ SELECT doc_id, key, arg_min(val, idx) AS "value", doc_id IN (SELECT doc_id FROM lasts) edited FROM fields WHERE val IS NOT NULL GROUP BY doc_id, key""")
+def j05_edited_values(spark, sf_dir):
+    """Every value in extracted_data after users' edits."""
+    logs = edits.apply(_job(spark, sf_dir), _user_edits(spark, sf_dir), MODEL, "2024-02-01T12:00:00Z")
+    return logs.select("doc_id", F.explode(F.col("extracted_data").cast("map<string,string>")).alias("key", "value"), (F.col("updated_at") > F.col("created_at")).alias("edited"))
+
+
+@registered(USER_EDITS_SQL + """ SELECT doc_id, idx AS "index", key, seq, reason FROM judged WHERE reason IS NOT NULL""")
+def j05_rejected_edits(spark, sf_dir):
+    return edits.rejected(_job(spark, sf_dir), _user_edits(spark, sf_dir)).select("doc_id", "index", "key", "seq", "reason")
+
+
+@registered(USER_EDITS_SQL + """ SELECT j.doc_id, j.idx AS "index", j.key, seq, val AS "value", CASE WHEN row_number() OVER w = 1 THEN m.value ELSE lag(val) OVER w END "before"
+FROM judged j LEFT JOIN firsts f ON j.doc_id = f.doc_id AND j.idx = f.idx AND j.key = f.key WHERE reason IS NULL WINDOW w AS (PARTITION BY j.doc_id, j.idx, j.key ORDER BY edited_at, seq)""")
+def j05_edit_trail(spark, sf_dir):
+    return edits.trail(_job(spark, sf_dir), _user_edits(spark, sf_dir)).select("doc_id", "index", "key", "seq", "value", "before")
+
+
 @registered("SELECT o_orderkey id, o_orderdate::TIMESTAMP created, date_trunc('month', o_orderdate)::TIMESTAMP AS \"month\" FROM orders WHERE o_orderdate >= TIMESTAMP '1995-01-01'")
 def o03_by_time(spark, sf_dir):
     logs = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("created_at"))
