@@ -5,6 +5,10 @@ A window is 13 consecutive words of a benchmark item, or the whole of a shorter
 Every place of a document is looked up by its two next words; where a window of the set begins so, the
 document's window is hashed, looked up in the set, and a hit is verified word for word. Only built-in functions run.
 
+A set that is too large to broadcast is sent as bits instead: one bit for each hash, in a field of fixed
+size. Windows whose bit isn't set are dropped where they stand; the others, with the words of each, meet
+the set by a shuffle that verifies them, so bits that hashes share cost work but change no result.
+
 Defined results: null and empty texts have no words and no hits; repeated rows are judged one by one
 and ties don't arise; an empty benchmark hits nothing; an empty table gives an empty result; other
 columns of either table are not read.
@@ -21,8 +25,10 @@ SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: The same for text that is not lower-cased.
 ANY_SEPARATORS, ANY_WORD = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 WINDOW = 13
-#: Sets of up to this many windows are broadcast (about 200 bytes each); larger ones are joined by shuffle.
-BROADCAST_WINDOWS = 500_000
+#: Sets of up to this many windows, words and item ids of so many bytes, are broadcast; larger ones are joined by shuffle.
+BROADCAST_WINDOWS, BROADCAST_BYTES = 500_000, 100_000_000
+#: Bits of the field that stands for a larger set: a row for each 64 of them at most is broadcast.
+FIELD_BITS = 1 << 27
 
 
 def words_of(text: Column) -> Column:
@@ -42,15 +48,29 @@ def _hashes(words: Column, size: int) -> Column:
     return F.transform(starts, lambda i: F.struct(i.alias("i"), F.lit(size).alias("size"), F.xxhash64(F.slice(words, i, size)).alias("h")))
 
 
+def _fits(windows: DataFrame) -> bool:
+    """Whether the set may be broadcast whole. A window may belong to very many items, so bytes count too."""
+    length = lambda texts: F.aggregate(texts, F.lit(0).cast("long"), lambda n, t: n + F.octet_length(t))
+    n, size = windows.agg(F.count(F.lit(1)), F.sum(length(F.col("win")) + length(F.col("items")))).first()
+    return n <= BROADCAST_WINDOWS and (size or 0) <= BROADCAST_BYTES
+
+
+def _may_be_in(rows: DataFrame, windows: DataFrame, bits: int) -> DataFrame:
+    """rows whose h is one of windows' or shares a bit with one, and those without h."""
+    at, of = F.pmod("h", F.lit(bits)), F.pmod("h", F.lit(64)).cast("int")
+    field = windows.select(F.shiftright(at, 6).alias("part"), of.alias("bit")).groupBy("part").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("field"))
+    known = rows.withColumn("part", F.shiftright(at, 6)).join(F.broadcast(field), "part", "left")
+    return known.where(F.col("h").isNull() | (F.getbit("field", of) == 1)).drop("part", "field")
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """One row per row of docs: doc_id, text_key (hash of the text), n_words, runs (hit words as
     array<struct<start, end>>, merged, from 0, end exclusive), n_hit, items (ids as sorted strings)."""
     windows = checkpointed(benchmark_windows(benchmark, window))
-    n_windows = windows.count()
     sizes = sorted(r["size"] for r in windows.select("size").distinct().collect())  # at most `window` values
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", F.xxhash64("text").alias("text_key"), words_of(F.col("text")).alias("words")).withColumn("n_words", F.size("words").cast("long"))
     own = F.slice("words", F.greatest("i", F.lit(1)), F.greatest("size", F.lit(1)))
-    if n_windows <= BROADCAST_WINDOWS:
+    if _fits(windows):
         # hashed whole are only windows that begin with the two words of one in the set, or its single one
         at = rows.select("*", F.posexplode_outer("words").alias("at", "w")).withColumn("i", F.coalesce(F.col("at") + 1, F.lit(0)))
         head = windows.groupBy(F.xxhash64(F.col("win")[0], F.get("win", F.lit(1))).alias("head"), (F.col("size") == 1).alias("single")).agg(F.collect_set("size").alias("sizes"))
@@ -68,7 +88,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     else:  # a window is sent with its own words alone, and the marks are spread by their rows
         mark = F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("size"), F.lit(None).cast("long").alias("h")))
         rows = rows.withColumn("at", F.concat(mark, *(_hashes(F.col("words"), s) for s in sizes)))
-        rows = rows.select("rid", "doc_id", "text_key", "words", "n_words", F.inline_outer("at"))
+        rows = _may_be_in(rows.select("rid", "doc_id", "text_key", "words", "n_words", F.inline_outer("at")), windows, FIELD_BITS)
         sent = rows.select("rid", "doc_id", "text_key", "n_words", "i", "size", F.coalesce("h", F.xxhash64("rid")).alias("h"), F.when(F.col("size") > 0, own).alias("own"))
         joined, hit = sent.join(windows, ["h", "size"], "left"), F.col("own") == F.col("win")
     found = joined.where((F.col("size") == 0) | hit).select(

@@ -522,14 +522,39 @@ def test_hit_words_become_runs(spark):
         assert left[r.doc_id] == [x for p, x in enumerate(w) if p not in hit]
 
 
-def test_windows_joined_by_shuffle(spark, monkeypatch):
+@pytest.mark.parametrize(("name", "value", "bits"), [("BROADCAST_WINDOWS", 0, 1 << 27), ("BROADCAST_BYTES", 0, 64)])
+def test_windows_joined_by_shuffle(spark, monkeypatch, name, value, bits):
     docs, bench = table(spark, "documents"), table(spark, "benchmark")
     few = decontaminate.contamination(docs, bench).collect()
-    monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", 0)
+    monkeypatch.setattr(decontaminate, name, value)
+    monkeypatch.setattr(decontaminate, "FIELD_BITS", bits)
     many = decontaminate.contamination(docs, bench).collect()
     assert any(r.n_hit for r in few) and sorted(few) == sorted(many)
 
 
+def test_windows_out_of_the_set_are_dropped_before_the_shuffle(spark):
+    rows = spark.range(10_000).select(F.xxhash64("id").alias("h")).union(spark.createDataFrame([(None,)], "h long"))
+    windows = spark.range(0, 10_000, 50).select(F.xxhash64("id").alias("h"))
+    kept = {r.h for r in decontaminate._may_be_in(rows, windows, 1 << 20).collect()}
+    assert {r.h for r in windows.collect()} | {None} <= kept and len(kept) < 220
+    held = {r.h % 64 for r in windows.collect()}
+    assert {r.h for r in decontaminate._may_be_in(rows, windows, 64).collect()} == {r.h for r in rows.collect() if r.h is None or r.h % 64 in held}
+    assert decontaminate._may_be_in(rows, windows.limit(0), 1 << 20).collect() == [(None,)]
+
+
+def test_a_window_of_very_many_items(spark, monkeypatch):
+    """A passage that all items share isn't broadcast once for each window with all their ids."""
+    shared = " ".join(f"w{i}" for i in range(14))
+    bench = spark.range(5000).select(F.concat(F.lit("item-"), F.col("id").cast("string")).alias("item_id"), F.lit(shared).alias("text"))
+    docs = spark.createDataFrame([(1, f"a {shared} b"), (2, "a b"), (None, shared)], "doc_id long, text string")
+    windows = decontaminate.benchmark_windows(bench)
+    assert decontaminate._fits(windows) and windows.count() == 2
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", 50_000)
+    assert not decontaminate._fits(windows)
+    got = {r.doc_id: (r.n_words, r.n_hit, len(r["items"])) for r in decontaminate.contamination(docs, bench).collect()}
+    assert got == {1: (16, 14, 5000), 2: (2, 0, 0), None: (14, 14, 5000)}
+
+
 def test_decontamination_on_awkward_rows(awkward, spark):
     bench = table(spark, "benchmark")
     for got in (decontaminate.remove_documents(awkward, bench), decontaminate.remove_spans(awkward, bench)):
