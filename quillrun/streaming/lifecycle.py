@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
@@ -16,6 +17,8 @@ from quillrun.schemas import NEXT
 MAX_POLLS, MAX_ERRORS, POLL_SECONDS = 60, 3, 5
 #: Width of the ranges of time in which a stream's rows are folded.
 PIECE_SECONDS = 86_400
+#: Groups in which a batch's ranges are put in order.
+GROUPS = 1024
 NO_JOB = -(1 << 63)
 OUTCOMES = "job long, attempts long, errors long, outcome string"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -69,11 +72,8 @@ def poll_outcomes(polls: DataFrame) -> DataFrame:
     return made.withColumn("outcome", F.when(F.col("errors") >= MAX_ERRORS, "stopped").when(F.col("attempts") >= MAX_POLLS, "timeout").otherwise("open"))
 
 
-def advance(state: tuple[int, int], kind: str, restart: bool = False) -> tuple[int, int]:
-    """(attempts, errors) after one more poll; a job that has stopped stays as it is, and a new upload
-    clears it where restarts count."""
-    if restart and kind == "upload":
-        return 0, 0
+def advance(state: tuple[int, int], kind: str) -> tuple[int, int]:
+    """(attempts, errors) after one more poll; a job that has stopped stays as it is."""
     attempts, errors = state
     if attempts >= MAX_POLLS or errors >= MAX_ERRORS:
         return state
@@ -115,21 +115,32 @@ def follow(prior: str | None, status: str) -> tuple[str | None, bool]:
     return (status if legal else prior), legal
 
 
-def by_pieces(stream: DataFrame, effect: Callable[[pd.DataFrame], dict], ddl: str, seconds: int) -> DataFrame:
+def by_pieces(stream: DataFrame, effect: Callable[[pd.DataFrame, np.ndarray], dict], ddl: str, seconds: int, groups: int = GROUPS) -> DataFrame:
     """(job, piece, effect): what the rows of a job in a range of so many seconds, in the order of time and
     number, do to any state. So a job's rows are folded in many tasks, and its state meets a row for each
-    range; null times come first."""
+    range; null times come first. Ranges are dealt by hash to ``groups``, each of which is sorted and told at
+    once: effect gets its rows in order and where ranges begin. Most ranges have a few rows, too few for a call each."""
 
-    def told(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        row = effect(pdf.sort_values(["ts", "seq"], na_position="first"))
-        return pd.DataFrame({"job": [key[0]], "piece": [-(1 << 62) if pd.isna(key[1]) else key[1]], **{k: [v] for k, v in row.items()}})
+    def told(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = pdf.sort_values(["job", "piece", "ts", "seq"], na_position="first", ignore_index=True)
+        job, piece = rows["job"].to_numpy(), rows["piece"].to_numpy()
+        starts = np.flatnonzero(np.concatenate([[True], (job[1:] != job[:-1]) | (piece[1:] != piece[:-1])]))
+        return pd.DataFrame({"job": job[starts], "piece": piece[starts], **effect(rows, starts)})
 
-    piece = F.floor(F.col("ts").cast("double") / seconds).cast("long").alias("piece")
-    return _keyed(stream).groupBy("job", piece).applyInPandas(told, f"job long, piece long, {ddl}")
+    piece = F.coalesce(F.floor(F.col("ts").cast("double") / seconds).cast("long"), F.lit(-(1 << 62)))
+    rows = _keyed(stream).withColumn("piece", piece)
+    return rows.groupBy(F.pmod(F.xxhash64("job", "piece"), F.lit(groups)).alias("group")).applyInPandas(told, f"job long, piece long, {ddl}")
 
 
-def _in_order(rows: Iterator[pd.DataFrame]) -> list[dict]:
-    return pd.concat(list(rows)).sort_values("piece").to_dict("records")
+def _in_order(parts: Iterator[pd.DataFrame], columns: list[str]) -> Iterator[tuple]:
+    rows = pd.concat(list(parts)).sort_values("piece")
+    return zip(*(rows[c].tolist() for c in columns))
+
+
+def _words(codes: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> list[str]:
+    """Letters for codes from 0, of each range."""
+    text = (codes + ord("a")).astype(np.uint8).tobytes().decode()
+    return [text[a:b] for a, b in zip(begins.tolist(), ends.tolist())]
 
 
 def _keyed(rows: DataFrame) -> DataFrame:
@@ -143,6 +154,12 @@ def _unkeyed(rows: DataFrame) -> DataFrame:
 
 #: The states that a change may meet, and the statuses that may be asked for; any other is the last.
 BEFORE, ASKED = list(NEXT), [s for s in NEXT if s] + ["other"]
+#: For each of both, the place of the state that follows, and whether the change is legal.
+STEPS = [[(BEFORE.index(after), legal) for after, legal in (follow(now, asked) for asked in ASKED)] for now in BEFORE]
+
+
+#: Changes of a range that are handed on one by one; of more only the effect is.
+LONG = 64
 
 
 class StatusMachine(StatefulProcessor):
@@ -156,38 +173,54 @@ class StatusMachine(StatefulProcessor):
         self.refused = handle.getMapState("refused", "asked string", "n long", self.ttl_ms)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        now = self.status.get()[0] if self.status.exists() else None
-        refused = {k[0]: v[0] for k, v in self.refused.iterator()}
-        for row in _in_order(rows):
-            k = BEFORE.index(now)
-            now = row["after"][k]
-            for asked, n in zip(ASKED, row["refused"][k]):
-                if n:
-                    refused[asked] = refused.get(asked, 0) + int(n)
-                    self.refused.updateValue((asked,), (refused[asked],))
-        self.status.update((now,))
-        yield pd.DataFrame({"job": [key[0]], "status": [now], "refused": [sum(refused.values())]})
+        known = self.status.exists()  # what was refused is never kept longer
+        now = self.status.get()[0] if known else None
+        before = {k[0]: v[0] for k, v in self.refused.iterator()} if known else {}
+        k, more = BEFORE.index(now), [0] * len(ASKED)
+        for word, after, refused in _in_order(rows, ["asked", "after", "refused"]):
+            if word is None:
+                more = [a + int(n) for a, n in zip(more, refused[k])]
+                k = int(after[k])
+            else:
+                for c in word:
+                    c = ord(c) - ord("a")
+                    k, legal = STEPS[k][c]
+                    more[c] += not legal
+        refused = before | {a: before.get(a, 0) + n for a, n in zip(ASKED, more) if n}
+        for asked, n in refused.items():
+            if n != before.get(asked):  # once for all rows, as each costs a call to the store
+                self.refused.updateValue((asked,), (n,))
+        self.status.update((BEFORE[k],))
+        yield pd.DataFrame({"job": [key[0]], "status": [BEFORE[k]], "refused": [sum(refused.values())]})
 
     def close(self) -> None:
         pass
 
 
-def status_effect(rows: pd.DataFrame) -> dict:
-    """From each status that a job may have, none too, the status after the rows, and how often each was refused."""
-    after, refused = list(BEFORE), [[0] * len(ASKED) for _ in BEFORE]
-    for asked in rows["status"]:
-        for k, now in enumerate(after):
-            after[k], legal = follow(now, asked)
-            if not legal:
-                refused[k][ASKED.index(asked) if asked in ASKED else -1] += 1
-    return {"after": after, "refused": refused}
+def status_effect(rows: pd.DataFrame, starts: np.ndarray) -> dict:
+    """Of each range the changes that are asked for, a letter each; of a long one, from each status that a job may
+    have, none too, the status after it, and how often each was refused."""
+    codes = pd.Categorical(rows["status"], categories=ASKED[:-1]).codes.astype(np.int64)
+    words = _words(np.where(codes < 0, len(ASKED) - 1, codes), starts, np.append(starts[1:], len(rows)))
+    out: dict[str, list] = {"asked": [], "after": [], "refused": []}
+    for word in words:
+        after, refused = None, None
+        if len(word) > LONG:
+            after, refused = list(range(len(BEFORE))), [[0] * len(ASKED) for _ in BEFORE]
+            for c in word.encode():
+                for j, k in enumerate(after):
+                    after[j], legal = STEPS[k][c - ord("a")]
+                    refused[j][c - ord("a")] += not legal
+        for name, v in zip(out, (word if after is None else None, after, refused)):
+            out[name].append(v)
+    return out
 
 
 def status_stream(events: DataFrame, seconds: int = PIECE_SECONDS, ttl_ms: int | None = None) -> DataFrame:
     """(job, status, refused) of the jobs that a batch changes, from a stream of (job, ts, seq, status).
     Within a batch changes are taken by time, then number. A state that hasn't changed for ``ttl_ms``
     milliseconds is dropped."""
-    effects = by_pieces(events, status_effect, "after array<string>, refused array<array<long>>", seconds)
+    effects = by_pieces(events, status_effect, "asked string, after array<int>, refused array<array<long>>", seconds)
     mode = "None" if ttl_ms is None else "ProcessingTime"
     return _unkeyed(effects.groupBy("job").transformWithStateInPandas(StatusMachine(ttl_ms), "job long, status string, refused long", "Update", mode))
 
@@ -199,29 +232,30 @@ class PollCounter(StatefulProcessor):
         self.counted = handle.getValueState("counted", "attempts long, errors long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        for row in _in_order(rows):
-            if row["anew"]:
-                self.counted.clear()
-            now = tuple(self.counted.get()) if self.counted.exists() else (0, 0)
-            for kind in row["kinds"]:
-                now = advance(now, kind, restart=True)
-            self.counted.update(now)
+        now = tuple(self.counted.get()) if self.counted.exists() else (0, 0)
+        for anew, kinds in _in_order(rows, ["anew", "kinds"]):
+            now = (0, 0) if anew else now
+            for kind in kinds:
+                now = advance(now, "error" if kind == "b" else "poll")
+        self.counted.update(now)
         yield pd.DataFrame({"job": [key[0]], "attempts": [now[0]], "errors": [now[1]], "outcome": [outcome_of(*now)]})
 
     def close(self) -> None:
         pass
 
 
-def poll_effect(rows: pd.DataFrame) -> dict:
-    """Whether there is an upload, and the first polls after the last one."""
-    kinds = rows["kind"].tolist()
-    uploads = [i for i, k in enumerate(kinds) if k == "upload"]
-    return {"anew": bool(uploads), "kinds": kinds[uploads[-1] + 1 if uploads else 0 :][:MAX_POLLS]}
+def poll_effect(rows: pd.DataFrame, starts: np.ndarray) -> dict:
+    """Whether a range has an upload, and its first polls after the last one, a letter each: b for errors, else a."""
+    kinds = rows["kind"].to_numpy()
+    last = np.maximum.reduceat(np.where(kinds == "upload", np.arange(len(rows)), -1), starts)
+    begins = np.where(last < 0, starts, last + 1)
+    ends = np.minimum(np.append(starts[1:], len(rows)), begins + MAX_POLLS)
+    return {"anew": last >= 0, "kinds": _words((kinds == "error").astype(np.int64), begins, ends)}
 
 
 def upload_stream(polls: DataFrame, seconds: int = PIECE_SECONDS) -> DataFrame:
     """(job, attempts, errors, outcome) of the jobs that a batch changes, where a new upload starts a job anew."""
-    effects = by_pieces(polls, poll_effect, "anew boolean, kinds array<string>", seconds)
+    effects = by_pieces(polls, poll_effect, "anew boolean, kinds string", seconds)
     return _unkeyed(effects.groupBy("job").transformWithStateInPandas(PollCounter(), OUTCOMES, "Update", "None"))
 
 

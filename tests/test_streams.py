@@ -108,3 +108,19 @@ def test_an_earlier_first_poll_moves_the_end(spark, tmp_path):
     assert run(polls(1, 250)) == {1: (1, 0, "open")}
     assert run(polls(1, 10, 320)) == {1: (2, 0, "open")}  # 320 is beyond the end at 310
     assert run(polls(2, 3911)) == {1: (2, 0, "timeout"), 2: (1, 0, "open")}
+
+
+def test_many_ranges_are_told_in_few_calls(spark):
+    rows = spark.range(3000).select((F.col("id") % 1000).alias("job"), F.col("id").alias("ts"), F.col("id").alias("seq"), F.lit("P100").alias("status"))
+    effect = lambda rows, starts: {"call": [int(rows["seq"].iloc[0])] * len(starts), "n": len(rows)}
+    got = lifecycle.by_pieces(rows, effect, "call long, n long", 10, groups=8)
+    assert got.count() == 3000 and got.select("call").distinct().count() <= 8
+
+
+def test_long_ranges_and_short_ones_fold_alike(spark, tmp_path):
+    rng = random.Random(5)
+    statuses = ["P100", "P100", "P200", "P300", "S100", "S200", "E100", "nonsense", None]
+    rows = [(rng.choice([1, 1, 2, 3, None]), rng.choice([None, k // 3]), k, rng.choice(statuses)) for k in range(900)]
+    for seconds in (1, 40, 10_000):
+        stream = feed(spark, tmp_path / f"in{seconds}", rows, EVENT)
+        assert told(lifecycle.run_to_end(lifecycle.status_stream(stream, seconds), str(tmp_path / f"out{seconds}"))) == followed(rows)
