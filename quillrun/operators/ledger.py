@@ -3,9 +3,9 @@
 A text's key is a hash of the question and the text, so equal texts share an answer. What has no good
 answer yet is dealt to waves of ``max_in_flight`` tasks, each of which asks for some texts, one call at a
 time: the number of calls at once doesn't depend on how many tasks the work has. As a call returns, a
-file named by the key of each of its texts goes to the ledger's folder. A task that is started again, and
-a job that is run again, find these files and ask for the rest only. After each wave the files become
-rows of the ledger's table, and the folder is emptied, so no more files lie there than a wave has texts.
+file with its answers goes to the ledger's folder. A task that is started again, and a job that is run
+again, find these files and ask for the rest only. After each wave the files become rows of the
+ledger's table, and the folder is emptied, so no more files lie there than a wave has calls.
 
 The ledger's folder must be one that all executors share, and that pyarrow's file systems can open
 (local paths, file, s3, gs, hdfs).
@@ -50,33 +50,47 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return rows.groupBy(F.col("asked").alias("k")).agg(best).select("best.*")
 
 
-def _settle(spark: SparkSession, path: str) -> None:
-    """Files of answers become rows of the table. If this ends before they are deleted, rows double, which read() bears."""
+def _settle(spark: SparkSession, path: str, parts: int = MAX_IN_FLIGHT) -> None:
+    """Files of answers become rows of the table, in ``parts`` files of its own at most. If this ends before they
+    are deleted, rows double, which read() bears."""
     system, folder = opened(f"{path}/files")
     if not any(f.is_file and f.base_name.endswith(".json") for f in system.get_file_info(fs.FileSelector(folder, allow_not_found=True))):
         return
-    spark.read.schema(ANSWER).option("pathGlobFilter", "*.json").json(f"{path}/files").coalesce(1).write.mode("append").parquet(f"{path}/table")
+    spark.read.schema(ANSWER).option("pathGlobFilter", "*.json").json(f"{path}/files").coalesce(parts).write.mode("append").parquet(f"{path}/table")
     system.delete_dir_contents(folder)
 
 
-def _asking(provider: Provider, path: str, run: str, batch: int):
+def _answered(system: fs.FileSystem, folder: str, mine: str) -> set[str]:
+    """The keys in the files that tasks of the same texts have left."""
+    done: set[str] = set()
+    for f in system.get_file_info(fs.FileSelector(folder)):
+        if f.base_name.startswith(mine) and f.base_name.endswith(".json"):
+            with system.open_input_stream(f.path) as lines:
+                done.update(json.loads(line)["asked"] for line in lines.read().splitlines())
+    return done
+
+
+def _asking(provider: Provider, path: str, run: str, wave: int, batch: int):
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import time
 
+        from pyspark import TaskContext
+
         system, folder = opened(f"{path}/files")
+        mine = f"{run}-{wave}-{TaskContext.get().partitionId()}-"
+        there = _answered(system, folder, mine)
         for pdf in batches:
             keys, texts, done = pdf["asked"].tolist(), pdf["text"].tolist(), 0
-            files = [f"{folder}/{run}-{k}.json" for k in keys]
-            there = [f.type != fs.FileType.NotFound for f in system.get_file_info(files)]
-            todo = [i for i, t in enumerate(there) if not t]
+            todo = [i for i, k in enumerate(keys) if k not in there]
             for at in range(0, len(todo), batch):
-                part = todo[at : at + batch]
+                part, lines = todo[at : at + batch], []
                 for i, (pairs, error) in zip(part, asked(provider, [texts[i] for i in part])):
-                    row = {"asked": keys[i], "run": run, "at": time.time(), "pairs": [{"key": k, "value": v} for k, v in pairs], "error": error}
-                    with system.open_output_stream(f"{files[i]}.part") as out:
-                        out.write(json.dumps(row).encode())
-                    system.move(f"{files[i]}.part", files[i])  # appears whole or not at all
+                    lines.append(json.dumps({"asked": keys[i], "run": run, "at": time.time(), "pairs": [{"key": k, "value": v} for k, v in pairs], "error": error}))
                     done += 1
+                name = f"{folder}/{mine}{uuid.uuid4().hex}"
+                with system.open_output_stream(f"{name}.part") as out:
+                    out.write("\n".join(lines).encode())
+                system.move(f"{name}.part", f"{name}.json")  # appears whole or not at all
             yield pd.DataFrame({"n": [done]})
 
     return ask
@@ -101,8 +115,8 @@ def ask(chunks: DataFrame, provider: Provider, path: str, question: str = "", ma
     done = 0
     for wave in range(waves):
         dealt = rows.where(F.col("wave") == wave).select("asked", "text").repartition(max_in_flight, "asked").sortWithinPartitions("asked")
-        done += dealt.mapInPandas(_asking(provider, path, run, batch), "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-        _settle(spark, path)
+        done += dealt.mapInPandas(_asking(provider, path, run, wave, batch), "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        _settle(spark, path, max_in_flight)
     system, folder = opened(work)
     system.delete_dir(folder)
     return done

@@ -134,3 +134,17 @@ def test_ranges_split_equal_times_and_sparse_ids(spark):
     assert sum(pieces) == 2000 and max(pieces) < 600
     got = {r.n: r.before for r in history.previous(sparse, "k", "n", 200).collect()}
     assert got[2**62] == 1999 and got[1] is None and got[1500] == 1499 and len(got) == 2000
+
+
+def test_a_call_leaves_one_file_and_a_task_again_asks_for_the_rest(spark, tmp_path, monkeypatch):
+    texts, path = [f"t{i}" for i in range(64)], str(tmp_path / "ledger")
+    left = []
+    settle = ledger._settle
+    monkeypatch.setattr(ledger, "_settle", lambda *a: (left.append(len(glob.glob(f"{path}/files/*.json"))), settle(*a)))
+    assert ledger.ask(chunks(spark, texts), Counting(tmp_path / "one"), path, max_in_flight=1, per_task=100, batch=16) == 64
+    assert left == [0, 4] and ledger.answers(chunks(spark, texts), path).where("value is null").count() == 0
+    rows = spark.createDataFrame([(f"k{i}", f"t{i}") for i in range(20)], "asked string, text string").coalesce(1)
+    again = Counting(tmp_path / "two")
+    for part, n in ((rows.where("asked < 'k15'"), 7), (rows, 13)):  # k0, k1, k10 to k14 first
+        assert part.mapInPandas(ledger._asking(again, path, "r", 0, 3), "n long").first()[0] == n
+    assert len(again.asked()) == len(set(again.asked())) == 20
