@@ -14,6 +14,8 @@ from quillrun.sources.workbook import sheet
 
 GLOB = "*.{pdf,PDF,png,PNG,jpg,JPG,jpeg,tif,tiff,bmp,webp}"
 BINARY = "path string, modificationTime timestamp, length long, content binary"
+#: Bytes of files that a stream takes in a batch, about.
+BATCH_BYTES = 1 << 30
 
 
 def ingest(spark: SparkSession, path: str) -> DataFrame:
@@ -21,9 +23,11 @@ def ingest(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", GLOB).option("recursiveFileLookup", "true").load(path)
 
 
-def ingest_stream(spark: SparkSession, path: str, most_files: int = 1000) -> DataFrame:
-    """The same for files as they arrive, so many in a batch at most."""
-    return spark.readStream.format("binaryFile").schema(BINARY).option("pathGlobFilter", GLOB).option("maxFilesPerTrigger", most_files).load(path)
+def ingest_stream(spark: SparkSession, path: str, most_files: int | None = None, most_bytes: int = BATCH_BYTES) -> DataFrame:
+    """The same for files as they arrive. A batch has about ``most_bytes`` at most, so small files don't make
+    many batches; or ``most_files``, where that is given."""
+    limit = {"maxBytesPerTrigger": most_bytes} if most_files is None else {"maxFilesPerTrigger": most_files}
+    return spark.readStream.format("binaryFile").schema(BINARY).option("pathGlobFilter", GLOB).options(**limit).load(path)
 
 
 def supported(files: DataFrame) -> DataFrame:
@@ -107,7 +111,7 @@ def upsert_buckets(new: DataFrame, path: str, schema: str, key: str = "id", buck
 
 def write_files(rows: DataFrame, path: str) -> int:
     """Rows (name, content binary) as files of a folder that all executors share, written where the rows
-    are; returns how many. Writing a row again replaces its file."""
+    are; returns how many. Writing a row again replaces its file. A name may hold folders, parted by /."""
     system, folder = opened(path)
     system.create_dir(folder, recursive=True)
 
@@ -115,8 +119,13 @@ def write_files(rows: DataFrame, path: str) -> int:
         import pandas as pd
 
         system, folder = opened(path)
+        made = set()
         for pdf in batches:
             for name, content in zip(pdf["name"], pdf["content"]):
+                inner = name.rpartition("/")[0]
+                if inner and inner not in made:
+                    system.create_dir(f"{folder}/{inner}", recursive=True)
+                    made.add(inner)
                 with system.open_output_stream(f"{folder}/{name}") as out:
                     out.write(bytes(content))
             yield pd.DataFrame({"n": [len(pdf)]})
@@ -134,13 +143,12 @@ def ingest_once(files: DataFrame, path: str) -> DataFrame:
 
     def write(batch: DataFrame, number: int) -> None:
         own = batch.sparkSession
-        rows = batch.select(F.sha2("content", 256).alias("hash"), F.col("path").alias("file_url"), "length")
-        first = rows.groupBy("hash").agg(F.min("file_url").alias("file_url"))
+        rows = batch.select(F.sha2("content", 256).alias("hash"), F.struct(F.col("path").alias("file_url"), "length", "content").alias("f"))
+        first = rows.groupBy("hash").agg(F.min_by("f", "f.file_url").alias("f")).select("hash", "f.*")  # each file is read once
         if number:
             stored = own.read.schema(f"{ddl}, batch long").parquet(f"{path}/store").where(F.col("batch") < number)
             first = first.join(stored.select("hash"), "hash", "left_anti")
-        kept = batch.withColumnRenamed("path", "file_url").join(first, "file_url").select("hash", "file_url", "length", "content")
-        kept.write.mode("overwrite").parquet(f"{path}/store/batch={number}")
+        first.write.mode("overwrite").parquet(f"{path}/store/batch={number}")
 
     query = files.writeStream.foreachBatch(write).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
     query.awaitTermination()

@@ -76,3 +76,11 @@ def test_contents_are_stored_once(spark, tmp_path):
     assert run() == first  # a restart with nothing new
     lot(("e.pdf", b"two"), ("f.pdf", b"three"), ("g.pdf", b""))
     assert [(n, c) for n, c, _ in run()] == [(3, b"one"), (3, b"two"), (5, b"three")]  # Spark reads no empty files
+
+
+def test_many_small_files_make_one_batch(spark, tmp_path):
+    rows = spark.range(1200).select(F.concat(F.lit("f"), F.col("id").cast("string"), F.lit(".pdf")).alias("name"), (F.col("id") % 1100).cast("string").cast("binary").alias("content"))
+    files.write_files(rows, str(tmp_path / "in"))
+    got = files.ingest_once(files.ingest_stream(spark, str(tmp_path / "in")), str(tmp_path))
+    assert got.count() == got.select("hash").distinct().count() == 1100
+    assert [p.name for p in (tmp_path / "store").iterdir() if p.name.startswith("batch=")] == ["batch=0"]
