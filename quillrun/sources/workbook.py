@@ -28,8 +28,8 @@ from pyspark.sql.types import StringType, StructField, StructType
 MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 #: What a sheet and a cell hold at most, by the format.
 MOST_ROWS, MOST_COLUMNS, CELL = 1_048_576, 16_384, 32_767
-#: Characters of text after which a file is closed.
-UNITS_EACH = 1 << 25
+#: Characters of text after which a file is closed; a task holds them several times over, as texts, XML and bytes.
+UNITS_EACH = 1 << 22
 #: The second sheet's name.
 LONGER = "Longer"
 #: Characters that XML 1.0 forbids, with the carriage return, which its readers change; texts that look like a code; codes.

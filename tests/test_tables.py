@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from quillrun.operators import grids, pages
-from quillrun.sources import files
+from quillrun.sources import files, workbook
 
 
 def test_grids():
@@ -84,3 +84,10 @@ def test_many_small_files_make_one_batch(spark, tmp_path):
     got = files.ingest_once(files.ingest_stream(spark, str(tmp_path / "in")), str(tmp_path))
     assert got.count() == got.select("hash").distinct().count() == 1100
     assert [p.name for p in (tmp_path / "store").iterdir() if p.name.startswith("batch=")] == ["batch=0"]
+
+
+def test_a_task_holds_a_few_million_characters_of_a_workbook(spark, tmp_path):
+    rows = spark.range(40).select("id", F.repeat(F.lit("wordé "), F.lit(50_000)).alias("text")).coalesce(1)  # 12 million characters
+    workbook.export_workbooks(rows, str(tmp_path / "books"))
+    assert len(glob.glob(str(tmp_path / "books/*.xlsx"))) == 3
+    assert sorted(map(tuple, workbook.read_workbooks(spark, str(tmp_path / "books")).collect())) == sorted(map(tuple, rows.select(F.col("id").cast("string"), "text").collect()))
