@@ -3,18 +3,27 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 from typing import Protocol
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillrun.functions.scalars import typed
 from quillrun.schemas import ExtractionModel
+from quillrun.sources.shared import tabled, written
 
 MAX_IN_FLIGHT = 4
+#: Characters of text that a task of a provider reads, about.
+PER_TASK = 1 << 26
+#: Texts in one of the files that waves are made of.
+PER_FILE = 4096
 #: Patterns of the rule provider: a field's first match on a page is its value.
 RULES = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "ipv4": r"\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}", "digits": r"\d{2,}", "long_word": r"[a-z]{14,}"}
+#: What any match of a rule holds and is quicker to look for: a text without it isn't searched for the rule.
+HINTS = {"email": "@", "ipv4": r"\.\d{1,3}\.", "digits": r"\d"}
 
 
 class Provider(Protocol):
@@ -42,26 +51,48 @@ def asked(provider: Provider, texts: list[str]) -> list[tuple[list[tuple[str, st
     return [([], failed)] if len(texts) == 1 else [asked(provider, [t])[0] for t in texts]
 
 
-def extract(chunks: DataFrame, provider: Provider, max_in_flight: int = MAX_IN_FLIGHT, batch: int = 16) -> DataFrame:
+def _waves(texts: DataFrame, most: int) -> list[list[str]]:
+    """The files that hold texts, in lists of about ``most`` characters, one file at least."""
+    lists, room = [], 0
+    sizes = texts.groupBy(F.col("_metadata.file_path").alias("path")).agg(F.sum("n").alias("n"))
+    for r in sorted(sizes.collect()):
+        if not lists or room < r["n"]:
+            lists.append([])
+            room = most
+        lists[-1].append(r["path"])
+        room -= r["n"]
+    return lists
+
+
+def extract(chunks: DataFrame, provider: Provider, max_in_flight: int = MAX_IN_FLIGHT, batch: int = 16, per_task: int = PER_TASK, per_file: int = PER_FILE) -> DataFrame:
     """(doc_id, chunk_id, page, key, value, error) from a provider, at most ``max_in_flight`` calls at
-    once: the stage has so many tasks, each with one call at a time. An error is a row with a message; a
-    text without values and error is a row without key. A call that fails is repeated text by text.
+    once: texts are dealt to waves, one after the other, of so many tasks, each with one call at a time. An error is
+    a row with a message; a text without values and error is a row without key. A call that fails is repeated text by text.
 
-    A call may cost money and differ when repeated: write or checkpoint the result before using it twice.
+    A task reads about ``per_task`` characters, or where texts are very long a share of ``per_file`` of them, however
+    many there are. A call may cost money and differ when repeated, so the answers of each wave are checkpointed.
     """
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for at in range(0, len(pdf), batch):
-                part, rows = pdf.iloc[at : at + batch], []
-                for (doc, chunk, page), (values, error) in zip(part[["doc_id", "chunk_id", "page_from"]].itertuples(index=False), asked(provider, part["text"].tolist())):
-                    rows += [(doc, chunk, page, k, v, None) for k, v in values]
+    types = {"doc_id": pa.int64(), "chunk_id": pa.int32(), "page": pa.int32(), "key": pa.string(), "value": pa.string(), "error": pa.string()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for listed in batches:
+            doc, chunk, page, texts = (c.to_pylist() for c in listed.columns)
+            places, rows = list(zip(doc, chunk, page)), []
+            for at in range(0, len(texts), batch):
+                for place, (values, error) in zip(places[at : at + batch], asked(provider, texts[at : at + batch])):
+                    rows += [(*place, k, v, None) for k, v in values]
                     if error is not None or not values:
-                        rows.append((doc, chunk, page, None, None, error))
-                yield pd.DataFrame(rows, columns=["doc_id", "chunk_id", "page", "key", "value", "error"])
-
-    source = chunks.select("doc_id", "chunk_id", "page_from", "text").repartition(max_in_flight)
-    return source.mapInPandas(run, "doc_id long, chunk_id int, page int, key string, value string, error string")
+                        rows.append((*place, None, None, error))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types.values())], list(types))
+
+    size = F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n")
+    texts = tabled(chunks.select(F.col("doc_id").cast("long"), F.col("chunk_id").cast("int"), F.col("page_from").cast("int"), "text", size), per_file)
+    found = []
+    for files in _waves(texts, max_in_flight * per_task) or [[]]:
+        dealt = texts.where(F.col("_metadata.file_path").isin(files)).drop("n").repartition(max_in_flight)
+        found.append(written(dealt.mapInArrow(run, "doc_id long, chunk_id int, page int, key string, value string, error string")))
+    return reduce(DataFrame.union, found)
 
 
 PAGE = "text string, tables array<array<array<string>>>, layout array<struct<kind:string,text:string>>"

@@ -1,3 +1,5 @@
+import re
+
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -109,3 +111,36 @@ def test_html_tables(spark):
     html = "<table><tr><th>a</th><td> b <b>c</b></td></tr><tr><td>d</td></tr></table><p>no</p><TABLE class=x><tr ><td>e</td></tr></TABLE>"
     rows = extract.html_tables(spark.createDataFrame([(1, html), (2, None)], "page_id long, html string")).collect()
     assert [(r.page_id, r.table, r.row, r.cells) for r in rows] == [(1, 0, 0, ["a", "b c"]), (1, 0, 1, ["d"]), (1, 1, 0, ["e"])]
+
+
+def test_tasks_of_a_provider_read_no_more_where_there_is_more_text(spark):
+    chunks = spark.range(300).selectExpr("if(id = 7, null, id + (1L << 60)) doc_id", "0 chunk_id", "0 page_from", "if(id = 9, null, repeat('x', 10)) text")
+
+    def provider(texts):
+        from pyspark import TaskContext
+
+        return [([("task", str(TaskContext.get().taskAttemptId())), ("text", t or "none")], None) for t in texts]
+
+    got = extract.extract(chunks, provider, max_in_flight=2, per_task=250, per_file=25).collect()
+    tasks = [r.value for r in got if r.key == "task"]
+    assert max(map(tasks.count, tasks)) < 50 and len(set(tasks)) >= 12
+    assert {r.doc_id for r in got} == {None if i == 7 else i + (1 << 60) for i in range(300)} and len(got) == 600
+    assert extract.extract(chunks.limit(0), provider).count() == 0
+
+
+def test_packing_takes_time_by_the_pages(spark):
+    import time
+
+    import numpy as np
+
+    sizes, start = np.arange(200_000) % 3 * 250, time.process_time()
+    ids = [pages.packed_greedily(sizes[i : i + 2], 500) for i in range(0, len(sizes), 2)]
+    assert time.process_time() - start < 1 and ids[1].tolist() == [0, 0] and ids[2].tolist() == [0, 1]
+
+
+def test_hints_leave_no_match_out():
+    from quillrun.plans import catalog
+
+    texts = ["", "é٣٤ a@b.co", "1.2.3.4", "x 1.22.333.4444 y@", "1..2", "12", "1 2 3", "abcdefghijklmnop", "@.1.", "### 7", "a@b"]
+    slow = [[(k, m.group()) for k, p in extract.RULES.items() if (m := re.search(p, t))] for t in texts]
+    assert [values for values, _ in catalog._by_pattern(texts)] == slow
