@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillrun.functions.scalars import is_supported
+from quillrun.functions.scalars import est_tokens, is_supported
 from quillrun.operators import extract, ledger, pages
 from quillrun.schemas import ExtractionModel
-from quillrun.sources.shared import written
+from quillrun.sources.shared import tabled, written
 
 
 def recognised(files: DataFrame, provider: Callable[[bytes], list]) -> tuple[DataFrame, DataFrame]:
@@ -27,8 +27,8 @@ def placed(values: DataFrame, own: DataFrame, packed: DataFrame) -> DataFrame:
     """(doc_id, key, value, page, offset): each chunk's values on the first of its pages that has them,
     offset from 1; 0 on the chunk's first page where none has."""
     v = values.where(F.col("value").isNotNull()).select("doc_id", "chunk_id", F.col("page").alias("first"), "key", "value")
-    at = packed.select("doc_id", "page", "chunk_id").join(own, ["doc_id", "page"])
-    rows = v.join(at, ["doc_id", "chunk_id"]).withColumn("offset", F.expr("instr(text, value)"))
+    at = v.join(packed.select("doc_id", "page", "chunk_id"), ["doc_id", "chunk_id"])  # texts move once, to the values
+    rows = at.join(own, ["doc_id", "page"]).withColumn("offset", F.expr("instr(text, value)"))
     best = rows.groupBy("doc_id", "chunk_id", "first", "key", "value").agg(F.min(F.when(F.col("offset") > 0, F.struct("page", "offset"))).alias("b"))
     return best.select("doc_id", "key", "value", F.coalesce("b.page", "first").alias("page"), F.coalesce("b.offset", F.lit(0)).alias("offset"))
 
@@ -64,17 +64,17 @@ def run(own: DataFrame, model: ExtractionModel, provider: extract.Provider, kind
     chunk failed is E100 and keeps what the others gave. With a ledger of answers at ``answers_at`` only
     chunks are asked for that have no good answer there, so a job that is run again retries what failed.
     """
-    own = written(own)
-    packed = written(pages.pack(own, max_tokens))
+    own = tabled(own.select("doc_id", "page", "text", est_tokens(F.col("text")).alias("_tokens"), kind.alias("_class")))
+    packed = written(pages.pack(own, max_tokens, F.col("_tokens")))
     chunked = pages.chunks(own, packed)
     if answers_at is None:
-        answers = written(extract.extract(chunked, provider, max_in_flight))
+        answers = extract.extract(chunked, provider, max_in_flight)
     else:
         chunked = written(chunked)
         ledger.ask(chunked, provider, answers_at, question, max_in_flight)
         answers = written(ledger.answers(chunked, answers_at, question))
     found = written(placed(answers, own, packed))
-    nested = previews(found, pages.segment(own, kind), model)
+    nested = previews(found, pages.segment(own, F.col("_class")), model)
     flat = extract.merge(found).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("m"))
     logs = extract.outcome(answers).join(nested, "doc_id", "left").join(flat, "doc_id", "left")
     logs = logs.select("doc_id", "status", "error", F.parse_json(F.coalesce(F.to_json("m"), F.lit("{}"))).alias("extracted_data"), "preview_data")
@@ -83,14 +83,14 @@ def run(own: DataFrame, model: ExtractionModel, provider: extract.Provider, kind
     return logs.withColumns({"created_at": F.lit(now), "updated_at": F.lit(now)})
 
 
-def fields_of(logs: DataFrame) -> DataFrame:
-    """(doc_id, index, key, value, page, offset) of the declared fields in preview_data."""
-    subs = logs.select("doc_id", F.inline("preview_data.sub_documents"))
-    return subs.select("doc_id", "index", F.explode("data.guide_extracted").alias("key", "v")).select("doc_id", "index", "key", "v.*")
+def fields_of(logs: DataFrame, *also: str) -> DataFrame:
+    """(doc_id, index, key, value, page, offset) of the declared fields in preview_data, and the logs' columns ``also``."""
+    subs = logs.select("doc_id", *also, F.inline("preview_data.sub_documents"))
+    return subs.select("doc_id", *also, "index", F.explode("data.guide_extracted").alias("key", "v")).select("doc_id", "index", "key", "v.*", *also)
 
 
-def others_of(logs: DataFrame) -> DataFrame:
-    """(doc_id, index, key, value, page) of the open data in preview_data."""
-    subs = logs.select("doc_id", F.inline("preview_data.sub_documents"))
-    open_data = subs.select("doc_id", "index", F.explode("data.other_data").alias("o"))
-    return open_data.select("doc_id", "index", *(F.try_variant_get("o", f"$.{k}", t).alias(k) for k, t in (("key", "string"), ("value", "string"), ("page", "int"))))
+def others_of(logs: DataFrame, *also: str) -> DataFrame:
+    """(doc_id, index, key, value, page) of the open data in preview_data, and the logs' columns ``also``."""
+    subs = logs.select("doc_id", *also, F.inline("preview_data.sub_documents"))
+    open_data = subs.select("doc_id", *also, "index", F.explode("data.other_data").alias("o"))
+    return open_data.select("doc_id", "index", *(F.try_variant_get("o", f"$.{k}", t).alias(k) for k, t in (("key", "string"), ("value", "string"), ("page", "int"))), *also)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,19 +35,21 @@ def plan(docs: DataFrame, max_tokens: int = MAX_TOKENS) -> DataFrame:
     return rows.withColumn("mode", F.when(F.col("est_tokens") > max_tokens, "chunked").otherwise("single"))
 
 
-def pack(pages: DataFrame, max_tokens: int = MAX_TOKENS) -> DataFrame:
+def pack(pages: DataFrame, max_tokens: int = MAX_TOKENS, tokens: Column | None = None) -> DataFrame:
     """(doc_id, page, est_tokens, chunk_id, oversized): pages in order fill a chunk until the next one
-    would exceed the limit. A page over the limit stays alone and is flagged.
+    would exceed the limit. A page over the limit stays alone and is flagged. ``tokens`` has the pages' sizes,
+    where they are at hand.
 
-    A document's page sizes become one array; the next chunk's start is searched in their running sums, so
-    the time grows with the pages. Texts don't move.
+    A document's page sizes become one array, folded in one pass, so the time grows with the pages. Texts don't move.
     """
-    rows = pages.select("doc_id", "page", est_tokens(F.col("text")).alias("t"))
+    rows = pages.select("doc_id", "page", (est_tokens(F.col("text")) if tokens is None else tokens).alias("t"))
     docs = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page", "t"))).alias("p"))
 
-    @F.pandas_udf("array<int>")
-    def chunk_ids(sizes: pd.Series) -> pd.Series:
-        return pd.Series([packed_greedily(np.asarray(t, np.int64), max_tokens) for t in sizes])
+    @F.arrow_udf("array<int>")
+    def chunk_ids(sizes: pa.Array) -> pa.Array:
+        flat, ends = sizes.flatten().to_numpy(zero_copy_only=False), np.cumsum([0, *sizes.value_lengths().to_pylist()], dtype=np.int32)
+        ids = [packed_greedily(flat[a:b], max_tokens) for a, b in zip(ends[:-1], ends[1:])]
+        return pa.ListArray.from_arrays(ends, np.concatenate([np.zeros(0, np.int32), *ids]))
 
     packed = docs.select("doc_id", F.arrays_zip("p", chunk_ids("p.t").alias("ids")).alias("z")).select("doc_id", F.explode("z").alias("z"))
     return packed.select("doc_id", F.col("z.p.page").alias("page"), F.col("z.p.t").alias("est_tokens"), F.col("z.ids").alias("chunk_id"), (F.col("z.p.t") > max_tokens).alias("oversized"))
@@ -54,12 +57,13 @@ def pack(pages: DataFrame, max_tokens: int = MAX_TOKENS) -> DataFrame:
 
 def packed_greedily(sizes: np.ndarray, most: int) -> np.ndarray:
     """The chunk of each page: as many pages as ``most`` holds, one at least."""
-    sums, starts = np.concatenate([[0], np.cumsum(sizes)]), [0]
-    while (n := max(int(np.searchsorted(sums, sums[starts[-1]] + most, side="right")) - 1, starts[-1] + 1)) < len(sizes):
-        starts.append(n)
-    marks = np.zeros(len(sizes), np.int32)
-    marks[starts[1:]] = 1
-    return np.cumsum(marks, dtype=np.int32)
+    ids, chunk, total = [], 0, 0
+    for size in sizes.tolist():
+        if ids and total + size > most:
+            chunk, total = chunk + 1, 0
+        total += size
+        ids.append(chunk)
+    return np.array(ids, np.int32)
 
 
 def pack_by_running_sum(pages: DataFrame, max_tokens: int = MAX_TOKENS) -> DataFrame:

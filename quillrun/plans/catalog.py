@@ -533,10 +533,12 @@ def k04_preview(spark, sf_dir):
     return spark.createDataFrame([tuple(row.values())] if row else [], "id long, user_id long, model_id string, filename string, status string")
 
 
+_COMPILED = [(k, re.compile(extract.HINTS.get(k, "")).search, re.compile(p).search) for k, p in extract.RULES.items()]
+
+
 def _by_pattern(texts):
     """A provider that gives the first match of each rule, and fails on texts with '###'."""
-    first = lambda p, t: (m := re.search(p, t)) and m.group()
-    return [([(k, v) for k, p in extract.RULES.items() if (v := first(p, t))], "unreadable" if "###" in t else None) for t in texts]
+    return [([(k, m.group()) for k, hint, find in _COMPILED if hint(t) and (m := find(t))], "unreadable" if "###" in t else None) for t in texts]
 
 
 JOB_SQL = GREEDY_SQL + """, chunked AS (SELECT p.doc_id, chunk, string_agg(text, chr(10) ORDER BY p.page) text FROM packed p JOIN sized s ON p.doc_id = s.doc_id AND p.page = s.page GROUP BY p.doc_id, chunk),
@@ -557,8 +559,7 @@ def _job(spark, sf_dir):
 
 @registered(JOB_SQL + """ SELECT doc_id, status, idx::INT AS "index", key, m.value AS "value", (m.page + 1)::INT page, m.o::INT AS "offset" FROM firsts JOIN states USING (doc_id) WHERE key IN ('email', 'ipv4', 'long_word')""")
 def x14_extraction_job(spark, sf_dir):
-    logs = written(_job(spark, sf_dir))
-    return jobs.fields_of(logs).join(logs.select("doc_id", "status"), "doc_id").select("doc_id", "status", "index", "key", "value", "page", "offset")
+    return jobs.fields_of(_job(spark, sf_dir), "status").select("doc_id", "status", "index", "key", "value", "page", "offset")
 
 
 @registered(JOB_SQL + """ SELECT doc_id, idx::INT AS "index", key, m.value AS "value", (m.page + 1)::INT page FROM firsts WHERE key NOT IN ('email', 'ipv4', 'long_word')""")
@@ -596,8 +597,8 @@ def _user_edits(spark, sf_dir):
 def j05_edited_fields(spark, sf_dir):
     """Every value in preview_data after users' edits; open data has no offsets."""
     logs = written(edits.apply(_job(spark, sf_dir), _user_edits(spark, sf_dir), MODEL, "2024-02-01T12:00:00Z"))
-    values = jobs.fields_of(logs).unionByName(jobs.others_of(logs), allowMissingColumns=True)
-    return values.join(logs.select("doc_id", "status"), "doc_id").select("doc_id", "status", "index", "key", "value", "page", "offset")
+    values = jobs.fields_of(logs, "status").unionByName(jobs.others_of(logs, "status"), allowMissingColumns=True)
+    return values.select("doc_id", "status", "index", "key", "value", "page", "offset")
 
 
 @registered(USER_EDITS_SQL + """ SELECT doc_id, key, arg_min(val, idx) AS "value", doc_id IN (SELECT doc_id FROM lasts) edited FROM fields WHERE val IS NOT NULL GROUP BY doc_id, key""")
