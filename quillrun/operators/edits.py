@@ -13,28 +13,28 @@ from pyspark.sql import functions as F
 
 from quillrun.operators.history import PIECE_ROWS, in_pieces
 from quillrun.schemas import ExtractionModel
+from quillrun.sources.shared import written
 
 DONE = ("S100", "S200")
 _OPEN = (("key", "string"), ("value", "string"), ("page", "int"))
 
 
 def _judged(logs: DataFrame, edits: DataFrame) -> DataFrame:
-    """edits with reason, why they can't be applied, null where they can, and _sub, their sub-document."""
-    subs = F.col("preview_data.sub_documents")
-    own = logs.select("doc_id", F.col("status").alias("_status"), F.map_from_entries(F.transform(subs, lambda s: F.struct(s["index"], s))).alias("_subs"))
-    rows = edits.join(own, "doc_id", "left").withColumn("_sub", F.try_element_at("_subs", F.col("index")))
+    """edits with reason, why they can't be applied, null where they can, and _subs, the sub-documents of their log."""
+    own = logs.select("doc_id", F.col("status").alias("_status"), F.col("preview_data.sub_documents").alias("_subs"))
+    rows = edits.join(own, "doc_id", "left")
     reason = (
         F.when(F.col("doc_id").isNull() | F.col("index").isNull() | F.col("key").isNull(), "no field")
         .when(F.col("_status").isNull(), "no log")
         .when(~F.col("_status").isin(*DONE), "not finished")
-        .when(F.col("_sub").isNull(), "no sub-document")
+        .when(~F.coalesce(F.array_contains("_subs.index", F.col("index")), F.lit(False)), "no sub-document")
     )
-    return rows.withColumn("reason", reason).drop("_status", "_subs")
+    return rows.withColumn("reason", reason).drop("_status")
 
 
 def rejected(logs: DataFrame, edits: DataFrame) -> DataFrame:
     """edits that can't be applied, with the reason."""
-    return _judged(logs, edits).where(F.col("reason").isNotNull()).drop("_sub")
+    return _judged(logs, edits).where(F.col("reason").isNotNull()).drop("_subs")
 
 
 def trail(logs: DataFrame, edits: DataFrame, each: int = PIECE_ROWS) -> DataFrame:
@@ -42,10 +42,12 @@ def trail(logs: DataFrame, edits: DataFrame, each: int = PIECE_ROWS) -> DataFram
     the machine's. logs are as they were before any of the edits. The edit before is looked for within
     ranges of the order, and beyond them among each field's last ones, so one field may have most edits."""
     rows = _judged(logs, edits).where(F.col("reason").isNull())
+    rows = rows.withColumn("_sub", F.get(F.filter("_subs", lambda s: s["index"] == F.col("index")), F.lit(0)))
     other = F.filter("_sub.data.other_data", lambda o: F.try_variant_get(o, "$.key", "string") == F.col("key"))
     found = F.coalesce(F.try_element_at("_sub.data.guide_extracted", F.col("key"))["value"], F.try_variant_get(F.get(other, F.lit(0)), "$.value", "string"))
     field, order = ["doc_id", "index", "key"], ("edited_at", "seq", "value")
-    rows = in_pieces(rows.withColumn("_found", found).drop("_sub", "reason"), each, order)
+    # written, as ranges are made from counts and samples of the rows
+    rows = in_pieces(written(rows.withColumn("_found", found).drop("_sub", "_subs", "reason")), each, order)
     w = Window.partitionBy(*field, "_piece").orderBy(*order)
     lasts = rows.groupBy(*field, "_piece").agg(F.max(F.struct(*order)).alias("_last"))
     lasts = lasts.withColumn("_carried", F.lag("_last").over(Window.partitionBy(*field).orderBy("_piece"))).drop("_last")
@@ -69,25 +71,30 @@ def apply(logs: DataFrame, edits: DataFrame, model: ExtractionModel, now: str) -
     last = edits.dropna(subset=["doc_id", "index", "key"]).groupBy("doc_id", "index", "key")
     mine = last.agg(F.max_by("value", F.struct("edited_at", "seq", "value")).alias("value"))
     mine = mine.groupBy("doc_id").agg(F.collect_list(F.struct("index", "key", "value")).alias("_edits"))
+    declared = [f.key for f in model.fields]
+
+    def listed(index: Column, guided: bool) -> Column:
+        """key -> value of a sub-document's edits, of declared keys or others."""
+        ours = F.filter("_edits", lambda e: (e["index"] == index) & (e["key"].isin(declared) if guided else ~e["key"].isin(declared)))
+        return F.map_from_entries(F.transform(ours, lambda e: F.struct(e["key"], e["value"])))
+
+    both = lambda i: F.struct(listed(i, True).alias("guided"), listed(i, False).alias("others"))
+    # made once a document, ahead of the join: lambdas would make it anew for each of its values
+    mine = mine.withColumn("_of", F.map_from_entries(F.transform(F.array_distinct("_edits.index"), lambda i: F.struct(i, both(i)))))
     subs = F.col("preview_data.sub_documents")
     rows = logs.join(mine, "doc_id", "left").withColumn(
         "_edits",
         F.when(F.col("status").isin(*DONE), F.filter("_edits", lambda e: F.exists(subs, lambda s: s["index"] == e["index"]))),
     )
-    declared = [f.key for f in model.fields]
-
-    def of(sub: Column, guided: bool) -> Column:
-        """key -> value of a sub-document's edits, of declared keys or others."""
-        ours = F.filter("_edits", lambda e: (e["index"] == sub["index"]) & (e["key"].isin(declared) if guided else ~e["key"].isin(declared)))
-        return F.map_from_entries(F.transform(ours, lambda e: F.struct(e["key"], e["value"])))
+    of = lambda sub, kind: F.coalesce(F.try_element_at("_of", sub["index"])[kind], F.create_map().cast("map<string,string>"))
 
     def guide(sub: Column) -> Column:
-        old, new = sub["data"]["guide_extracted"], of(sub, True)
+        old, new = sub["data"]["guide_extracted"], of(sub, "guided")
         field = lambda k, v: F.struct(v.alias("value"), F.try_element_at(old, k)["page"].alias("page"), F.try_element_at(old, k)["offset"].alias("offset"))
         return F.map_concat(F.map_filter(old, lambda k, _: ~F.map_contains_key(new, k)), F.transform_values(new, field))
 
     def others(sub: Column) -> Column:
-        old, new = sub["data"]["other_data"], of(sub, False)
+        old, new = sub["data"]["other_data"], of(sub, "others")
         key = lambda o: F.try_variant_get(o, "$.key", "string")
         put = lambda k, page: F.parse_json(F.to_json(F.struct(page.alias("page"), k.alias("key"), F.element_at(new, k).alias("value"))))
         edited = F.transform(old, lambda o: F.when(F.coalesce(F.map_contains_key(new, key(o)), F.lit(False)), put(key(o), F.try_variant_get(o, "$.page", "int"))).otherwise(o))

@@ -71,3 +71,22 @@ def test_trail_of_a_field_with_most_edits(spark, logs, each):
     rows = [(1, 0, "n", None if i == 5 else str(i), i // 2, i) for i in range(20)] + [(1, 1, "w", "x", 3, 50), (1, 1, "z", "y", 3, 51)]
     got = {r.seq: r.before for r in edits.trail(logs, spark.createDataFrame(rows, EDITS_DDL), each).collect()}
     assert got == {0: "12", **{i: None if i == 6 else str(i - 1) for i in range(1, 20)}, 50: "#cd", 51: None}
+
+
+def test_trail_computes_the_logs_once(spark, logs):
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(status):
+        read.add(1)
+        return status
+
+    rows = spark.createDataFrame([(1, 0, "n", str(i), i, i) for i in range(20)], EDITS_DDL)
+    assert len(edits.trail(logs.withColumn("status", counted("status")), rows, 3).collect()) == 20
+    assert read.value <= logs.count()
+
+
+def test_fields_carry_columns_of_their_logs(logs):
+    got = {(r.doc_id, r["index"], r.key, r.status) for r in jobs.fields_of(logs, "status").collect()}
+    assert got == {(1, 0, "n", "S100"), (1, 1, "n", "S100"), (2, 0, "n", "E100")}
+    assert {(r.doc_id, r.key, r.status) for r in jobs.others_of(logs, "status").collect()} == {(1, "w", "S100"), (2, "w", "E100")}
