@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillrun.functions.scalars import typed
+from quillrun.operators.pages import paged, place
 from quillrun.schemas import ExtractionModel
 from quillrun.sources.shared import tabled, written
 
@@ -64,34 +65,53 @@ def _waves(texts: DataFrame, most: int) -> list[list[str]]:
     return lists
 
 
+def listed(chunks: DataFrame, per_file: int = PER_FILE) -> DataFrame:
+    """Chunks in files of up to ``per_file`` rows, as in_waves() takes them; places stay, where chunks have pages and lengths."""
+    size = F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n")
+    more = [c for c in ("pages", "lengths", "classes") if c in chunks.columns]
+    return tabled(chunks.select(F.col("doc_id").cast("long"), F.col("chunk_id").cast("int"), F.col("page_from").cast("int"), "text", *more, size), per_file)
+
+
 def extract(chunks: DataFrame, provider: Provider, max_in_flight: int = MAX_IN_FLIGHT, batch: int = 16, per_task: int = PER_TASK, per_file: int = PER_FILE) -> DataFrame:
+    """in_waves() of any chunks."""
+    return in_waves(listed(chunks, per_file), provider, max_in_flight, batch, per_task)
+
+
+def in_waves(texts: DataFrame, provider: Provider, max_in_flight: int = MAX_IN_FLIGHT, batch: int = 16, per_task: int = PER_TASK) -> DataFrame:
     """(doc_id, chunk_id, page, key, value, error) from a provider, at most ``max_in_flight`` calls at
-    once: texts are dealt to waves, one after the other, of so many tasks, each with one call at a time. An error is
+    once: listed() texts are dealt to waves, one after the other, of so many tasks, each with one call at a time. An error is
     a row with a message; a text without values and error is a row without key. A call that fails is repeated text by text.
+    Where texts have pages and lengths, also (at_page, offset), the place() of each value: the task has the text at hand,
+    so it need not move to its values.
 
-    A task reads about ``per_task`` characters, or where texts are very long a share of ``per_file`` of them, however
-    many there are. A call may cost money and differ when repeated, so the answers of each wave are checkpointed.
+    A task reads about ``per_task`` characters, or where texts are very long a share of a file's rows, however many
+    there are. A call may cost money and differ when repeated, so the answers of each wave are checkpointed.
     """
     types = {"doc_id": pa.int64(), "chunk_id": pa.int32(), "page": pa.int32(), "key": pa.string(), "value": pa.string(), "error": pa.string()}
+    asks, schema = ["doc_id", "chunk_id", "page_from", "text"], "doc_id long, chunk_id int, page int, key string, value string, error string"
+    if placed := {"pages", "lengths"} <= set(texts.columns):
+        types |= {"at_page": pa.int32(), "offset": pa.int32()}
+        asks, schema = [*asks, "pages", "lengths"], schema + ", at_page int, offset int"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for listed in batches:
-            doc, chunk, page, texts = (c.to_pylist() for c in listed.columns)
+            doc, chunk, page, texts = (c.to_pylist() for c in listed.columns[:4])
             places, rows = list(zip(doc, chunk, page)), []
+            nowhere, pages_of = ((None, None), paged(*listed.columns[4:])) if placed else ((), None)
             for at in range(0, len(texts), batch):
-                for place, (values, error) in zip(places[at : at + batch], asked(provider, texts[at : at + batch])):
-                    rows += [(*place, k, v, None) for k, v in values]
+                for i, (values, error) in enumerate(asked(provider, texts[at : at + batch]), at):
+                    for k, v in values:
+                        found = nowhere if not placed or v is None else place(texts[i] or "", *pages_of(i), v)
+                        rows.append((*places[i], k, v, None, *found))
                     if error is not None or not values:
-                        rows.append((*place, None, None, error))
+                        rows.append((*places[i], None, None, error, *nowhere))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types.values())], list(types))
 
-    size = F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n")
-    texts = tabled(chunks.select(F.col("doc_id").cast("long"), F.col("chunk_id").cast("int"), F.col("page_from").cast("int"), "text", size), per_file)
     found = []
     for files in _waves(texts, max_in_flight * per_task) or [[]]:
-        dealt = texts.where(F.col("_metadata.file_path").isin(files)).drop("n").repartition(max_in_flight)
-        found.append(written(dealt.mapInArrow(run, "doc_id long, chunk_id int, page int, key string, value string, error string")))
+        dealt = texts.where(F.col("_metadata.file_path").isin(files)).select(*asks).repartition(max_in_flight)
+        found.append(written(dealt.mapInArrow(run, schema)))
     return reduce(DataFrame.union, found)
 
 

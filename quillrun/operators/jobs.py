@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillrun.functions.scalars import est_tokens, is_supported
+from quillrun.functions.scalars import is_supported
 from quillrun.operators import extract, ledger, pages
 from quillrun.schemas import ExtractionModel
-from quillrun.sources.shared import tabled, written
+from quillrun.sources.shared import written
 
 
 def recognised(files: DataFrame, provider: Callable[[bytes], list]) -> tuple[DataFrame, DataFrame]:
@@ -23,14 +24,18 @@ def recognised(files: DataFrame, provider: Callable[[bytes], list]) -> tuple[Dat
     return read.where("error is null").select("doc_id", "page", "text"), read.where("error is not null").select("doc_id", "error").unionByName(other)
 
 
-def placed(values: DataFrame, own: DataFrame, packed: DataFrame) -> DataFrame:
-    """(doc_id, key, value, page, offset): each chunk's values on the first of its pages that has them,
-    offset from 1; 0 on the chunk's first page where none has."""
-    v = values.where(F.col("value").isNotNull()).select("doc_id", "chunk_id", F.col("page").alias("first"), "key", "value")
-    at = v.join(packed.select("doc_id", "page", "chunk_id"), ["doc_id", "chunk_id"])  # texts move once, to the values
-    rows = at.join(own, ["doc_id", "page"]).withColumn("offset", F.expr("instr(text, value)"))
-    best = rows.groupBy("doc_id", "chunk_id", "first", "key", "value").agg(F.min(F.when(F.col("offset") > 0, F.struct("page", "offset"))).alias("b"))
-    return best.select("doc_id", "key", "value", F.coalesce("b.page", "first").alias("page"), F.coalesce("b.offset", F.lit(0)).alias("offset"))
+def placed(answers: DataFrame, texts: DataFrame) -> DataFrame:
+    """answers with at_page and offset, the places of their values in the chunks ``texts`` (with pages and lengths)."""
+
+    @F.arrow_udf("struct<at_page:int,offset:int>")
+    def places(text: pa.Array, own: pa.Array, lengths: pa.Array, value: pa.Array) -> pa.Array:
+        pages_of = pages.paged(own, lengths)
+        found = [None if v is None else pages.place(t or "", *pages_of(i), v) for i, (t, v) in enumerate(zip(text.to_pylist(), value.to_pylist()))]
+        rows = [None if f is None else {"at_page": f[0], "offset": f[1]} for f in found]
+        return pa.array(rows, pa.struct({"at_page": pa.int32(), "offset": pa.int32()}))
+
+    rows = answers.join(texts.select("doc_id", "chunk_id", "text", "pages", "lengths"), ["doc_id", "chunk_id"])
+    return rows.withColumn("_at", places("text", "pages", "lengths", "value")).select(*(answers[c] for c in answers.columns), "_at.*")
 
 
 def previews(found: DataFrame, subs: DataFrame, model: ExtractionModel) -> DataFrame:
@@ -64,17 +69,14 @@ def run(own: DataFrame, model: ExtractionModel, provider: extract.Provider, kind
     chunk failed is E100 and keeps what the others gave. With a ledger of answers at ``answers_at`` only
     chunks are asked for that have no good answer there, so a job that is run again retries what failed.
     """
-    own = tabled(own.select("doc_id", "page", "text", est_tokens(F.col("text")).alias("_tokens"), kind.alias("_class")))
-    packed = written(pages.pack(own, max_tokens, F.col("_tokens")))
-    chunked = pages.chunks(own, packed)
+    texts = extract.listed(pages.chunked(own.select("doc_id", "page", "text", kind.alias("class")), max_tokens))
     if answers_at is None:
-        answers = extract.extract(chunked, provider, max_in_flight)
+        answers = extract.in_waves(texts, provider, max_in_flight)
     else:
-        chunked = written(chunked)
-        ledger.ask(chunked, provider, answers_at, question, max_in_flight)
-        answers = written(ledger.answers(chunked, answers_at, question))
-    found = written(placed(answers, own, packed))
-    nested = previews(found, pages.segment(own, F.col("_class")), model)
+        ledger.ask(texts, provider, answers_at, question, max_in_flight)
+        answers = written(placed(ledger.answers(texts, answers_at, question), texts))
+    found = answers.where(F.col("value").isNotNull()).select("doc_id", "key", "value", F.col("at_page").alias("page"), "offset")
+    nested = previews(found, pages.segment(pages.classed(texts), F.col("class")), model)
     flat = extract.merge(found).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("m"))
     logs = extract.outcome(answers).join(nested, "doc_id", "left").join(flat, "doc_id", "left")
     logs = logs.select("doc_id", "status", "error", F.parse_json(F.coalesce(F.to_json("m"), F.lit("{}"))).alias("extracted_data"), "preview_data")

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -80,6 +83,80 @@ def chunks(pages: DataFrame, packed: DataFrame) -> DataFrame:
     return got.select("doc_id", "chunk_id", F.col("p")[0]["page"].alias("page_from"), F.element_at("p", -1)["page"].alias("page_to"), F.array_join(F.col("p.text"), "\n").alias("text"), "est_tokens")
 
 
+def chunked(pages: DataFrame, max_tokens: int = MAX_TOKENS) -> DataFrame:
+    """(doc_id, chunk_id, page_from, text, pages, lengths, classes) from pages (doc_id, page, text, class): the chunks of pack()
+    and chunks(), with the number, the characters (null of a null text) and the class of each page.
+
+    Texts move once, to the other pages of their document, and pass in order: a task holds a batch and the chunk that it ends in.
+    Pages without a doc_id or a number are left out.
+    """
+    kind = pages.schema["class"].dataType
+    rows = pages.where("doc_id IS NOT NULL AND page IS NOT NULL").select(F.col("doc_id").cast("long"), F.col("page").cast("int"), "text", "class", est_tokens(F.col("text")).alias("t"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []  # the rows of the chunk that isn't closed yet
+        doc, chunk, total = None, 0, 0
+        ids: list[int] = []  # of the chunks that held and the batch begin
+        for rows in batches:
+            starts = []
+            for i, (d, t) in enumerate(zip(rows["doc_id"].to_numpy().tolist(), rows["t"].to_numpy().tolist())):
+                if d != doc or total + t > max_tokens:
+                    chunk = chunk + 1 if d == doc else 0
+                    doc, total = d, 0
+                    starts.append(i)
+                    ids.append(chunk)
+                total += t
+            if not starts:
+                held.append(rows)
+                continue
+            before = sum(map(len, held))
+            closed, ends = [*held, rows.slice(0, starts[-1])], [*([0] if held else []), *(before + s for s in starts)]
+            if len(ends) > 1:
+                yield _joined(closed, ends, ids[:-1])
+            held, ids = [rows.slice(starts[-1])], ids[-1:]
+        if held:
+            yield _joined(held, [0, sum(map(len, held))], ids)
+
+    columns = f"doc_id long, chunk_id int, page_from int, text string, pages array<int>, lengths array<int>, classes array<{kind.simpleString()}>"
+    return rows.repartition("doc_id").sortWithinPartitions("doc_id", "page").mapInArrow(run, columns)
+
+
+def _joined(rows: list[pa.RecordBatch], ends: list[int], ids: list[int]) -> pa.RecordBatch:
+    """One row for each chunk, of the rows from one of ``ends`` to the next."""
+    doc, page, text, kind = (pa.chunked_array([b[c] for b in rows]).combine_chunks() for c in ("doc_id", "page", "text", "class"))
+    first, ends = np.array(ends[:-1]), pa.array(ends, pa.int32())
+    some = np.concatenate([[0], np.cumsum(text.is_valid().to_numpy(zero_copy_only=False))])[ends]  # null texts are no part of a chunk's
+    texts = pc.binary_join(pa.ListArray.from_arrays(pa.array(some, pa.int32()), text.drop_null()), "\n")
+    lists = [pa.ListArray.from_arrays(ends, c) for c in (page, pc.utf8_length(text), kind)]
+    columns = [doc.take(first), pa.array(ids, pa.int32()), page.take(first), texts, *lists]
+    return pa.RecordBatch.from_arrays(columns, ["doc_id", "chunk_id", "page_from", "text", "pages", "lengths", "classes"])
+
+
+def classed(chunks: DataFrame) -> DataFrame:
+    """(doc_id, page, class) of the pages in chunks of chunked()."""
+    return chunks.select("doc_id", F.inline(F.arrays_zip(F.col("pages").alias("page"), F.col("classes").alias("class"))))
+
+
+def paged(pages: pa.ListArray, lengths: pa.ListArray) -> Callable[[int], tuple[list[int], list[int]]]:
+    """The pages of a row and their lengths, -1 for null; made once for a batch, as lists of Arrow are slow to take apart."""
+    ends = [0, *np.cumsum(pages.value_lengths().to_numpy()).tolist()]
+    numbers, sizes = pages.flatten().to_numpy().tolist(), pc.fill_null(lengths.flatten(), -1).to_numpy().tolist()
+    return lambda i: (numbers[ends[i] : ends[i + 1]], sizes[ends[i] : ends[i + 1]])
+
+
+def place(text: str, pages: list[int], lengths: list[int], value: str) -> tuple[int, int]:
+    """The first of a chunk's pages that has value, and its offset there, from 1; the first page and 0 where none has.
+    A null page has length -1."""
+    at = 0
+    for page, n in zip(pages, lengths):
+        if n >= 0:
+            found = text.find(value, at, at + n)
+            if found >= 0:
+                return page, found - at + 1
+            at += n + 1
+    return pages[0], 0
+
+
 def segment(pages: DataFrame, kind: Column) -> DataFrame:
     """(doc_id, index, class, page_ranges): neighbouring pages of one class make a sub-document, with
     its 1-based page numbers."""

@@ -40,6 +40,29 @@ def test_packing_is_greedy_and_flags_large_pages(spark):
     assert [(r.page_from, r.page_to, r.est_tokens) for r in whole] == [(0, 1, 20), (2, 2, 30), (3, 5, 15)]
 
 
+@pytest.mark.parametrize("each", [1, 3, 10_000])
+def test_chunks_in_one_pass_are_those_of_the_packing(spark, each):
+    rows = [(d, p, "é" * ((7 * d + 13 * p) % 90), p % 2) for d in range(9) for p in range(d % 5 * 4 + 1)]
+    rows += [(20, 0, None, 0), (20, 1, "a", 1), (20, 2, None, 0), (21, 0, None, 1), (22, 5, "x" * 400, 0), (None, 0, "no document", 0)]
+    own = spark.createDataFrame(rows[::-1], "doc_id long, page int, text string, class int")
+    want = pages.chunks(own, pages.pack(own, 20)).orderBy("doc_id", "chunk_id").select("doc_id", "chunk_id", "page_from", "text").collect()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", each)
+    try:
+        got = pages.chunked(own, 20).orderBy("doc_id", "chunk_id").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert [(r.doc_id, r.chunk_id, r.page_from, r.text) for r in got] == [tuple(r) for r in want]
+    laid = [(r.doc_id, p, n, k) for r in got for p, n, k in zip(r.pages, r.lengths, r.classes)]
+    assert laid == sorted((d, p, None if t is None else len(t), k) for d, p, t, k in rows if d is not None)
+    assert pages.chunked(own.limit(0), 20).count() == 0
+
+
+def test_a_value_lies_on_the_first_page_that_has_it_whole():
+    text, own, lengths = "ab\ncab\n\néab", [4, 5, 6, 7, 8], [2, -1, 3, 0, 3]
+    found = [pages.place(text, own, lengths, v) for v in ("ab", "cab", "b\nc", "éab", "", "none")]
+    assert found == [(4, 1), (6, 1), (4, 0), (8, 1), (4, 1), (4, 0)]
+
+
 def test_every_page_in_one_sub_document(spark):
     rows = spark.createDataFrame([(0, i, t) for i, t in enumerate("a###|a|a|###|###".split("|"))], "doc_id long, page int, text string")
     got = pages.segment(rows, F.col("text").contains("###").cast("int")).orderBy("index").collect()
@@ -144,3 +167,32 @@ def test_hints_leave_no_match_out():
     texts = ["", "é٣٤ a@b.co", "1.2.3.4", "x 1.22.333.4444 y@", "1..2", "12", "1 2 3", "abcdefghijklmnop", "@.1.", "### 7", "a@b"]
     slow = [[(k, m.group()) for k, p in extract.RULES.items() if (m := re.search(p, t))] for t in texts]
     assert [values for values, _ in catalog._by_pattern(texts)] == slow
+
+
+@pytest.fixture(scope="module")
+def job(spark):
+    from quillrun.operators import jobs
+    from quillrun.schemas import ExtractionModel, Field
+
+    own = spark.createDataFrame([(1, 0, "ab 12"), (1, 1, "#cd 34"), (1, 2, "x\ncd 12"), (2, 0, "bad 1"), (3, 0, ""), (4, 0, None), (4, 1, "é 7")], "doc_id long, page int, text string")
+    provider = lambda texts: [([(k, v) for k, v in zip("wn", t.split())] + [("end", t[-4:])] if t else [], "bad" if "bad" in t else None) for t in texts]
+    kind = F.when(F.col("text").startswith("#"), 1).otherwise(0)
+    return lambda **more: jobs.run(own, ExtractionModel("m", (Field("n", "N"), Field("end", "E"))), provider, kind, "2024-01-01T00:00:00Z", max_tokens=4, **more)
+
+
+def test_texts_of_a_job_move_once(job, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    joined, join = [], DataFrame.join
+    monkeypatch.setattr(DataFrame, "join", lambda self, other, *a, **k: (joined.append({*self.columns, *other.columns}), join(self, other, *a, **k))[1])
+    assert job().count() == 4
+    assert joined and not [c for c in joined if "text" in c]
+
+
+def test_a_job_with_a_ledger_gives_the_same_logs(job, tmp_path):
+    def told(logs):
+        return sorted(repr((r.doc_id, r.status, r.error, r.preview_data and r.preview_data.asDict(True), r.x)) for r in logs.withColumn("x", F.to_json("extracted_data")).drop("extracted_data").withColumn("preview_data", F.col("preview_data").cast(plain)).collect())
+
+    plain = "struct<sub_documents:array<struct<index:int,page_ranges:array<int>,data:struct<guide_extracted:map<string,struct<value:string,page:int,offset:int>>,other_data:array<string>>>>>"
+    want = told(job())
+    assert told(job(answers_at=str(tmp_path))) == want and len(want) == 4 and sum("'offset': 4" in w for w in want) == 1
