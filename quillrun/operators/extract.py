@@ -53,16 +53,23 @@ def asked(provider: Provider, texts: list[str]) -> list[tuple[list[tuple[str, st
 
 
 def _waves(texts: DataFrame, most: int) -> list[list[str]]:
-    """The files that hold texts, in lists of about ``most`` characters, one file at least."""
+    """The files that hold texts, in lists of about ``most`` characters, one file at least, each from its largest file to its smallest."""
     lists, room = [], 0
     sizes = texts.groupBy(F.col("_metadata.file_path").alias("path")).agg(F.sum("n").alias("n"))
     for r in sorted(sizes.collect()):
         if not lists or room < r["n"]:
             lists.append([])
             room = most
-        lists[-1].append(r["path"])
+        lists[-1].append((r["n"], r["path"]))
         room -= r["n"]
-    return lists
+    return [[path for _, path in sorted(files, reverse=True)] for files in lists]
+
+
+def _dealt(texts: DataFrame, files: list[str], tasks: int) -> DataFrame:
+    """The rows of files in so many tasks: many files are read by them as they lie, in even shares; few ones are shuffled."""
+    if len(files) < 4 * tasks:
+        return texts.where(F.col("_metadata.file_path").isin(files)).repartition(tasks)
+    return reduce(DataFrame.union, [texts.where(F.col("_metadata.file_path").isin(files[i::tasks])) for i in range(tasks)]).coalesce(tasks)
 
 
 def listed(chunks: DataFrame, per_file: int = PER_FILE) -> DataFrame:
@@ -110,8 +117,7 @@ def in_waves(texts: DataFrame, provider: Provider, max_in_flight: int = MAX_IN_F
 
     found = []
     for files in _waves(texts, max_in_flight * per_task) or [[]]:
-        dealt = texts.where(F.col("_metadata.file_path").isin(files)).select(*asks).repartition(max_in_flight)
-        found.append(written(dealt.mapInArrow(run, schema)))
+        found.append(written(_dealt(texts, files, max_in_flight).select(*asks).mapInArrow(run, schema)))
     return reduce(DataFrame.union, found)
 
 

@@ -196,3 +196,12 @@ def test_a_job_with_a_ledger_gives_the_same_logs(job, tmp_path):
     plain = "struct<sub_documents:array<struct<index:int,page_ranges:array<int>,data:struct<guide_extracted:map<string,struct<value:string,page:int,offset:int>>,other_data:array<string>>>>>"
     want = told(job())
     assert told(job(answers_at=str(tmp_path))) == want and len(want) == 4 and sum("'offset': 4" in w for w in want) == 1
+
+
+def test_many_files_of_texts_are_read_without_a_shuffle(spark):
+    texts = extract.listed(spark.range(90).repartition(3).selectExpr("id doc_id", "0 chunk_id", "0 page_from", "repeat('x', 10) text"), per_file=5)
+    (files,) = extract._waves(texts, 10_000)
+    for tasks, shuffled in ((2, False), (4, False), (5, True)):
+        dealt = extract._dealt(texts, files, tasks)
+        sizes = dealt.rdd.glom().map(len).collect()
+        assert sum(sizes) == 90 and len(sizes) == tasks and max(sizes) <= 1.5 * 90 / tasks and ("Exchange" in dealt._jdf.queryExecution().executedPlan().toString()) == shuffled
