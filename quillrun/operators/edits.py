@@ -16,32 +16,32 @@ from quillrun.schemas import ExtractionModel
 from quillrun.sources.shared import written
 
 DONE = ("S100", "S200")
-_OPEN = (("key", "string"), ("value", "string"), ("page", "int"))
+_OPEN = (("page", "int"), ("key", "string"), ("value", "string"))
 
 
-def _judged(logs: DataFrame, edits: DataFrame) -> DataFrame:
-    """edits with reason, why they can't be applied, null where they can, and _subs, the sub-documents of their log."""
-    own = logs.select("doc_id", F.col("status").alias("_status"), F.col("preview_data.sub_documents").alias("_subs"))
+def _judged(logs: DataFrame, edits: DataFrame, *also: Column) -> DataFrame:
+    """edits with reason, why they can't be applied, null where they can, and the columns ``also`` of their log."""
+    own = logs.select("doc_id", F.col("status").alias("_status"), F.col("preview_data.sub_documents.index").alias("_indexes"), *also)
     rows = edits.join(own, "doc_id", "left")
     reason = (
         F.when(F.col("doc_id").isNull() | F.col("index").isNull() | F.col("key").isNull(), "no field")
         .when(F.col("_status").isNull(), "no log")
         .when(~F.col("_status").isin(*DONE), "not finished")
-        .when(~F.coalesce(F.array_contains("_subs.index", F.col("index")), F.lit(False)), "no sub-document")
+        .when(~F.coalesce(F.array_contains("_indexes", F.col("index")), F.lit(False)), "no sub-document")
     )
-    return rows.withColumn("reason", reason).drop("_status")
+    return rows.withColumn("reason", reason).drop("_status", "_indexes")
 
 
 def rejected(logs: DataFrame, edits: DataFrame) -> DataFrame:
     """edits that can't be applied, with the reason."""
-    return _judged(logs, edits).where(F.col("reason").isNotNull()).drop("_subs")
+    return _judged(logs, edits).where(F.col("reason").isNotNull())
 
 
 def trail(logs: DataFrame, edits: DataFrame, each: int = PIECE_ROWS) -> DataFrame:
     """Applicable edits with before, the value that each one replaced: the last edit's, or for the first
     the machine's. logs are as they were before any of the edits. The edit before is looked for within
     ranges of the order, and beyond them among each field's last ones, so one field may have most edits."""
-    rows = _judged(logs, edits).where(F.col("reason").isNull())
+    rows = _judged(logs, edits, F.col("preview_data.sub_documents").alias("_subs")).where(F.col("reason").isNull())
     rows = rows.withColumn("_sub", F.get(F.filter("_subs", lambda s: s["index"] == F.col("index")), F.lit(0)))
     other = F.filter("_sub.data.other_data", lambda o: F.try_variant_get(o, "$.key", "string") == F.col("key"))
     found = F.coalesce(F.try_element_at("_sub.data.guide_extracted", F.col("key"))["value"], F.try_variant_get(F.get(other, F.lit(0)), "$.value", "string"))
@@ -56,8 +56,9 @@ def trail(logs: DataFrame, edits: DataFrame, each: int = PIECE_ROWS) -> DataFram
     return rows.withColumn("before", F.when(F.col("_k") == 1, first).otherwise(F.col("_lag"))).select(*edits.columns, "before")
 
 
-def _named(o: Column) -> Column:
-    return F.struct(*(F.try_variant_get(o, f"$.{k}", t).alias(k) for k, t in _OPEN))
+def _named(o: Column) -> list[Column]:
+    """page, key and value of an entry of open data."""
+    return [F.try_variant_get(o, f"$.{k}", t).alias(k) for k, t in _OPEN]
 
 
 def apply(logs: DataFrame, edits: DataFrame, model: ExtractionModel, now: str) -> DataFrame:
@@ -94,23 +95,27 @@ def apply(logs: DataFrame, edits: DataFrame, model: ExtractionModel, now: str) -
         return F.map_concat(F.map_filter(old, lambda k, _: ~F.map_contains_key(new, k)), F.transform_values(new, field))
 
     def others(sub: Column) -> Column:
-        old, new = sub["data"]["other_data"], of(sub, "others")
-        key = lambda o: F.try_variant_get(o, "$.key", "string")
-        put = lambda k, page: F.parse_json(F.to_json(F.struct(page.alias("page"), k.alias("key"), F.element_at(new, k).alias("value"))))
-        edited = F.transform(old, lambda o: F.when(F.coalesce(F.map_contains_key(new, key(o)), F.lit(False)), put(key(o), F.try_variant_get(o, "$.page", "int"))).otherwise(o))
-        fresh = F.array_sort(F.filter(F.map_keys(new), lambda k: ~F.exists(old, lambda o: F.coalesce(key(o) == k, F.lit(False)))))
+        """Open data as (page, key, value, kept, put): kept is the machine's own entry, put whether an edit replaces it."""
+        old, new = F.transform(sub["data"]["other_data"], lambda o: F.struct(*_named(o), o.alias("kept"), F.lit(False).alias("put"))), of(sub, "others")
+        put = lambda k, page: F.struct(page.alias("page"), k.alias("key"), F.element_at(new, k).alias("value"), F.lit(None).cast("variant").alias("kept"), F.lit(True).alias("put"))
+        edited = F.transform(old, lambda o: F.when(F.coalesce(F.map_contains_key(new, o["key"]), F.lit(False)), put(o["key"], o["page"])).otherwise(o))
+        fresh = F.array_sort(F.filter(F.map_keys(new), lambda k: ~F.exists(old, lambda o: F.coalesce(o["key"] == k, F.lit(False)))))
         return F.concat(edited, F.transform(fresh, lambda k: put(k, F.lit(None).cast("int"))))
 
+    # typed, so that values needn't be read back from the open data that is written; only logs with edits are made anew
     touched = F.size("_edits") > 0
-    data = lambda s: F.struct(guide(s).alias("guide_extracted"), others(s).alias("other_data"))
-    new_subs = F.transform(subs, lambda s: F.struct(s["index"].alias("index"), s["page_ranges"].alias("page_ranges"), data(s).alias("data")))
+    made = F.transform(subs, lambda s: F.struct(s["index"].alias("index"), s["page_ranges"].alias("page_ranges"), guide(s).alias("guided"), others(s).alias("others")))
+    rows = rows.withColumn("_new", F.when(touched, made))
+    entry = lambda o: F.when(o["put"], F.parse_json(F.to_json(F.struct(o["page"].alias("page"), o["key"].alias("key"), o["value"].alias("value"))))).otherwise(o["kept"])
+    data = lambda s: F.struct(s["guided"].alias("guide_extracted"), F.transform(s["others"], entry).alias("other_data"))
+    new_subs = F.transform("_new", lambda s: F.struct(s["index"].alias("index"), s["page_ranges"].alias("page_ranges"), data(s).alias("data")))
     rows = rows.withColumn("preview_data", F.when(touched, F.struct(new_subs.alias("sub_documents"))).otherwise(F.col("preview_data")))
 
     known = lambda s: F.concat(
-        F.transform(F.map_entries(s["data"]["guide_extracted"]), lambda e: F.struct(e["key"].alias("key"), e["value"]["value"].alias("value"))),
-        F.transform(F.transform(s["data"]["other_data"], _named), lambda o: F.struct(o["key"].alias("key"), o["value"].alias("value"))),
+        F.transform(F.map_entries(s["guided"]), lambda e: F.struct(e["key"].alias("key"), e["value"]["value"].alias("value"))),
+        F.transform(s["others"], lambda o: F.struct(o["key"].alias("key"), o["value"].alias("value"))),
     )
-    values = F.filter(F.flatten(F.transform(subs, known)), lambda v: v["value"].isNotNull())
+    values = F.filter(F.flatten(F.transform("_new", known)), lambda v: v["value"].isNotNull())
     keys = F.array_distinct(F.transform("_edits", lambda e: e["key"]))
     old = F.coalesce(F.col("extracted_data").cast("map<string,string>"), F.create_map().cast("map<string,string>"))
     kept = F.map_filter(old, lambda k, _: ~F.array_contains("_keys", k))

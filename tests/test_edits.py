@@ -90,3 +90,27 @@ def test_fields_carry_columns_of_their_logs(logs):
     got = {(r.doc_id, r["index"], r.key, r.status) for r in jobs.fields_of(logs, "status").collect()}
     assert got == {(1, 0, "n", "S100"), (1, 1, "n", "S100"), (2, 0, "n", "E100")}
     assert {(r.doc_id, r.key, r.status) for r in jobs.others_of(logs, "status").collect()} == {(1, "w", "S100"), (2, "w", "E100")}
+
+
+def test_values_are_not_read_back_from_written_open_data(spark, logs):
+    rows = spark.createDataFrame([(1, 0, "z", "new", 1, 1)], EDITS_DDL)
+    plan = edits.apply(logs, rows, MODEL, NOW).select("doc_id", "extracted_data")._jdf.queryExecution().optimizedPlan().toString().split("InMemoryRelation")[0]
+    assert plan.count("parseJson") == 1  # of extracted_data alone
+
+
+def test_null_entries_of_open_data_stay(spark, logs):
+    data = "transform(preview_data.sub_documents, s -> struct(s.index AS index, s.page_ranges AS page_ranges, struct(s.data.guide_extracted AS guide_extracted, array(null, parse_json('{\"key\":\"w\",\"value\":\"q\",\"more\":1}')) AS other_data) AS data))"
+    own = logs.withColumn("preview_data", F.struct(F.expr(data).alias("sub_documents")))
+    for key, want in (("z", [None, {"key": "w", "value": "q", "more": 1}, {"key": "z", "value": "e"}]), ("w", [None, {"key": "w", "value": "e"}])):
+        got = _edited(spark, own, [(1, 0, key, "e", 1, 1)])[1].preview_data.sub_documents[0].data.other_data
+        assert [o if o is None else o.toPython() for o in got] == want
+
+
+def test_rejecting_edits_moves_no_values(spark, logs, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    joined, join = [], DataFrame.join
+    monkeypatch.setattr(DataFrame, "join", lambda self, other, *a, **k: (joined.append(other.schema.simpleString()), join(self, other, *a, **k))[1])
+    got = edits.rejected(logs, spark.createDataFrame([(2, 0, "n", "a", 1, 1), (1, 9, "n", "a", 1, 1), (1, 0, "n", "a", 1, 1)], EDITS_DDL))
+    assert {(r.doc_id, r.reason) for r in got.collect()} == {(2, "not finished"), (1, "no sub-document")} and got.columns == [*EDITS_DDL.replace(" long", "").replace(" int", "").replace(" string", "").split(", "), "reason"]
+    assert joined and not [s for s in joined if "guide_extracted" in s]
