@@ -477,13 +477,19 @@ def k02_upsert_buckets(spark, sf_dir):
 def t06_ingest_once(spark, sf_dir):
     """All documents as files that arrive in two lots, the first of which the second repeats."""
     path = f"{folder(spark)}/ingest-{uuid.uuid4().hex}"
-    name = F.concat(F.pmod(F.xxhash64("doc_id"), F.lit(64)).cast("string"), F.lit("/doc-"), F.col("doc_id").cast("string"), F.lit(".pdf"))  # executors list many folders together, the driver a single one
-    rows = written(table(spark, sf_dir, "documents").where("text <> ''").select(name.alias("name"), F.coalesce("text", F.lit("")).cast("binary").alias("content")))
+    docs = table(spark, sf_dir, "documents").where("text <> ''")
+    name = F.concat(F.pmod(F.xxhash64("doc_id"), F.lit(max(64, docs.count() // files.PART_FILES))).cast("string"), F.lit("/doc-"), F.col("doc_id").cast("string"), F.lit(".pdf"))  # many folders are listed by many tasks
+    rows = written(docs.select(name.alias("name"), F.coalesce("text", F.lit("")).cast("binary").alias("content")))
+
+    def arrived():
+        files.list_new(spark, f"{path}/in", f"{path}/listed")
+        return files.ingest_once(files.listed_stream(spark, f"{path}/in", f"{path}/listed"), path)
+
     files.write_files(rows.where("crc32(content) % 2 = 0"), f"{path}/in")
-    files.ingest_once(files.ingest_stream(spark, f"{path}/in/*"), path)
+    arrived()
     files.write_files(rows, f"{path}/in")
     files.write_files(rows.withColumn("name", F.regexp_replace("name", "/", "/again-")), f"{path}/in")
-    found = files.ingest_once(files.ingest_stream(spark, f"{path}/in/*"), path)
+    found = arrived()
     counts = rows.groupBy(F.sha2("content", 256).alias("hash")).agg(F.count(F.lit(1)).alias("n_files"))
     return found.select("hash", "length").join(counts, "hash")
 

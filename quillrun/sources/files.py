@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from math import ceil
+
+from pyarrow import fs
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -9,13 +13,17 @@ from pyspark.sql import functions as F
 from quillrun.functions.scalars import is_supported
 from quillrun.operators.history import may_edit_models
 from quillrun.schemas import JOB_DDL, LOG_DDL, ExtractionModel
-from quillrun.sources.shared import opened, written
+from quillrun.sources.shared import opened, tabled, written
 from quillrun.sources.workbook import sheet
 
-GLOB = "*.{pdf,PDF,png,PNG,jpg,JPG,jpeg,tif,tiff,bmp,webp}"
-BINARY = "path string, modificationTime timestamp, length long, content binary"
+ENDINGS = ("pdf", "PDF", "png", "PNG", "jpg", "JPG", "jpeg", "tif", "tiff", "bmp", "webp")
+GLOB = "*.{" + ",".join(ENDINGS) + "}"
+LISTED = "path string, modificationTime timestamp, length long"
+BINARY = f"{LISTED}, content binary"
 #: Bytes of files that a stream takes in a batch, about.
 BATCH_BYTES = 1 << 30
+#: Bytes and number of files that a part of a list names, about.
+PART_BYTES, PART_FILES = 1 << 24, 4096
 
 
 def ingest(spark: SparkSession, path: str) -> DataFrame:
@@ -25,11 +33,76 @@ def ingest(spark: SparkSession, path: str) -> DataFrame:
 
 def ingest_stream(spark: SparkSession, path: str, most_files: int | None = None, most_bytes: int = BATCH_BYTES) -> DataFrame:
     """The same for files as they arrive. A batch has about ``most_bytes`` at most, so small files don't make
-    many batches; or ``most_files``, where that is given."""
+    many batches; or ``most_files``, where that is given. Spark's driver holds the names of all files; where they
+    are very many, list_new() and listed_stream() take their place."""
     limit = {"maxBytesPerTrigger": most_bytes} if most_files is None else {"maxFilesPerTrigger": most_files}
     return spark.readStream.format("binaryFile").schema(BINARY).option("pathGlobFilter", GLOB).options(**limit).load(path)
 
 
+def list_new(spark: SparkSession, path: str, listed: str) -> int:
+    """Adds the PDFs and images of a folder and its subfolders whose paths a list doesn't have to the list, a
+    Parquet table (path, modificationTime, length); returns how many. Tasks list the folders, level by level, so
+    the driver sees no names; a folder is listed by one task. As with Spark's own reading, empty files and names
+    that begin with . or _ don't count; an empty file is listed once it has content. One writer at a time; what
+    a lost run has added stays and isn't added again."""
+    path, endings, most = path.rstrip("/"), tuple(f".{x}" for x in ENDINGS), int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def entries(batches):
+        import pyarrow as pa
+
+        system, folder = opened(path)
+        stamp = pa.timestamp("us", "UTC")
+        for batch in batches:
+            for inner in batch["inner"].to_pylist():
+                found = [x for x in system.get_file_info(fs.FileSelector(f"{folder}{inner}", allow_not_found=bool(inner))) if not x.base_name.startswith((".", "_"))]
+                found = [x for x in found if x.type == fs.FileType.Directory or x.size and x.base_name.endswith(endings)]
+                kinds = [x.type == fs.FileType.Directory for x in found]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([f"{inner}/{x.base_name}" for x in found], pa.string()), pa.array(kinds, pa.bool_()), pa.array([x.mtime for x in found], stamp), pa.array([x.size for x in found], pa.int64())],
+                    names=["inner", "is_folder", "modificationTime", "length"],
+                )
+
+    system, folder = opened(listed)
+    system.create_dir(folder, recursive=True)
+    level, folders, levels = spark.createDataFrame([("",)], "inner string"), 1, []
+    while folders:
+        levels.append(tabled(level.repartition(min(folders, most)).mapInArrow(entries, "inner string, is_folder boolean, modificationTime timestamp, length long")))
+        level = levels[-1].where("is_folder").select("inner")
+        folders = level.count()
+    found = reduce(DataFrame.unionByName, levels).where("NOT is_folder").select(F.concat(F.lit(path), "inner").alias("path"), "modificationTime", "length")
+    new = tabled(found.join(spark.read.schema(LISTED).parquet(listed).select("path"), "path", "left_anti"))
+    n, size = new.agg(F.count(F.lit(1)), F.sum("length")).first()
+    if n:
+        new.repartition(min(n, max(ceil(n / PART_FILES), ceil(size / PART_BYTES)))).write.mode("append").parquet(listed)
+    return n
+
+
+def listed_stream(spark: SparkSession, path: str, listed: str, most_bytes: int = BATCH_BYTES) -> DataFrame:
+    """(path, modificationTime, length, content) of the files of a folder as list_new() adds them to its list. The
+    stream's source is the list, so its driver holds the names of the list's parts only, and tasks read the files,
+    about ``PART_BYTES`` at a time. A batch has so many parts that their files have about ``most_bytes`` at most.
+    As with Spark's own reading, a file that is gone when its turn comes is an error."""
+    path = path.rstrip("/")
+
+    def read(batches):
+        import pyarrow as pa
+
+        system, folder = opened(path)
+        for batch in batches:
+            names, start, held, size = batch["path"].to_pylist(), 0, [], 0
+            for end, name in enumerate(names, 1):
+                with system.open_input_stream(f"{folder}{name.removeprefix(path)}") as file:
+                    held.append(file.read())
+                size += len(held[-1])
+                if size >= PART_BYTES or end == len(names):
+                    part = batch.slice(start, end - start)
+                    yield pa.RecordBatch.from_arrays([part["path"], part["modificationTime"], pa.array(map(len, held), pa.int64()), pa.array(held, pa.binary())], names=["path", "modificationTime", "length", "content"])
+                    start, held, size = end, [], 0
+
+    parts = spark.readStream.schema(LISTED).option("maxFilesPerTrigger", max(1, most_bytes // PART_BYTES)).parquet(listed)
+    return parts.mapInArrow(read, BINARY)
+
+
 def supported(files: DataFrame) -> DataFrame:
     return files.where(is_supported(F.col("path")))
 

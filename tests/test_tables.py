@@ -6,10 +6,13 @@ import os
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from quillrun.operators import grids, pages
+from quillrun.plans import catalog
 from quillrun.sources import files, workbook
+from quillrun.sources.shared import folder
 
 
 def test_grids():
@@ -86,6 +89,51 @@ def test_many_small_files_make_one_batch(spark, tmp_path):
     assert [p.name for p in (tmp_path / "store").iterdir() if p.name.startswith("batch=")] == ["batch=0"]
 
 
+def test_the_driver_of_an_ingest_keeps_no_names_of_files(spark):
+    root = folder(spark).removeprefix("file:")
+    before = set(glob.glob(f"{root}/ingest-*"))
+    n = catalog.QUERIES["t06_ingest_once"](spark, "/root/testdata/sf0.001").agg({"n_files": "sum"}).first()[0]
+    (path,) = set(glob.glob(f"{root}/ingest-*")) - before
+    noted = [line for log in glob.glob(f"{path}/state/sources/0/[0-9]*") for line in open(log) if line.startswith("{")]
+    assert len(glob.glob(f"{path}/in/*/*.pdf")) == 2 * n >= 300 and len(noted) == 2  # a part of the list for each lot
+
+
+def test_listed_files_are_read_once_each(spark, tmp_path):
+    into, listed = tmp_path / "in", str(tmp_path / "listed")
+    lot = lambda **rows: [(into / n).parent.mkdir(parents=True, exist_ok=True) or (into / n).write_bytes(c) for n, c in rows.items()]
+    seen = lambda: sorted((r.path.removeprefix(f"{into}/"), r.length) for r in spark.read.parquet(listed).collect())
+
+    def run():
+        stream = files.listed_stream(spark, str(into), listed)
+        return sorted((r.length, bytes(r.content)) for r in files.ingest_once(stream, str(tmp_path / "out")).collect())
+
+    into.mkdir()
+    assert files.list_new(spark, f"{into}/", listed) == 0 and run() == []
+    lot(**{"a.pdf": b"one", "x/b %41#é?.PDF": b"one", "x/y/z/c.webp": b"two", "d.txt": b"no", "x/.e.pdf": b"no", "_f/g.pdf": b"no", "h.pdf": b"", "i.pdf/j.tiff": b"six"})
+    assert files.list_new(spark, str(into), listed) == 4
+    assert seen() == [("a.pdf", 3), ("i.pdf/j.tiff", 3), ("x/b %41#é?.PDF", 3), ("x/y/z/c.webp", 3)]
+    first = run()
+    assert first == [(3, b"one"), (3, b"six"), (3, b"two")]
+    assert files.list_new(spark, str(into), listed) == 0 and run() == first  # nothing new
+    lot(**{"a.pdf": b"other", "x/k.pdf": b"two", "w/l.png": b"three", "h.pdf": b"four!"})  # a path counts once, an empty file once it has content
+    assert files.list_new(spark, str(into), listed) == 3
+    assert run() == sorted([*first, (5, b"three"), (5, b"four!")])
+    found = files.listed_stream(spark, str(into), listed).writeStream.format("memory").queryName("listed").trigger(availableNow=True).start()
+    found.awaitTermination()
+    rows = spark.table("listed").collect()
+    assert len(rows) == 7 and all(r.modificationTime.timestamp() == pytest.approx(os.path.getmtime(r.path), abs=1e-3) for r in rows if not r.path.endswith("a.pdf"))
+
+
+def test_parts_of_a_list_cut_a_stream_into_batches(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(files, "PART_FILES", 10)
+    rows = spark.range(60).select(F.concat(F.col("id") % 7, F.lit("/f"), F.col("id"), F.lit(".pdf")).alias("name"), (F.col("id") % 25).cast("string").cast("binary").alias("content"))
+    files.write_files(rows, str(tmp_path / "in"))
+    assert files.list_new(spark, str(tmp_path / "in"), str(tmp_path / "listed")) == 60
+    got = files.ingest_once(files.listed_stream(spark, str(tmp_path / "in"), str(tmp_path / "listed"), 2 * files.PART_BYTES), str(tmp_path))
+    assert got.count() == got.select("hash").distinct().count() == 25
+    assert sorted(p.name for p in (tmp_path / "store").iterdir() if p.name.startswith("batch=")) == ["batch=0", "batch=1", "batch=2"]
+
+
 def test_a_task_holds_a_few_million_characters_of_a_workbook(spark, tmp_path):
     rows = spark.range(40).select("id", F.repeat(F.lit("wordé "), F.lit(50_000)).alias("text")).coalesce(1)  # 12 million characters
     workbook.export_workbooks(rows, str(tmp_path / "books"))
